@@ -108,15 +108,111 @@ FROM ({_CLEAN}) c
 
 # Family attributes of each inventory row (for side tables only).
 INVENTORY_FAMILY_SQL = f"""
-SELECT c.k AS _ord, c.mfg0, c.model0, c.dtype0, c.o_orderstatus, c.o_orderpriority,
+SELECT c.k AS _ord, c.fam, c.mfg0, c.model0, c.dtype0, c.o_orderstatus, c.o_orderpriority,
        CAST(CAST(c.o_orderdate AS DATE) AS STRING) AS order_day
 FROM ({_CLEAN}) c
 """
 
 
+# Side tables, each derived from the inventory (previous-run caches, manual
+# overrides and the two external resolvers' answers). Same text in both engines.
+SIDE_TABLES: dict[str, str] = {
+    # device-type cache from a previous run: families 0,1,3,4,6,7,.. (fam % 3 <> 2)
+    "type_cache": """
+SELECT lower(mfg0) || '|' || lower(model0) AS type_key, dtype0 AS device_type,
+       fam % 5 = 0 AS probable_typo,
+       CAST(CASE WHEN fam % 2 = 0 THEN 0.95 ELSE 0.6 END AS DOUBLE) AS confidence
+FROM inv_family WHERE fam % 3 <> 2 GROUP BY lower(mfg0) || '|' || lower(model0), dtype0, fam
+""",
+    # serial-date cache: finished orders of every fourth family
+    "date_cache": """
+SELECT lower(i.manufacturer) || '|' || lower(i.model) || '|' || lower(i.serial_number) AS date_key,
+       min(f.order_day) AS date, CAST(0.9 AS DOUBLE) AS confidence
+FROM inventory i JOIN inv_family f ON i._ord = f._ord
+WHERE f.o_orderstatus = 'F' AND f.fam % 4 = 1 AND i.manufacturer <> ''
+GROUP BY lower(i.manufacturer) || '|' || lower(i.model) || '|' || lower(i.serial_number)
+""",
+    # manufacturer cache for part of the blank-manufacturer rows
+    "mfr_cache": """
+SELECT lower(i.model) || '|' || lower(i.serial_number) AS mfr_key, min(f.mfg0) AS manufacturer
+FROM inventory i JOIN inv_family f ON i._ord = f._ord
+WHERE i.manufacturer = '' AND i._ord % 3 = 0
+GROUP BY lower(i.model) || '|' || lower(i.serial_number)
+""",
+    # manual overrides: one per cached family of every fourth family, plus new keys
+    "type_overrides": """
+SELECT upper(mfg0) || '|' || model0 AS key, 'Override ' || dtype0 AS device_type FROM inv_family
+WHERE fam % 4 = 0 GROUP BY upper(mfg0) || '|' || model0, 'Override ' || dtype0
+UNION ALL
+SELECT ' ' || mfg0 || '|' || model0 || ' v2 ' AS key, 'New ' || dtype0 AS device_type FROM inv_family
+WHERE fam % 6 = 1 GROUP BY ' ' || mfg0 || '|' || model0 || ' v2 ', 'New ' || dtype0
+""",
+    # device-type answers of two resolvers, one per (key, resolver)
+    "type_answers": """
+SELECT lower(i.manufacturer) || '|' || lower(i.model) AS type_key, 'primary' AS resolver,
+       min(f.dtype0) AS device_type, min(f.fam) % 7 = 0 AS probable_typo
+FROM inventory i JOIN inv_family f ON i._ord = f._ord
+WHERE f.fam % 4 <> 3 AND i.manufacturer <> ''
+GROUP BY lower(i.manufacturer) || '|' || lower(i.model)
+UNION ALL
+SELECT lower(i.manufacturer) || '|' || lower(i.model) AS type_key, 'secondary' AS resolver,
+       CASE WHEN min(f.fam) % 3 = 0 THEN 'Medical Equipment' ELSE min(f.dtype0) END AS device_type,
+       min(f.fam) % 7 = 0 AS probable_typo
+FROM inventory i JOIN inv_family f ON i._ord = f._ord
+WHERE f.fam % 5 <> 4 AND i.manufacturer <> ''
+GROUP BY lower(i.manufacturer) || '|' || lower(i.model)
+""",
+    # serial-date answers of two resolvers (the secondary sometimes disagrees)
+    "date_answers": """
+SELECT lower(f.mfg0) || '|' || lower(f.model0) AS type_key, i.serial_number AS sn, 'primary' AS resolver,
+       min(f.order_day) AS date
+FROM inventory i JOIN inv_family f ON i._ord = f._ord
+WHERE i._ord % 3 <> 0 AND i.serial_number <> ''
+GROUP BY lower(f.mfg0) || '|' || lower(f.model0), i.serial_number
+UNION ALL
+SELECT lower(f.mfg0) || '|' || lower(f.model0) AS type_key, i.serial_number AS sn, 'secondary' AS resolver,
+       CASE WHEN min(i._ord) % 7 = 0 THEN replace(min(f.order_day), '-', '/') || ' 08:00'
+            WHEN min(i._ord) % 11 = 0 THEN '1930-01-01' ELSE min(f.order_day) END AS date
+FROM inventory i JOIN inv_family f ON i._ord = f._ord
+WHERE i._ord % 4 <> 0 AND i.serial_number <> ''
+GROUP BY lower(f.mfg0) || '|' || lower(f.model0), i.serial_number
+""",
+    # manufacturer answers for blank-manufacturer rows
+    "mfr_answers": """
+SELECT lower(i.model) || '|' || lower(i.serial_number) AS mfr_key, 'primary' AS resolver, min(f.mfg0) AS manufacturer
+FROM inventory i JOIN inv_family f ON i._ord = f._ord
+WHERE i.manufacturer = '' AND i._ord % 2 = 0
+GROUP BY lower(i.model) || '|' || lower(i.serial_number)
+UNION ALL
+SELECT lower(i.model) || '|' || lower(i.serial_number) AS mfr_key, 'secondary' AS resolver,
+       CASE WHEN min(i._ord) % 5 = 0 THEN 'Unknown Manufacturer' ELSE upper(min(f.mfg0)) END AS manufacturer
+FROM inventory i JOIN inv_family f ON i._ord = f._ord
+WHERE i.manufacturer = '' AND i._ord % 3 <> 1
+GROUP BY lower(i.model) || '|' || lower(i.serial_number)
+""",
+}
+
+
 def inventory_cte() -> str:
-    """``WITH`` clause (no trailing comma) defining ``inventory`` and ``inv_family``."""
-    return f"WITH inventory AS ({INVENTORY_SQL}), inv_family AS ({INVENTORY_FAMILY_SQL})"
+    """``WITH`` clause (no trailing comma) defining ``inventory``, ``inv_family``
+    and every side table."""
+    parts = [f"inventory AS ({INVENTORY_SQL})", f"inv_family AS ({INVENTORY_FAMILY_SQL})"]
+    parts += [f"{name} AS ({sql})" for name, sql in SIDE_TABLES.items()]
+    return "WITH " + ",\n".join(parts)
+
+
+def register_views(spark: SparkSession, sf_dir: str) -> None:
+    """Register ``inventory``, ``inv_family`` and the side tables as temp views."""
+    register_base_tables(spark, sf_dir)
+    spark.sql(INVENTORY_SQL).createOrReplaceTempView("inventory")
+    spark.sql(INVENTORY_FAMILY_SQL).createOrReplaceTempView("inv_family")
+    for name, sql in SIDE_TABLES.items():
+        spark.sql(sql).createOrReplaceTempView(name)
+
+
+def side_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    register_views(spark, sf_dir)
+    return spark.table(name)
 
 
 def register_base_tables(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("orders",)) -> None:
@@ -133,3 +229,23 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inventory_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_base_tables(spark, sf_dir)
     return spark.sql(INVENTORY_FAMILY_SQL)
+
+
+# Date strings in the shapes the normaliser must handle (F1), one per order.
+NOISY_DATES_SQL = """
+SELECT o_orderkey AS _ord,
+       CASE o_orderkey % 11
+            WHEN 0 THEN d
+            WHEN 1 THEN replace(d, '-', '/')
+            WHEN 2 THEN d || ' 10:30:00'
+            WHEN 3 THEN 'built ' || substr(d, 1, 4) || ' approx'
+            WHEN 4 THEN substr(d, 1, 5) || CAST(13 + o_orderkey % 45 AS STRING) || '-' || substr(d, 9, 2)
+            WHEN 5 THEN substr(d, 1, 8) || CAST(27 + o_orderkey % 6 AS STRING)
+            WHEN 6 THEN '1799' || substr(d, 5)
+            WHEN 7 THEN ''
+            WHEN 8 THEN substr(d, 1, 5) || '00' || substr(d, 8)
+            WHEN 9 THEN '  ' || substr(d, 1, 4) || '/' || CAST(1 + o_orderkey % 12 AS STRING) || '/' || CAST(o_orderkey % 31 AS STRING)
+            ELSE 'unknown ' || CAST(o_orderkey % 100 AS STRING)
+       END AS raw
+FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS STRING) AS d FROM orders) t
+"""
