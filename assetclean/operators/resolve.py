@@ -94,6 +94,12 @@ def first_decoded(df: DataFrame, order_col: str = "_ord") -> DataFrame:
     return out.withColumn("decoded_date", F.coalesce(F.col("_first"), F.col("decoded_date"))).drop("_first")
 
 
+def decode_once(df: DataFrame, horizon: int | None = None, order_col: str = "_ord") -> DataFrame:
+    """Serial decode + first-decodable-row rule per date key (``decoded_date``)."""
+    kw = {} if horizon is None else {"horizon": horizon}
+    return first_decoded(decode_serials(df, "w_mfg", "w_model", "w_sn", **kw), order_col)
+
+
 def resolve_dates(
     df: DataFrame,
     dates: DataFrame | None = None,
@@ -108,9 +114,10 @@ def resolve_dates(
     """
     if "date_key" not in df.columns:
         df = with_keys(df)
-    kw = {} if horizon is None else {"horizon": horizon}
-    out = decode_serials(df, "w_mfg", "w_model", "w_sn", **kw)
-    out = first_decoded(out, order_col)
+    if "decoded_date" in df.columns:  # already decoded (see decode_once)
+        out = df
+    else:
+        out = decode_once(df, horizon, order_col)
     if dates is None:
         dates = out.sparkSession.createDataFrame([], "date_key string, date string, confidence double")
     if True:

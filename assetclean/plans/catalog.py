@@ -51,7 +51,7 @@ def _inferred(spark: SparkSession, sf: str) -> DataFrame:
 
 def _fixed(spark: SparkSession, sf: str) -> DataFrame:
     rows = _inferred(spark, sf)
-    return with_keys(apply_corrections(rows, find_corrections(rows), HEADERS))
+    return with_keys(apply_corrections(rows, find_corrections(rows), HEADERS)).checkpoint(eager=True)
 
 
 def q_dedup_first(spark, sf):
@@ -191,7 +191,7 @@ def _enriched(spark, sf):
         type_answers=spark.table("type_answers"),
         date_answers=spark.table("date_answers"),
         mfr_answers=spark.table("mfr_answers"),
-        checkpoint=False,
+        checkpoint=True,
     )
 
 

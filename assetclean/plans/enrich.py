@@ -24,7 +24,7 @@ from assetclean.operators import consensus as C
 from assetclean.operators.dedup import dedup_first, drop_reserved, resolve_headers, with_working_columns
 from assetclean.operators.infer import infer_manufacturers
 from assetclean.operators.repair import Corrections, apply_corrections, find_corrections
-from assetclean.operators.resolve import resolve_dates, resolve_types, unresolved_dates, unresolved_types, with_keys
+from assetclean.operators.resolve import decode_once, resolve_dates, resolve_types, unresolved_dates, unresolved_types, with_keys
 from assetclean.sources import caches
 from assetclean.session import ensure_checkpoint_dir
 
@@ -87,7 +87,7 @@ def enrich(
     rows = _cut(rows, checkpoint)
 
     corr = find_corrections(rows, order_col=order_col)
-    fixed = with_keys(apply_corrections(rows, corr, headers))
+    fixed = _cut(with_keys(apply_corrections(rows, corr, headers)), checkpoint)
 
     types_after = types
     ext_types = None
@@ -99,8 +99,8 @@ def enrich(
 
     ext_dates = None
     if date_answers is not None:
-        decoded = resolve_dates(out, dates, None, horizon, order_col)
-        todo = unresolved_dates(decoded, dates)
+        out = _cut(decode_once(out, horizon, order_col), checkpoint)
+        todo = unresolved_dates(out, dates)
         batches = C.request_batches(todo, order_col)
         ext_dates = C.check_external(C.consensus_dates(batches, date_answers), horizon).select("date_key", "date", "confidence")
     out = resolve_dates(out, dates, ext_dates, horizon, order_col)
