@@ -47,13 +47,19 @@ def typo_report(types: DataFrame, model_corrections: DataFrame) -> DataFrame:
 def corrections_report(corr: Corrections) -> DataFrame:
     """Model section, blank line, serial section ("Corrected ..." when the
     value changed, "mismatch noted" otherwise)."""
+    def pos(section: int, *parts) -> F.Column:
+        cols = [F.lit(section).alias("s")] + [p.cast("long").alias(f"k{i}") for i, p in enumerate(parts)]
+        cols += [F.lit(0).cast("long").alias(f"k{i}") for i in range(len(parts), 4)]
+        return F.struct(*cols).alias("line_pos")
+
+    lp = F.col("line_pos")
     m = corr.models.select(
-        F.struct(F.lit(1).alias("a"), F.to_json("line_pos").alias("b")).alias("line_pos"),
+        pos(1, lp["mfg_ord"], lp["p"], lp["a"], lp["b"]),
         F.concat(F.lit("- "), F.col("reason")).alias("line"),
     )
     changed = F.col("corrected") != F.col("sn")
     s = corr.serials.select(
-        F.struct(F.lit(4).alias("a"), F.to_json("line_pos").alias("b")).alias("line_pos"),
+        pos(4, lp["mfg_ord"], lp["first_ord"], lp["rank"], lp["_o"]),
         F.when(
             changed,
             F.format_string(
@@ -69,9 +75,7 @@ def corrections_report(corr: Corrections) -> DataFrame:
     )
     nm = m.agg(F.count(F.lit(1)).alias("n"))
     ns = s.agg(F.count(F.lit(1)).alias("n"))
-    frame = lambda df, a, text: df.where(F.col("n") > 0).select(
-        F.struct(F.lit(a).alias("a"), F.lit("").alias("b")).alias("line_pos"), F.lit(text).alias("line")
-    )
+    frame = lambda df, a, text: df.where(F.col("n") > 0).select(pos(a), F.lit(text).alias("line"))
     return (
         frame(nm, 0, MODEL_SECTION)
         .unionByName(m)
