@@ -369,3 +369,28 @@ ORACLE_SQL: dict[str, str] = {
         GROUP BY manufacturer, model"""
     ),
 }
+
+ORACLE_SQL["consensus_types"] = td.inventory_cte() + BASE + """,
+ut AS (SELECT DISTINCT type_key FROM fixed WHERE type_key NOT IN (SELECT type_key FROM type_cache)),
+ta AS (SELECT type_key, bool_or(resolver = 'primary') AS has_p, bool_or(resolver = 'secondary') AS has_s,
+   max(CASE WHEN resolver = 'primary' THEN device_type END) AS p_type, bool_or(CASE WHEN resolver = 'primary' THEN probable_typo END) AS p_typo,
+   max(CASE WHEN resolver = 'secondary' THEN device_type END) AS s_type, bool_or(CASE WHEN resolver = 'secondary' THEN probable_typo END) AS s_typo
+   FROM type_answers GROUP BY type_key),
+j AS (SELECT ut.type_key, coalesce(has_p, false) AS hp, coalesce(has_s, false) AS hs, p_type, p_typo, s_type, s_typo FROM ut LEFT JOIN ta USING (type_key))
+SELECT type_key,
+  coalesce(CASE WHEN hp THEN p_type WHEN hs THEN s_type END, 'Medical Device') AS device_type,
+  coalesce(CASE WHEN hp THEN p_typo WHEN hs THEN s_typo END, false) AS probable_typo,
+  CAST(CASE WHEN NOT hp AND NOT hs THEN 0.1 WHEN NOT hp OR NOT hs THEN 0.5
+       WHEN p_type IS NOT DISTINCT FROM s_type AND p_typo IS NOT DISTINCT FROM s_typo THEN 0.95 ELSE 0.6 END AS DOUBLE) AS confidence
+FROM j"""
+
+ORACLE_SQL["consensus_mfr"] = td.inventory_cte() + BASE + f""",
+blank AS (SELECT d.*, c.manufacturer AS cached FROM dedup d LEFT JOIN mfr_cache c ON c.mfr_key = lower(d.w_model) || '|' || lower(d.w_sn)
+   WHERE d.w_mfg = ''),
+still AS (SELECT DISTINCT lower(w_model) || '|' || lower(w_sn) AS mfr_key FROM blank
+   WHERE coalesce(CASE WHEN cached IS NOT NULL THEN cached ELSE {GUESS} END, '') = ''),
+ma AS (SELECT mfr_key, bool_or(resolver = 'primary') AS has_p,
+   max(CASE WHEN resolver = 'primary' THEN manufacturer END) AS p, max(CASE WHEN resolver = 'secondary' THEN manufacturer END) AS s
+   FROM mfr_answers GROUP BY mfr_key)
+SELECT still.mfr_key, coalesce(CASE WHEN coalesce(has_p, false) THEN p ELSE s END, 'Unknown Manufacturer') AS manufacturer
+FROM still LEFT JOIN ma USING (mfr_key)"""
