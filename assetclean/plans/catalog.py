@@ -27,7 +27,7 @@ from assetclean.sources import caches
 from assetclean.sources import testdata as td
 
 HEADERS = {"mfg": "manufacturer", "model": "model", "sn": "serial_number"}
-SEARCH_TERM = "AF1"
+SEARCH_TERM = "Monitor"
 SORT_PAGE = (3, "model", "desc")
 
 

@@ -102,7 +102,11 @@ def enrich(
         out = _cut(decode_once(out, horizon, order_col), checkpoint)
         todo = unresolved_dates(out, dates)
         batches = C.request_batches(todo, order_col)
-        ext_dates = C.check_external(C.consensus_dates(batches, date_answers), horizon).select("date_key", "date", "confidence")
+        checked = C.check_external(C.consensus_dates(batches, date_answers), horizon)
+        # serials differing only in case share a date key: the last one (by serial) wins
+        ext_dates = checked.groupBy("date_key").agg(
+            F.max_by(F.struct(F.col("date"), F.col("confidence")), F.col("sn")).alias("_v")
+        ).select("date_key", "_v.*")
     out = resolve_dates(out, dates, ext_dates, horizon, order_col)
 
     new_dates = (

@@ -14,6 +14,7 @@ from assetclean.operators.validate import CANONICAL_RULES
 from assetclean.sources.metadata import manufacturer_keys, metadata_rows
 from assetclean.functions.text import PY_WHITESPACE
 from assetclean.sources import testdata as td
+from assetclean.plans import reports as R
 
 WS = " || ".join(f"chr({ord(c)})" for c in PY_WHITESPACE)
 
@@ -221,18 +222,12 @@ def normalize_sql(x: str) -> str:
 
 GUESS = guess_sql("w_model", "w_sn")
 
-BASE = f""",
+BASE_T = f""",
 meta AS ({meta_values()}),
 rows0 AS (SELECT *, {trimx("coalesce(manufacturer, '')")} AS w_mfg, {trimx("coalesce(model, '')")} AS w_model,
           {trimx("coalesce(serial_number, '')")} AS w_sn FROM inventory),
 dedup AS (SELECT * FROM rows0 QUALIFY row_number() OVER (PARTITION BY lower(w_mfg), lower(w_model), lower(w_sn) ORDER BY _ord) = 1),
-inferred AS (SELECT _ord,
-   CASE WHEN w_mfg = '' AND ({GUESS}) IS NOT NULL THEN ({GUESS}) ELSE manufacturer END AS manufacturer,
-   model, serial_number, site,
-   CASE WHEN w_mfg = '' THEN coalesce({GUESS}, w_mfg) ELSE w_mfg END AS w_mfg, w_model, w_sn, w_sn AS w_sn_orig,
-   CASE WHEN w_mfg <> '' THEN 'given' WHEN ({GUESS}) IS NOT NULL THEN 'rules' END AS mfg_source
- FROM dedup),
-g AS (SELECT *, lower({trimx('w_mfg')}) AS g_mfg, lower({trimx('w_model')}) AS g_model FROM inferred),
+{{INFER}}g AS (SELECT *, lower({trimx('w_mfg')}) AS g_mfg, lower({trimx('w_model')}) AS g_model FROM inferred),
 groups AS (SELECT g_mfg, g_model, count(*) AS n_rows, min(_ord) AS first_ord, arg_min(w_model, _ord) AS orig_model FROM g GROUP BY g_mfg, g_model),
 mfgs AS (SELECT g_mfg, min(_ord) AS mfg_ord, arg_min(w_mfg, _ord) AS orig_mfg FROM g GROUP BY g_mfg),
 grp AS (SELECT gr.*, m.mfg_ord, m.orig_mfg FROM groups gr JOIN mfgs m USING (g_mfg)),
@@ -300,6 +295,33 @@ rd AS (SELECT fd1.*, dc.date AS _c_date, dc.confidence AS _c_conf FROM fd1 LEFT
    (SELECT date_key, {normalize_sql('date')} AS date, coalesce(confidence, 1.0) AS confidence FROM date_cache) dc USING (date_key))
 """
 
+INFER_RULES = f"""inf0r AS (SELECT d.*, {GUESS} AS _rule FROM dedup d),
+inferred AS (SELECT _ord, CASE WHEN w_mfg = '' AND _rule IS NOT NULL THEN _rule ELSE manufacturer END AS manufacturer,
+   model, serial_number, site,
+   CASE WHEN w_mfg = '' THEN coalesce(_rule, w_mfg) ELSE w_mfg END AS w_mfg, w_model, w_sn, w_sn AS w_sn_orig,
+   CASE WHEN w_mfg <> '' THEN 'given' WHEN _rule IS NOT NULL THEN 'rules' END AS mfg_source
+ FROM inf0r),
+"""
+
+INFER_FULL = f"""inf0 AS (SELECT d.*, c.manufacturer AS _cached, c.manufacturer IS NOT NULL AS _has_c, {GUESS} AS _rule
+   FROM dedup d LEFT JOIN mfr_cache c ON d.w_mfg = '' AND c.mfr_key = lower(d.w_model) || '|' || lower(d.w_sn)),
+mx AS (SELECT mfr_key, coalesce(CASE WHEN coalesce(bool_or(resolver = 'primary'), false) THEN max(CASE WHEN resolver = 'primary' THEN manufacturer END)
+   ELSE max(CASE WHEN resolver = 'secondary' THEN manufacturer END) END, 'Unknown Manufacturer') AS ext FROM mfr_answers GROUP BY mfr_key),
+inf1 AS (SELECT i.*, CASE WHEN CASE WHEN _has_c THEN _cached ELSE _rule END <> '' THEN CASE WHEN _has_c THEN _cached ELSE _rule END END AS _g2 FROM inf0 i),
+inf2 AS (SELECT i.*, m.ext FROM inf1 i LEFT JOIN mx m ON i.w_mfg = '' AND m.mfr_key = lower(i.w_model) || '|' || lower(i.w_sn)
+   AND m.ext <> 'Unknown Manufacturer' AND m.ext <> ''),
+inferred AS (SELECT _ord,
+   CASE WHEN w_mfg = '' AND coalesce(_g2, ext) IS NOT NULL THEN coalesce(_g2, ext) ELSE manufacturer END AS manufacturer,
+   model, serial_number, site,
+   CASE WHEN w_mfg = '' THEN coalesce(_g2, ext, w_mfg) ELSE w_mfg END AS w_mfg, w_model, w_sn, w_sn AS w_sn_orig,
+   CASE WHEN w_mfg <> '' THEN 'given' WHEN _g2 IS NULL AND ext IS NOT NULL THEN 'external'
+        WHEN _has_c AND _cached <> '' THEN 'cache' WHEN NOT _has_c AND _rule IS NOT NULL THEN 'rules' END AS mfg_source
+ FROM inf2),
+"""
+
+BASE = BASE_T.replace("{INFER}", INFER_RULES)
+FULL = BASE_T.replace("{INFER}", INFER_FULL)
+
 YEAR_IN_SN = "regexp_extract(w_sn, '\\b((?:18|19|20)\\d{2})\\b', 1)"
 
 
@@ -394,3 +416,136 @@ ma AS (SELECT mfr_key, bool_or(resolver = 'primary') AS has_p,
    FROM mfr_answers GROUP BY mfr_key)
 SELECT still.mfr_key, coalesce(CASE WHEN coalesce(has_p, false) THEN p ELSE s END, 'Unknown Manufacturer') AS manufacturer
 FROM still LEFT JOIN ma USING (mfr_key)"""
+
+
+def decay(c: str, k: str) -> str:
+    f = lambda x: f"greatest(CAST(0.3 AS DOUBLE), {x} - CAST(0.2 AS DOUBLE))"
+    return f"CASE WHEN {k} = 1 THEN {f(c)} WHEN {k} = 2 THEN {f(f(c))} WHEN {k} = 3 THEN {f(f(f(c)))} ELSE {f(f(f(f(c))))} END"
+
+
+# Date-answer chain shared by the batch / consensus / check queries and enrich:
+# rows of `fd1` (decoded, first decodable row per key) not cached and not decodable.
+DATE_EXT = f""",
+ud AS (SELECT * FROM fd1 WHERE decoded_date IS NULL AND date_key NOT IN (SELECT date_key FROM date_cache)),
+who AS (SELECT type_key, arg_min(w_mfg, _ord) AS manufacturer, arg_min(w_model, _ord) AS model FROM ud GROUP BY type_key),
+{lookup_ctes('who_m', 'who', 'manufacturer', 'model')},
+bs AS (SELECT type_key, sn, CAST(floor((row_number() OVER (PARTITION BY type_key ORDER BY sn) - 1) / 30) AS INTEGER) AS batch_no
+   FROM (SELECT DISTINCT type_key, w_sn AS sn FROM ud WHERE w_sn <> '') t),
+batches AS (SELECT bs.type_key, w.manufacturer, w.model, bs.batch_no, bs.sn, w.meta_founded_year AS founded_year,
+   w.meta_start_year AS product_start_year, w.meta_sources[1] AS source_1, w.meta_sources[2] AS source_2 FROM bs JOIN who_m w USING (type_key)),
+da AS (SELECT type_key, sn, bool_or(resolver = 'primary') AS p_ans, bool_or(resolver = 'secondary') AS s_ans,
+   max(CASE WHEN resolver = 'primary' THEN date END) AS p_date, max(CASE WHEN resolver = 'secondary' THEN date END) AS s_date
+   FROM date_answers GROUP BY type_key, sn),
+cj AS (SELECT b.type_key, b.manufacturer, b.model, b.batch_no, b.sn, a.p_ans, a.s_ans, a.p_date, a.s_date FROM batches b LEFT JOIN da a USING (type_key, sn)),
+cw AS (SELECT *, coalesce(bool_or(p_ans) OVER w, false) AS hp, coalesce(bool_or(s_ans) OVER w, false) AS hs,
+   bool_and(p_date IS NOT DISTINCT FROM s_date) OVER w AS agree FROM cj WINDOW w AS (PARTITION BY type_key, batch_no)),
+cd AS (SELECT * FROM (SELECT type_key, manufacturer, model, batch_no, sn,
+   CASE WHEN NOT hp AND NOT hs THEN '1900-01-01' WHEN hp THEN p_date ELSE s_date END AS date,
+   CAST(CASE WHEN NOT hp AND NOT hs THEN 0.1 WHEN NOT hp OR NOT hs THEN 0.5 WHEN agree THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence
+   FROM cw) t WHERE date IS NOT NULL),
+ce0 AS (SELECT *, {normalize_sql('date')} AS nd FROM cd),
+{lookup_ctes('ce_m', 'ce0', 'manufacturer', 'model')},
+ce2 AS (SELECT *, {valid_sql('CAST(substr(nd, 1, 4) AS INTEGER)', 'meta_founded_year', 'meta_start_year')} AS is_valid FROM ce_m),
+ce3 AS (SELECT *, sum(CASE WHEN is_valid THEN 0 ELSE 1 END) OVER (PARTITION BY type_key, batch_no ORDER BY sn
+   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM ce2),
+ce AS (SELECT type_key, lower(manufacturer) || '|' || lower(model) || '|' || lower(sn) AS date_key, sn,
+   CASE WHEN is_valid THEN nd ELSE CAST(coalesce(meta_start_year, 1900) AS VARCHAR) || '-01-01' END AS date,
+   CASE WHEN k = 0 THEN confidence ELSE {decay('confidence', 'k')} END AS confidence, is_valid FROM ce3)"""
+
+# Whole enrich job on the FULL chain (cache + external manufacturers).
+ENRICH = f""",
+ut AS (SELECT DISTINCT type_key FROM fixed WHERE type_key NOT IN (SELECT type_key FROM type_cache)),
+ta AS (SELECT type_key, bool_or(resolver = 'primary') AS has_p, bool_or(resolver = 'secondary') AS has_s,
+   max(CASE WHEN resolver = 'primary' THEN device_type END) AS p_type, bool_or(CASE WHEN resolver = 'primary' THEN probable_typo END) AS p_typo,
+   max(CASE WHEN resolver = 'secondary' THEN device_type END) AS s_type, bool_or(CASE WHEN resolver = 'secondary' THEN probable_typo END) AS s_typo
+   FROM type_answers GROUP BY type_key),
+tj AS (SELECT ut.type_key, coalesce(has_p, false) AS hp, coalesce(has_s, false) AS hs, p_type, p_typo, s_type, s_typo FROM ut LEFT JOIN ta USING (type_key)),
+ct AS (SELECT type_key,
+  coalesce(CASE WHEN hp THEN p_type WHEN hs THEN s_type END, 'Medical Device') AS device_type,
+  coalesce(CASE WHEN hp THEN p_typo WHEN hs THEN s_typo END, false) AS probable_typo,
+  CAST(CASE WHEN NOT hp AND NOT hs THEN 0.1 WHEN NOT hp OR NOT hs THEN 0.5
+       WHEN p_type IS NOT DISTINCT FROM s_type AND p_typo IS NOT DISTINCT FROM s_typo THEN 0.95 ELSE 0.6 END AS DOUBLE) AS confidence
+  FROM tj),
+types_after AS (SELECT type_key, device_type, probable_typo, confidence FROM ct
+   UNION ALL SELECT type_key, device_type, probable_typo, confidence FROM type_cache WHERE type_key NOT IN (SELECT type_key FROM ct))
+{DATE_EXT},
+ext AS (SELECT date_key, arg_max(date, sn) AS date, arg_max(confidence, sn) AS confidence FROM ce GROUP BY date_key),
+fin0 AS (SELECT f.*, t.device_type AS t_type, t.probable_typo AS t_typo, coalesce(t.confidence, 1.0) AS t_conf, t.type_key IS NOT NULL AS t_hit,
+   x.device_type AS x_type, x.probable_typo AS x_typo, x.confidence AS x_conf,
+   dc.date AS c_date, dc.confidence AS c_conf, e.date AS e_date, e.confidence AS e_conf
+   FROM fd1 f LEFT JOIN type_cache t USING (type_key) LEFT JOIN ct x USING (type_key)
+   LEFT JOIN (SELECT date_key, {normalize_sql('date')} AS date, coalesce(confidence, 1.0) AS confidence FROM date_cache) dc USING (date_key)
+   LEFT JOIN ext e USING (date_key)),
+fin1 AS (SELECT *,
+   coalesce(CASE WHEN t_hit THEN t_type WHEN x_conf IS NOT NULL THEN x_type END, 'Medical Device') AS device_type,
+   CASE WHEN c_conf IS NOT NULL THEN c_date WHEN decoded_date IS NOT NULL THEN decoded_date WHEN e_conf IS NOT NULL THEN {normalize_sql('e_date')} END AS d0,
+   CASE WHEN c_conf IS NOT NULL THEN c_conf WHEN decoded_date IS NOT NULL THEN 1.0 WHEN e_conf IS NOT NULL THEN e_conf END AS date_confidence,
+   CASE WHEN c_conf IS NOT NULL THEN 'cache' WHEN decoded_date IS NOT NULL THEN 'decode' WHEN e_conf IS NOT NULL THEN 'external' END AS s0
+   FROM fin0),
+fin AS (SELECT *, coalesce(d0, CASE WHEN {YEAR_IN_SN} <> '' THEN {YEAR_IN_SN} || '-01-01' END, '1900-01-01') AS manufactured_date FROM fin1),
+enriched AS (SELECT _ord, manufacturer, model, serial_number, site, manufactured_date, device_type FROM fin),
+new_dates AS (SELECT date_key, arg_min(manufactured_date, _ord) AS date, arg_min(date_confidence, _ord) AS confidence FROM fin
+   WHERE s0 IN ('decode', 'external') GROUP BY date_key),
+dates_after AS (SELECT * FROM new_dates UNION ALL SELECT date_key, date, confidence FROM date_cache WHERE date_key NOT IN (SELECT date_key FROM new_dates))"""
+
+
+def _full(body: str) -> str:
+    return td.inventory_cte() + FULL + ENRICH + "\n" + body
+
+
+def _ext(body: str) -> str:
+    return td.inventory_cte() + BASE + DATE_EXT + "\n" + body
+
+
+ORACLE_SQL.update(
+    {
+        "resolve_manufacturer": td.inventory_cte() + FULL + "\nSELECT _ord, manufacturer, w_mfg AS resolved, mfg_source FROM inferred",
+        "enrich": _full("SELECT * FROM enriched"),
+        "type_metrics": _full(
+            """SELECT device_type, count, round_even(count / sum(count) OVER () * 100, 2) AS percentage
+            FROM (SELECT device_type, count(*) AS count FROM enriched GROUP BY device_type) t"""
+        ),
+        "avg_confidence": _full(
+            """SELECT count(*) AS total_records, coalesce(round_even(avg((coalesce(t.confidence, 1.0) + coalesce(d.confidence, 1.0)) / 2.0) * 100, 2), 100.0) AS average_confidence
+            FROM enriched e LEFT JOIN types_after t ON t.type_key = lower(e.manufacturer) || '|' || lower(e.model)
+            LEFT JOIN dates_after d ON d.date_key = lower(e.manufacturer) || '|' || lower(e.model) || '|' || lower(e.serial_number)"""
+        ),
+        "typo_list": _full(
+            """SELECT type_key AS key, upper(split_part(type_key, '|', 1)) AS manufacturer,
+            upper(CASE WHEN strpos(type_key, '|') > 0 THEN substr(type_key, strpos(type_key, '|') + 1) ELSE '' END) AS model,
+            coalesce(device_type, 'Medical Device') AS device_type, round_even(coalesce(confidence, 1.0) * 100, 1) AS confidence
+            FROM types_after WHERE probable_typo"""
+        ),
+        "search_rows": _full(
+            """SELECT * FROM enriched WHERE contains(lower(manufacturer), 'monitor') OR contains(lower(model), 'monitor')
+            OR contains(lower(manufactured_date), 'monitor') OR contains(lower(device_type), 'monitor')"""
+        ),
+        "sort_page": _full("SELECT * FROM enriched ORDER BY lower(coalesce(model, '')) DESC, _ord LIMIT 15 OFFSET 30"),
+        "typo_report": _full(
+            f"""SELECT line FROM (
+            SELECT printf('Manufacturer: %s | Model: %s (Flagged as probable typo)', upper(split_part(type_key, '|', 1)),
+              upper(CASE WHEN strpos(type_key, '|') > 0 THEN substr(type_key, strpos(type_key, '|') + 1) ELSE '' END)) AS line
+              FROM types_after WHERE probable_typo
+            UNION ALL SELECT 'Model Inconsistency: ' || reason FROM mc) b
+            UNION ALL SELECT CASE WHEN (SELECT count(*) FROM types_after WHERE probable_typo) + (SELECT count(*) FROM mc) > 0
+              THEN {q(R.TYPO_HEADER)} ELSE {q(R.TYPO_NONE)} END"""
+        ),
+        "corrections_report": _full(
+            f"""SELECT {q(R.MODEL_SECTION)} AS line WHERE (SELECT count(*) FROM mc) > 0
+            UNION ALL SELECT '- ' || reason FROM mc
+            UNION ALL SELECT '' WHERE (SELECT count(*) FROM mc) > 0
+            UNION ALL SELECT {q(R.SERIAL_SECTION)} WHERE (SELECT count(*) FROM sc) > 0
+            UNION ALL SELECT CASE WHEN corrected <> sn
+              THEN printf('- Corrected serial ''%s'' to ''%s'' for manufacturer ''%s'' (model ''%s''): %s', sn, corrected, manufacturer, model, reason)
+              ELSE printf('- Serial formatting mismatch noted for ''%s'' under ''%s'' (model ''%s''): %s', sn, manufacturer, model, reason) END
+            FROM sc"""
+        ),
+        "resolver_batches": _ext("SELECT * FROM batches"),
+        "consensus_dates": _ext("SELECT * FROM cd"),
+        "check_external": _ext("SELECT * FROM ce"),
+        "cache_upsert": td.inventory_cte() + BASE + """,
+new_d AS (SELECT date_key, arg_min(decoded_date, _ord) AS date, CAST(1.0 AS DOUBLE) AS confidence FROM rd
+   WHERE _c_conf IS NULL AND decoded_date IS NOT NULL GROUP BY date_key)
+SELECT * FROM new_d UNION ALL SELECT * FROM date_cache WHERE date_key NOT IN (SELECT date_key FROM new_d)""",
+    }
+)
