@@ -1,10 +1,9 @@
 """Canonical manufacturer, product metadata lookup, year bounds.
 
-Lookups are resolved once per *distinct* (manufacturer, model) key and joined
-back: the contains-style first-match join runs against the fixed 53-row
-metadata table (broadcast), and the per-key result is joined to the rows with
-a plain equi-join that AQE turns into a broadcast only when the runtime size
-is small (otherwise it stays a shuffle join).
+The metadata table is fixed (53 rows), so the contains-style first-match
+lookup is compiled into one ordered ``CASE`` over that table and evaluated
+per row: no join, no shuffle, and nothing that grows with the data is ever
+broadcast.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from assetclean.functions.dates import HORIZON_YEAR
 from assetclean.functions.text import clean_key, col, model_norm
-from assetclean.sources.metadata import manufacturer_keys, product_metadata
+from assetclean.sources.metadata import manufacturer_keys, metadata_rows, product_metadata
 
 # Ordered substring rules that name the canonical manufacturer
 # key. The first rule whose substring occurs in the lower-cased name wins;
@@ -62,45 +61,52 @@ def canonical_manufacturer(c: str | Column) -> Column:
     return F.when(col(c).isNull() | (col(c) == ""), F.lit(None).cast("string")).otherwise(expr)
 
 
+def metadata_index(canon: Column, mnorm: Column) -> Column:
+    """0-based row of the metadata table for (canonical key, normalised model),
+    or null: a direct model match first, else the first model (table order)
+    where either name contains the other. The table is fixed (53 rows), so
+    this is one ordered ``CASE`` per row: no join and no shuffle."""
+    rows = metadata_rows()
+    expr = None
+    arms = [(i, (canon == r[1]) & (mnorm == r[4])) for i, r in enumerate(rows)]
+    arms += [(i, (canon == r[1]) & (mnorm.contains(r[4]) | F.lit(r[4]).contains(mnorm))) for i, r in enumerate(rows)]
+    for i, cond in arms:
+        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
+    return expr
+
+
+def _field(idx: Column, values: list) -> Column:
+    """Value of one metadata column at row ``idx`` (a constant-array lookup)."""
+    arr = F.array(*[F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v) for v in values])
+    return F.when(idx.isNotNull(), F.element_at(arr, idx + 1))
+
+
 def lookup_metadata(df: DataFrame, mfg: str = "mfg", model: str = "model", prefix: str = "meta_") -> DataFrame:
     """J8 + J9: add ``{prefix}mfg_key, {prefix}founded_year, {prefix}start_year,
     {prefix}sources`` to every row (nulls when no metadata entry applies).
 
     Direct match on the normalised model wins; otherwise the first model (in
-    the table's fixed order) where either name contains the other.
+    the table's fixed order) where either name contains the other. Evaluated
+    per row against the fixed table (see :func:`metadata_index`).
     """
-    spark = df.sparkSession
-    canon_c, norm_c = f"{prefix}canon", f"{prefix}mnorm"
-    rows = df.withColumns({canon_c: canonical_manufacturer(mfg), norm_c: model_norm(model)})
-    keys = rows.select(canon_c, norm_c).where(F.col(canon_c).isNotNull()).distinct()
-    meta = F.broadcast(product_metadata(spark))
-    kn, mk = F.col(norm_c), F.col("model_key")
-    cand = keys.join(
-        meta,
-        (F.col(canon_c) == F.col("mfg_key")) & ((kn == mk) | kn.contains(mk) | mk.contains(kn)),
-        "inner",
-    )
-    priority = F.when(kn == mk, F.lit(-1)).otherwise(F.col("model_ord"))
-    best = cand.groupBy(canon_c, norm_c).agg(
-        F.min_by(
-            F.struct(
-                F.col("mfg_key").alias("mfg_key"),
-                F.col("founded_year").alias("founded_year"),
-                F.col("product_start_year").alias("start_year"),
-                F.col("sources").alias("sources"),
-            ),
-            priority,
-        ).alias("_m")
-    )
-    out = rows.join(best, [canon_c, norm_c], "left")
+    m, c, n = f"{prefix}_idx", f"{prefix}_canon", f"{prefix}_mnorm"
+    rows = metadata_rows()
+    out = df.withColumns({c: canonical_manufacturer(mfg), n: model_norm(model)})
+    out = out.withColumn(m, metadata_index(F.col(c), F.col(n))).drop(c, n)
+    idx = F.col(m)
     return out.withColumns(
         {
-            f"{prefix}mfg_key": F.col("_m.mfg_key"),
-            f"{prefix}founded_year": F.col("_m.founded_year"),
-            f"{prefix}start_year": F.col("_m.start_year"),
-            f"{prefix}sources": F.col("_m.sources"),
+            f"{prefix}mfg_key": _field(idx, [r[1] for r in rows]),
+            f"{prefix}founded_year": _field(idx, [r[2] for r in rows]),
+            f"{prefix}start_year": _field(idx, [r[5] for r in rows]),
+            f"{prefix}sources": _field(idx, [list(r[6]) for r in rows]),
         }
-    ).drop("_m", canon_c, norm_c)
+    ).drop(m)
+
+
+def product_metadata_df(spark):
+    """The metadata table as a DataFrame (for inspection and reports)."""
+    return product_metadata(spark)
 
 
 def year_check(year: Column, founded: Column, start: Column, horizon: int = HORIZON_YEAR) -> Column:
