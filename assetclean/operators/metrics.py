@@ -111,11 +111,14 @@ def summary(raw: DataFrame, enriched: DataFrame) -> DataFrame:
     )
 
 
-def dashboard_stats(view: DataFrame) -> DataFrame:
-    """Filtered row count, number of device types, first/last date."""
-    return view.agg(
-        F.count(F.lit(1)).alias("rows"),
+def dashboard_stats(enriched: DataFrame, in_view=None) -> DataFrame:
+    """A14 in one pass: rows in the current view (``in_view`` predicate), number
+    of device types over the whole table, first and last date in the view
+    (min/max; under the default date sort these are the first/last rows)."""
+    v = F.lit(True) if in_view is None else in_view
+    return enriched.agg(
+        F.count_if(v).alias("rows"),
         F.count_distinct("device_type").alias("device_types"),
-        F.min("manufactured_date").alias("first_date"),
-        F.max("manufactured_date").alias("last_date"),
+        F.min(F.when(v, F.col("manufactured_date"))).alias("first_date"),
+        F.max(F.when(v, F.col("manufactured_date"))).alias("last_date"),
     )

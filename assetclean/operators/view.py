@@ -10,19 +10,23 @@ PAGE_SIZE = 15
 SEARCH_COLUMNS = ("manufacturer", "model", "serial number", "manufactured_date", "device_type")
 
 
-def search_rows(df: DataFrame, term: str) -> DataFrame:
-    """Case-insensitive substring match over the search columns (OR).
-    A blank term keeps every row; the term itself is not trimmed, and ``%``
-    or ``_`` are literal characters."""
+def search_condition(df: DataFrame, term: str):
+    """P6 predicate: case-insensitive substring match over the search columns
+    (OR). A blank term matches every row; the term itself is not trimmed, and
+    ``%`` or ``_`` are literal characters."""
     if not term.strip():
-        return df
+        return F.lit(True)
     t = term.lower()
-    cond = None
+    cond = F.lit(False)
     for c in SEARCH_COLUMNS:
         if c in df.columns:
-            hit = F.coalesce(F.lower(F.col(f"`{c}`")).contains(F.lit(t)), F.lit(False))
-            cond = hit if cond is None else (cond | hit)
-    return df.where(cond) if cond is not None else df.limit(0)
+            cond = cond | F.coalesce(F.lower(F.col(f"`{c}`")).contains(F.lit(t)), F.lit(False))
+    return cond
+
+
+def search_rows(df: DataFrame, term: str) -> DataFrame:
+    """Rows matching :func:`search_condition`."""
+    return df.where(search_condition(df, term))
 
 
 def sort_key(c: str):

@@ -54,6 +54,40 @@ def _fixed(spark: SparkSession, sf: str) -> DataFrame:
     return with_keys(apply_corrections(rows, find_corrections(rows), HEADERS)).checkpoint(eager=True)
 
 
+def _part_rows(spark: SparkSession, sf: str) -> DataFrame:
+    td.register_base_tables(spark, sf, ("part",))
+    rows = dedup_first(with_working_columns(spark.sql(td.PART_AS_INVENTORY_SQL), HEADERS))
+    ensure_checkpoint_dir(spark)
+    return rows.checkpoint(eager=True)
+
+
+def q_part_dedup(spark, sf):
+    td.register_base_tables(spark, sf, ("part",))
+    return dedup_first(with_working_columns(spark.sql(td.PART_AS_INVENTORY_SQL), HEADERS)).select(
+        "_ord", "manufacturer", "model", "serial_number"
+    )
+
+
+def q_part_model_corrections(spark, sf):
+    mc = model_corrections(model_groups(_part_rows(spark, sf)))
+    return mc.select("g_mfg", "g_model", "original", "corrected", "manufacturer", "kind", "distance", "reason")
+
+
+def q_part_serial_corrections(spark, sf):
+    rows = _part_rows(spark, sf)
+    return serial_corrections(rows, model_groups(rows)).select("sn", "corrected", "manufacturer", "model", "kind", "reason")
+
+
+def q_dashboard_stats(spark, sf):
+    e = _enriched(spark, sf).enriched
+    return M.dashboard_stats(e, V.search_condition(e, SEARCH_TERM))
+
+
+def q_run_summary(spark, sf):
+    res = _enriched(spark, sf)
+    return M.summary(_inv(spark, sf), res.detail)
+
+
 def q_dedup_first(spark, sf):
     return _deduped(spark, sf).select("_ord", "manufacturer", "model", "serial_number")
 
@@ -268,4 +302,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sort_page": q_sort_page,
     "typo_report": q_typo_report,
     "corrections_report": q_corrections_report,
+    "dashboard_stats": q_dashboard_stats,
+    "run_summary": q_run_summary,
+    "part_dedup": q_part_dedup,
+    "part_model_corrections": q_part_model_corrections,
+    "part_serial_corrections": q_part_serial_corrections,
 }

@@ -249,3 +249,11 @@ SELECT o_orderkey AS _ord,
        END AS raw
 FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS STRING) AS d FROM orders) t
 """
+
+
+# `part` seen as an inventory: brand as the group, type as the label, name as
+# the code (the operators are generic in these three roles).
+PART_AS_INVENTORY_SQL = """
+SELECT p_partkey AS _ord, p_brand AS manufacturer, p_type AS model, p_name AS serial_number, CAST(p_size AS STRING) AS site
+FROM part
+"""

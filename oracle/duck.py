@@ -549,3 +549,32 @@ new_d AS (SELECT date_key, arg_min(decoded_date, _ord) AS date, CAST(1.0 AS DOUB
 SELECT * FROM new_d UNION ALL SELECT * FROM date_cache WHERE date_key NOT IN (SELECT date_key FROM new_d)""",
     }
 )
+
+
+PART_BASE = BASE.replace("FROM inventory),", "FROM part_inv),", 1)
+assert PART_BASE != BASE
+
+
+def _part(body: str) -> str:
+    return td.inventory_cte() + f", part_inv AS ({td.PART_AS_INVENTORY_SQL})" + PART_BASE + "\n" + body
+
+
+ORACLE_SQL.update(
+    {
+        "dashboard_stats": _full(
+            """SELECT count_if(m) AS rows, count(DISTINCT device_type) AS device_types,
+            min(CASE WHEN m THEN manufactured_date END) AS first_date, max(CASE WHEN m THEN manufactured_date END) AS last_date
+            FROM (SELECT *, coalesce(contains(lower(manufacturer), 'monitor'), false) OR coalesce(contains(lower(model), 'monitor'), false)
+              OR coalesce(contains(lower(manufactured_date), 'monitor'), false) OR coalesce(contains(lower(device_type), 'monitor'), false) AS m
+              FROM enriched) t"""
+        ),
+        "run_summary": _full(
+            """SELECT 'input_rows' AS metric, CAST(count(*) AS BIGINT) AS value FROM inventory
+            UNION ALL SELECT 'rows_written', CAST(count(*) AS BIGINT) FROM fin
+            UNION ALL SELECT 'manufacturers_resolved', CAST(count_if(mfg_source IN ('cache', 'rules', 'external')) AS BIGINT) FROM fin"""
+        ),
+        "part_dedup": _part("SELECT _ord, manufacturer, model, serial_number FROM dedup"),
+        "part_model_corrections": _part("SELECT g_mfg, g_model, original, corrected, manufacturer, kind, distance, reason FROM mc"),
+        "part_serial_corrections": _part("SELECT sn, corrected, manufacturer, model, kind, reason FROM sc"),
+    }
+)
