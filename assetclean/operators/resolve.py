@@ -95,9 +95,22 @@ def first_decoded(df: DataFrame, order_col: str = "_ord") -> DataFrame:
 
 
 def decode_once(df: DataFrame, horizon: int | None = None, order_col: str = "_ord") -> DataFrame:
-    """Serial decode + first-decodable-row rule per date key (``decoded_date``)."""
+    """Serial decode + first-decodable-row rule per date key (``decoded_date``).
+
+    Colliding keys are found from the key column alone (a narrow count with
+    map-side partial aggregation); only the rows of those keys are decoded a
+    second time to pick the first decodable one, and the resulting tiny table
+    is joined back (AQE broadcasts it when small). The full table is decoded
+    once and never shuffled for this rule.
+    """
     kw = {} if horizon is None else {"horizon": horizon}
-    return first_decoded(decode_serials(df, "w_mfg", "w_model", "w_sn", **kw), order_col)
+    multi = df.groupBy("date_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("date_key")
+    coll = decode_serials(df.join(multi, "date_key", "left_semi"), "w_mfg", "w_model", "w_sn", **kw)
+    firsts = coll.groupBy("date_key").agg(
+        F.min_by("decoded_date", F.when(F.col("decoded_date").isNotNull(), F.col(order_col))).alias("_first")
+    )
+    out = decode_serials(df, "w_mfg", "w_model", "w_sn", **kw).join(firsts, "date_key", "left")
+    return out.withColumn("decoded_date", F.coalesce(F.col("_first"), F.col("decoded_date"))).drop("_first")
 
 
 def resolve_dates(
@@ -118,14 +131,14 @@ def resolve_dates(
         out = df
     else:
         out = decode_once(df, horizon, order_col)
-    if dates is None:
-        dates = out.sparkSession.createDataFrame([], "date_key string, date string, confidence double")
-    if True:
+    if dates is None:  # no cache: no join at all
+        out = out.withColumns({"_c_date": F.lit(None).cast("string"), "_c_conf": F.lit(None).cast("double")})
+    else:
         d = dates.select(
             "date_key", normalize_date("date").alias("_c_date"), F.coalesce(F.col("confidence"), F.lit(1.0)).alias("_c_conf")
         )
         out = out.join(d, "date_key", "left")
-        cached = F.col("_c_conf").isNotNull()
+    cached = F.col("_c_conf").isNotNull()
     has_dec = ~cached & F.col("decoded_date").isNotNull()
     date = F.when(cached, F.col("_c_date")).when(has_dec, F.col("decoded_date"))
     conf = F.when(cached, F.col("_c_conf")).when(has_dec, F.lit(1.0))

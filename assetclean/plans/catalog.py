@@ -18,7 +18,7 @@ from assetclean.operators.decode import decode_serials
 from assetclean.operators.dedup import dedup_first, with_working_columns
 from assetclean.operators.infer import guess_manufacturer, infer_manufacturers
 from assetclean.operators.repair import apply_corrections, find_corrections, model_corrections, model_groups, serial_corrections
-from assetclean.operators.resolve import first_decoded, resolve_dates, resolve_types, unresolved_dates, unresolved_types, with_keys
+from assetclean.operators.resolve import decode_once, resolve_dates, resolve_types, unresolved_dates, unresolved_types, with_keys
 from assetclean.operators.validate import validate_years
 from assetclean.plans import reports as R
 from assetclean.plans.enrich import enrich
@@ -185,7 +185,7 @@ def q_rules_table(spark, sf):
 
 def _unresolved_date_rows(spark, sf) -> DataFrame:
     fixed = _fixed(spark, sf)
-    dec = first_decoded(decode_serials(fixed, "w_mfg", "w_model", "w_sn"))
+    dec = decode_once(fixed)
     return unresolved_dates(dec, spark.table("date_cache"))
 
 
