@@ -86,8 +86,9 @@ SELECT d.k, d.fam, d.o_orderstatus, d.o_orderpriority, d.o_orderdate,
 FROM ({_DIGITS}) d
 """
 
-# Stage 2: dirt by residues of the order key.
-INVENTORY_SQL = f"""
+# Stage 2: dirt by residues of the order key (one relation with the family
+# attributes, so side tables never join the inventory to itself).
+INVENTORY_ALL_SQL = f"""
 SELECT c.k AS _ord,
        CASE WHEN c.k % 19 = 2 THEN ''
             WHEN c.k % 13 = 4 THEN lower(c.mfg0)
@@ -102,16 +103,16 @@ SELECT c.k AS _ord,
             WHEN c.k % 17 = 3 THEN regexp_replace(c.sn0, '^[A-Za-z]+', '')
             WHEN c.k % 31 = 5 THEN c.sn0 || 'X'
             ELSE c.sn0 END AS serial_number,
-       c.o_orderpriority AS site
+       c.o_orderpriority AS site,
+       c.fam, c.mfg0, c.model0, c.dtype0, c.o_orderstatus, c.o_orderpriority,
+       CAST(CAST(c.o_orderdate AS DATE) AS STRING) AS order_day
 FROM ({_CLEAN}) c
 """
 
+INVENTORY_SQL = "SELECT _ord, manufacturer, model, serial_number, site FROM inv_all"
+
 # Family attributes of each inventory row (for side tables only).
-INVENTORY_FAMILY_SQL = f"""
-SELECT c.k AS _ord, c.fam, c.mfg0, c.model0, c.dtype0, c.o_orderstatus, c.o_orderpriority,
-       CAST(CAST(c.o_orderdate AS DATE) AS STRING) AS order_day
-FROM ({_CLEAN}) c
-"""
+INVENTORY_FAMILY_SQL = "SELECT _ord, fam, mfg0, model0, dtype0, o_orderstatus, o_orderpriority, order_day FROM inv_all"
 
 
 # Side tables, each derived from the inventory (previous-run caches, manual
@@ -127,15 +128,15 @@ FROM inv_family WHERE fam % 3 <> 2 GROUP BY lower(mfg0) || '|' || lower(model0),
     # serial-date cache: finished orders of every fourth family
     "date_cache": """
 SELECT lower(i.manufacturer) || '|' || lower(i.model) || '|' || lower(i.serial_number) AS date_key,
-       min(f.order_day) AS date, CAST(0.9 AS DOUBLE) AS confidence
-FROM inventory i JOIN inv_family f ON i._ord = f._ord
-WHERE f.o_orderstatus = 'F' AND f.fam % 4 = 1 AND i.manufacturer <> ''
+       min(i.order_day) AS date, CAST(0.9 AS DOUBLE) AS confidence
+FROM inv_all i
+WHERE i.o_orderstatus = 'F' AND i.fam % 4 = 1 AND i.manufacturer <> ''
 GROUP BY lower(i.manufacturer) || '|' || lower(i.model) || '|' || lower(i.serial_number)
 """,
     # manufacturer cache for part of the blank-manufacturer rows
     "mfr_cache": """
-SELECT lower(i.model) || '|' || lower(i.serial_number) AS mfr_key, min(f.mfg0) AS manufacturer
-FROM inventory i JOIN inv_family f ON i._ord = f._ord
+SELECT lower(i.model) || '|' || lower(i.serial_number) AS mfr_key, min(i.mfg0) AS manufacturer
+FROM inv_all i
 WHERE i.manufacturer = '' AND i._ord % 3 = 0
 GROUP BY lower(i.model) || '|' || lower(i.serial_number)
 """,
@@ -150,43 +151,43 @@ WHERE fam % 6 = 1 GROUP BY ' ' || mfg0 || '|' || model0 || ' v2 ', 'New ' || dty
     # device-type answers of two resolvers, one per (key, resolver)
     "type_answers": """
 SELECT lower(i.manufacturer) || '|' || lower(i.model) AS type_key, 'primary' AS resolver,
-       min(f.dtype0) AS device_type, min(f.fam) % 7 = 0 AS probable_typo
-FROM inventory i JOIN inv_family f ON i._ord = f._ord
-WHERE f.fam % 4 <> 3 AND i.manufacturer <> ''
+       min(i.dtype0) AS device_type, min(i.fam) % 7 = 0 AS probable_typo
+FROM inv_all i
+WHERE i.fam % 4 <> 3 AND i.manufacturer <> ''
 GROUP BY lower(i.manufacturer) || '|' || lower(i.model)
 UNION ALL
 SELECT lower(i.manufacturer) || '|' || lower(i.model) AS type_key, 'secondary' AS resolver,
-       CASE WHEN min(f.fam) % 3 = 0 THEN 'Medical Equipment' ELSE min(f.dtype0) END AS device_type,
-       min(f.fam) % 7 = 0 AS probable_typo
-FROM inventory i JOIN inv_family f ON i._ord = f._ord
-WHERE f.fam % 5 <> 4 AND i.manufacturer <> ''
+       CASE WHEN min(i.fam) % 3 = 0 THEN 'Medical Equipment' ELSE min(i.dtype0) END AS device_type,
+       min(i.fam) % 7 = 0 AS probable_typo
+FROM inv_all i
+WHERE i.fam % 5 <> 4 AND i.manufacturer <> ''
 GROUP BY lower(i.manufacturer) || '|' || lower(i.model)
 """,
     # serial-date answers of two resolvers (the secondary sometimes disagrees)
     "date_answers": """
-SELECT lower(f.mfg0) || '|' || lower(f.model0) AS type_key, i.serial_number AS sn, 'primary' AS resolver,
-       min(f.order_day) AS date
-FROM inventory i JOIN inv_family f ON i._ord = f._ord
+SELECT lower(i.mfg0) || '|' || lower(i.model0) AS type_key, i.serial_number AS sn, 'primary' AS resolver,
+       min(i.order_day) AS date
+FROM inv_all i
 WHERE i._ord % 3 <> 0 AND i.serial_number <> ''
-GROUP BY lower(f.mfg0) || '|' || lower(f.model0), i.serial_number
+GROUP BY lower(i.mfg0) || '|' || lower(i.model0), i.serial_number
 UNION ALL
-SELECT lower(f.mfg0) || '|' || lower(f.model0) AS type_key, i.serial_number AS sn, 'secondary' AS resolver,
-       CASE WHEN min(i._ord) % 7 = 0 THEN replace(min(f.order_day), '-', '/') || ' 08:00'
-            WHEN min(i._ord) % 11 = 0 THEN '1930-01-01' ELSE min(f.order_day) END AS date
-FROM inventory i JOIN inv_family f ON i._ord = f._ord
+SELECT lower(i.mfg0) || '|' || lower(i.model0) AS type_key, i.serial_number AS sn, 'secondary' AS resolver,
+       CASE WHEN min(i._ord) % 7 = 0 THEN replace(min(i.order_day), '-', '/') || ' 08:00'
+            WHEN min(i._ord) % 11 = 0 THEN '1930-01-01' ELSE min(i.order_day) END AS date
+FROM inv_all i
 WHERE i._ord % 4 <> 0 AND i.serial_number <> ''
-GROUP BY lower(f.mfg0) || '|' || lower(f.model0), i.serial_number
+GROUP BY lower(i.mfg0) || '|' || lower(i.model0), i.serial_number
 """,
     # manufacturer answers for blank-manufacturer rows
     "mfr_answers": """
-SELECT lower(i.model) || '|' || lower(i.serial_number) AS mfr_key, 'primary' AS resolver, min(f.mfg0) AS manufacturer
-FROM inventory i JOIN inv_family f ON i._ord = f._ord
+SELECT lower(i.model) || '|' || lower(i.serial_number) AS mfr_key, 'primary' AS resolver, min(i.mfg0) AS manufacturer
+FROM inv_all i
 WHERE i.manufacturer = '' AND i._ord % 2 = 0
 GROUP BY lower(i.model) || '|' || lower(i.serial_number)
 UNION ALL
 SELECT lower(i.model) || '|' || lower(i.serial_number) AS mfr_key, 'secondary' AS resolver,
-       CASE WHEN min(i._ord) % 5 = 0 THEN 'Unknown Manufacturer' ELSE upper(min(f.mfg0)) END AS manufacturer
-FROM inventory i JOIN inv_family f ON i._ord = f._ord
+       CASE WHEN min(i._ord) % 5 = 0 THEN 'Unknown Manufacturer' ELSE upper(min(i.mfg0)) END AS manufacturer
+FROM inv_all i
 WHERE i.manufacturer = '' AND i._ord % 3 <> 1
 GROUP BY lower(i.model) || '|' || lower(i.serial_number)
 """,
@@ -196,7 +197,7 @@ GROUP BY lower(i.model) || '|' || lower(i.serial_number)
 def inventory_cte() -> str:
     """``WITH`` clause (no trailing comma) defining ``inventory``, ``inv_family``
     and every side table."""
-    parts = [f"inventory AS ({INVENTORY_SQL})", f"inv_family AS ({INVENTORY_FAMILY_SQL})"]
+    parts = [f"inv_all AS ({INVENTORY_ALL_SQL})", f"inventory AS ({INVENTORY_SQL})", f"inv_family AS ({INVENTORY_FAMILY_SQL})"]
     parts += [f"{name} AS ({sql})" for name, sql in SIDE_TABLES.items()]
     return "WITH " + ",\n".join(parts)
 
@@ -204,6 +205,7 @@ def inventory_cte() -> str:
 def register_views(spark: SparkSession, sf_dir: str) -> None:
     """Register ``inventory``, ``inv_family`` and the side tables as temp views."""
     register_base_tables(spark, sf_dir)
+    spark.sql(INVENTORY_ALL_SQL).createOrReplaceTempView("inv_all")
     spark.sql(INVENTORY_SQL).createOrReplaceTempView("inventory")
     spark.sql(INVENTORY_FAMILY_SQL).createOrReplaceTempView("inv_family")
     for name, sql in SIDE_TABLES.items():
@@ -222,13 +224,8 @@ def register_base_tables(spark: SparkSession, sf_dir: str, names: tuple[str, ...
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``_ord BIGINT, manufacturer, model, serial_number, site`` (all strings)."""
-    register_base_tables(spark, sf_dir)
-    return spark.sql(INVENTORY_SQL)
-
-
-def inventory_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_base_tables(spark, sf_dir)
-    return spark.sql(INVENTORY_FAMILY_SQL)
+    register_views(spark, sf_dir)
+    return spark.table("inventory")
 
 
 # Date strings in the shapes the normaliser must handle (F1), one per order.
