@@ -14,11 +14,17 @@ from assetclean.functions.text import pipe_key
 PROFILE_EXAMPLES = 10
 
 
-def type_metrics(enriched: DataFrame) -> DataFrame:
-    """A8 + A9: ``device_type, count, percentage`` (count desc)."""
-    counts = enriched.groupBy("device_type").agg(F.count(F.lit(1)).alias("count"))
+def type_metrics(enriched: DataFrame, order_col: str = "_ord") -> DataFrame:
+    """A8 + A9 + O2: ``device_type, count, percentage``, count descending; ties
+    keep the order of first appearance in the date-sorted output."""
+    first = F.min(F.struct(F.col("manufactured_date"), F.col(order_col))) if order_col in enriched.columns else F.min("manufactured_date")
+    counts = enriched.groupBy("device_type").agg(F.count(F.lit(1)).alias("count"), first.alias("_first"))
     total = F.sum("count").over(Window.partitionBy())  # tiny: one row per device type
-    return counts.withColumn("percentage", F.bround(F.col("count") / total * 100, 2)).orderBy(F.desc("count"), "device_type")
+    return (
+        counts.withColumn("percentage", F.bround(F.col("count") / total * 100, 2))
+        .orderBy(F.desc("count"), "_first")
+        .drop("_first")
+    )
 
 
 def _out_col(df: DataFrame, *names: str):

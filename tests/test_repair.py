@@ -96,3 +96,19 @@ def test_golden_profile(spark):
         assert f"Manufacturer: {r.manufacturer} | Model: {r.model}\n  Total count: {r.total}\n" in text
         assert f"(first 10): {r.first_serials!r}" in text
         assert f"(last 10): {r.last_serials!r}" in text
+
+
+def test_metrics_order_and_csv_sink(spark, tmp_path):
+    from assetclean.plans.enrich import write_enriched
+
+    raw, _ = _sample(spark)
+    res = enrich(raw, types=caches.read_type_cache(spark, os.path.join(FIX, "type_cache.json")))
+    m = [(r.device_type, r["count"]) for r in type_metrics(res.enriched).collect()]
+    assert m[0] == ("Patient Monitor", 202)
+    counts = [c for _, c in m]
+    assert counts == sorted(counts, reverse=True)
+    out = str(tmp_path / "enriched")
+    write_enriched(res, out)
+    back = spark.read.option("header", True).csv(out)
+    assert back.columns == ["manufacturer", "model", "serial number", "manufactured_date", "device_type"]
+    assert back.count() == 800
