@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, mix, shard
+from . import chat, compression, mix, shard, tokens
 
 QUERIES = {
+    "op1_bitplanes": tokens.op1_bitplanes,
     "op2_mix": mix.op2_mix,
     "op3_chat": chat.op3_chat,
+    "op4_compression": compression.op4_compression,
     "op5_feistel": shard.op5_feistel,
 }
 ORACLE_SQL = {
