@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, compression, mix, shard, tokens
+from . import chat, compression, language, mix, shard, tokens
 
 QUERIES = {
     "op1_bitplanes": tokens.op1_bitplanes,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_chat": chat.op3_chat,
     "op4_compression": compression.op4_compression,
     "op5_feistel": shard.op5_feistel,
+    "op7_language": language.op7_language,
 }
 ORACLE_SQL = {
     "op2_mix": mix.ORACLE,
