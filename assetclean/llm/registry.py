@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, compression, language, mix, shard, tokens
+from . import chat, compression, contamination, html_text, language, mix, shard, tokens
 
 QUERIES = {
     "op1_bitplanes": tokens.op1_bitplanes,
@@ -11,8 +11,11 @@ QUERIES = {
     "op4_compression": compression.op4_compression,
     "op5_feistel": shard.op5_feistel,
     "op7_language": language.op7_language,
+    "op8_contamination": contamination.op8_contamination,
+    "op9_style_tree": html_text.op9_style_tree,
 }
 ORACLE_SQL = {
     "op2_mix": mix.ORACLE,
     "op3_chat": chat.ORACLE,
+    "op8_contamination": contamination.ORACLE,
 }
