@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +43,7 @@ UNKNOWN = "und"
 ADDED = {c: T.StructField(c, t) for c, t in (("_lang_pred", T.StringType()), ("_score", T.DoubleType()), ("_entropy", T.DoubleType()))}
 
 
-@dataclass
-class Model:
+class Model(NamedTuple):
     languages: list[str]
     #: symbol of every code point: 0 between words, 1 other letters
     symbol: np.ndarray
@@ -197,13 +196,14 @@ def held_out(key: Column) -> Column:
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``_lang_pred``, ``_score`` and ``_entropy`` (bits per
     symbol), in the place of any such columns; all others are kept. Predictions read the text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # bounded by the sample
     docs = docs.drop(*ADDED)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = Model(*shared.value)
         for b in batches:
-            names, scores, entropies = classify(b.column(at).to_pylist(), shared.value)
+            names, scores, entropies = classify(b.column(at).to_pylist(), fitted)
             more = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(entropies, pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *ADDED])
 

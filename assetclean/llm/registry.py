@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, compression, contamination, html_text, language, mix, shard, tokens
+from . import chat, compression, contamination, html_text, language, mix, set_join, shard, tokens
 
 QUERIES = {
     "op1_bitplanes": tokens.op1_bitplanes,
@@ -13,9 +13,11 @@ QUERIES = {
     "op7_language": language.op7_language,
     "op8_contamination": contamination.op8_contamination,
     "op9_style_tree": html_text.op9_style_tree,
+    "op10_jaccard": set_join.op10_jaccard,
 }
 ORACLE_SQL = {
     "op2_mix": mix.ORACLE,
     "op3_chat": chat.ORACLE,
     "op8_contamination": contamination.ORACLE,
+    "op10_jaccard": set_join.ORACLE,
 }
