@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, compression, contamination, html_text, language, mix, set_join, shard, tokens
+from . import chat, compression, contamination, html_text, language, lm_score, mix, set_join, shard, tokens
 
 QUERIES = {
     "op1_bitplanes": tokens.op1_bitplanes,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_chat": chat.op3_chat,
     "op4_compression": compression.op4_compression,
     "op5_feistel": shard.op5_feistel,
+    "op6_cross_entropy": lm_score.op6_cross_entropy,
     "op7_language": language.op7_language,
     "op8_contamination": contamination.op8_contamination,
     "op9_style_tree": html_text.op9_style_tree,
