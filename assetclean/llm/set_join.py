@@ -39,10 +39,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import WORD, cut, table
 
 WORDS = 5
 PERCENT = 80
@@ -53,6 +54,9 @@ SALTS = (0x5BD1E995,)
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 OUT_ROWS = 1 << 18
+#: (node, part) rows that may be broadcast, some 50 bytes each
+BROADCAST_ROWS = 1_000_000
+NODE = "_shingle_set"
 
 
 class WordHashes(dict):
@@ -399,6 +403,30 @@ def _pairs(found: DataFrame) -> DataFrame:
     return cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
 
+def _with_node(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for b in batches:
+        nodes = [digest(shingle_set(t.as_py(), hashes)) for t in b.column(at)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64())], [*b.schema.names, NODE])
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the one of least key (null
+    last), then of least text. Rows without words all stay. The window ranks
+    within each task first, so a large group sends one row a task."""
+    _, parts = join_components(docs, key, text)
+    parts = parts.withColumnRenamed("node", "_p_node").withColumnRenamed("part", "_part")
+    if parts.count() <= BROADCAST_ROWS:
+        parts = F.broadcast(parts)
+    words = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    at = docs.columns.index(text)
+    noded = docs.filter(words).mapInArrow(lambda b: _with_node(b, at), T.StructType([*docs.schema.fields, T.StructField(NODE, T.LongType())]))
+    group = F.coalesce("_part", NODE)
+    first = Window.partitionBy(group).orderBy(F.col(key).asc_nulls_last(), F.col(text))
+    kept = noded.join(parts, F.col(NODE) == F.col("_p_node"), "left").withColumn("_rank", F.row_number().over(first)).filter("_rank = 1")
+    return kept.select(*docs.columns).unionByName(docs.filter(~words))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, parts = join_components(table(spark, sf_dir, "documents"))
     rows = nodes.join(parts.withColumnRenamed("node", "p_node"), F.col("node") == F.col("p_node"), "left").select("key", "n", "node", F.coalesce("part", "node").alias("part"))
