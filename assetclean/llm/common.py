@@ -49,3 +49,9 @@ def id_hash(key: Column) -> Column:
     """60 even bits of a key's decimal text (null as empty text), the same in
     any engine that has md5."""
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+
+
+def packed(df: DataFrame, name: str = "row") -> Column:
+    """All columns of ``df`` as one struct, so that no helper column can clash
+    with them; ``select("row.*")`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)

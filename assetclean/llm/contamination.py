@@ -104,8 +104,8 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **names) -> DataFrame:
     """``docs`` without the documents that hold a test item."""
-    leaks = cut(contained(docs, items, key, text, **names).select(F.col("key").alias("_leak")).distinct(), "leaks")  # its size is known to the planner
-    return docs.join(leaks, F.col(key).eqNullSafe(F.col("_leak")), "left_anti")
+    leaks = cut(contained(docs, items, key, text, **names).select(F.col("key").alias("leak")).distinct(), "leaks")  # its size is known to the planner
+    return docs.alias("d").join(leaks.alias("l"), F.col(f"d.{key}").eqNullSafe(F.col("l.leak")), "left_anti")
 
 
 def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, id_hash, table
+from .common import WORD, cut, id_hash, packed, table
 
 BITS = 60
 LEVEL_BITS = 12
@@ -121,11 +121,10 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """The mixed documents: each row as often as the mix takes it, all columns
     kept."""
     _, d = plan_mix(docs, key, text, source, **rules)
-    d = d.select(F.col("source").alias("_mix_source"), "copies", "threshold")
-    names = [F.col(f"_d.`{c}`") for c in docs.columns]
-    joined = docs.alias("_d").join(d, F.col(f"_d.{source}").eqNullSafe(F.col("_mix_source")))
-    n = repeats(id_hash(F.col(f"_d.{key}")))
-    return joined.filter(n > 0).select(*names, F.explode(F.sequence(F.lit(1), n.cast("int"))).alias("_mix_copy")).drop("_mix_copy")
+    d = d.withColumnRenamed("source", "of")
+    rows = docs.select(packed(docs), F.col(source).alias("source"), id_hash(F.col(key)).alias("h")).join(d, F.col("source").eqNullSafe(F.col("of")))
+    n = repeats(F.col("h"))
+    return rows.filter(n > 0).select("row", F.explode(F.sequence(F.lit(1), n.cast("int")))).select("row.*")
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

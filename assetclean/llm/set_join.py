@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, cut, table
+from .common import WORD, cut, packed, table
 
 WORDS = 5
 PERCENT = 80
@@ -56,7 +56,6 @@ MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779
 OUT_ROWS = 1 << 18
 #: (node, part) rows that may be broadcast, some 50 bytes each
 BROADCAST_ROWS = 1_000_000
-NODE = "_shingle_set"
 
 
 class WordHashes(dict):
@@ -403,11 +402,11 @@ def _pairs(found: DataFrame) -> DataFrame:
     return cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
 
-def _with_node(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for b in batches:
-        nodes = [digest(shingle_set(t.as_py(), hashes)) for t in b.column(at)]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64())], [*b.schema.names, NODE])
+        nodes = [digest(shingle_set(t.as_py(), hashes)) for t in b.column(2)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64())], [*b.schema.names, "node"])
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -415,16 +414,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     last), then of least text. Rows without words all stay. The window ranks
     within each task first, so a large group sends one row a task."""
     _, parts = join_components(docs, key, text)
-    parts = parts.withColumnRenamed("node", "_p_node").withColumnRenamed("part", "_part")
+    parts = parts.withColumnRenamed("node", "p_node")
     if parts.count() <= BROADCAST_ROWS:
         parts = F.broadcast(parts)
     words = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
-    at = docs.columns.index(text)
-    noded = docs.filter(words).mapInArrow(lambda b: _with_node(b, at), T.StructType([*docs.schema.fields, T.StructField(NODE, T.LongType())]))
-    group = F.coalesce("_part", NODE)
-    first = Window.partitionBy(group).orderBy(F.col(key).asc_nulls_last(), F.col(text))
-    kept = noded.join(parts, F.col(NODE) == F.col("_p_node"), "left").withColumn("_rank", F.row_number().over(first)).filter("_rank = 1")
-    return kept.select(*docs.columns).unionByName(docs.filter(~words))
+    rows = docs.filter(words).select(packed(docs), F.col(key).alias("key"), F.col(text).alias("text"))
+    noded = rows.mapInArrow(_with_node, T.StructType([*rows.schema.fields, T.StructField("node", T.LongType())]))
+    first = Window.partitionBy(F.coalesce("part", "node")).orderBy(F.col("key").asc_nulls_last(), "text")
+    kept = noded.join(parts, F.col("node") == F.col("p_node"), "left").withColumn("rank", F.row_number().over(first)).filter("rank = 1")
+    return kept.select("row.*").union(docs.filter(~words))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

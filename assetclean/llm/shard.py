@@ -10,7 +10,8 @@ DataFrame functions only.
 Defined results: the order is by hash bucket, key, text checksum and size,
 nulls first; null keys and null texts are ordinary values; rows equal in all
 of these are interchangeable and get different positions; a table without rows
-gives none; columns of the input keep their names and values.
+gives none; the input's columns travel in one struct, so their names cannot
+clash.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, packed, table
 
 #: Row numbers are counted in this many hash buckets: rows of a bucket are
 #: ranked in one task, and the table of bucket offsets has at most so many
@@ -67,7 +68,8 @@ def permuted(x: Column, n: int, seed: int) -> Column:
 
 
 def numbered(df: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
-    """``df`` with its global row number in ``_row``, and the number of rows.
+    """(row: all columns of ``df``, key, crc, size, number), and the number of
+    rows. ``number`` is the global row number.
 
     Two steps: counts per bucket give offsets (summed in two levels, so no
     task sees more than a few hundred rows of them); the rank inside a bucket
@@ -75,28 +77,27 @@ def numbered(df: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
     crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     size = F.coalesce(F.octet_length(text), F.lit(0))
     bucket = F.pmod(F.xxhash64(F.col(key), crc, size), F.lit(BUCKETS)).cast("int")
-    counts = cut(df.select(bucket.alias("_bucket")).groupBy("_bucket").agg(F.count("*").alias("_n")), "buckets")
-    high = F.shiftright("_bucket", 8)
-    by_high = counts.groupBy(high.alias("_high")).agg(F.sum("_n").alias("_m"))
-    by_high = by_high.select("_high", (F.sum("_m").over(Window.orderBy("_high")) - F.col("_m")).alias("_before"))
-    within = counts.withColumns({"_high": high, "_run": F.sum("_n").over(Window.partitionBy(high).orderBy("_bucket")) - F.col("_n")})
-    offsets = within.join(by_high, "_high").select(F.col("_bucket").alias("_b"), (F.col("_before") + F.col("_run")).alias("_offset"))
-    n = counts.agg(F.sum("_n")).first()[0] or 0
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.col(key), "_crc", "_size"))
-    rows = df.withColumns({"_crc": crc, "_size": size, "_bucket": bucket}).withColumn("_rank", rank)
-    rows = rows.join(F.broadcast(offsets), F.col("_bucket") == F.col("_b"))  # at most BUCKETS rows
-    return rows.withColumn("_row", F.col("_offset") + F.col("_rank") - 1).drop("_b", "_offset", "_rank", "_bucket"), n
+    counts = cut(df.select(bucket.alias("b")).groupBy("b").agg(F.count("*").alias("n")), "buckets")
+    by_high = counts.groupBy(F.shiftright("b", 8).alias("high")).agg(F.sum("n").alias("m"))
+    by_high = by_high.select("high", (F.sum("m").over(Window.orderBy("high")) - F.col("m")).alias("before"))
+    within = counts.withColumns({"high": F.shiftright("b", 8), "run": F.sum("n").over(Window.partitionBy(F.shiftright("b", 8)).orderBy("b")) - F.col("n")})
+    offsets = within.join(by_high, "high").select("b", (F.col("before") + F.col("run")).alias("offset"))
+    n = counts.agg(F.sum("n")).first()[0] or 0
+    rows = df.select(packed(df), F.col(key).alias("key"), crc.alias("crc"), size.alias("size"), bucket.alias("bucket"))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("key", "crc", "size")))
+    rows = rows.join(F.broadcast(offsets), F.col("bucket") == F.col("b"))  # at most BUCKETS rows
+    return rows.select("row", "key", "crc", "size", (F.col("offset") + F.col("rank") - 1).alias("number")), n
 
 
 def shard_rows(df: DataFrame, shards: int = 24, seed: int = 20240501, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns of ``df`` with row_number, position, shard, slot,
-    size (UTF-8 bytes of the text plus 8) and text_crc32 in the columns
-    ``_row``, ``_position``, ``_shard``, ``_slot``, ``_size``, ``_crc``."""
+    """(row: all columns of ``df``, key, crc: CRC-32 of the text, size: its
+    UTF-8 bytes plus 8, number, position, shard, slot)."""
     rows, n = numbered(df, key, text)
-    rows = rows.withColumn("_position", permuted(F.col("_row"), n, seed))
-    return rows.withColumns({"_shard": F.pmod("_position", F.lit(shards)).cast("int"), "_slot": F.call_function("div", F.col("_position"), F.lit(shards).cast("long")), "_size": F.col("_size").cast("long") + 8})
+    position = F.col("position")
+    rows = rows.withColumn("position", permuted(F.col("number"), n, seed))
+    return rows.withColumns({"shard": F.pmod(position, F.lit(shards)).cast("int"), "slot": F.call_function("div", position, F.lit(shards).cast("long")), "size": F.col("size").cast("long") + 8})
 
 
 def op5_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.select("doc_id", F.col("_size").alias("size"), F.col("_crc").cast("long").alias("text_crc32"), F.lit("rows").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("_row").alias("row_number"), F.col("_position").alias("position"))
+    return d.select(F.col("key").alias("doc_id"), "size", F.col("crc").cast("long").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("number").alias("row_number"), "position")

@@ -42,8 +42,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their shard and slot."""
-    out = shard.shard_rows(docs)
-    return out.select(*docs.columns, F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.col("_position").alias("position"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    return shard.shard_rows(docs).select("row.*", "size", F.col("crc").alias("text_crc32"), "position", "shard", "slot")
 
 
 STAGES = [
