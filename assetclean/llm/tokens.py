@@ -25,6 +25,10 @@ One text, one block and the cache of words are all that a task holds.
 
 from __future__ import annotations
 
+import os
+import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -39,8 +43,9 @@ from .common import shared_dir, table
 
 BLOCK = 1 << 15
 END_ID = 1
-#: Words remembered by a task before it starts afresh; results don't depend on it.
+#: Words that a Python worker remembers, twice; results don't depend on it.
 CACHE_WORDS = 400_000
+END_MARK = re.compile(r"(?<=[^\W_])([.,])(?=[ \n]|$)")
 
 FORMAT = "shard int, block int, first long, n_ids int, width int, planes array<binary>, docs array<struct<key:long,first:long,n_ids:long>>"
 
@@ -79,33 +84,58 @@ def restore_block(planes: list[bytes], n_ids: int, width: int) -> np.ndarray:
     return np.ascontiguousarray(whole.T).reshape(-1).view("<u4")
 
 
+def latin(text: str) -> bool:
+    """Whether all characters are Latin-1, where case is plain."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordEncoder:
-    """Encodes with a tokenizers file whose model never joins text across
-    white space: a text is cut at spaces, tabs and newlines and the ids of
-    each word are remembered."""
+    """Encodes with a tokenizers file that lowers case and never joins text
+    across white space, or a letter with a full stop or comma at the end of a
+    word: a text is cut there and the ids of each word are remembered. The
+    words last met are kept in two generations of CACHE_WORDS."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the threads
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+
+    @staticmethod
+    def of_worker(path: str) -> WordEncoder:
+        """The encoder of this Python worker, which outlives its tasks."""
+        kept = sys.modules.setdefault("_assetclean_worker", types.ModuleType("_assetclean_worker")).__dict__
+        if path not in kept:
+            kept[path] = WordEncoder(path)
+        return kept[path]
 
     def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").split(" ")
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
+        if "<|" not in text and latin(text):
+            text = text.lower()  # as the model's own normalizer does
+        words = END_MARK.sub(r" \1", text).replace("\n", " ").replace("\t", " ").split(" ")
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {"": b""}, self.known
+        known, older = self.known, self.older
+        new = []
+        for w in set(words).difference(known):
+            if w in older:
+                known[w] = older[w]
+            else:
+                new.append(w)
         if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                known[""] = b""
-                new = [w for w in dict.fromkeys(words) if w]
             for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, "<u4").tobytes()
         return b"".join(map(known.__getitem__, words))
 
 
 def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, block: int, width: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    encode, end = WordEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+    encode, end = WordEncoder.of_worker(tokenizer), np.array([end_id], "<u4").tobytes()
     shard = TaskContext.get().partitionId()
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()), ("width", pa.int32()), ("planes", pa.list_(pa.binary())), ("docs", pa.list_(pa.struct([("key", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64())])))])
     held, number, done, docs = bytearray(), 0, 0, []
