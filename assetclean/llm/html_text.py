@@ -89,7 +89,7 @@ class Page(HTMLParser):
             line = " ".join("".join(self.text).split())
             if line:
                 last = self.text_at[-1]
-                self.runs.append((line, [n.path for n in self.text_at[1:]], last.noise, last.main))
+                self.runs.append((line, [n.path for n in self.text_at], last.noise, last.main))
             self.text = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -157,8 +157,9 @@ class Page(HTMLParser):
         return self.stack[:1]
 
 
-def parse_page(html: str) -> tuple[list[dict], list[dict]]:
-    """(runs, styles) of a page. Runs hold what the page's own marks allow."""
+def parse_page(html: str) -> tuple[list[dict], list[dict], list[dict]]:
+    """(runs, chains, styles) of a page. Runs hold what the page's own marks
+    allow, with the number of their chain of nodes."""
     p = Page()
     try:
         p.feed(html)
@@ -171,38 +172,40 @@ def parse_page(html: str) -> tuple[list[dict], list[dict]]:
     if any(r[3] for r in runs):
         runs = [r for r in runs if r[3]]
     # equal (path, style) pairs of a page count once
-    return [{"text": t, "chain": c, "main": m} for t, c, _, m in runs], [{"path": a, "style": b} for a, b in dict.fromkeys(p.styles)]
+    chains = {c: i for i, c in enumerate(dict.fromkeys((tuple(c), m) for _, c, _, m in runs))}
+    return [{"text": t, "chain": chains[tuple(c), m]} for t, c, _, m in runs], [{"path": list(c), "main": m} for c, m in chains], [{"path": a, "style": b} for a, b in dict.fromkeys(p.styles)]
 
 
-PARSED = "page_id long, url string, host string, fingerprint long, runs array<struct<text:string,chain:array<long>,main:boolean>>, styles array<struct<path:long,style:long>>"
+PARSED = "page_id long, url string, host string, fingerprint long, runs array<struct<text:string,chain:int>>, chains array<struct<path:array<long>,main:boolean>>, styles array<struct<path:long,style:long>>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    run = pa.struct([("text", pa.string()), ("chain", pa.list_(pa.int64())), ("main", pa.bool_())])
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("fingerprint", pa.int64()), ("runs", pa.list_(run)), ("styles", pa.list_(pa.struct([("path", pa.int64()), ("style", pa.int64())])))])
+    run, chain = pa.struct([("text", pa.string()), ("chain", pa.int32())]), pa.struct([("path", pa.list_(pa.int64())), ("main", pa.bool_())])
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("fingerprint", pa.int64()), ("runs", pa.list_(run)), ("chains", pa.list_(chain)), ("styles", pa.list_(pa.struct([("path", pa.int64()), ("style", pa.int64())])))])
     for b in batches:
         for at in range(0, b.num_rows, 200):
             part, out = b.slice(at, 200), []
             for key, url, html in zip(*(part.column(i) for i in range(3)), strict=True):
-                runs, styles = parse_page(html.as_py() or "")
+                runs, chains, styles = parse_page(html.as_py() or "")
                 m = re.match(r"[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", url.as_py() or "", re.I)
-                out.append({"page_id": key.as_py(), "url": url.as_py(), "host": m[1].lower() if m else "", "fingerprint": code(*(r["text"] for r in runs)), "runs": runs, "styles": styles})
+                out.append({"page_id": key.as_py(), "url": url.as_py(), "host": m[1].lower() if m else "", "fingerprint": code(*(r["text"] for r in runs)), "runs": runs, "chains": chains, "styles": styles})
             yield pa.RecordBatch.from_pylist(out, schema)
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
     """(host, gone: paths of low importance) for hosts that have any."""
-    one = pages.select("host", "fingerprint", "runs", "styles").dropDuplicates(["host", "fingerprint"])
+    features = F.array_distinct(F.transform("runs", lambda r: F.struct(r["chain"].alias("chain"), F.xxhash64(r["text"]).alias("feature"))))
+    one = pages.select("host", "fingerprint", "chains", "styles", features.alias("features")).dropDuplicates(["host", "fingerprint"])
     styles = one.select("host", F.explode("styles").alias("s")).groupBy("host", F.col("s.path").alias("path"), F.col("s.style").alias("style")).agg(F.count("*").alias("n"))
     shape = styles.groupBy("host", "path").agg(F.sum("n").alias("m"), F.count("*").alias("l"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     presentation = (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")  # -sum p log_m p
-    # text runs of a page at one path, each once; then the pages that share them
-    runs = one.select("host", "fingerprint", F.explode("runs").alias("r"))
-    leaf = F.element_at("r.chain", -1)
-    pages_of = runs.groupBy("host", leaf.alias("leaf")).agg(F.count_distinct("fingerprint").alias("m"))
-    shared = runs.groupBy("host", leaf.alias("leaf"), F.col("r.chain").alias("chain"), F.xxhash64("r.text").alias("feature")).agg(F.count_distinct("fingerprint").alias("k"), F.max("r.main").alias("main"))
-    by_leaf = shared.join(pages_of, ["host", "leaf"]).filter(F.col("m") > 1).groupBy("host", "chain").agg(F.sum("k").alias("w"), F.sum(F.col("k") * F.log("k") / F.log("m")).alias("h"), F.max("main").alias("main"))
-    content = by_leaf.select("host", F.explode("chain").alias("path"), "w", "h", "main").groupBy("host", "path").agg((1 - F.sum("h") / F.sum("w")).alias("content"), F.min("main").alias("main"))
+    # pages that have a node with text, and for each of its texts the pages that share it
+    leaf = F.element_at("c.path", -1)
+    leaves = one.select("host", F.explode("chains").alias("c")).groupBy("host", leaf.alias("leaf")).agg(F.count("*").alias("m"), F.first("c.path").alias("chain"), F.max("c.main").alias("main"))
+    shared = one.select("host", "chains", F.explode("features").alias("f")).select("host", F.get("chains", F.col("f.chain")).alias("c"), "f.feature").groupBy("host", leaf.alias("leaf"), "feature").agg(F.count("*").alias("k"))
+    sums = shared.groupBy("host", "leaf").agg(F.sum("k").alias("w"), F.sum(F.col("k") * F.log("k")).alias("klogk"))
+    by_leaf = sums.join(leaves, ["host", "leaf"]).filter(F.col("m") > 1)
+    content = by_leaf.select("host", F.explode("chain").alias("path"), "w", (F.col("klogk") / F.log("m")).alias("h"), "main").groupBy("host", "path").agg((1 - F.sum("h") / F.sum("w")).alias("content"), F.min("main").alias("main"))
     both = content.join(shape, ["host", "path"]).filter(F.col("m") >= MIN_PAGES)
     share = F.pow(F.lit(GAMMA), F.col("l"))
     importance = (1 - share) * presentation + share * F.col("content")
@@ -214,9 +217,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     host's tree removed)."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     parsed = cut(rows.mapInArrow(_parse, PARSED), "pages")
-    low = low_branches(parsed).withColumnRenamed("host", "low_host")
+    low = cut(low_branches(parsed), "low").withColumnRenamed("host", "low_host")  # few rows: known to the planner once written
     joined = parsed.join(low, F.col("host") == F.col("low_host"), "left")
-    stays = F.filter("runs", lambda r: ~F.arrays_overlap(r["chain"], F.col("gone")))
+    stays = F.filter("runs", lambda r: ~F.arrays_overlap(F.get("chains", r["chain"])["path"], F.col("gone")))
     left = F.when(F.col("gone").isNull() | (F.size(stays) == 0), F.col("runs")).otherwise(stays)
     text = F.array_join(F.transform(left, lambda r: r["text"]), "\n")
     return joined.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"), F.size(left).cast("long").alias("n_blocks"), (F.size("runs") - F.size(left)).cast("long").alias("n_removed"))
