@@ -41,11 +41,6 @@ def model_norm(c: str | Column) -> Column:
     return F.regexp_replace(clean_key(c), r"\s+", " ")
 
 
-def alnum_key(c: str | Column) -> Column:
-    """lower-case ASCII letters and digits only (model variant key)."""
-    return F.regexp_replace(clean_key(c), "[^a-z0-9]", "")
-
-
 def strip_paren_tag(c: str | Column) -> Column:
     """serial without its leading ``(21) `` style tag."""
     return F.regexp_replace(col(c), PAREN_TAG, "")

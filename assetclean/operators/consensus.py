@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from assetclean.functions.dates import UNKNOWN_DATE, normalize_date
 from assetclean.operators.infer import UNKNOWN_MANUFACTURER
 from assetclean.operators.validate import lookup_metadata, year_check
+from assetclean.session import cut
 from assetclean.sources.caches import DEFAULT_DEVICE_TYPE
 
 BATCH_SIZE = 30
@@ -57,14 +58,15 @@ def consensus_types(entities: DataFrame, answers: DataFrame) -> DataFrame:
     )
 
 
-def consensus_manufacturers(entities: DataFrame, answers: DataFrame) -> DataFrame:
-    """Primary, else secondary, else ``Unknown Manufacturer``."""
+def consensus_manufacturers(entities: DataFrame | None, answers: DataFrame) -> DataFrame:
+    """Primary, else secondary, else ``Unknown Manufacturer``, for each of
+    ``entities``, or for all that have an answer."""
     a = answers.groupBy("mfr_key").agg(
         F.max(F.col("resolver") == "primary").alias("has_p"),
         _pick("primary", "manufacturer").alias("p"),
         _pick("secondary", "manufacturer").alias("s"),
     )
-    e = entities.select("mfr_key").distinct().join(a, "mfr_key", "left")
+    e = a if entities is None else entities.select("mfr_key").distinct().join(a, "mfr_key", "left")
     m = F.when(F.coalesce(F.col("has_p"), F.lit(False)), F.col("p")).otherwise(F.col("s"))
     return e.select("mfr_key", F.coalesce(m, F.lit(UNKNOWN_MANUFACTURER)).alias("manufacturer"))
 
@@ -74,12 +76,15 @@ def rank_within(df: DataFrame, key: str, order: str, out: str = "rank") -> DataF
     (unique within the key), without sending a group to one task.
 
     Rows are range-partitioned on (key, order), so a key that holds a third
-    of all rows is spread over many partitions; each partition numbers its
-    rows locally and a small per-(partition, key) count table supplies the
-    offsets. Only that count table is ever grouped per key.
+    of all rows is spread over many partitions. The number of the partition is
+    written with the rows, once: counts and local ranks must see the same
+    bounds, and two evaluations of a range partitioning need not agree. Each
+    partition numbers its rows locally and a small per-(partition, key) count
+    table supplies the offsets; only that is ever grouped per key.
     """
     n = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     parts = df.repartitionByRange(int(n), F.col(key), F.col(order)).withColumn("_pid", F.spark_partition_id())
+    parts = cut(parts, "ranges")
     local = parts.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid", key).orderBy(order)))
     counts = local.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.withColumn(
@@ -175,7 +180,7 @@ def check_external(consensus: DataFrame, horizon: int | None = None) -> DataFram
     lowers the batch confidence for it and every later serial of the batch.
     Returns ``type_key, date_key, sn, date, confidence, is_valid``."""
     kw = {} if horizon is None else {"horizon": horizon}
-    d = consensus.withColumn("date", normalize_date("date"))
+    d = consensus.withColumn("date", normalize_date("date", **kw))
     d = lookup_metadata(d, "manufacturer", "model", prefix="meta_")
     year = F.substring("date", 1, 4).cast("int")
     chk = year_check(year, F.col("meta_founded_year"), F.col("meta_start_year"), **kw)

@@ -3,7 +3,8 @@
 A rule is chosen by the first registry keyword contained in the lower-cased
 manufacturer (no fall-through when that rule fails). Each rule is a small
 Column builder over the serial (regex / substring / try_cast), so the whole
-decode is a single ``CASE`` inside whole-stage codegen. The decoded year must
+decode is a single ``CASE`` per row. The registry is a parameter: a caller may
+pass other (keyword, builder) pairs. The decoded year must
 lie in 1950..horizon and pass the metadata year bounds (V1); month is then
 clamped to 1..12 and day to 1..28.
 """
@@ -206,18 +207,18 @@ DECODE_RULES: list[tuple[str, Rule]] = [
 ]
 
 
-def rule_keyword(mfg_l: Column) -> Column:
+def rule_keyword(mfg_l: Column, rules: list[tuple[str, Rule]] = DECODE_RULES) -> Column:
     """First registry keyword contained in the manufacturer (or null)."""
-    out = None
-    for kw, _ in DECODE_RULES:
+    out = F.lit(None).cast("string") if not rules else None
+    for kw, _ in rules:
         out = F.when(mfg_l.contains(kw), F.lit(kw)) if out is None else out.when(mfg_l.contains(kw), F.lit(kw))
     return out
 
 
-def raw_decode(rule: Column, sn: Column, model_l: Column, horizon: int = HORIZON_YEAR) -> Column:
+def raw_decode(rule: Column, sn: Column, model_l: Column, horizon: int = HORIZON_YEAR, rules: list[tuple[str, Rule]] = DECODE_RULES) -> Column:
     """struct(y, m, d) from the selected rule, before year checks (null = no parse)."""
-    out = None
-    for kw, fn in DECODE_RULES:
+    out = F.lit(None).cast("struct<y:int,m:int,d:int>") if not rules else None
+    for kw, fn in rules:
         out = F.when(rule == kw, fn(sn, model_l, horizon)) if out is None else out.when(rule == kw, fn(sn, model_l, horizon))
     return out
 
@@ -230,6 +231,7 @@ def decode_serials(
     horizon: int = HORIZON_YEAR,
     out: str = "decoded_date",
     keep_detail: bool = False,
+    rules: list[tuple[str, Rule]] = DECODE_RULES,
 ) -> DataFrame:
     """Add ``out`` (``YYYY-MM-DD`` or null) decoded from the serial.
 
@@ -243,12 +245,12 @@ def decode_serials(
             "_dc_sn": strip_paren_tag(strip(col(sn))),
         }
     )
-    w = w.withColumn("rule_id", rule_keyword(F.col("_dc_mfg")))
+    w = w.withColumn("rule_id", rule_keyword(F.col("_dc_mfg"), rules))
     w = w.withColumn(
         "_dc",
         F.when(
             col(sn).isNotNull() & (col(sn) != ""),
-            raw_decode(F.col("rule_id"), F.col("_dc_sn"), F.col("_dc_model"), horizon),
+            raw_decode(F.col("rule_id"), F.col("_dc_sn"), F.col("_dc_model"), horizon, rules),
         ),
     )
     w = lookup_metadata(w, "_dc_mfg", "_dc_model", prefix="_dcm_")

@@ -2,8 +2,8 @@
 
 Model-name rules are tried first (substring of the normalised model), then
 serial rules on the upper-cased serial; the first match wins. The rule lists
-are data; they compile to a single ``CASE`` evaluated inside codegen, so no
-join or UDF is involved. The per-key cache lookup (J3) only touches the rows
+are data; they compile to a single ``CASE`` per row, so no join or UDF is
+involved. The per-key cache lookup (J3) only touches the rows
 whose manufacturer is blank; the others never enter that join.
 """
 
@@ -42,11 +42,11 @@ MODEL_RULES: list[tuple[tuple[str, ...], str]] = [
 ]
 
 # Serial rules on the upper-cased serial, in match order.
-# Each rule is a list of (test, pattern) alternatives: "prefix", "suffix",
-# "contains", or "regex" (anchored Java regex).
+# Each rule is a list of (test, pattern) alternatives: "prefix", "suffix" or
+# "contains".
 SERIAL_RULES: list[tuple[list[tuple[str, str]], str]] = [
-    ([("regex", r"^WU20\d{6}"), ("prefix", "WU20"), ("suffix", "EN")], "Jiangmen Dacheng"),
-    ([("regex", r"^DE\d"), ("prefix", "DE")], "Philips"),
+    ([("prefix", "WU20"), ("suffix", "EN")], "Jiangmen Dacheng"),
+    ([("prefix", "DE")], "Philips"),
     (
         [
             ("prefix", p)
@@ -59,25 +59,24 @@ SERIAL_RULES: list[tuple[list[tuple[str, str]], str]] = [
         "ZOLL Medical",
     ),
     ([("prefix", "CS17"), ("prefix", "CS07")], "Cogentix Medical"),
-    ([("suffix", "LB348"), ("suffix", "LB328"), ("contains", "LB")], "Lab Corp."),
-    ([("prefix", "A153"), ("prefix", "A15")], "Exergen"),
+    ([("contains", "LB")], "Lab Corp."),
+    ([("prefix", "A15")], "Exergen"),
     ([("prefix", p) for p in ("RTS14", "RT90", "RT91", "SA31", "SPX18")], "GE Healthcare"),
     (
         [("prefix", p) for p in ("A11", "A12", "A14", "A16", "A20", "A10", "20150", "20081", "2303", "0743")],
         "Welch Allyn",
     ),
-    ([("prefix", "21000"), ("prefix", "2100")], "Arjo Inc."),
+    ([("prefix", "2100")], "Arjo Inc."),
     ([("prefix", p) for p in ("375", "382", "381", "383", "378", "380")], "Baxter Healthcare Corp."),
-    ([("prefix", p) for p in ("1304", "1311", "130", "131")], "BioSonic"),
+    ([("prefix", p) for p in ("130", "131")], "BioSonic"),
     ([("prefix", "VL01")], "Covidien"),
     ([("prefix", p) for p in ("1743", "1744", "1745", "1748")], "Hospira"),
-    ([("prefix", "M192"), ("prefix", "M19")], "Masimo"),
+    ([("prefix", "M19")], "Masimo"),
     ([("prefix", "7500"), ("prefix", "7550")], "Olympus"),
     ([("prefix", p) for p in ("202100", "202200", "201700", "1090")], "Stryker"),
-    ([("prefix", p) for p in ("1817", "1835", "181")], "Thermo Scientific"),
+    ([("prefix", p) for p in ("1835", "181")], "Thermo Scientific"),
     ([("prefix", "G38L")], "Unico"),
     ([("prefix", p) for p in ("202101", "202002", "202402", "202403")], "Linet"),
-    ([("prefix", "WU20")], "Jiangmen Dacheng"),
     ([("prefix", "2219"), ("prefix", "C241")], "American Diagnostic"),
     ([("prefix", p) for p in ("FS-28", "F5-28", "FS-11", "F5-11", "AH9-3", "AH9-2")], "Mindray"),
 ]
@@ -88,9 +87,7 @@ def _test(c: Column, kind: str, pat: str) -> Column:
         return c.startswith(pat)
     if kind == "suffix":
         return c.endswith(pat)
-    if kind == "contains":
-        return c.contains(pat)
-    return c.rlike(pat)
+    return c.contains(pat)
 
 
 def guess_manufacturer(model: str | Column, sn: str | Column) -> Column:
@@ -133,6 +130,14 @@ def infer_manufacturers(
     ``raw_mfg`` when that column exists.
     """
     blank = strip(col(mfg)) == ""
+    if cache is None and external is None:  # one pass, nothing to join
+        guess = F.when(blank, guess_manufacturer(model, sn))
+        out = df.withColumns({"_mfr_guess": guess})
+        upd = {mfg: F.coalesce("_mfr_guess", col(mfg)), "mfg_source": F.when(~blank, "given").when(F.col("_mfr_guess").isNotNull(), "rules")}
+        if raw_mfg and raw_mfg in df.columns and raw_mfg != mfg:
+            upd[raw_mfg] = F.coalesce("_mfr_guess", F.col(raw_mfg))
+        return out.withColumns(upd).drop("_mfr_guess")
+    # the given rows stay out of the joins; pass a written table, it is read twice
     known = df.where(~blank).withColumn("mfg_source", F.lit("given"))
     todo = df.where(blank).withColumn("_mfr_key", pipe_key(model, sn))
     if cache is not None:

@@ -39,7 +39,8 @@ def row_confidence(enriched: DataFrame, types: DataFrame, dates: DataFrame) -> D
     ``manufacturer``, ``model``, ``serial number`` / ``serial_number``; a
     missing cache entry or confidence counts as 1.0."""
     mfg, model = _out_col(enriched, "manufacturer"), _out_col(enriched, "model")
-    sn = _out_col(enriched, "serial number", "serial_number")
+    blank = F.col("`serial number`") if "serial number" in enriched.columns else F.lit(None)
+    sn = F.coalesce(F.nullif(blank, F.lit("")), _out_col(enriched, "serial_number"))
     e = enriched.withColumns({"_tk": pipe_key(mfg, model), "_dk": pipe_key(mfg, model, sn)})
     t = types.select(F.col("type_key").alias("_tk"), F.coalesce(F.col("confidence"), F.lit(1.0)).alias("_tc"))
     d = dates.select(F.col("date_key").alias("_dk"), F.coalesce(F.col("confidence"), F.lit(1.0)).alias("_dc"))
@@ -93,30 +94,34 @@ def profile_groups(df: DataFrame, mfg: str, model: str, sn: str, order_col: str
     return counts.join(listed(head, "first_serials", True), g).join(listed(tail, "last_serials", False), g)
 
 
-def summary(raw: DataFrame, enriched: DataFrame) -> DataFrame:
-    """Run counters as ``metric, value`` rows (no join of the two sides).
+def summary(raw: DataFrame, enriched: DataFrame, types: DataFrame, model_corrections: DataFrame) -> DataFrame:
+    """Run counters as ``metric, value`` rows (no join of the sides).
 
     The enrich plan keeps every de-duplicated row, so rows written equals rows
-    after de-duplication."""
-    r = raw.agg(F.count(F.lit(1)).alias("raw_rows"))
-    e = enriched.agg(
-        F.count(F.lit(1)).alias("rows_written"),
-        F.sum(F.when(F.col("mfg_source").isin("cache", "rules", "external"), 1).otherwise(0)).alias("manufacturers_resolved")
-        if "mfg_source" in enriched.columns
-        else F.lit(0).alias("manufacturers_resolved"),
-    )
-    return r.select(F.lit("input_rows").alias("metric"), F.col("raw_rows").cast("long").alias("value")).unionByName(
-        e.select(
-            F.explode(
-                F.array(
-                    F.struct(F.lit("rows_written").alias("metric"), F.col("rows_written").cast("long").alias("value")),
-                    F.struct(F.lit("manufacturers_resolved").alias("metric"), F.col("manufacturers_resolved").cast("long").alias("value")),
-                )
-            ).alias("m")
-        ).select("m.*")
+    after de-duplication, and what is missing was a duplicate. Typo items are
+    the flagged types and the model corrections."""
+
+    def one(df: DataFrame, name: str, value) -> DataFrame:
+        return df.agg(F.coalesce(value, F.lit(0)).cast("long").alias("value")).select(F.lit(name).alias("metric"), "value")
+
+    resolved = F.count_if(F.col("mfg_source").isin("cache", "rules", "external")) if "mfg_source" in enriched.columns else F.lit(0)
+    sides = raw.select(F.lit(1).alias("n")).unionByName(enriched.select(F.lit(-1).alias("n")))
+    typos = types.where(F.col("probable_typo")).select(F.lit(1).alias("n")).unionByName(model_corrections.select(F.lit(1).alias("n")))
+    return (
+        one(raw, "input_rows", F.count(F.lit(1)))
+        .unionByName(one(enriched, "rows_written", F.count(F.lit(1))))
+        .unionByName(one(sides, "duplicates_removed", F.sum("n")))
+        .unionByName(one(enriched, "manufacturers_resolved", resolved))
+        .unionByName(one(typos, "typo_items_flagged", F.count(F.lit(1))))
     )
 
 
+def profile_summary(df: DataFrame, mfg: str, model: str) -> DataFrame:
+    """``pairs, rows``: distinct case-sensitive (manufacturer, model), rows."""
+    counts = df.groupBy(F.col(f"`{mfg}`"), F.col(f"`{model}`")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.count(F.lit(1)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+
+
 def dashboard_stats(enriched: DataFrame, in_view=None) -> DataFrame:
     """A14 in one pass: rows in the current view (``in_view`` predicate), number
     of device types over the whole table, first and last date in the view

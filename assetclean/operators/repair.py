@@ -1,18 +1,18 @@
 """Group-majority repair of labels and codes.
 
-All statistics are two-level hash aggregations (row -> (group, value) counts
--> one row per group) whose output is one row per group or per distinct
+All statistics are two-level aggregations (row -> (group, value) counts by
+hash -> one row per group) whose output is one row per group or per distinct
 label; the result is joined back with an equi-join that AQE broadcasts only
 when it is small at run time. No step gathers a group's rows into one task.
 
 "First seen" always means smallest ``_ord`` (the caller's total input order).
 
 Model typo pairs (M2) are found without comparing all pairs of a
-manufacturer's labels: two keys within edit distance 2 always share a string
-obtained by deleting at most two characters from each, so keys are joined on
-those deletion variants and only the resulting candidates are checked with
-``levenshtein``. This is exact, and the work grows with the number of close
-pairs rather than with the square of the number of labels.
+manufacturer's labels: of three segments of a key, two edits leave one untouched, and the
+other key holds it shifted by at most two places. Keys are joined on those
+segments and only the candidates are checked with ``levenshtein``. This is
+exact, takes a fixed number of substrings per label, whatever its length, and
+the work grows with the number of close pairs.
 """
 
 from __future__ import annotations
@@ -49,36 +49,45 @@ def model_groups(df: DataFrame, mfg: str = "w_mfg", model: str = "w_model", orde
     """A2: one row per case-insensitive (manufacturer, model) with its row
     count, first position and first-seen spellings of both names."""
     g = with_group_keys(df, mfg, model)
-    groups = g.groupBy("g_mfg", "g_model").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.min(order_col).alias("first_ord"),
-        F.min_by(F.col(model), F.col(order_col)).alias("orig_model"),
+    # spellings first: sums and minima of numbers aggregate by hash, and what
+    # needs an ordered pick of a string is left with one row per spelling
+    spelled = g.groupBy("g_mfg", "g_model", F.col(mfg).alias("mfg"), F.col(model).alias("model")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(order_col).alias("first")
     )
-    mfgs = g.groupBy("g_mfg").agg(
-        F.min(order_col).alias("mfg_ord"),
-        F.min_by(F.col(mfg), F.col(order_col)).alias("orig_mfg"),
+    groups = spelled.groupBy("g_mfg", "g_model").agg(
+        F.sum("n").alias("n_rows"), F.min("first").alias("first_ord"), F.min_by("model", "first").alias("orig_model")
     )
+    mfgs = spelled.groupBy("g_mfg").agg(F.min("first").alias("mfg_ord"), F.min_by("mfg", "first").alias("orig_mfg"))
     return groups.join(mfgs, "g_mfg")
 
 
-def deletion_variants(s: Column, k: int = MAX_TYPO_DISTANCE) -> Column:
-    """All strings obtained from ``s`` by deleting up to ``k`` (1 or 2) characters."""
-    n = F.length(s)
-    idx = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    d1 = F.transform(idx, lambda i: F.concat(s.substr(F.lit(1), i - 1), s.substr(i + 1, n)))
-    parts = [F.array(s), F.filter(d1, lambda _: n > 0)]
-    if k >= 2:
-        d2 = F.flatten(
-            F.transform(
-                idx,
-                lambda i: F.transform(
-                    F.filter(idx, lambda j: j > i),
-                    lambda j: F.concat(s.substr(F.lit(1), i - 1), s.substr(i + 1, j - i - 1), s.substr(j + 1, n)),
-                ),
-            )
-        )
-        parts.append(F.filter(d2, lambda _: n > 1))
-    return F.array_distinct(F.concat(*parts))
+def segments(key: Column, edits: int = MAX_TYPO_DISTANCE) -> Column:
+    """``(len, i, seg)``: the key cut into ``edits + 1`` even segments."""
+    n, k = F.length(key), edits + 1
+
+    def one(i: Column) -> Column:
+        start, end = F.floor(i * n / k), F.floor((i + 1) * n / k)
+        return F.struct(n.alias("len"), i.alias("i"), key.substr((start + 1).cast("int"), (end - start).cast("int")).alias("seg"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(edits)), one)
+
+
+def probes(key: Column, edits: int = MAX_TYPO_DISTANCE) -> Column:
+    """The ``(len, i, seg)`` that a key within ``edits`` edits may have: one of
+    its segments is untouched and lies here, shifted by ``edits`` at most."""
+    n, k = F.length(key), edits + 1
+    shifts = F.sequence(F.lit(-edits), F.lit(edits))
+
+    def of_length(d: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(edits)), lambda i: F.transform(shifts, lambda shift: piece(n + d, i, shift))))
+
+    def piece(length: Column, i: Column, shift: Column) -> Column:
+        start, end = F.floor(i * length / k), F.floor((i + 1) * length / k)
+        at, size = start + shift, end - start
+        fits = (length >= 0) & (at >= 0) & (at + size <= n)
+        return F.when(fits, F.struct(length.alias("len"), i.alias("i"), key.substr((at + 1).cast("int"), size.cast("int")).alias("seg")))
+
+    return F.array_distinct(F.filter(F.flatten(F.transform(shifts, of_length)), lambda x: x.isNotNull()))
 
 
 def model_corrections(groups: DataFrame) -> DataFrame:
@@ -125,16 +134,15 @@ def model_corrections(groups: DataFrame) -> DataFrame:
         F.min("first_ord").alias("pos"),
         F.min_by("orig_model", "first_ord").alias("first_variant"),
     )
-    var = lambda df: df.withColumn("_var", F.explode(deletion_variants(F.col("norm_key"))))
-    small = var(keys.where(F.col("cnt") <= TYPO_SMALL)).select(
-        "g_mfg", "_var", F.col("norm_key").alias("s_key"), F.col("pos").alias("s_pos")
+    small = keys.where(F.col("cnt") <= TYPO_SMALL).select(
+        "g_mfg", F.explode(probes(F.col("norm_key"))).alias("_p"), F.col("norm_key").alias("s_key"), F.col("pos").alias("s_pos")
     )
-    big = var(keys.where(F.col("cnt") >= TYPO_BIG)).select(
-        "g_mfg", "_var", F.col("norm_key").alias("b_key"), F.col("pos").alias("b_pos"), F.col("first_variant").alias("b_target")
+    big = keys.where(F.col("cnt") >= TYPO_BIG).select(
+        "g_mfg", F.explode(segments(F.col("norm_key"))).alias("_p"), F.col("norm_key").alias("b_key"), F.col("pos").alias("b_pos"), F.col("first_variant").alias("b_target")
     )
     pairs = (
-        small.join(big, ["g_mfg", "_var"])
-        .drop("_var")
+        small.join(big, ["g_mfg", "_p"])
+        .drop("_p")
         .distinct()
         .where(F.abs(F.length("s_key") - F.length("b_key")) <= MAX_TYPO_DISTANCE)
         .withColumn("dist", F.levenshtein("s_key", "b_key", MAX_TYPO_DISTANCE))

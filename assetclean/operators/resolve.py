@@ -77,23 +77,6 @@ def unresolved_types(df: DataFrame, types: DataFrame, order_col: str = "_ord") -
     ).select("type_key", "_v.*")
 
 
-def first_decoded(df: DataFrame, order_col: str = "_ord") -> DataFrame:
-    """Per date key, the date decoded from its first decodable row.
-
-    Rows only share a key when inference or corrections made them collide,
-    so the collision table is tiny: only keys seen more than once are
-    aggregated (over three narrow columns) and joined back; AQE broadcasts
-    that table when it is small and keeps a shuffle join otherwise.
-    """
-    narrow = df.select("date_key", order_col, "decoded_date")
-    multi = narrow.groupBy("date_key").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min_by("decoded_date", F.when(F.col("decoded_date").isNotNull(), F.col(order_col))).alias("_first"),
-    ).where(F.col("_n") > 1)
-    out = df.join(multi.select("date_key", "_first"), "date_key", "left")
-    return out.withColumn("decoded_date", F.coalesce(F.col("_first"), F.col("decoded_date"))).drop("_first")
-
-
 def decode_once(df: DataFrame, horizon: int | None = None, order_col: str = "_ord") -> DataFrame:
     """Serial decode + first-decodable-row rule per date key (``decoded_date``).
 
@@ -125,6 +108,7 @@ def resolve_dates(
     ``dates``: date cache ``date_key, date, confidence``. ``external``: checked
     external answers ``date_key, date, confidence`` (see consensus.check_external).
     """
+    kw = {} if horizon is None else {"horizon": horizon}
     if "date_key" not in df.columns:
         df = with_keys(df)
     if "decoded_date" in df.columns:  # already decoded (see decode_once)
@@ -135,7 +119,7 @@ def resolve_dates(
         out = out.withColumns({"_c_date": F.lit(None).cast("string"), "_c_conf": F.lit(None).cast("double")})
     else:
         d = dates.select(
-            "date_key", normalize_date("date").alias("_c_date"), F.coalesce(F.col("confidence"), F.lit(1.0)).alias("_c_conf")
+            "date_key", normalize_date("date", **kw).alias("_c_date"), F.coalesce(F.col("confidence"), F.lit(1.0)).alias("_c_conf")
         )
         out = out.join(d, "date_key", "left")
     cached = F.col("_c_conf").isNotNull()
@@ -147,7 +131,7 @@ def resolve_dates(
         x = external.select("date_key", F.col("date").alias("_x_date"), F.col("confidence").alias("_x_conf"))
         out = out.join(x, "date_key", "left")
         use_x = date.isNull() & F.col("_x_conf").isNotNull()
-        date = F.when(use_x, normalize_date("_x_date")).otherwise(date)
+        date = F.when(use_x, normalize_date("_x_date", **kw)).otherwise(date)
         conf = F.when(use_x, F.col("_x_conf")).otherwise(conf)
         src = F.when(use_x, F.lit("external")).otherwise(src)
     y = year_in_text("w_sn")
@@ -163,7 +147,7 @@ def resolve_dates(
 
 def unresolved_dates(df: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     """Rows whose date is neither cached nor decodable (input to C4).
-    Expects ``decoded_date`` (after :func:`first_decoded`) and ``date_key``."""
+    Expects ``decoded_date`` (after :func:`decode_once`) and ``date_key``."""
     out = df.where(F.col("decoded_date").isNull())
     if dates is not None:
         out = out.join(dates.select("date_key"), "date_key", "left_anti")

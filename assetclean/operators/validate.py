@@ -61,24 +61,16 @@ def canonical_manufacturer(c: str | Column) -> Column:
     return F.when(col(c).isNull() | (col(c) == ""), F.lit(None).cast("string")).otherwise(expr)
 
 
-def metadata_index(canon: Column, mnorm: Column) -> Column:
-    """0-based row of the metadata table for (canonical key, normalised model),
-    or null: a direct model match first, else the first model (table order)
-    where either name contains the other. The table is fixed (53 rows), so
-    this is one ordered ``CASE`` per row: no join and no shuffle."""
-    rows = metadata_rows()
-    expr = None
-    arms = [(i, (canon == r[1]) & (mnorm == r[4])) for i, r in enumerate(rows)]
-    arms += [(i, (canon == r[1]) & (mnorm.contains(r[4]) | F.lit(r[4]).contains(mnorm))) for i, r in enumerate(rows)]
-    for i, cond in arms:
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-    return expr
-
-
-def _field(idx: Column, values: list) -> Column:
-    """Value of one metadata column at row ``idx`` (a constant-array lookup)."""
-    arr = F.array(*[F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v) for v in values])
-    return F.when(idx.isNotNull(), F.element_at(arr, idx + 1))
+def _models() -> Column:
+    """The metadata table as a constant map: manufacturer key -> its models in
+    table order. The table is fixed (53 rows)."""
+    by: dict[str, list[Column]] = {}
+    for _, key, founded, _, model, start, sources in metadata_rows():
+        entry = F.struct(
+            F.lit(key).alias("mfg_key"), F.lit(founded).alias("founded_year"), F.lit(model).alias("model"), F.lit(start).alias("start_year"), F.array(*[F.lit(x) for x in sources]).alias("sources")
+        )
+        by.setdefault(key, []).append(entry)
+    return F.create_map(*[x for key, models in by.items() for x in (F.lit(key), F.array(*models))])
 
 
 def lookup_metadata(df: DataFrame, mfg: str = "mfg", model: str = "model", prefix: str = "meta_") -> DataFrame:
@@ -86,27 +78,18 @@ def lookup_metadata(df: DataFrame, mfg: str = "mfg", model: str = "model", prefi
     {prefix}sources`` to every row (nulls when no metadata entry applies).
 
     Direct match on the normalised model wins; otherwise the first model (in
-    the table's fixed order) where either name contains the other. Evaluated
-    per row against the fixed table (see :func:`metadata_index`).
+    the table's fixed order) where either name contains the other. A row looks
+    only at its manufacturer's few models, in an array of a constant map: no
+    join, no shuffle and little generated code.
     """
-    m, c, n = f"{prefix}_idx", f"{prefix}_canon", f"{prefix}_mnorm"
-    rows = metadata_rows()
+    c, n, ms, e = (f"{prefix}{x}" for x in ("canon", "mnorm", "models", "entry"))
     out = df.withColumns({c: canonical_manufacturer(mfg), n: model_norm(model)})
-    out = out.withColumn(m, metadata_index(F.col(c), F.col(n))).drop(c, n)
-    idx = F.col(m)
-    return out.withColumns(
-        {
-            f"{prefix}mfg_key": _field(idx, [r[1] for r in rows]),
-            f"{prefix}founded_year": _field(idx, [r[2] for r in rows]),
-            f"{prefix}start_year": _field(idx, [r[5] for r in rows]),
-            f"{prefix}sources": _field(idx, [list(r[6]) for r in rows]),
-        }
-    ).drop(m)
-
-
-def product_metadata_df(spark):
-    """The metadata table as a DataFrame (for inspection and reports)."""
-    return product_metadata(spark)
+    out = out.withColumn(ms, F.try_element_at(_models(), F.col(c)))
+    name = F.col(n)
+    direct = F.filter(ms, lambda m: m["model"] == name)
+    either = F.filter(ms, lambda m: name.contains(m["model"]) | m["model"].contains(name))
+    out = out.withColumn(e, F.coalesce(F.get(direct, F.lit(0)), F.get(either, F.lit(0))))
+    return out.withColumns({f"{prefix}{f}": F.col(e)[f] for f in ("mfg_key", "founded_year", "start_year", "sources")}).drop(c, n, ms, e)
 
 
 def year_check(year: Column, founded: Column, start: Column, horizon: int = HORIZON_YEAR) -> Column:

@@ -52,9 +52,22 @@ def page_count(df: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     return df.agg(F.ceil(F.count(F.lit(1)) / size).cast("long").alias("pages"))
 
 
-def export_csv(df: DataFrame, path: str, order_col: str = "_ord") -> None:
-    """Every cell quoted, backslash escapes, blanks as ''. Spark also
-    quotes the header row."""
+def export_lines(df: DataFrame, order_col: str = "_ord") -> DataFrame:
+    """S9 as ``pos, line``: a bare header, then every cell as a JSON string
+    (quoted, quotes and backslashes escaped, a newline as the two characters
+    ``\\n``), blanks as ``""``. Rows keep the order of ``order_col``."""
     cols = [c for c in df.columns if c != order_col]
-    out = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in cols])
-    out.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", "\\").csv(path)
+
+    def cell(c: str):
+        text = F.to_json(F.array(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))))
+        return text.substr(F.lit(2), F.length(text) - 2)
+
+    body = df.select(F.struct(F.lit(1).alias("s"), F.col(order_col).alias("o")).alias("pos"), F.concat_ws(",", *[cell(c) for c in cols]).alias("line"))
+    kind = df.schema[order_col].dataType
+    head = df.sparkSession.range(1).select(F.struct(F.lit(0).alias("s"), F.lit(None).cast(kind).alias("o")).alias("pos"), F.lit(",".join(cols)).alias("line"))
+    return head.unionByName(body)
+
+
+def export_csv(df: DataFrame, path: str, order_col: str = "_ord") -> None:
+    """S9 to a text sink; the range-partitioned sort keeps part files in order."""
+    export_lines(df, order_col).orderBy("pos").select("line").write.mode("overwrite").text(path)

@@ -22,7 +22,7 @@ from assetclean.operators.resolve import decode_once, resolve_dates, resolve_typ
 from assetclean.operators.validate import validate_years
 from assetclean.plans import reports as R
 from assetclean.plans.enrich import enrich
-from assetclean.session import ensure_checkpoint_dir
+from assetclean.session import cut
 from assetclean.sources import caches
 from assetclean.sources import testdata as td
 
@@ -42,23 +42,21 @@ def _deduped(spark: SparkSession, sf: str) -> DataFrame:
 
 def _inferred(spark: SparkSession, sf: str) -> DataFrame:
     """De-duplicated rows with manufacturers inferred: the analysis base, read
-    by every correction statistic, so it is checkpointed once (reliable
-    storage under ``spark.checkpoint.dir``)."""
+    by every correction statistic, so it is written once to the shared work
+    folder."""
     rows = infer_manufacturers(_deduped(spark, sf), raw_mfg="manufacturer")
-    ensure_checkpoint_dir(spark)
-    return rows.checkpoint(eager=True)
+    return cut(rows, "inferred")
 
 
 def _fixed(spark: SparkSession, sf: str) -> DataFrame:
     rows = _inferred(spark, sf)
-    return with_keys(apply_corrections(rows, find_corrections(rows), HEADERS)).checkpoint(eager=True)
+    return cut(with_keys(apply_corrections(rows, find_corrections(rows), HEADERS)), "fixed")
 
 
 def _part_rows(spark: SparkSession, sf: str) -> DataFrame:
     td.register_base_tables(spark, sf, ("part",))
     rows = dedup_first(with_working_columns(spark.sql(td.PART_AS_INVENTORY_SQL), HEADERS))
-    ensure_checkpoint_dir(spark)
-    return rows.checkpoint(eager=True)
+    return cut(rows, "part")
 
 
 def q_part_dedup(spark, sf):
@@ -85,7 +83,7 @@ def q_dashboard_stats(spark, sf):
 
 def q_run_summary(spark, sf):
     res = _enriched(spark, sf)
-    return M.summary(_inv(spark, sf), res.detail)
+    return M.summary(_inv(spark, sf), res.detail, res.types, res.corrections.models)
 
 
 def q_dedup_first(spark, sf):
@@ -100,7 +98,7 @@ def q_infer_manufacturer(spark, sf):
 def q_resolve_manufacturer(spark, sf):
     td.register_views(spark, sf)
     ext = C.consensus_manufacturers(spark.table("mfr_answers"), spark.table("mfr_answers"))
-    rows = infer_manufacturers(_deduped(spark, sf), cache=spark.table("mfr_cache"), external=ext, raw_mfg="manufacturer")
+    rows = infer_manufacturers(cut(_deduped(spark, sf), "dedup"), cache=spark.table("mfr_cache"), external=ext, raw_mfg="manufacturer")
     return rows.select("_ord", "manufacturer", F.col("w_mfg").alias("resolved"), "mfg_source")
 
 
@@ -264,11 +262,19 @@ def q_sort_page(spark, sf):
 
 def q_typo_report(spark, sf):
     res = _enriched(spark, sf)
-    return R.typo_report(res.types, res.corrections.models).select("line")
+    return R.numbered(R.typo_report(res.types, res.corrections.models))
 
 
 def q_corrections_report(spark, sf):
-    return R.corrections_report(_enriched(spark, sf).corrections).select("line")
+    return R.numbered(R.corrections_report(_enriched(spark, sf).corrections))
+
+
+def q_mfr_cache_upsert(spark, sf):
+    return _enriched(spark, sf).manufacturers
+
+
+def q_profile_summary(spark, sf):
+    return M.profile_summary(_inv(spark, sf), "manufacturer", "model")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -304,6 +310,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corrections_report": q_corrections_report,
     "dashboard_stats": q_dashboard_stats,
     "run_summary": q_run_summary,
+    "mfr_cache_upsert": q_mfr_cache_upsert,
+    "profile_summary": q_profile_summary,
     "part_dedup": q_part_dedup,
     "part_model_corrections": q_part_model_corrections,
     "part_serial_corrections": q_part_serial_corrections,

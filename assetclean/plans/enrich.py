@@ -8,8 +8,8 @@
         -> output columns + manufactured_date + device_type, sorted by date
 
 The de-duplicated table feeds three consumers (analysis, apply, reports),
-so it is checkpointed to ``spark.checkpoint.dir`` (a shared, reliable
-directory on a cluster) to cut the lineage and survive executor loss.
+so it is written as Parquet to the shared work folder (see session.work_dir),
+which ends its lineage and survives lost executors.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from assetclean.operators.infer import infer_manufacturers
 from assetclean.operators.repair import Corrections, apply_corrections, find_corrections
 from assetclean.operators.resolve import decode_once, resolve_dates, resolve_types, unresolved_dates, unresolved_types, with_keys
 from assetclean.sources import caches
-from assetclean.session import ensure_checkpoint_dir
+from assetclean.functions.text import pipe_key
+from assetclean.session import cut
 
 WORK_PREFIXES = ("w_", "g_")
 INTERNAL = (
@@ -49,6 +50,7 @@ class EnrichResult:
     corrections: Corrections
     types: DataFrame  # type cache after the run
     dates: DataFrame  # date cache after the run
+    manufacturers: DataFrame  # manufacturer cache after the run
     headers: dict
 
 
@@ -57,11 +59,17 @@ def prepare(raw: DataFrame, order_col: str = "_ord") -> tuple[DataFrame, dict]:
     return dedup_first(with_working_columns(raw, headers), order_col=order_col), headers
 
 
-def _cut(df: DataFrame, checkpoint: bool) -> DataFrame:
-    if not checkpoint:
-        return df
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _cut(df: DataFrame, checkpoint: bool, name: str) -> DataFrame:
+    return cut(df, name) if checkpoint else df
+
+
+def new_manufacturers(rows: DataFrame, order_col: str = "_ord") -> DataFrame:
+    """What the run adds to the manufacturer cache: the guessed, cached and
+    external answers of blank rows, first seen first; no unknown ones."""
+    from assetclean.operators.infer import UNKNOWN_MANUFACTURER
+
+    known = rows.where(F.col("mfg_source").isin("cache", "rules", "external") & (F.col("w_mfg") != UNKNOWN_MANUFACTURER))
+    return known.groupBy(pipe_key("w_model", "w_sn").alias("mfr_key")).agg(F.min_by("w_mfg", order_col).alias("manufacturer"))
 
 
 def enrich(
@@ -80,14 +88,19 @@ def enrich(
     types = types if types is not None else caches.empty(spark, caches.TYPE_CACHE_SCHEMA)
     rows, headers = prepare(raw, order_col)
 
+    if mfr_cache is not None or mfr_answers is not None:
+        rows = _cut(rows, checkpoint, "dedup")
     ext_mfr = None
     if mfr_answers is not None:
-        ext_mfr = C.consensus_manufacturers(mfr_answers.select("mfr_key"), mfr_answers)
+        ext_mfr = C.consensus_manufacturers(None, mfr_answers)
     rows = infer_manufacturers(rows, cache=mfr_cache, external=ext_mfr, raw_mfg=headers.get("mfg"))
-    rows = _cut(rows, checkpoint)
+    rows = _cut(rows, checkpoint, "rows")
+    mfr_after = new_manufacturers(rows, order_col)
+    if mfr_cache is not None:
+        mfr_after = caches.upsert(mfr_cache.select("mfr_key", "manufacturer"), mfr_after, "mfr_key")
 
     corr = find_corrections(rows, order_col=order_col)
-    fixed = _cut(with_keys(apply_corrections(rows, corr, headers)), checkpoint)
+    fixed = _cut(with_keys(apply_corrections(rows, corr, headers)), checkpoint, "fixed")
 
     types_after = types
     ext_types = None
@@ -99,7 +112,7 @@ def enrich(
 
     ext_dates = None
     if date_answers is not None:
-        out = _cut(decode_once(out, horizon, order_col), checkpoint)
+        out = _cut(decode_once(out, horizon, order_col), checkpoint, "decoded")
         todo = unresolved_dates(out, dates)
         batches = C.request_batches(todo, order_col)
         checked = C.check_external(C.consensus_dates(batches, date_answers), horizon)
@@ -127,11 +140,25 @@ def enrich(
     enriched = out.select(*[F.col(f"`{c}`") for c in body.columns], "manufactured_date", "device_type").orderBy(
         "manufactured_date", order_col
     )
-    return EnrichResult(enriched, detail, corr, types_after, dates_after, headers)
+    return EnrichResult(enriched, detail, corr, types_after, dates_after, mfr_after, headers)
 
 
 def write_enriched(result: EnrichResult, path: str, order_col: str = "_ord") -> None:
     """The enriched table as CSV with a header, rows in date order (the
-    range-partitioned sort keeps part files in order). Unlike the source, an
-    empty result still writes a file set with the header schema."""
-    result.enriched.drop(order_col).write.mode("overwrite").option("header", True).csv(path)
+    range-partitioned sort keeps part files in order). Cells keep their outer
+    spaces, quotes are doubled. Unlike the source, an empty result still writes
+    a file set with the header, and lines end with a newline alone."""
+    csv_writer(result.enriched.drop(order_col)).csv(path)
+
+
+def csv_writer(df: DataFrame):
+    return (
+        df.write.mode("overwrite")
+        .option("header", True)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .option("emptyValue", "")
+        .option("nullValue", "")
+    )

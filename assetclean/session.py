@@ -1,15 +1,17 @@
-"""Spark session defaults for local runs and tests.
+"""Spark session defaults for local runs and tests, and the shared work folder.
 
-On a cluster the caller's session is used as is; these settings are only
+On a cluster the caller's session is used as is; the settings are only
 applied when this module builds the session itself.
 """
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -21,24 +23,40 @@ DEFAULT_CONF = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app: str = "assetclean") -> SparkSession:
-    cores = os.environ.get("BENCH_CPUS", "8")
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app: str = "assetclean", cores: int = 8, driver_memory: str = "16g") -> SparkSession:
     b = SparkSession.builder.master(master or f"local[{cores}]").appName(app)
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
-    b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cores)))
-    b = b.config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
+    b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
+    b = b.config("spark.driver.memory", driver_memory)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only set one when unset (tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="assetclean-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+def work_dir(spark: SparkSession) -> str:
+    """This application's folder under ``spark.checkpoint.dir``, which driver
+    and executors must share. Only a local master may leave it unset; it then
+    gets a temporary folder that goes with the process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="assetclean-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/assetclean-{spark.sparkContext.applicationId}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under :func:`work_dir` and read it back:
+    the rows are fixed, the lineage ends, and columns can still be pruned."""
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean_work(spark: SparkSession) -> None:
+    """Remove the application's work folder, when no result reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,7 +11,8 @@ A JSON cache file is one JSON object (key -> value); it is read with
 current object values and the legacy bare-string values in one pass. Such a
 file is a single document and is read by one task, so it is only the import
 path; the engine's own cache sink writes Parquet (splittable, versioned).
-A missing or corrupt file reads as an empty cache.
+A missing file, or one that is no JSON object, reads as an empty cache; any
+other failure to read is an error.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetclean.functions.dates import normalize_date
+from assetclean.functions.dates import HORIZON_YEAR, normalize_date
 from assetclean.functions.text import strip
 
 DEFAULT_DEVICE_TYPE = "Medical Device"
@@ -32,10 +33,10 @@ MFR_CACHE_SCHEMA = "mfr_key string, manufacturer string"
 
 def _json_entries(spark: SparkSession, path: str) -> DataFrame:
     """``key, value, pos`` from one JSON object file; nested objects stay JSON text."""
-    try:
-        raw = spark.read.text(path, wholetext=True)
-    except Exception:  # missing path -> empty cache
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return spark.createDataFrame([], "key string, value string, pos int")
+    raw = spark.read.text(path, wholetext=True)
     m = F.from_json(F.col("value"), T.MapType(T.StringType(), T.StringType()))
     return raw.select(F.posexplode(F.coalesce(m, F.create_map().cast("map<string,string>"))).alias("pos", "key", "value"))
 
@@ -55,14 +56,14 @@ def read_type_cache(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_date_cache(spark: SparkSession, path: str) -> DataFrame:
+def read_date_cache(spark: SparkSession, path: str, horizon: int = HORIZON_YEAR) -> DataFrame:
     """S3 + S4 for serial dates; dates are re-normalised (F1) on load."""
     e = _json_entries(spark, path)
     obj = F.from_json(F.col("value"), "date string, confidence double")
     is_obj = strip(F.col("value")).startswith("{")
     return e.select(
         F.col("key").alias("date_key"),
-        normalize_date(F.when(is_obj, obj["date"]).otherwise(F.col("value"))).alias("date"),
+        normalize_date(F.when(is_obj, obj["date"]).otherwise(F.col("value")), horizon).alias("date"),
         F.when(is_obj, F.coalesce(obj["confidence"], F.lit(1.0))).otherwise(F.lit(1.0)).alias("confidence"),
     )
 
@@ -87,29 +88,25 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return new.unionByName(old.join(new.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
-def apply_overrides(types: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Manual device-type overrides (``key, device_type``).
+def apply_overrides(types: DataFrame, overrides: DataFrame, seq: str = "seq") -> DataFrame:
+    """Manual device-type overrides (``key, device_type``, the order
+    column ``seq``).
 
     The override key is lower-cased and stripped. An existing key only gets a
     new device type (typo flag and confidence stay); a new key is added with
     ``probable_typo = false`` and no confidence (read later as 1.0). If one
-    key is overridden several times, the last override (largest ``seq``, when
-    given) wins.
+    key is overridden several times, the last override wins: the one of the
+    greatest ``seq`` or, without that column, the last row as read.
     """
-    o = overrides.select(strip(F.lower(F.col("key"))).alias("type_key"), F.col("device_type").alias("_new"), *(
-        [F.col("seq")] if "seq" in overrides.columns else [F.lit(0).alias("seq")]
-    ))
-    o = o.groupBy("type_key").agg(F.max_by("_new", "seq").alias("_new"))
-    j = types.join(o, "type_key", "full_outer")
-    out = j.select(
+    o = overrides if seq in overrides.columns else overrides.withColumn(seq, F.monotonically_increasing_id())
+    o = o.groupBy(strip(F.lower(F.col("key"))).alias("type_key")).agg(F.max_by("device_type", seq).alias("_new"))
+    return types.join(o, "type_key", "full_outer").select(
         "type_key",
         F.coalesce(F.col("_new"), F.col("device_type")).alias("device_type"),
         F.coalesce(F.col("probable_typo"), F.lit(False)).alias("probable_typo"),
-        F.col("confidence"),
+        "confidence",
+        *(["entry_pos"] if "entry_pos" in types.columns else []),
     )
-    if "entry_pos" in types.columns:
-        out = out.join(types.select("type_key", "entry_pos"), "type_key", "left")
-    return out
 
 
 def rules_table(types: DataFrame) -> DataFrame:

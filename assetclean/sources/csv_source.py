@@ -2,23 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: rows of one split: the low bits of monotonically_increasing_id
+ROW_BITS = 33
+#: ``file:///x`` and ``file:/x`` name the same file
+SLASHES = "^([a-z]+):/+"
 
-def read_inventory_csv(spark: SparkSession, path: str, order_col: str = "_ord") -> DataFrame:
-    """Read CSV text as strings (no schema inference) and number the rows.
 
-    ``_ord`` is assigned once, right after the scan and before any shuffle:
-    ``monotonically_increasing_id`` follows the scan's partition order, which
-    is file order for a single file (it is recomputed identically if a task is
-    retried, because the split of the file does not change).
+def plain(path: str) -> str:
+    scheme, colon, rest = path.partition(":/")
+    return f"{scheme}:/{rest.lstrip('/')}" if colon and scheme.isalpha() and scheme.islower() else path
+
+
+def read_inventory_csv(spark: SparkSession, path: str | list[str], order_col: str = "_ord", multi_line: bool = True) -> DataFrame:
+    """Read RFC 4180 CSV (doubled quotes, quoted commas and newlines) as
+    strings and number the rows.
+
+    A quoted newline can only be told from a row's end by reading a file from
+    its start, so each file is one task; ``multi_line=False`` makes files
+    splittable for input that has no quoted newlines.
+
+    ``_ord`` follows file path, place in the file, row. Spark packs files into
+    tasks by size, so the number of the task says nothing about that order:
+    splits are numbered by (path, start), and rows in them as they are read.
     """
     df = (
         spark.read.option("header", True)
         .option("encoding", "UTF-8")
         .option("inferSchema", False)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
         .csv(path)
     )
-    return df.withColumn(order_col, F.monotonically_increasing_id())
+    names = [F.col(f"`{c}`") for c in df.columns]
+    row = F.monotonically_increasing_id()
+    files = df.inputFiles()
+    if multi_line and len(files) == 1:
+        return df.select(*names, row.alias(order_col))
+    split = df.select("*", F.regexp_replace("_metadata.file_path", SLASHES, "$1:/").alias("_path"), F.col("_metadata.file_block_start").alias("_start"))
+    split = split.withColumn("_row", row.bitwiseAND((1 << ROW_BITS) - 1))
+    if multi_line:
+        order = spark.createDataFrame([(plain(p), i) for i, p in enumerate(sorted(files))], "_path string, _split long")
+        joined = split.join(order, "_path")
+    else:
+        order = split.select("_path", "_start").distinct()
+        order = order.withColumn("_split", F.row_number().over(Window.orderBy("_path", "_start")).cast("long"))  # one row per split
+        joined = split.join(order, ["_path", "_start"])
+    return joined.select(*names, F.shiftleft("_split", ROW_BITS).bitwiseOR(F.col("_row")).alias(order_col))

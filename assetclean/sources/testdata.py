@@ -74,7 +74,7 @@ FROM orders
 
 _DIGITS = f"""
 SELECT b.*, {_pad('10 + sk % 13', 2)} AS yy, {_pad('1 + sk % 12', 2)} AS mm, {_pad('1 + sk % 28', 2)} AS dd,
-       {_pad('1 + sk % 52', 2)} AS ww, {_pad('sk % 100000', 5)} AS seq, CAST(sk % 7 AS STRING) AS d1,
+       {_pad('1 + sk % 52', 2)} AS ww, lpad(CAST(sk AS STRING), CAST(greatest(5, length(CAST(sk AS STRING))) AS INT), '0') AS seq, CAST(sk % 7 AS STRING) AS d1,
        substr('123456789ABC', CAST(1 + sk % 12 AS INT), 1) AS mc,
        substr('ABCDEFGHIJKL', CAST(1 + sk % 12 AS INT), 1) AS zc
 FROM ({_BASE}) b
@@ -142,10 +142,13 @@ GROUP BY lower(i.model) || '|' || lower(i.serial_number)
 """,
     # manual overrides: one per cached family of every fourth family, plus new keys
     "type_overrides": """
-SELECT upper(mfg0) || '|' || model0 AS key, 'Override ' || dtype0 AS device_type FROM inv_family
+SELECT upper(mfg0) || '|' || model0 AS key, 'Override ' || dtype0 AS device_type, min(_ord) AS seq FROM inv_family
 WHERE fam % 4 = 0 GROUP BY upper(mfg0) || '|' || model0, 'Override ' || dtype0
 UNION ALL
-SELECT ' ' || mfg0 || '|' || model0 || ' v2 ' AS key, 'New ' || dtype0 AS device_type FROM inv_family
+SELECT ' ' || mfg0 || '|' || upper(model0) AS key, 'Second ' || dtype0 AS device_type, min(_ord) + 1000000000000 AS seq FROM inv_family
+WHERE fam % 8 = 0 GROUP BY ' ' || mfg0 || '|' || upper(model0), 'Second ' || dtype0
+UNION ALL
+SELECT ' ' || mfg0 || '|' || model0 || ' v2 ' AS key, 'New ' || dtype0 AS device_type, min(_ord) AS seq FROM inv_family
 WHERE fam % 6 = 1 GROUP BY ' ' || mfg0 || '|' || model0 || ' v2 ', 'New ' || dtype0
 """,
     # device-type answers of two resolvers, one per (key, resolver)
@@ -212,22 +215,11 @@ def register_views(spark: SparkSession, sf_dir: str) -> None:
         spark.sql(sql).createOrReplaceTempView(name)
 
 
-def side_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    register_views(spark, sf_dir)
-    return spark.table(name)
-
-
 def register_base_tables(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("orders",)) -> None:
     for n in names:
         spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
 
 
-def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``_ord BIGINT, manufacturer, model, serial_number, site`` (all strings)."""
-    register_views(spark, sf_dir)
-    return spark.table("inventory")
-
-
 # Date strings in the shapes the normaliser must handle (F1), one per order.
 NOISY_DATES_SQL = """
 SELECT o_orderkey AS _ord,

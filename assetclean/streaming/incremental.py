@@ -2,49 +2,78 @@
 caches of the previous runs (the source's between-run cache reuse).
 
 A file stream feeds ``foreachBatch``; every micro-batch is enriched against
-the latest cache versions, its output is written under ``out_dir/batch=N``
-and the upserted caches become version N. Writes are keyed by the batch id,
-so a batch re-run after a failure overwrites the same directories
-(idempotent), and the stream's own checkpoint records progress.
+the caches that the batches before it left, and writes under its own batch id:
+its output, the cache entries it added (a delta) and, last of all, a marker.
+A batch reads only deltas of lower ids that have a marker, so a batch that is
+run again after a failure sees what it saw before and overwrites only its own
+folders. Every COMPACT batches the delta is the whole cache, and earlier ones
+are no longer read.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from assetclean.plans.enrich import enrich
+from assetclean.plans.enrich import csv_writer, enrich
 from assetclean.sources import caches
 
+COMPACT = 16
+CACHES = {
+    "types": ("type_key", ["type_key", "device_type", "probable_typo", "confidence"]),
+    "dates": ("date_key", ["date_key", "date", "confidence"]),
+    "manufacturers": ("mfr_key", ["mfr_key", "manufacturer"]),
+}
 
-def _latest(spark: SparkSession, root: str) -> DataFrame | None:
-    """Newest complete cache version under ``root`` (``v<batch>`` dirs with _SUCCESS)."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
-        return None
-    versions = []
-    for st in fs.listStatus(jvm_path):
-        name = st.getPath().getName()
-        if name.startswith("v") and name[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            versions.append(int(name[1:]))
-    if not versions:
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def finished(spark: SparkSession, state_dir: str, before: int) -> list[int]:
+    """Ids below ``before`` whose marker is there, in order."""
+    fs, done = _fs(spark, os.path.join(state_dir, "done"))
+    if not fs.exists(done):
+        return []
+    names = (st.getPath().getName() for st in fs.listStatus(done))
+    return sorted(int(n) for n in names if n.isdigit() and int(n) < before)
+
+
+def cache_before(spark: SparkSession, state_dir: str, name: str, batch_id: int) -> DataFrame | None:
+    """The cache as batch ``batch_id`` must see it: of each key the entry of
+    the latest batch, from the last whole version on."""
+    ids = finished(spark, state_dir, batch_id)
+    whole = max((i for i in ids if i % COMPACT == 0), default=None)
+    ids = [i for i in ids if whole is None or i >= whole]
+    if not ids:
         return None
-    return spark.read.parquet(os.path.join(root, f"v{max(versions)}"))
+    key, columns = CACHES[name]
+    paths = [os.path.join(state_dir, name, f"batch={i}") for i in ids]
+    rows = spark.read.option("basePath", os.path.join(state_dir, name)).parquet(*paths)
+    if len(ids) == 1:
+        return rows.select(*columns)
+    latest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("batch")))
+    return rows.withColumn("_n", latest).where(F.col("_n") == 1).select(*columns)
 
 
 def process_batch(df: DataFrame, batch_id: int, out_dir: str, state_dir: str) -> None:
     spark = df.sparkSession
     raw = df.withColumn("_ord", F.monotonically_increasing_id())
-    types = _latest(spark, os.path.join(state_dir, "types"))
-    dates = _latest(spark, os.path.join(state_dir, "dates"))
-    res = enrich(raw, types=types, dates=dates)
-    res.enriched.drop("_ord").write.mode("overwrite").option("header", True).csv(os.path.join(out_dir, f"batch={batch_id}"))
-    caches.write_cache(res.types.select("type_key", "device_type", "probable_typo", "confidence"), os.path.join(state_dir, "types", f"v{batch_id}"))
-    caches.write_cache(res.dates.select("date_key", "date", "confidence"), os.path.join(state_dir, "dates", f"v{batch_id}"))
+    before = {name: cache_before(spark, state_dir, name, batch_id) for name in CACHES}
+    res = enrich(raw, types=before["types"], dates=before["dates"], mfr_cache=before["manufacturers"])
+    csv_writer(res.enriched.drop("_ord")).csv(os.path.join(out_dir, f"batch={batch_id}"))
+    for name, (key, columns) in CACHES.items():
+        after = getattr(res, name).select(*columns)
+        if batch_id % COMPACT and before[name] is not None:  # what is new or changed
+            old = before[name].select(*columns)
+            after = after.join(old, [after[c].eqNullSafe(old[c]) for c in columns], "left_anti")
+        caches.write_cache(after, os.path.join(state_dir, name, f"batch={batch_id}"))
+    fs, marker = _fs(spark, os.path.join(state_dir, "done", str(batch_id)))
+    fs.create(marker, True).close()
 
 
 def start(
@@ -58,7 +87,8 @@ def start(
 ) -> StreamingQuery:
     """Start the incremental job over CSV files arriving in ``input_dir``.
     One file per micro-batch, so each file is one run."""
-    stream = spark.readStream.option("header", True).option("maxFilesPerTrigger", 1).schema(schema).csv(input_dir)
+    stream = spark.readStream.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+    stream = stream.option("maxFilesPerTrigger", 1).schema(schema).csv(input_dir)
     w = stream.writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, out_dir, state_dir)).option(
         "checkpointLocation", checkpoint_dir
     )

@@ -233,22 +233,23 @@ mfgs AS (SELECT g_mfg, min(_ord) AS mfg_ord, arg_min(w_mfg, _ord) AS orig_mfg FR
 grp AS (SELECT gr.*, m.mfg_ord, m.orig_mfg FROM groups gr JOIN mfgs m USING (g_mfg)),
 gk AS (SELECT * FROM (SELECT *, regexp_replace(g_model, '[^a-z0-9]', '', 'g') AS norm_key FROM grp) t WHERE norm_key <> ''),
 m1r AS (SELECT *, row_number() OVER (PARTITION BY g_mfg, norm_key ORDER BY n_rows DESC, first_ord) AS rn,
+               min(first_ord) OVER (PARTITION BY g_mfg, norm_key) AS npos,
                count(*) OVER (PARTITION BY g_mfg, norm_key) AS nvar FROM gk),
 m1 AS (SELECT r.g_mfg, r.g_model, r.orig_model AS original, d.orig_model AS corrected, r.orig_mfg AS manufacturer, 'spacing' AS kind,
    CAST(NULL AS INTEGER) AS distance,
    printf('Standardized model spelling ''%s'' to match dominant variant ''%s'' for manufacturer ''%s''', r.orig_model, d.orig_model, r.orig_mfg) AS reason,
-   1 AS phase
+   1 AS phase, [CAST(r.mfg_ord AS BIGINT), 1, r.npos, r.rn] AS lp
    FROM m1r r JOIN m1r d ON r.g_mfg = d.g_mfg AND r.norm_key = d.norm_key AND d.rn = 1 WHERE r.nvar > 1 AND r.rn > 1),
 keys AS (SELECT g_mfg, norm_key, sum(n_rows) AS cnt, min(first_ord) AS pos, arg_min(orig_model, first_ord) AS first_variant FROM gk GROUP BY g_mfg, norm_key),
 pairs AS (SELECT s.g_mfg, s.norm_key AS s_key, b.first_variant AS target, CAST(levenshtein(s.norm_key, b.norm_key) AS INTEGER) AS dist,
    least(s.pos, b.pos) AS pi, greatest(s.pos, b.pos) AS pj
    FROM keys s JOIN keys b ON s.g_mfg = b.g_mfg WHERE s.cnt <= 2 AND b.cnt >= 5 AND levenshtein(s.norm_key, b.norm_key) BETWEEN 1 AND 2),
-best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY g_mfg, s_key ORDER BY pi DESC, pj DESC) = 1),
+best AS (SELECT *, min(pi) OVER (PARTITION BY g_mfg, s_key) AS first_i FROM pairs QUALIFY row_number() OVER (PARTITION BY g_mfg, s_key ORDER BY pi DESC, pj DESC) = 1),
 m2 AS (SELECT k.g_mfg, k.g_model, k.orig_model AS original, b.target AS corrected, k.orig_mfg AS manufacturer, 'typo' AS kind, b.dist AS distance,
    printf('Corrected spelling typo ''%s'' to dominant model ''%s'' for manufacturer ''%s'' (Levenshtein distance: %d)', k.orig_model, b.target, k.orig_mfg, b.dist) AS reason,
-   2 AS phase
+   2 AS phase, [CAST(k.mfg_ord AS BIGINT), 2, b.first_i, k.first_ord] AS lp
    FROM best b JOIN gk k ON k.g_mfg = b.g_mfg AND k.norm_key = b.s_key),
-mc AS (SELECT * EXCLUDE (phase) FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2) u
+mc AS (SELECT * EXCLUDE (phase) REPLACE (min(lp) OVER (PARTITION BY g_mfg, g_model) AS lp) FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2) u
    QUALIFY row_number() OVER (PARTITION BY g_mfg, g_model ORDER BY phase DESC) = 1),
 r2 AS (SELECT *, upper(regexp_extract(clean, '^([A-Za-z]+)', 1)) AS prefix, regexp_matches(sn, '^\\(\\d+\\)') AS paren, length(clean) AS len
    FROM (SELECT g_mfg, g_model, _ord AS o, w_sn AS sn, regexp_replace(w_sn, '^\\(\\d+\\)\\s*', '') AS clean FROM g WHERE w_sn <> '') t),
@@ -262,22 +263,23 @@ ls AS (SELECT g_mfg, g_model, len AS dom_len, c AS dom_len_cnt FROM
 st AS (SELECT gs.*, ps.dom_prefix, ps.dom_cnt, ls.dom_len, ls.dom_len_cnt, grp.orig_mfg, grp.orig_model, grp.mfg_ord, grp.first_ord
    FROM gs LEFT JOIN ps USING (g_mfg, g_model) LEFT JOIN ls USING (g_mfg, g_model) JOIN grp USING (g_mfg, g_model) WHERE gs.n >= 3),
 ents AS (
-   SELECT r2.sn, 1 AS rnk, 'prefix' AS kind, regexp_extract(r2.sn, '^(\\(\\d+\\)\\s*)', 1) || st.dom_prefix || r2.clean AS corrected,
+   SELECT r2.sn, r2.o, 1 AS rnk, 'prefix' AS kind, regexp_extract(r2.sn, '^(\\(\\d+\\)\\s*)', 1) || st.dom_prefix || r2.clean AS corrected,
      printf('Prepended missing dominant prefix ''%s'' to serial ''%s'' to match dominant format under ''%s'' (model: ''%s'')', st.dom_prefix, r2.sn, st.orig_mfg, st.orig_model) AS reason,
      st.orig_mfg, st.orig_model, st.mfg_ord, st.first_ord
    FROM r2 JOIN st USING (g_mfg, g_model)
    WHERE st.dom_prefix IS NOT NULL AND CAST(st.dom_cnt AS DOUBLE) / st.n >= 0.6 AND NOT starts_with(upper(r2.clean), st.dom_prefix)
    UNION ALL
-   SELECT r2.sn, 2, 'paren', r2.clean,
+   SELECT r2.sn, r2.o, 2, 'paren', r2.clean,
      printf('Stripped unexpected prefix ''%s'' from serial ''%s'' for manufacturer ''%s''', regexp_extract(r2.sn, '^(\\(\\d+\\))', 1), r2.sn, st.orig_mfg),
      st.orig_mfg, st.orig_model, st.mfg_ord, st.first_ord
    FROM r2 JOIN st USING (g_mfg, g_model) WHERE st.pc > 0 AND st.pc <= 2 AND st.n - st.pc >= 3 AND r2.paren
    UNION ALL
-   SELECT r2.sn, 3, 'length', r2.sn,
+   SELECT r2.sn, r2.o, 3, 'length', r2.sn,
      printf('Serial length mismatch (%d chars vs dominant length of %d chars) for ''%s'' (model: ''%s'')', r2.len, st.dom_len, st.orig_mfg, st.orig_model),
      st.orig_mfg, st.orig_model, st.mfg_ord, st.first_ord
    FROM r2 JOIN st USING (g_mfg, g_model) WHERE CAST(st.dom_len_cnt AS DOUBLE) / st.n >= 0.7 AND r2.len <> st.dom_len),
-sc AS (SELECT sn, corrected, orig_mfg AS manufacturer, orig_model AS model, kind, reason FROM ents
+sc AS (SELECT sn, corrected, orig_mfg AS manufacturer, orig_model AS model, kind, reason,
+   min([CAST(mfg_ord AS BIGINT), first_ord, rnk, o]) OVER (PARTITION BY sn) AS lp FROM ents
    QUALIFY row_number() OVER (PARTITION BY sn ORDER BY (rnk < 3) DESC,
      CASE WHEN rnk < 3 THEN mfg_ord ELSE -mfg_ord END DESC, CASE WHEN rnk < 3 THEN first_ord ELSE -first_ord END DESC, rnk DESC) = 1),
 fx1 AS (SELECT g.*, mc.corrected AS _mc FROM g LEFT JOIN mc USING (g_mfg, g_model)),
@@ -375,7 +377,7 @@ ORACLE_SQL: dict[str, str] = {
         f"""SELECT coalesce(t.type_key, o.type_key) AS type_key, coalesce(o.device_type, t.device_type) AS device_type,
         coalesce(t.probable_typo, false) AS probable_typo, t.confidence
         FROM type_cache t FULL OUTER JOIN
-        (SELECT lower({trimx('key')}) AS type_key, last(device_type) AS device_type FROM type_overrides GROUP BY 1) o USING (type_key)"""
+        (SELECT lower({trimx('key')}) AS type_key, arg_max(device_type, seq) AS device_type FROM type_overrides GROUP BY 1) o USING (type_key)"""
     ),
     "rules_table": _sql(
         """SELECT type_key, split_part(type_key, '|', 1) AS manufacturer,
@@ -522,23 +524,38 @@ ORACLE_SQL.update(
         ),
         "sort_page": _full("SELECT * FROM enriched ORDER BY lower(coalesce(model, '')) DESC, _ord LIMIT 15 OFFSET 30"),
         "typo_report": _full(
-            f"""SELECT line FROM (
-            SELECT printf('Manufacturer: %s | Model: %s (Flagged as probable typo)', upper(split_part(type_key, '|', 1)),
+            f"""SELECT row_number() OVER (ORDER BY s, lp, t) AS line_no, line FROM (
+            SELECT 1 AS s, [CAST(0 AS BIGINT)] AS lp, type_key AS t,
+              printf('Manufacturer: %s | Model: %s (Flagged as probable typo)', upper(split_part(type_key, '|', 1)),
               upper(CASE WHEN strpos(type_key, '|') > 0 THEN substr(type_key, strpos(type_key, '|') + 1) ELSE '' END)) AS line
               FROM types_after WHERE probable_typo
-            UNION ALL SELECT 'Model Inconsistency: ' || reason FROM mc) b
-            UNION ALL SELECT CASE WHEN (SELECT count(*) FROM types_after WHERE probable_typo) + (SELECT count(*) FROM mc) > 0
-              THEN {q(R.TYPO_HEADER)} ELSE {q(R.TYPO_NONE)} END"""
+            UNION ALL SELECT 2, lp, '', 'Model Inconsistency: ' || reason FROM mc
+            UNION ALL SELECT -1, [0], '', '' WHERE (SELECT count(*) FROM types_after WHERE probable_typo) + (SELECT count(*) FROM mc) > 0
+            UNION ALL SELECT -2, [0], '', CASE WHEN (SELECT count(*) FROM types_after WHERE probable_typo) + (SELECT count(*) FROM mc) > 0
+              THEN {q(R.TYPO_HEADER)} ELSE {q(R.TYPO_NONE)} END) b"""
         ),
         "corrections_report": _full(
-            f"""SELECT {q(R.MODEL_SECTION)} AS line WHERE (SELECT count(*) FROM mc) > 0
-            UNION ALL SELECT '- ' || reason FROM mc
-            UNION ALL SELECT '' WHERE (SELECT count(*) FROM mc) > 0
-            UNION ALL SELECT {q(R.SERIAL_SECTION)} WHERE (SELECT count(*) FROM sc) > 0
-            UNION ALL SELECT CASE WHEN corrected <> sn
+            f"""SELECT row_number() OVER (ORDER BY s, lp) AS line_no, line FROM (
+            SELECT -2 AS s, [CAST(0 AS BIGINT)] AS lp, CASE WHEN (SELECT count(*) FROM mc) + (SELECT count(*) FROM sc) > 0
+              THEN {q(R.CORR_HEADER)} ELSE {q(R.CORR_NONE)} END AS line
+            UNION ALL SELECT -1, [0], '' WHERE (SELECT count(*) FROM mc) + (SELECT count(*) FROM sc) > 0
+            UNION ALL SELECT 0, [0], {q(R.MODEL_SECTION)} WHERE (SELECT count(*) FROM mc) > 0
+            UNION ALL SELECT 1, lp, '- ' || reason FROM mc
+            UNION ALL SELECT 2, [0], '' WHERE (SELECT count(*) FROM mc) > 0
+            UNION ALL SELECT 3, [0], {q(R.SERIAL_SECTION)} WHERE (SELECT count(*) FROM sc) > 0
+            UNION ALL SELECT 4, lp, CASE WHEN corrected <> sn
               THEN printf('- Corrected serial ''%s'' to ''%s'' for manufacturer ''%s'' (model ''%s''): %s', sn, corrected, manufacturer, model, reason)
               ELSE printf('- Serial formatting mismatch noted for ''%s'' under ''%s'' (model ''%s''): %s', sn, manufacturer, model, reason) END
-            FROM sc"""
+            FROM sc) b"""
+        ),
+        "mfr_cache_upsert": _full(
+            """, nm AS (SELECT lower(w_model) || '|' || lower(w_sn) AS mfr_key, arg_min(w_mfg, _ord) AS manufacturer FROM inferred
+              WHERE mfg_source IN ('cache', 'rules', 'external') AND w_mfg <> 'Unknown Manufacturer' GROUP BY 1)
+            SELECT * FROM nm UNION ALL SELECT mfr_key, manufacturer FROM mfr_cache WHERE mfr_key NOT IN (SELECT mfr_key FROM nm)"""
+        ),
+        "profile_summary": _sql(
+            """SELECT count(*) AS pairs, CAST(sum(n) AS BIGINT) AS rows FROM
+            (SELECT manufacturer, model, count(*) AS n FROM inventory GROUP BY manufacturer, model) t"""
         ),
         "resolver_batches": _ext("SELECT * FROM batches"),
         "consensus_dates": _ext("SELECT * FROM cd"),
@@ -571,6 +588,8 @@ ORACLE_SQL.update(
         "run_summary": _full(
             """SELECT 'input_rows' AS metric, CAST(count(*) AS BIGINT) AS value FROM inventory
             UNION ALL SELECT 'rows_written', CAST(count(*) AS BIGINT) FROM fin
+            UNION ALL SELECT 'duplicates_removed', CAST((SELECT count(*) FROM inventory) - (SELECT count(*) FROM fin) AS BIGINT)
+            UNION ALL SELECT 'typo_items_flagged', CAST((SELECT count(*) FROM types_after WHERE probable_typo) + (SELECT count(*) FROM mc) AS BIGINT)
             UNION ALL SELECT 'manufacturers_resolved', CAST(count_if(mfg_source IN ('cache', 'rules', 'external')) AS BIGINT) FROM fin"""
         ),
         "part_dedup": _part("SELECT _ord, manufacturer, model, serial_number FROM dedup"),

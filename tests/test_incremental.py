@@ -25,6 +25,37 @@ def test_two_runs_share_caches(spark):
     assert out0.count() == 3 and out1.count() == 2
     got = {r["serial number"]: r.manufactured_date for r in out1.collect()}
     assert got == {"M192824": "2019-01-01", "2017006701271": "2017-01-01"}
-    d1 = spark.read.parquet(os.path.join(root, "state", "dates", "v1"))
-    keys = {r.date_key for r in d1.collect()}
+    state = os.path.join(root, "state")
+    keys = {r.date_key for r in incremental.cache_before(spark, state, "dates", 2).collect()}
     assert "masimo|rad8|m192825" in keys and "stryker|1115|2017006701271" in keys
+    delta = spark.read.parquet(os.path.join(state, "dates", "batch=1"))
+    assert {r.date_key for r in delta.collect()} == {"stryker|1115|2017006701271"}
+
+
+def test_a_batch_run_again_sees_what_it_saw_before(spark, tmp_path, monkeypatch):
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    one = spark.createDataFrame([("Masimo", "RAD8", "M192824"), ("", "RAD8", "M191111")], SCHEMA)
+    two = spark.createDataFrame([("", "RAD8", "M191111"), ("", "RAD8", "M192222")], SCHEMA)
+    incremental.process_batch(one, 0, out, state)
+    write = incremental.caches.write_cache
+    calls = []
+
+    def failing(df, path):
+        calls.append(path)
+        if len(calls) == 2:
+            raise RuntimeError("lost between two writes")
+        write(df, path)
+
+    monkeypatch.setattr(incremental.caches, "write_cache", failing)
+    try:
+        incremental.process_batch(two, 1, out, state)
+    except RuntimeError:
+        pass
+    monkeypatch.setattr(incremental.caches, "write_cache", write)
+    assert incremental.finished(spark, state, 9) == [0]
+    incremental.process_batch(two, 1, out, state)
+    assert incremental.finished(spark, state, 9) == [0, 1]
+    mfr = {r.mfr_key: r.manufacturer for r in incremental.cache_before(spark, state, "manufacturers", 2).collect()}
+    assert mfr == {"rad8|m191111": "Masimo", "rad8|m192222": "Masimo"}
+    dates = incremental.cache_before(spark, state, "dates", 2).groupBy("date_key").count().where("count > 1").count()
+    assert dates == 0

@@ -81,7 +81,7 @@ def test_golden_typo_report(spark):
     res = enrich(raw, types=types)
     got = [r.line for r in R.typo_report(res.types, res.corrections.models).orderBy("line_pos").collect()]
     exp = open(os.path.join(FIX, "expected_typos.txt")).read().rstrip("\n").split("\n")
-    assert got[0] == R.TYPO_HEADER and got[1:] == exp
+    assert got == exp
     m = {r.device_type: r.percentage for r in type_metrics(res.enriched).collect()}
     assert m["Dermatoscope"] == 0.12  # 1 of 800, half-even
     assert res.enriched.count() == 800
@@ -92,6 +92,8 @@ def test_golden_profile(spark):
     p = profile_groups(raw, "manufacturer", "model", "serial number")
     assert p.count() == 55
     text = open(os.path.join(FIX, "expected_profile.txt")).read()
+    lines = [r.line for r in R.profile_report(p).orderBy("line_pos").collect()]
+    assert "\n".join(lines).rstrip("\n") == text.rstrip("\n")
     for r in p.collect():
         assert f"Manufacturer: {r.manufacturer} | Model: {r.model}\n  Total count: {r.total}\n" in text
         assert f"(first 10): {r.first_serials!r}" in text
