@@ -12,14 +12,15 @@ components of the links.
    dropped.
 3. Answers of leaders: in a list sorted by size, the first set leads those
    that its size and position allow; each set is also tried with the one
-   before it, and once more with its neighbours in another order. Each pair is
-   verified by exact overlap, and the links found join sets into groups.
+   before it, and with some neighbours in an order by hash. Pairs whose parity
+   sketches prove them too far apart go; each other pair is verified by exact
+   overlap, and the links found join sets into groups.
 4. Answers of members: a set that is linked to others takes over their
    answers, so only pairs of different groups are left. They are found in the
    lists by blocks of equal (size, position): blocks that cannot reach the
    overlap are skipped whole, and so are lists of a single group. What passes
-   is verified by exact overlap, too; with it every link is found or lies
-   inside a group.
+   these and the sketches is verified by exact overlap, too; with it every
+   link is found or lies inside a group.
 
 Equal sets are one node (by a 64-bit digest of the set), so copies are never
 paired. Shingles are 64-bit hashes; exactness is up to collisions of these.
@@ -39,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,46 +50,97 @@ WORDS = 5
 PERCENT = 80
 COUNTER_BITS = 18
 BITMAP_BITS = 24
-#: orders in which neighbours of a list are tried before all open pairs are
-SALTS = (0x5BD1E995,)
+#: each set of a list is tried with so many before it in an order by hash
+NEIGHBOURS = 3
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
+IS_WORD = np.ones(256, np.int8)
+IS_WORD[list(SPACES)] = 0
+BASE = 0x2545F4914F6CDD1D
+BYTE_CODES = np.array([xxhash.xxh64_intdigest(bytes([i])) for i in range(256)], np.uint64)
+POWERS = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
+SEGMENT = 1 << 20
+SKETCH_BITS = 1024
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 OUT_ROWS = 1 << 18
+PAIRS_AT_ONCE = 1 << 14
 #: (node, part) rows that may be broadcast, some 50 bytes each
 BROADCAST_ROWS = 1_000_000
 
 
-class WordHashes(dict):
-    """64-bit hash of a word; starts afresh when large, so memory is bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def spread(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of UTF-8 text: differences of a running sum
+    of byte codes times powers of BASE, shifted back by the inverse power."""
+    if len(raw) > SEGMENT:  # in parts that end at white space, so memory stays small
+        parts, at = [], 0
+        while at < len(raw):
+            end = min(at + SEGMENT, len(raw))
+            while end < len(raw) and raw[end] not in SPACES:
+                end += 1
+            if end - at > 2 * SEGMENT:  # one word longer than a part
+                parts.append(np.array([xxhash.xxh64_intdigest(w) for w in raw[at:end].split()], np.uint64))
+            else:
+                parts.append(word_hashes_of(raw[at:end]))
+            at = end
+        return np.concatenate(parts)
+    return word_hashes_of(raw)
+
+
+def word_hashes_of(raw: bytes) -> np.ndarray:
+    codes = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(codes) + 2, np.int8)
+    inside[1:-1] = IS_WORD[codes]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    power, inverse = powers(len(codes))
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(BYTE_CODES[codes] * power[: len(codes)], out=total[1:])
+    return spread((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse modulo 2^64, n at least."""
+    if len(POWERS[0]) < n:
+        size = 1 << max(16, n.bit_length())
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            factors = np.full(size, base, np.uint64)
+            factors[0] = 1
+            POWERS[k] = np.cumprod(factors)
+    return POWERS[0], POWERS[1]
+
+
+def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct shingle hashes (uint64); empty without words."""
-    words = (text or "").encode().translate(LOWER).split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
+    raw = (text or "").encode().translate(LOWER)
+    w = word_hashes(raw) if raw else np.zeros(0, np.uint64)
+    n = len(w)
     if n < WORDS:
-        return spread((w * MULTIPLIERS[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n))
+        return spread((w * MULTIPLIERS[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n)) if n else w
     h = w[: n - 4] * MULTIPLIERS[0]
     for k in range(1, WORDS):
         h = h + w[k : n - 4 + k] * MULTIPLIERS[k]
     return np.unique(spread(h))
 
 
+def parity(s: np.ndarray) -> bytes:
+    """For each of SKETCH_BITS slots whether the set has an odd number of
+    hashes there. Two sets differ in at least as many elements as their
+    parities differ in bits."""
+    odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def most_apart(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Most elements in which linked sets of these sizes can differ."""
+    return na + nb - 2 * needed(na, nb)
+
+
 def digest(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
@@ -108,31 +160,34 @@ def _new(node: int, seen: set[int]) -> bool:
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text) -> (key, node, n) for each row, and at the end of the task
-    its counters (slot, count) with node null."""
-    hashes, seen = WordHashes(), set()
+    """(key, text) -> (key, node, n, parity) for each row (the parity once a
+    task and node), and at the end of the task its counters (slot, count) with
+    node null."""
+    seen: set[int] = set()
     counts = np.zeros(1 << COUNTER_BITS, np.int64)
-    names = ["key", "node", "n", "slot", "count"]
+    names = ["key", "node", "n", "parity", "slot", "count"]
     for b in batches:
-        nodes, sizes, slots = [], [], []
+        nodes, sizes, slots, parities = [], [], [], []
         for text in b.column(1):
-            s = shingle_set(text.as_py(), hashes)
+            s = shingle_set(text.as_py())
             nodes.append(digest(s) if len(s) else None)
             sizes.append(len(s))
+            parities.append(None)
             if len(s) and _new(nodes[-1], seen):
+                parities[-1] = parity(s)
                 slots.append((s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64))
         if slots:
             counts += np.bincount(np.concatenate(slots), minlength=len(counts))
         none = pa.nulls(len(nodes), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), none, none], names)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parities, pa.binary()), none, none], names)
     full = np.flatnonzero(counts)
     none = pa.nulls(len(full), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(full), pa.array(counts[full])], names)
+    yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(full), pa.binary()), pa.array(full), pa.array(counts[full])], names)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """text -> (token, node, size, pos): the prefix of each set."""
-    hashes, seen = WordHashes(), set()
+    seen: set[int] = set()
     tokens, rows, held = [], [], 0
     names = ["token", "node", "size", "pos"]
 
@@ -143,7 +198,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator
 
     for b in batches:
         for text in b.column(0):
-            s = shingle_set(text.as_py(), hashes)
+            s = shingle_set(text.as_py())
             n = len(s)
             if not n or not _new(node := digest(s), seen):
                 continue
@@ -171,6 +226,12 @@ def may_link(na, i, nb, j):
     return (100 * small >= PERCENT * large) & (1 + np.minimum(na - i - 1, nb - j - 1) >= needed(na, nb))
 
 
+def _may_link(na: Column, i: Column, nb: Column, j: Column) -> Column:
+    """:func:`may_link` for columns."""
+    close = 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
+    return close & ((100 + PERCENT) * F.least(na - i, nb - j) >= PERCENT * (na + nb))
+
+
 def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (token, size, node) -> those whose list has several sets,
     each with the set that leads it (null for leaders) and the one before it
@@ -225,61 +286,56 @@ def _leads(leader: tuple, size: int, pos: int) -> bool:
     return 100 * n >= PERCENT * size and 1 + min(n - i - 1, size - pos - 1) >= -(-PERCENT * (n + size) // (100 + PERCENT))
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch], salt: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Rows (token, node, size, pos, part) sorted by token -> pairs of nodes of
-    different parts that may link: all of them, or with a salt only those next
-    to each other in an order by salted hash."""
+def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, node, size, pos, part, parity) sorted by token -> pairs of
+    nodes of different parts that may link by size, position and parity. Holds
+    one batch and the rows of one list."""
     held: list[list[np.ndarray]] = []
-    names = ["a", "b", "na", "nb"]
     found: list[np.ndarray] = []
 
     def out() -> Iterator[pa.RecordBatch]:
         if found:
             p = np.unique(np.concatenate(found, axis=1), axis=1)
             found.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in p], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in p], ["a", "b"])
+
+    def keep(c: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> None:
+        """Pairs of rows x, y that pass what the list knows of them."""
+        _, node, size, pos, part, bits = c
+        ok = (part[x] != part[y]) & may_link(size[x], pos[x], size[y], pos[y])
+        x, y = x[ok], y[ok]
+        ok = near(bits[x], bits[y], size[x], size[y])
+        x, y = node[x[ok]], node[y[ok]]
+        if len(x):
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+
+    def blocks(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((c[3], c[2]))
+        c = [x[order] for x in c]
+        _, _, size, pos, _, _ = c
+        first = np.flatnonzero(np.concatenate(([True], (size[1:] != size[:-1]) | (pos[1:] != pos[:-1]))))
+        ends = np.append(first[1:], len(order))
+        of = np.repeat(np.arange(len(first)), ends - first)
+        for k, (at, end) in enumerate(zip(first.tolist(), ends.tolist(), strict=True)):
+            reach = may_link(size[first[k:]], pos[first[k:]], size[at], pos[at])  # whole blocks are skipped
+            y = at + np.flatnonzero(reach[of[at:] - k])
+            for x in range(at, end):
+                for part in range(0, len(y), PAIRS_AT_ONCE):
+                    z = y[part : part + PAIRS_AT_ONCE]
+                    z = z[z > x]
+                    keep(c, np.full(len(z), x), z)
+            if len(found) >= 2048:
+                yield from out()
 
     def work(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate(([True], c[0][1:] != c[0][:-1])))
         ends = np.append(starts[1:], len(c[0]))
-        mixed = np.minimum.reduceat(c[4], starts) != np.maximum.reduceat(c[4], starts)
-        for s, e in zip(starts[mixed], ends[mixed], strict=True):
-            if salt is None:
-                yield from list_pairs(*(x[s:e] for x in c[1:]))
-            else:
-                neighbours(*(x[s:e] for x in c[1:]))
+        for s, e in zip(starts, ends, strict=True):
+            yield from blocks([x[s:e] for x in c])
         yield from out()
 
-    def neighbours(node, size, pos, part) -> None:
-        order = np.argsort(spread(node.view(np.uint64) ^ np.uint64(salt)))
-        x, y = order[:-1], order[1:]
-        ok = (part[x] != part[y]) & may_link(size[x], pos[x], size[y], pos[y])
-        x, y = x[ok], y[ok]
-        if len(x):
-            first = node[x] <= node[y]
-            found.append(np.stack([np.where(first, node[x], node[y]), np.where(first, node[y], node[x]), np.where(first, size[x], size[y]), np.where(first, size[y], size[x])]))
-
-    def list_pairs(node, size, pos, part) -> Iterator[pa.RecordBatch]:
-        # blocks of equal (size, position)
-        order = np.lexsort((pos, size))
-        node, size, pos, part = node[order], size[order], pos[order], part[order]
-        cut_at = np.flatnonzero(np.concatenate(([True], (size[1:] != size[:-1]) | (pos[1:] != pos[:-1]))))
-        ends = np.append(cut_at[1:], len(node))
-        for k in range(len(cut_at)):
-            n, i = size[cut_at[k]], pos[cut_at[k]]
-            for m in k + np.flatnonzero(may_link(size[cut_at[k:]], pos[cut_at[k:]], n, i)):
-                for x in range(cut_at[k], ends[k]):
-                    y = np.arange(max(x + 1, cut_at[m]) if m == k else cut_at[m], ends[m])
-                    y = y[part[y] != part[x]]
-                    if len(y):
-                        a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-                        first = node[x] <= node[y]
-                        found.append(np.stack([a, b, np.where(first, size[x], size[y]), np.where(first, size[y], size[x])]))
-                    if sum(f.shape[1] for f in found[-64:]) >= OUT_ROWS or len(found) >= 4096:
-                        yield from out()
-
     for b in batches:
-        c = [b.column(i).to_numpy().astype(np.int64) for i in range(5)]
+        c = [b.column(i).to_numpy().astype(np.int64) for i in range(5)] + [parities(b.column(5))]
         if held:
             c = [np.concatenate((h, x)) for h, x in zip(held.pop(), c, strict=True)]
         if not len(c[0]):
@@ -293,13 +349,30 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], salt: int | None = None) -> I
         yield from work(held.pop())
 
 
+def parities(column: pa.BinaryArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SKETCH_BITS // 64)
+
+
+def near(p: np.ndarray, q: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether sets with these parities and sizes may link."""
+    return np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) <= most_apart(na, nb)
+
+
+def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, na, nb, parity_a, parity_b) -> (a, b) that may link."""
+    for b in batches:
+        na, nb = b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy().astype(np.int64)
+        ok = near(parities(b.column(4)), parities(b.column(5)), na, nb) if len(na) else np.zeros(0, bool)
+        yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
     """text -> (node, set) of the nodes that the bitmap may hold."""
-    hashes, seen = WordHashes(), set()
+    seen: set[int] = set()
     nodes, sets, held = [], [], 0
     for b in batches:
         for text in b.column(0):
-            s = shingle_set(text.as_py(), hashes)
+            s = shingle_set(text.as_py())
             if not len(s):
                 continue
             node = digest(s)
@@ -378,8 +451,9 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     have a link."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    first = cut(rows.mapInArrow(_nodes, "key long, node long, n long, slot long, count long"), "nodes")
+    first = cut(rows.mapInArrow(_nodes, "key long, node long, n long, parity binary, slot long, count long"), "nodes")
     nodes = first.filter(F.col("slot").isNull()).select("key", "node", "n")
+    sketch = first.filter(F.col("parity").isNotNull()).groupBy("node").agg(F.first("parity").alias("parity"), F.first("n").alias("n"))
     counters = first.filter(F.col("slot").isNotNull()).groupBy("slot").agg(F.sum("count").alias("count")).toPandas()  # 2^18 at most
     counts = np.zeros(1 << COUNTER_BITS, np.int64)
     counts[counters["slot"].to_numpy(np.int64)] = counters["count"].to_numpy(np.int64)
@@ -387,25 +461,29 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     index = rows.select("text").mapInArrow(lambda b: _prefixes(b, order.value), "token long, node long, size int, pos int")
     lists = index.repartition("token").sortWithinPartitions("token", "size", "node")
     lists = cut(lists.mapInArrow(_shared_lists, "token long, node long, size int, pos int, leader long, before long"), "lists")
-    led = lists.select(F.explode(F.array("leader", "before")).alias("a"), F.col("node").alias("b")).filter(F.col("a").isNotNull())
-    links = verified(rows, _pairs(led), "led")
-    for salt in (*SALTS, None):
-        parts = components(links).select(F.col("node").alias("p_node"), "part")
-        marked = lists.join(parts, F.col("node") == F.col("p_node"), "left").select("token", "node", "size", "pos", F.coalesce("part", "node").alias("part"))
-        marked = marked.repartition("token").sortWithinPartitions("token")
-        left = marked.mapInArrow(lambda b, salt=salt: _open_pairs(b, salt), "a long, b long, na long, nb long")
-        links = links.union(verified(rows, _pairs(left), "left"))
+    by_hash = Window.partitionBy("token").orderBy(F.xxhash64("node"), "node")
+    other = [F.lag(F.struct("node", "size", "pos"), k).over(by_hash) for k in range(1, NEIGHBOURS + 1)]
+    near_by = [F.when(_may_link(F.col("size"), F.col("pos"), F.col(f"o{k}.size"), F.col(f"o{k}.pos")), F.col(f"o{k}.node")) for k in range(NEIGHBOURS)]
+    led = lists.withColumns({f"o{k}": o for k, o in enumerate(other)})
+    led = led.select(F.explode(F.array("leader", "before", *near_by)).alias("a"), F.col("node").alias("b")).filter(F.col("a").isNotNull())
+    led = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    a = sketch.select(F.col("node").alias("a"), F.col("parity").alias("parity_a"), F.col("n").alias("na"))
+    b = sketch.select(F.col("node").alias("b"), F.col("parity").alias("parity_b"), F.col("n").alias("nb"))
+    led = led.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "parity_a", "parity_b")
+    links = verified(rows, cut(led.mapInArrow(_near_pairs, "a long, b long"), "led"), "led")
+    parts = components(links).select(F.col("node").alias("p_node"), "part")
+    of = Window.partitionBy("token")
+    mixed = lists.join(parts, F.col("node") == F.col("p_node"), "left").select("token", "node", "size", "pos", F.coalesce("part", "node").alias("part"))
+    mixed = mixed.withColumns({"least": F.min("part").over(of), "most": F.max("part").over(of)}).filter("least < most")
+    mixed = mixed.join(sketch.select("node", "parity"), "node").select("token", "node", "size", "pos", "part", "parity")
+    left = mixed.repartition("token").sortWithinPartitions("token").mapInArrow(_open_pairs, "a long, b long").distinct()
+    links = links.union(verified(rows, cut(left, "open"), "open"))
     return nodes, cut(components(links), "parts")
 
 
-def _pairs(found: DataFrame) -> DataFrame:
-    return cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-
-
 def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for b in batches:
-        nodes = [digest(shingle_set(t.as_py(), hashes)) for t in b.column(2)]
+        nodes = [digest(shingle_set(t.as_py())) for t in b.column(2)]
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64())], [*b.schema.names, "node"])
 
 

@@ -211,7 +211,7 @@ def test_style_tree_on_pages(spark):
 
 
 def brute_components(docs):
-    sets = [set_join.shingle_set(t, set_join.WordHashes()) for _, t in docs]
+    sets = [set_join.shingle_set(t) for _, t in docs]
     sets = [set(s.tolist()) for s in sets]
     part = list(range(len(docs)))
 
@@ -286,18 +286,35 @@ def test_jaccard_matches_sql(spark, small, duck):
     assert got == sorted(duck(set_join.ORACLE, documents=duck_docs(small[0])))
 
 
-def test_pair_blocks_cover_every_link_across_batches():
+@pytest.mark.parametrize("step", [1, 7, 1000])
+def test_pair_blocks_cover_every_link_across_batches(step):
     import pyarrow as pa
 
     rng = np.random.default_rng(5)
-    rows = sorted((int(t), int(n), 40 + int(n) % 9, int(p)) for t, n, p in zip(rng.integers(0, 12, 400), rng.integers(0, 60, 400), rng.integers(0, 6, 400), strict=True))
-    rows = list({(t, n): (t, n, s, p, n % 7) for t, n, s, p in rows}.values())
-
-    def batches(step):
+    base = np.unique(rng.integers(0, 2**63, 60, dtype="u8"))
+    sets = {}
+    for n in range(60):
+        s = rng.choice(base, 40 + n % 12, replace=False)
+        sets[n] = np.unique(np.concatenate((s, rng.integers(0, 2**63, n % 5, dtype="u8"))))
+    rows = {(int(t), int(n)): int(p) for t, n, p in zip(rng.integers(0, 12, 400), rng.integers(0, 60, 400), rng.integers(0, 6, 400), strict=True)}
+    rows = sorted((t, n, len(sets[n]), p, n % 7) for (t, n), p in rows.items())
+
+    def batches():
         for at in range(0, len(rows), step):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + step], strict=True)], ["token", "node", "size", "pos", "part"])
-
-    want = {(min(a[1], b[1]), max(a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[4] != b[4] and set_join.may_link(np.int64(a[2]), a[3], np.int64(b[2]), b[3])}
-    for step in (1, 7, 1000):
-        got = {(a, b) for x in set_join._open_pairs(batches(step)) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)}
-        assert got == want
+            part = rows[at : at + step]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*part, strict=True)), pa.array([set_join.parity(sets[r[1]]) for r in part], pa.binary())], ["token", "node", "size", "pos", "part", "parity"])
+
+    may = {(min(a[1], b[1]), max(a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[4] != b[4] and set_join.may_link(np.int64(a[2]), a[3], np.int64(b[2]), b[3])}
+    links = {(i, j) for i, j in may if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - both)}
+    got = {(a, b) for x in set_join._open_pairs(batches()) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)}
+    assert links <= got <= may
+
+
+def test_word_hashes_over_parts(monkeypatch):
+    text = " ".join(f"wört{i % 50}" for i in range(400)) + " " + "x" * 5000 + " end"
+    whole = set_join.shingle_set(text)
+    monkeypatch.setattr(set_join, "SEGMENT", 64)
+    parts = [w for w in text.lower().encode().split()]
+    assert len(set_join.word_hashes(text.encode())) == len(parts)
+    monkeypatch.setattr(set_join, "SEGMENT", 3000)
+    assert (set_join.shingle_set(text) == whole).all()
