@@ -1,42 +1,62 @@
 """Language-model scoring by cross-entropy difference.
 
-Two n-gram models of characters are estimated from the whole corpus: one of
-the target documents, one of all documents as background. They are matched:
-one vocabulary of symbols, one order, one smoothing, and background counts
-scaled to the target's size. A document's score is its mean loss per token
-(bits) under the target model minus that under the background model; the lower
-it is, the more the document is like the target.
-
-Symbols are lower-case characters; every run of white space is one symbol,
-which also begins a document. The vocabulary holds the ``symbols`` - 2 most
-frequent other characters of all documents; what is rarer is the symbol
-"other". Vocabulary and counts cover every document. The models are tables of
-symbols ** order numbers: 2.6 million at the given sizes, whatever the corpus.
-p(w | h) is smoothed order by order: (count(h w) + PRIOR * p(w | shorter h)) /
-(count(h) + PRIOR).
-
-Defined results: null or empty text has 0 tokens and null losses; a key that
-is null or not among the target's is background alone; a target without text
-makes both models uniform, and all scores 0; repeated rows count as often as
-they occur and get equal scores; extra columns are ignored; empty tables give
-no rows.
+Two n-gram models of tokens are estimated from the whole corpus: one of the
+target documents, one of all documents as background. They are matched: one
+vocabulary, one order, one smoothing, and background counts scaled to the
+target's size. A document's score is its mean loss per token (bits) under the
+target model minus that under the background model; the lower it is, the more
+the document is like the target.
+
+Tokens are lower-case runs of letters and digits, single other characters, and
+single characters of scripts that are written without spaces. Every token of
+the corpus is in the vocabulary. Pairs of neighbours (the first token follows a
+begin mark) are counted a chunk of text at a time and summed by pair; the sums,
+and the model made from them, are Parquet tables that grow with the input.
+p(w | h) = (count(h w) + PRIOR * p(w)) / (count(h) + PRIOR), and p(w) =
+(count(w) + PRIOR / size of the vocabulary) / (count of tokens + PRIOR).
+
+The most frequent pairs, FREQUENT at most, are looked up in each task; all
+others are joined by pair. One of these occurs less than 2 * tokens / FREQUENT
+times, so no pair makes a hot task. Joins of pairs with words are salted. Tokens
+and pairs are 64-bit hashes; sums are exact up to collisions of these.
+
+With ``symbols``, the models are of characters: a table of symbols ** order
+numbers over the ``symbols`` - 2 most frequent ones, white space and "other".
+op6 does not use it.
+
+Defined results: null text or text of white space alone has 0 tokens and null
+losses; a key that is null or not among the target's is background alone; a
+target without text makes both models uniform, and all scores 0; repeated rows
+count as often as they occur and get equal scores; extra columns are ignored;
+empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
-SYMBOLS = 40
 ORDER = 4
 PRIOR = 20.0
 CHUNK = 1 << 20
+#: pairs that each task holds, 24 bytes each
+FREQUENT = 1 << 19
+#: (word, counts) rows that may be broadcast, some 60 bytes each
+BROADCAST_WORDS = 1_000_000
+SALTS = 16
+#: scripts without spaces: Thai to Myanmar, Khmer, CJK and kana
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"[^\W_{UNSPACED}]+|\S")
+SPACE = re.compile(r"\s")
 #: target keys are broadcast up to so many (16 MB), and joined beyond
 BROADCAST_KEYS = 1_000_000
 
@@ -111,7 +131,7 @@ def losses(counts: np.ndarray, symbols: int, order: int, prior: float = PRIOR) -
     return (-np.log2(p)).astype(np.float32).reshape(-1)
 
 
-def fit(rows: DataFrame, symbols: int = SYMBOLS, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit(rows: DataFrame, symbols: int, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """rows (text, target boolean) -> (symbol of each code point, losses of
     the target model, losses of the background model)."""
     context = rows.sparkSession.sparkContext
@@ -131,7 +151,149 @@ def fit(rows: DataFrame, symbols: int = SYMBOLS, order: int = ORDER) -> tuple[np
     return symbol, losses(target, symbols, order), losses(every, symbols, order)
 
 
-def score(docs: DataFrame, target_keys: DataFrame, key: str = "doc_id", text: str = "text", symbols: int = SYMBOLS, order: int = ORDER) -> DataFrame:
+class Hashes(dict):
+    """64-bit hashes of tokens, remembered."""
+
+    def __missing__(self, token: str) -> int:
+        h = self[token] = xxhash.xxh3_64_intdigest(token.encode()) or 1
+        return h
+
+
+def token_hashes(text: str, known: Hashes) -> np.ndarray:
+    """Hashes of a text's tokens (0 is the begin mark). Long texts go in parts
+    that end at white space."""
+    parts, at = [], 0
+    while at < len(text):
+        space = SPACE.search(text, at + CHUNK)
+        end = space.end() if space else len(text)
+        found = TOKEN.findall(text[at:end].lower())
+        if len(known) > 1_000_000:
+            known.clear()
+        parts.append(np.fromiter(map(known.__getitem__, found), np.uint64, len(found)))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def texts_of(column: pa.Array, known: Hashes) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, token counts, tokens before, tokens) of some texts with some
+    CHUNK of tokens."""
+    places, held, size = [], [], 0
+
+    def out() -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        w = np.concatenate(held)
+        n = np.array([len(x) for x in held])
+        h = np.concatenate((np.zeros(1, np.uint64), w[:-1]))
+        h[np.cumsum(n)[:-1]] = 0
+        return places, n, h, w
+
+    for i, t in enumerate(column):
+        w = token_hashes(t.as_py() or "", known)
+        if len(w):
+            places.append(i)
+            held.append(w)
+            size += len(w)
+            if size >= CHUNK:
+                yield out()
+                places, held, size = [], [], 0
+    if places:
+        yield out()
+
+
+def pair_of(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return h ^ ((w << np.uint64(17)) | (w >> np.uint64(47)))
+
+
+def _pair_of(h: Column, w: Column) -> Column:
+    """:func:`pair_of` for columns."""
+    return h.bitwiseXOR(F.shiftleft(w, 17).bitwiseOR(F.shiftrightunsigned(w, 47)))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, target) -> (h, w, n of the target, n of all)."""
+    known = Hashes()
+    for b in batches:
+        target = b.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+        for places, n, h, w in texts_of(b.column(0), known):
+            _, first, of = np.unique(pair_of(h, w), return_index=True, return_inverse=True)
+            mine = np.bincount(of, np.repeat(target[places], n)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(mine), pa.array(np.bincount(of))], ["h", "w", "target", "every"])
+
+
+def with_counts(pairs: DataFrame, words: DataFrame, side: str, other: str, broadcast: bool) -> DataFrame:
+    """``pairs`` with the counts of the words at ``side``, by a broadcast or a
+    salted join."""
+    if broadcast:
+        return pairs.join(F.broadcast(words), F.col(side) == F.col("token")).drop("token")
+    salted = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pairs.join(salted, (F.col(side) == F.col("token")) & (F.pmod(F.col(other), F.lit(SALTS)) == F.col("salt"))).drop("token", "salt")
+
+
+def fit_pairs(rows: DataFrame) -> DataFrame:
+    """rows (text, target boolean) -> (pair, every, target_loss,
+    background_loss) for every pair of the corpus."""
+    pairs = rows.select("text", "target").mapInArrow(_pairs, "h long, w long, target long, every long")
+    pairs = cut(pairs.groupBy("h", "w").agg(F.sum("target").alias("target"), F.sum("every").alias("every")), "pairs")
+    none = F.lit(0).cast("long")
+    words = pairs.select(F.col("w").alias("token"), F.col("target").alias("wt"), F.col("every").alias("we"), none.alias("ht"), none.alias("he"))
+    words = words.union(pairs.select("h", none, none, "target", "every")).groupBy("token").agg(*[F.sum(c).alias(c) for c in ("wt", "we", "ht", "he")])
+    words = cut(words, "words")
+    t = words.agg(F.sum("wt").alias("target"), F.sum("we").alias("every"), F.count_if(F.col("we") > 0).alias("size"), F.count("*").alias("rows")).first()
+    few, mine, scale = t["rows"] <= BROADCAST_WORDS, float(t["target"] or 0), (t["target"] or 0) / (t["every"] or 1)
+    both = with_counts(pairs, words.select("token", "wt", "we"), "w", "h", few)
+    both = with_counts(both, words.select("token", "ht", "he"), "h", "w", few)
+
+    def loss(pair: Column, word: Column, before: Column) -> Column:
+        p = (word + PRIOR / max(t["size"], 1)) / (mine + PRIOR)
+        return -F.log2((pair + PRIOR * p) / (before + PRIOR))
+
+    by_target = loss(F.col("target"), F.col("wt"), F.col("ht"))
+    by_background = loss(F.col("every") * scale, F.col("we") * scale, F.col("he") * scale)
+    return cut(both.select(_pair_of(F.col("h"), F.col("w")).alias("pair"), "every", by_target.alias("target_loss"), by_background.alias("background_loss")), "model")
+
+
+def _lookups(batches: Iterator[pa.RecordBatch], pairs: np.ndarray, by_pair: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, text) -> (id, key, n_tokens, sums of the losses of frequent pairs,
+    the other pairs)."""
+    known, at = Hashes(), TaskContext.get().partitionId() << 33
+    for b in batches:
+        size = b.num_rows
+        n, total, others, counts = np.zeros(size, np.int64), np.zeros((2, size)), [], np.zeros(size, np.int64)
+        for places, lengths, h, w in texts_of(b.column(1), known):
+            of, p = np.repeat(places, lengths), pair_of(h, w)
+            n[places] = lengths
+            k = np.minimum(np.searchsorted(pairs, p), len(pairs) - 1) if len(pairs) else np.zeros(len(p), np.int64)
+            hit = pairs[k] == p if len(pairs) else np.zeros(len(p), bool)
+            for i in range(2):
+                total[i] += np.bincount(of[hit], by_pair[i][k[hit]], minlength=size)
+            others.append(p[~hit])
+            counts += np.bincount(of[~hit], minlength=size)
+        values = np.concatenate(others).view(np.int64) if others else np.zeros(0, np.int64)
+        lists = pa.LargeListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))), values).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + size)), b.column(0), pa.array(n), pa.array(total[0]), pa.array(total[1]), lists], ["id", "key", "n_tokens", "target_sum", "background_sum", "others"])
+        at += size
+
+
+def score_pairs(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """rows (key, text) scored by the table of :func:`fit_pairs`."""
+    level = F.floor(F.log2("every")).cast("int")
+    held, least = 0, 64
+    for r in model.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # 64 rows at most
+        held += r["count"]
+        if held > FREQUENT:
+            break
+        least = r["level"]
+    top = model.filter(level >= least).toPandas().sort_values("pair", key=lambda c: c.to_numpy(np.int64).view(np.uint64))
+    shared = rows.sparkSession.sparkContext.broadcast((top["pair"].to_numpy(np.int64).view(np.uint64), top[["target_loss", "background_loss"]].to_numpy(np.float64).T.copy()))
+    found = cut(rows.mapInArrow(lambda b: _lookups(b, *shared.value), "id long, key long, n_tokens long, target_sum double, background_sum double, others array<long>"), "lookups")
+    rest = found.select("id", F.explode("others").alias("pair")).join(model.filter(level < least), "pair")
+    every = found.drop("others").union(rest.select("id", F.lit(None).cast("long"), F.lit(0).cast("long"), "target_loss", "background_loss"))
+    sums = every.groupBy("id").agg(F.max("key").alias("key"), *[F.sum(c).alias(c) for c in ("n_tokens", "target_sum", "background_sum")])
+    some = F.when(F.col("n_tokens") > 0, F.col("n_tokens"))
+    means = sums.select("key", "n_tokens", (F.col("target_sum") / some).alias("target_loss"), (F.col("background_sum") / some).alias("background_loss"))
+    return means.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
+def score(docs: DataFrame, target_keys: DataFrame, key: str = "doc_id", text: str = "text", symbols: int | None = None, order: int = ORDER) -> DataFrame:
     """key, n_tokens, target_loss, background_loss, score for every document;
     ``target_keys`` holds the target's keys in its first column."""
     wanted = target_keys.select(F.col(target_keys.columns[0]).alias("target_key")).filter("target_key is not null").distinct().withColumn("target", F.lit(True))
@@ -139,6 +301,8 @@ def score(docs: DataFrame, target_keys: DataFrame, key: str = "doc_id", text: st
         wanted = F.broadcast(wanted)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     marked = rows.join(wanted, F.col("key") == F.col("target_key"), "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    if symbols is None:
+        return score_pairs(rows, fit_pairs(marked))
     shared = docs.sparkSession.sparkContext.broadcast(fit(marked, symbols, order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

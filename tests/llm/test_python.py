@@ -129,6 +129,39 @@ def test_cross_entropy_matches_plain_counts(spark, odd, none):
     assert zero == 0
 
 
+@pytest.mark.parametrize("frequent, broadcast", [(1 << 19, 1_000_000), (20, 0), (0, 1_000_000)])
+def test_cross_entropy_learns_every_word(spark, odd, none, monkeypatch, frequent, broadcast):
+    monkeypatch.setattr(lm_score, "FREQUENT", frequent)
+    monkeypatch.setattr(lm_score, "BROADCAST_WORDS", broadcast)
+    monkeypatch.setattr(lm_score, "CHUNK", 1000)
+    rare = [(50, "да нет это кот и дом, кот и дом"), (51, "кот и дом"), (52, "сто рыб без мор"), (53, "猫と家"), (54, "犬と山"), (50, "7 [x] 7")]
+    df = odd.select("doc_id", "text").union(spark.createDataFrame(rare, "doc_id long, text string")).repartition(3)
+    keys = spark.createDataFrame([(1,), (9,), (50,), (50,), (53,), (None,), (77,)], "doc_id long")
+    docs = [(r["doc_id"], re.findall(r"[ก-໿\u2e80-\u9fff]|[^\W_\u2e80-\u9fff]+|\S", (r["text"] or "").lower())) for r in df.collect()]
+    pairs = [(k, list(zip(["", *w], w))) for k, w in docs]
+    count = [Counter(), Counter()]
+    for k, p in pairs:
+        for i in range(2):
+            if i or k in (1, 9, 50, 53):
+                for h, w in p:
+                    count[i].update([(h, w), ("w", w, 1), ("h", h, 1), "all"])
+    size, scale = sum(len(x) == 3 and x[0] == "w" for x in count[1] if x != "all"), count[0]["all"] / count[1]["all"]
+
+    def bits(i, h, w):
+        c = lambda x: count[i][x] * (scale if i else 1)
+        p = (c(("w", w, 1)) + lm_score.PRIOR / size) / (c("all") + lm_score.PRIOR)
+        return -math.log2((c((h, w)) + lm_score.PRIOR * p) / (c(("h", h, 1)) + lm_score.PRIOR))
+
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2] or 0))
+    want = order((k, len(p), *(sum(bits(i, *x) for x in p) / len(p) if p else None for i in range(2))) for k, p in pairs)
+    rows = lm_score.score(df, keys).collect()
+    for a, b in zip(order(tuple(r)[:4] for r in rows), want, strict=True):
+        assert a[:2] == b[:2] and (a[2:] == b[2:] or a[2:] == pytest.approx(b[2:]))
+    got = {r["doc_id" if "doc_id" in r else "key"]: r["score"] for r in rows}
+    assert got[51] < got[52] and got[53] < got[54]  # told apart by words of scripts that are rare here
+    assert lm_score.score(df, keys.limit(0)).filter("score <> 0").count() == 0 == lm_score.score(none, keys).count()
+
+
 def test_phrases_are_longest_matches():
     rng = random.Random(3)
     train = {"x": ["abba abab"], "y": ["bcbc ccab"]}
