@@ -4,14 +4,16 @@ The pages of one host are merged into one tree of styles: a node is a path of
 tags with their class and id. Two entropies judge a node:
 
 * presentation: over the different sequences of children it has on the host's
-  pages, -sum p log_m p, for m pages that have the node;
+  pages, 1 - 1 / l for l = exp(-sum p ln p), the number of equally frequent
+  sequences of that entropy; l does not change with the number of pages;
 * content: each text run beneath it that k of the m pages share has entropy
   log k / log m, so text that every page repeats gives 1 and text of one page
   gives 0; the node's content importance is 1 minus the mean over its runs.
 
-A node's importance is (1 - GAMMA^l) * presentation + GAMMA^l * content for l
-child sequences. Branches of low importance are removed from every page of
-the host. Pages with equal main text count once, and a host needs MIN_PAGES
+A node's importance is (1 - GAMMA^l) * presentation + GAMMA^l * content. A
+branch is removed from every page of the host if its node and all nodes with
+text beneath it are of low importance, and none has a content importance of
+OWN or more; nodes that too few pages have to be judged are not low. Pages with equal main text count once, and a host needs MIN_PAGES
 different pages before it is judged. Marks in a page itself (nav, footer,
 form, class "ad" and so on) remove branches outright; where a page has an
 article or main element, only what is inside can stay.
@@ -44,6 +46,8 @@ MIN_PAGES = 4
 #: a branch goes below this importance; one inside an article only where
 #: nearly every page repeats it
 LOW, LOW_IN_ARTICLE = 0.25, 0.05
+#: nodes of this content importance never go
+OWN = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
@@ -197,8 +201,8 @@ def low_branches(pages: DataFrame) -> DataFrame:
     features = F.array_distinct(F.transform("runs", lambda r: F.struct(r["chain"].alias("chain"), F.xxhash64(r["text"]).alias("feature"))))
     one = pages.select("host", "fingerprint", "chains", "styles", features.alias("features")).dropDuplicates(["host", "fingerprint"])
     styles = one.select("host", F.explode("styles").alias("s")).groupBy("host", F.col("s.path").alias("path"), F.col("s.style").alias("style")).agg(F.count("*").alias("n"))
-    shape = styles.groupBy("host", "path").agg(F.sum("n").alias("m"), F.count("*").alias("l"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    presentation = (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")  # -sum p log_m p
+    shape = styles.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    variants = F.exp(F.log("m") - F.col("nlogn") / F.col("m"))  # exp(-sum p ln p)
     # pages that have a node with text, and for each of its texts the pages that share it
     leaf = F.element_at("c.path", -1)
     leaves = one.select("host", F.explode("chains").alias("c")).groupBy("host", leaf.alias("leaf")).agg(F.count("*").alias("m"), F.first("c.path").alias("chain"), F.max("c.main").alias("main"))
@@ -207,9 +211,15 @@ def low_branches(pages: DataFrame) -> DataFrame:
     by_leaf = sums.join(leaves, ["host", "leaf"]).filter(F.col("m") > 1)
     content = by_leaf.select("host", F.explode("chain").alias("path"), "w", (F.col("klogk") / F.log("m")).alias("h"), "main").groupBy("host", "path").agg((1 - F.sum("h") / F.sum("w")).alias("content"), F.min("main").alias("main"))
     both = content.join(shape, ["host", "path"]).filter(F.col("m") >= MIN_PAGES)
-    share = F.pow(F.lit(GAMMA), F.col("l"))
-    importance = (1 - share) * presentation + share * F.col("content")
-    return both.filter(importance < F.when(F.col("main"), LOW_IN_ARTICLE).otherwise(LOW)).groupBy("host").agg(F.collect_set("path").alias("gone"))
+    share = F.pow(F.lit(GAMMA), variants)
+    importance = (1 - share) * (1 - 1 / variants) + share * F.col("content")
+    low = both.filter((importance < F.when(F.col("main"), LOW_IN_ARTICLE).otherwise(LOW)) & (F.col("content") < OWN))
+    low = cut(low.groupBy("host").agg(F.collect_set("path").alias("low")), "low-nodes")
+    # of each chain, all down to its last node that is not low stay
+    last = F.array_max(F.transform("chain", lambda p, i: F.when(F.array_contains("low", p), 0).otherwise(i + 1)))
+    stay = leaves.join(low.withColumnRenamed("host", "l_host"), F.col("host") == F.col("l_host")).select("host", F.explode(F.slice("chain", F.lit(1), last)).alias("path")).distinct()
+    gone = low.select("host", F.explode("low").alias("path")).join(stay, ["host", "path"], "left_anti")
+    return gone.groupBy("host").agg(F.collect_set("path").alias("gone"))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -233,6 +233,20 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_style_tree_keeps_own_text_on_a_large_host(spark):
+    def page(i):
+        n = 1 if i % 10 else 2 + i // 10 % 20  # one usual sequence of children, 20 rare ones
+        own = "".join(f"<p>Own text {i} {j}</p>" for j in range(n))
+        few = f'<div class="w"><p class="s">Same {i % 2}</p><p class="t">Same line</p><div id="u{i}">Only here {i}</div></div>'
+        return (i, f"http://big.com/{i}", f'<body><div class="k7">Site tagline</div><div class="c">{own}</div>{few}</body>')
+
+    df = spark.createDataFrame([page(i) for i in range(3000)], "page_id long, url string, html string").repartition(4)
+    for r in html_text.extract(df).collect():
+        i = r["page_id"]
+        n = 1 if i % 10 else 2 + i // 10 % 20
+        assert r["text"] == "\n".join([*(f"Own text {i} {j}" for j in range(n)), f"Only here {i}"])
+
+
 def test_style_tree_on_pages(spark):
     import html
 
