@@ -22,7 +22,7 @@ Text rules: character references decoded, white space inside a block becomes
 one space, blocks are trimmed and joined in page order by a newline.
 
 Defined results: null html is empty text; a null url, or one without a host,
-is the host ''; broken markup is read as far as it goes; a page whose branches
+is the host ''; broken markup is read to its end; a page whose branches
 would all go keeps those that its own marks allow; repeated rows get equal
 texts; extra columns are ignored; an empty table gives no rows. A task holds
 one Arrow batch of pages; hosts are judged by sums, never gathered.
@@ -153,6 +153,11 @@ class Page(HTMLParser):
                 self.text_at = self.block_nodes()
         self.text.append(data)
 
+    def parse_html_declaration(self, i: int) -> int:
+        # "<![" begins a comment up to the next ">", as in browsers; the parser
+        # raises an error on words it does not know there
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
+
     def block_nodes(self) -> list[Node]:
         """The open elements down to the innermost block."""
         for k in range(len(self.stack) - 1, 0, -1):
@@ -165,11 +170,8 @@ def parse_page(html: str) -> tuple[list[dict], list[dict], list[dict]]:
     """(runs, chains, styles) of a page. Runs hold what the page's own marks
     allow, with the number of their chain of nodes."""
     p = Page()
-    try:
-        p.feed(html)
-        p.close()
-    except AssertionError:  # markup that the parser gives up on: keep what came before
-        pass
+    p.feed(html)
+    p.close()
     p.pop_to(1)
     p.end_block()
     runs = [r for r in p.runs if not r[2]]

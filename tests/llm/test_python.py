@@ -247,6 +247,12 @@ def test_style_tree_keeps_own_text_on_a_large_host(spark):
         assert r["text"] == "\n".join([*(f"Own text {i} {j}" for j in range(n)), f"Only here {i}"])
 
 
+@pytest.mark.parametrize("mark", ["<![ x ]>", "<![foo[ x ]]>", "<![CDATA[x]>", "<![endif]-->", "<![>"])
+def test_text_after_a_marked_section_stays(mark):
+    runs, _, _ = html_text.parse_page(f"<p>one</p>{mark}<p>two</p><p>a {mark} b</p>")
+    assert [r["text"].replace("-->", "").split() for r in runs if r["text"] != "-->"] == [["one"], ["two"], ["a", "b"]]
+
+
 def test_style_tree_on_pages(spark):
     import html
 
