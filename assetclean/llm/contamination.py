@@ -18,7 +18,8 @@ misses none. DataFrame functions only.
 Defined results: A-Z is lowered; a text of fewer than five words is one
 shingle, its whole word sequence; null or empty texts, on either side, match
 nothing; rows that share a key count as one document (or item) with the best
-containment of its rows, null keys included; extra columns are ignored; empty
+containment of its rows, null keys included (``clean`` decides for each row);
+extra columns are ignored; empty
 tables give no rows. No document, bin or candidate list is capped.
 """
 
@@ -103,9 +104,12 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **names) -> DataFrame:
-    """``docs`` without the documents that hold a test item."""
-    leaks = cut(contained(docs, items, key, text, **names).select(F.col("key").alias("leak")).distinct(), "leaks")  # its size is known to the planner
-    return docs.alias("d").join(leaks.alias("l"), F.col(f"d.{key}").eqNullSafe(F.col("l.leak")), "left_anti")
+    """``docs`` without the rows that hold a test item. What a row holds
+    depends on its text alone, so rows are known by a 128-bit hash of it: null
+    and repeated keys make no difference."""
+    texts = docs.select(F.md5(F.col(text)).alias("key"), F.col(text).alias("text"))
+    leaks = cut(contained(texts, items, "key", "text", **names).select(F.col("key").alias("leak")).distinct(), "leaks")  # its size is known to the planner
+    return docs.alias("d").join(leaks.alias("l"), F.md5(F.col(f"d.{text}")) == F.col("l.leak"), "left_anti")
 
 
 def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:

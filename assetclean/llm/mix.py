@@ -7,9 +7,10 @@ threshold per source, and rows are chosen by comparing their hash with it:
 no row is ever sorted.
 
 Defined results: null source is a source of its own, ordered last; null text
-has size 0; null keys hash as the empty text; rows with equal keys have equal
-hashes and are taken or left together; an empty table gives no rows. Source
-statistics cover all rows.
+has size 0; an empty table gives no rows. Source statistics cover all rows.
+The plan (op2) hashes keys, null as the empty text, and rows with equal keys
+are taken or left together, as in its SQL. ``mix`` hashes whole rows, and the
+occurrences of equal rows apart, so null and repeated keys make no difference.
 """
 
 from __future__ import annotations
@@ -117,14 +118,26 @@ def repeats(h: Column) -> Column:
     return F.col("copies") + F.when(h <= F.col("threshold"), 1).otherwise(0)
 
 
+def occurrences(distinct: DataFrame) -> DataFrame:
+    """(source, size, h, m) -> (source, size, row_h, h): one row for each of
+    the m occurrences of a row; the first has the row's own hash."""
+    j = distinct.select("source", "size", F.col("h").alias("row_h"), F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("j"))
+    return j.select("source", "size", "row_h", F.when(F.col("j") == 1, F.col("row_h")).otherwise(id_hash(F.concat_ws(":", "row_h", "j"))).alias("h"))
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **rules) -> DataFrame:
     """The mixed documents: each row as often as the mix takes it, all columns
-    kept."""
-    _, d = plan_mix(docs, key, text, source, **rules)
-    d = d.withColumnRenamed("source", "of")
-    rows = docs.select(packed(docs), F.col(source).alias("source"), id_hash(F.col(key)).alias("h")).join(d, F.col("source").eqNullSafe(F.col("of")))
-    n = repeats(F.col("h"))
-    return rows.filter(n > 0).select("row", F.explode(F.sequence(F.lit(1), n.cast("int")))).select("row.*")
+    kept. Equal rows are gathered as one row and a number."""
+    rows = docs.select(packed(docs), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), id_hash(F.to_json(packed(docs))).alias("h"))
+    distinct = cut(rows.groupBy("source", "size", "h").agg(F.count("*").alias("m")), "mix")
+    d = cut(hash_thresholds(occurrences(distinct), source_targets(occurrences(distinct), **rules)), "thresholds").withColumnRenamed("source", "of")
+    same = F.col("source").eqNullSafe(F.col("of"))
+    equal = occurrences(distinct.filter("m > 1")).join(d, same).groupBy(F.col("row_h").alias("equal_h")).agg(F.sum(repeats(F.col("h"))).alias("taken"))
+    equal = cut(equal, "equal")
+    one = rows.join(equal, F.col("h") == F.col("equal_h"), "left_anti").join(d, same).select("row", repeats(F.col("h")).alias("n"))
+    many = rows.join(equal.select("equal_h"), F.col("h") == F.col("equal_h"), "left_semi").groupBy("h").agg(F.first("row").alias("row"))
+    many = many.join(equal, F.col("h") == F.col("equal_h")).select("row", F.col("taken").alias("n"))
+    return one.union(many).filter("n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("row.*")
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,19 @@ def test_mix_targets_and_repeats(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, mix.mix(docs).groupBy("doc_id").count().collect()))
 
 
+def test_mix_meets_targets_with_null_and_repeated_keys(spark):
+    rows = [(i, f"t{i} " + "w " * (i % 50), "ab"[i % 2]) for i in range(1000)] + [(None, f"n{i} " + "w " * (i % 50), "ab"[i % 2]) for i in range(600)]
+    rows += [(-1, f"r{i} " + "w " * (i % 50), "ab"[i % 2]) for i in range(600)] + [(-2, "the same words " * 10, "b")] * 700
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = {r["source"]: r["target"] for r in mix.plan_mix(docs)[1].collect()}
+    out = mix.mix(docs)
+    for r in out.groupBy("source").agg(mix.F.sum(mix.word_count(mix.F.col("text"))).alias("n")).collect():
+        assert abs(r["n"] - want[r["source"]]) <= 51
+    times = lambda df: sorted(tuple(r) for r in df.groupBy("text").count().collect())
+    assert times(out) == times(mix.mix(docs.repartition(7)))
+    assert 0 < out.filter("doc_id is null").select("text").distinct().count()
+
+
 def test_mix_keeps_columns_and_empty(odd, none):
     assert mix.mix(odd).columns == odd.columns
     assert mix.mix(none).count() == 0
@@ -105,6 +118,13 @@ def test_containment_matches_all_shingles(spark, odd, none, duck):
     assert contamination.contained(none, b).count() == 0 and contamination.clean(odd, b.limit(0)).count() == odd.count()
 
 
+def test_clean_decides_for_each_row(spark):
+    leak, fine = "here it comes one two three four five six seven eight nine", "a clean document of some more than five words"
+    docs = spark.createDataFrame([(None, leak), (None, fine), (1, leak), (1, fine), (1, fine), (2, None), (None, None)], "doc_id long, text string")
+    b = spark.createDataFrame([(0, "one two three four five six seven eight nine")], "item_id long, text string")
+    assert sorted(map(str, map(tuple, contamination.clean(docs, b).collect()))) == sorted(map(str, [(None, fine), (1, fine), (1, fine), (2, None), (None, None)]))
+
+
 def test_containment_beyond_the_broadcast_bound(spark, small, monkeypatch):
     b = table(spark, "/root/testdata/sf0.001", "benchmark")
     want = sorted(map(tuple, contamination.contained(small[0], b).collect()))
