@@ -125,6 +125,28 @@ def test_clean_decides_for_each_row(spark):
     assert sorted(map(str, map(tuple, contamination.clean(docs, b).collect()))) == sorted(map(str, [(None, fine), (1, fine), (1, fine), (2, None), (None, None)]))
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_short_items_are_found_inside_documents(spark, odd, none, monkeypatch, most):
+    monkeypatch.setattr(contamination, "BROADCAST_ROWS", most)
+    prose = odd.filter("doc_id = 1").first()["text"]
+    items = [(1, "Brown FOX"), (2, "kleine"), (3, "drei kleine Wörter"), (4, None), (5, " "), (6, "watch from a distant"), (7, "fox brown"), (8, prose), (8, "dogs"), (None, "same words"), (9, "w7919"), (9, "no such words here at all")]
+    b = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    want, lower = set(), lambda t: " ".join((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode().decode("latin1").split())
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    for d, t in rows:
+        for i, q in items:
+            if 0 < len(lower(q).split()) < 5:
+                if f" {lower(q)} " in f" {lower(t)} ":
+                    want.add((d, i, 1, 1))
+            elif (qs := shingles(q)) and 100 * len(shingles(t) & qs) >= 80 * len(qs):
+                want.add((d, i, len(shingles(t) & qs), len(qs)))
+    got = sorted((tuple(r) for r in contamination.contained(odd, b, inside=True).collect()), key=str)
+    assert got == sorted(want, key=str) and {1, 2, 3, 6, 8, None} <= {i for _, i, *_ in got}
+    assert contamination.contained(none, b, inside=True).count() == 0
+    one = spark.createDataFrame([(1, "kleine")], "item_id long, text string")
+    assert sorted(str(r["text"]) for r in contamination.clean(odd, one).collect()) == sorted(str(t) for _, t in rows if t != "drei kleine Wörter")
+
+
 def test_containment_beyond_the_broadcast_bound(spark, small, monkeypatch):
     b = table(spark, "/root/testdata/sf0.001", "benchmark")
     want = sorted(map(tuple, contamination.contained(small[0], b).collect()))
