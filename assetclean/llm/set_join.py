@@ -22,6 +22,11 @@ components of the links.
    these and the sketches is verified by exact overlap, too; with it every
    link is found or lies inside a group.
 
+``join_components`` ends there and gives no links, as components need no more.
+``join_links`` gives every link: it tests and verifies all pairs of the lists.
+Neither derives a set's overlaps from a similar set's by the elements in which
+the two differ.
+
 Equal sets are one node (by a 64-bit digest of the set), so copies are never
 paired. Shingles are 64-bit hashes; exactness is up to collisions of these.
 
@@ -446,9 +451,9 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(key, node, n) for each document, and (node, part) for the nodes that
-    have a link."""
+def index_lists(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """rows (key, text), (key, node, n) for each document, (node, parity, n)
+    for each node, and the index lists that hold several sets."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     first = cut(rows.mapInArrow(_nodes, "key long, node long, n long, parity binary, slot long, count long"), "nodes")
@@ -461,6 +466,24 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     index = rows.select("text").mapInArrow(lambda b: _prefixes(b, order.value), "token long, node long, size int, pos int")
     lists = index.repartition("token").sortWithinPartitions("token", "size", "node")
     lists = cut(lists.mapInArrow(_shared_lists, "token long, node long, size int, pos int, leader long, before long"), "lists")
+    return rows, nodes, sketch, lists
+
+
+def join_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(key, node, n) for each document, and every link (a, b), a < b, between
+    different nodes, those inside a component included. Rows of one node are
+    copies. The number of links grows with the square of a group's size."""
+    rows, nodes, sketch, lists = index_lists(docs, key, text)
+    # with each node a part of its own no pair is left out
+    every = lists.join(sketch.select("node", "parity"), "node").select("token", "node", "size", "pos", F.col("node").alias("part"), "parity")
+    pairs = every.repartition("token").sortWithinPartitions("token").mapInArrow(_open_pairs, "a long, b long").distinct()
+    return nodes, verified(rows, cut(pairs, "pairs"), "links")
+
+
+def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(key, node, n) for each document, and (node, part) for the nodes that
+    have a link."""
+    rows, nodes, sketch, lists = index_lists(docs, key, text)
     by_hash = Window.partitionBy("token").orderBy(F.xxhash64("node"), "node")
     other = [F.lag(F.struct("node", "size", "pos"), k).over(by_hash) for k in range(1, NEIGHBOURS + 1)]
     near_by = [F.when(_may_link(F.col("size"), F.col("pos"), F.col(f"o{k}.size"), F.col(f"o{k}.pos")), F.col(f"o{k}.node")) for k in range(NEIGHBOURS)]

@@ -313,6 +313,18 @@ def test_jaccard_components_match_all_pairs(spark, seed):
     assert got == brute_components(docs)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_links_match_all_pairs(spark, odd, none, seed):
+    docs = near_copies(seed)
+    nodes, links = set_join.join_links(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    node = {r["key"]: r["node"] for r in nodes.collect()}
+    sets = {node[k]: set(set_join.shingle_set(t).tolist()) for k, t in docs}
+    names = sorted(sets)
+    want = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert sorted(map(tuple, links.collect())) == want and len(want) > len(names)  # far more links than a tree of the groups has
+    assert set_join.join_links(none)[1].count() == 0
+
+
 def components_of(df):
     nodes, parts = set_join.join_components(df)
     part = {r["node"]: r["part"] for r in parts.collect()}
