@@ -9,7 +9,8 @@ language with the least wins.
 
 The automata are fitted on a bounded sample: ``docs_per_language`` labelled
 documents of each language (the first in the order of a hash of their id) and
-``chars_per_doc`` code points of each. That bounds the table that goes to the
+``chars_per_doc`` code points of each, in WINDOWS pieces spread over its whole
+text. That bounds the table that goes to the
 executors: 8 * docs_per_language * chars_per_doc * symbols bytes a language at
 most. Prediction reads whole texts. Letters are lowered and everything between
 them is one space; letters beyond the ``symbols`` most frequent of the sample
@@ -39,6 +40,8 @@ from .common import id_hash, table
 
 RUN = 1024
 RUNS_AT_ONCE = 8192
+#: pieces of a sampled document
+WINDOWS = 3
 UNKNOWN = "und"
 ADDED = {c: T.StructField(c, t) for c, t in (("_lang_pred", T.StringType()), ("_score", T.DoubleType()), ("_entropy", T.DoubleType()))}
 
@@ -175,13 +178,21 @@ def classify(texts: list[str | None], model: Model) -> tuple[list[str], list[flo
     return names, scores, entropies
 
 
+def windows(text: Column, chars: int) -> Column:
+    """``chars`` characters of a text at most: WINDOWS pieces spread evenly
+    from its begin to its end, or the whole text if it is no longer."""
+    size, n = F.char_length(text), (chars - WINDOWS + 1) // WINDOWS
+    at = [F.floor((size - n) * i / (WINDOWS - 1)).cast("int") + 1 for i in range(WINDOWS)]
+    return F.when(size <= chars, text).otherwise(F.concat_ws(" ", *[F.substring(text, a, n) for a in at]))
+
+
 def train_model(docs: DataFrame, label: str = "lang", key: str = "doc_id", text: str = "text", usable: Column | None = None, docs_per_language: int = 200, chars_per_doc: int = 300, symbols: int = 64) -> Model:
     """Fit on a bounded sample of the labelled rows (those where ``usable``)."""
     rows = docs.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull())
     if usable is not None:
         rows = rows.filter(usable)
     first = Window.partitionBy("label").orderBy("h", "key", "text")
-    rows = rows.select(F.col(label).alias("label"), F.col(key).alias("key"), id_hash(F.col(key)).alias("h"), F.substring(F.col(text), 1, chars_per_doc).alias("text"))
+    rows = rows.select(F.col(label).alias("label"), F.col(key).alias("key"), id_hash(F.col(key)).alias("h"), windows(F.col(text), chars_per_doc).alias("text"))
     picked = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= docs_per_language)
     sample: dict[str, list[str]] = {}
     for r in picked.select("label", "text", "n").orderBy("label", "n").collect():

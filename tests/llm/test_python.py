@@ -263,6 +263,19 @@ def test_style_tree_on_pages(spark):
         assert r["text"] == "\n".join(b for b in blocks if b)
 
 
+def test_language_learns_from_the_whole_text(spark):
+    rng = random.Random(2)
+    word = lambda parts: "".join(rng.choice(parts) for _ in range(3))
+    own = {"x": ["ka", "lo", "mi"], "y": ["ten", "sur", "ald"]}
+    header = "this page was made by a program and comes from elsewhere " * 7
+    docs = [(i, header + " ".join(word(own["xy"[i % 2]]) for _ in range(400)), "xy"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    bare = spark.createDataFrame([(i, " ".join(word(own["xy"[i % 2]]) for _ in range(30)), "xy"[i % 2]) for i in range(20)], df.schema)
+    assert all(r["lang"] == r["_lang_pred"] for r in language.predict(bare, language.train_model(df)).collect())
+    cut = df.select(language.windows(language.F.col("text"), 300).alias("w"), language.windows(language.F.col("text"), 10**6).alias("all"), "text").collect()
+    assert all(290 < len(r["w"]) <= 300 and r["w"][:99] == r["text"][:99] and r["w"][-99:] == r["text"][-99:] and r["all"] == r["text"] for r in cut)
+
+
 def brute_components(docs):
     sets = [set_join.shingle_set(t) for _, t in docs]
     sets = [set(s.tolist()) for s in sets]
