@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, compression, contamination, html_text, language, lm_score, mix, set_join, shard, tokens
+from . import chat, compression, contamination, html_text, language, lm_score, merkle, mix, set_join, shard, simhash, tokens, whitening
 
 QUERIES = {
     "op1_bitplanes": tokens.op1_bitplanes,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_contamination": contamination.op8_contamination,
     "op9_style_tree": html_text.op9_style_tree,
     "op10_jaccard": set_join.op10_jaccard,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_simhash": simhash.op12_simhash,
+    "op13_whitening": whitening.op13_whitening,
 }
 ORACLE_SQL = {
     "op2_mix": mix.ORACLE,
     "op3_chat": chat.ORACLE,
     "op8_contamination": contamination.ORACLE,
     "op10_jaccard": set_join.ORACLE,
+    "op11_merkle": merkle.ORACLE,
 }
