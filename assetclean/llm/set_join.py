@@ -49,6 +49,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.skew import salted_join
 from .common import WORD, cut, packed, table
 
 WORDS = 5
@@ -505,25 +506,37 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, digest, text) -> (key, digest, node)."""
     for b in batches:
         nodes = [digest(shingle_set(t.as_py())) for t in b.column(2)]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64())], [*b.schema.names, "node"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64())], ["key", "digest", "node"])
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the one of least key (null
-    last), then of least text. Rows without words all stay. The window ranks
-    within each task first, so a large group sends one row a task."""
+    last), then of least MD5 of the text; of rows equal in both any one. Rows
+    without words all stay.
+
+    Only key, digest and text go through Python, and only (key, digest) of
+    each component's row are chosen from; whole rows are met once, by a salted
+    join with these."""
     _, parts = join_components(docs, key, text)
     parts = parts.withColumnRenamed("node", "p_node")
     if parts.count() <= BROADCAST_ROWS:
         parts = F.broadcast(parts)
+    named = F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(key).isNull(), F.md5(F.col(text))
     words = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
-    rows = docs.filter(words).select(packed(docs), F.col(key).alias("key"), F.col(text).alias("text"))
-    noded = rows.mapInArrow(_with_node, T.StructType([*rows.schema.fields, T.StructField("node", T.LongType())]))
-    first = Window.partitionBy(F.coalesce("part", "node")).orderBy(F.col("key").asc_nulls_last(), "text")
-    kept = noded.join(parts, F.col("node") == F.col("p_node"), "left").withColumn("rank", F.row_number().over(first)).filter("rank = 1")
-    return kept.select("row.*").union(docs.filter(~words))
+    some = docs.filter(words)
+    narrow = some.select(F.col(key).alias("key"), F.md5(F.col(text)).alias("digest"), F.col(text).alias("text"))
+    schema = T.StructType([*narrow.schema.fields[:2], T.StructField("node", T.LongType())])
+    equal = narrow.mapInArrow(_with_node, schema).groupBy("node", "key", "digest").agg(F.count("*").alias("m"))
+    least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "digest", "m")).alias("w")
+    chosen = equal.join(parts, F.col("node") == F.col("p_node"), "left").groupBy(F.coalesce("part", "node").alias("part")).agg(least)
+    chosen = cut(chosen.select(F.coalesce(F.col("w.key").cast("string"), F.lit("")).alias("k"), F.col("w.none").alias("none"), F.col("w.digest").alias("digest"), F.col("w.m").alias("m")), "chosen")
+    rows = some.select(packed(docs), *[c.alias(n) for c, n in zip(named, ("k", "none", "digest"), strict=True)])
+    kept = salted_join(rows, chosen, ["k", "none", "digest"])
+    repeated = kept.filter("m > 1").groupBy("k", "none", "digest").agg(F.first("row").alias("row"))
+    return kept.filter("m = 1").select("row.*").union(repeated.select("row.*")).union(docs.filter(~words))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
