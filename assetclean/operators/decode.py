@@ -1,226 +1,156 @@
-"""Serial-number date decode (section 2.8) as one Column expression per row.
-
-A rule is chosen by the first registry keyword contained in the lower-cased
-manufacturer (no fall-through when that rule fails). Each rule is a small
-Column builder over the serial (regex / substring / try_cast), so the whole
-decode is a single ``CASE`` per row. The registry is a parameter: a caller may
-pass other (keyword, builder) pairs. The decoded year must
-lie in 1950..horizon and pass the metadata year bounds (V1); month is then
+"""Serial-number date decode (section 2.8) by a table of rules.
+
+A rule is a row: the keyword that the lower-cased manufacturer must contain
+(and, if given, the text that the model must contain), a pattern of the serial,
+the groups of the pattern that hold year, month and day, and how to read them.
+The first keyword that occurs selects the rules; the first of these whose
+pattern matches decodes (no fall-through to other keywords). The rows are one
+constant array, which one expression interprets for every serial, so the plan
+does not grow with the rules; a caller may pass other rows. The decoded year
+must lie in 1950..horizon and pass the metadata year bounds (V1); month is then
 clamped to 1..12 and day to 1..28.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from itertools import groupby
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetclean.functions.constants import constant
 from assetclean.functions.dates import HORIZON_YEAR, format_ymd, week_to_month
 from assetclean.functions.text import clean_key, col, strip, strip_paren_tag
 from assetclean.operators.validate import lookup_metadata, year_check
 
 MIN_DECODE_YEAR = 1950
 
-Rule = Callable[[Column, Column, int], Column]
-
-
-def _ymd(y: Column, m: Column | int = 1, d: Column | int = 1) -> Column:
-    m = F.lit(m) if isinstance(m, int) else m
-    d = F.lit(d) if isinstance(d, int) else d
-    return F.struct(y.cast("int").alias("y"), m.cast("int").alias("m"), d.cast("int").alias("d"))
-
-
-def _num(c: Column) -> Column:
-    return c.try_cast("int")
-
-
-def _sl(sn: Column, a: int, b: int) -> Column:
-    """Python slice ``sn[a:b]``."""
-    return sn.substr(a + 1, b - a)
-
-
-def _digits(c: Column) -> Column:
-    return c.rlike("^[0-9]+$")
-
-
-def _month_code(code: Column, letters: str) -> Column:
-    """A/B/C -> 10/11/12 for the two month-letter schemes."""
-    out = None
-    for i, ch in enumerate(letters):
-        out = F.when(code == ch, F.lit(10 + i)) if out is None else out.when(code == ch, F.lit(10 + i))
-    return out
-
-
-def _r_linet(sn, model, horizon):
-    return F.when(sn.rlike(r"^\d{6}"), _ymd(_num(_sl(sn, 0, 4)), _num(_sl(sn, 4, 6))))
-
-
-def _r_ymd8(sn, model, horizon):
-    pat = r"(\d{4})(\d{2})(\d{2})"
-    g = lambda i: _num(F.regexp_extract(sn, pat, i))
-    return F.when(sn.rlike(pat), _ymd(g(1), g(2), g(3)))
-
-
-def _r_lab_corp(sn, model, horizon):
-    pat = r"^(\d{2})(\d{2})(\d{2})"
-    g = lambda i: _num(F.regexp_extract(sn, pat, i))
-    return F.when(sn.rlike(pat), _ymd(2000 + g(1), g(2), g(3)))
-
-
-def _r_edan(sn, model, horizon):
-    pat = r"[A-Za-z](\d{2})([1-9|A-C|a-c])"
-    code = F.upper(F.regexp_extract(sn, pat, 2))
-    month = _month_code(code, "ABC").when(code == "|", F.lit(None)).otherwise(_num(code))
-    return F.when(sn.rlike(pat) & month.isNotNull(), _ymd(2000 + _num(F.regexp_extract(sn, pat, 1)), month))
-
-
-def _r_mindray(sn, model, horizon):
-    part = F.when(sn.contains("-"), F.regexp_extract(sn, r"(?s)^[^-]*-(.*)$", 1)).otherwise(
-        F.regexp_replace(sn, "^[a-zA-Z]+", "")
-    )
-    first, code = part.substr(1, 1), F.upper(part.substr(2, 1))
-    month = _month_code(code, "ABC").when(code.rlike("^[0-9]$"), _num(code)).otherwise(F.lit(1))
-    return F.when((F.length(part) >= 2) & first.rlike("^[0-9]$"), _ymd(2020 + _num(first), month))
-
-
-def _r_zoll(sn, model, horizon):
-    pat = r"[A-Za-z]{1,2}(\d{1,2})([1-9|A-L|a-l])"
-    yv = _num(F.regexp_extract(sn, pat, 1))
-    code = F.upper(F.regexp_extract(sn, pat, 2))
-    year = F.when(yv < 10, 2010 + yv).otherwise(2000 + yv)
-    month = F.when(code.rlike("^[0-9]$"), _num(code)).otherwise(F.ascii(code) - 64)
-    return F.when(sn.rlike(pat), _ymd(year, month))
 
+class Rule(NamedTuple):
+    """``base`` is added to the year read from its group; group 0 means that
+    the base is the year (month and day: 1). ``year_as``: number, short (0 to
+    9 count from 2010, others from 2000) or letter (A is 1; 0 and 1 are read as
+    O and I). ``month_as``: number, week, abc (A to C are 10 to 12), abc_or_one
+    (so, other characters are 1) or letter (A is 1). A pattern with
+    ``earliest`` only matches years from it to the horizon."""
+
+    keyword: str
+    pattern: str
+    base: int = 0
+    year: int = 0
+    month: int = 0
+    day: int = 0
+    year_as: str = "number"
+    month_as: str = "number"
+    earliest: int = 0
+    model: str = ""
+
+
+# The decode rules, in match order.
+DECODE_RULES: list[Rule] = [
+    Rule("linet", r"^(\d{4})(\d{2})", 0, 1, 2),
+    Rule("unico", r"(\d{4})(\d{2})(\d{2})", 0, 1, 2, 3),
+    Rule("lab corp", r"^(\d{2})(\d{2})(\d{2})", 2000, 1, 2, 3),
+    Rule("dacheng", r"(\d{4})(\d{2})(\d{2})", 0, 1, 2, 3),
+    Rule("jiangmen", r"(\d{4})(\d{2})(\d{2})", 0, 1, 2, 3),
+    Rule("edan", r"[A-Za-z](\d{2})([1-9|A-C|a-c])", 2000, 1, 2, month_as="abc"),
+    Rule("mindray", r"(?s)^[^-]*-(\d)(.)", 2020, 1, 2, month_as="abc_or_one"),
+    Rule("mindray", r"(?s)^(?!.*-)[a-zA-Z]*(\d)(.)", 2020, 1, 2, month_as="abc_or_one"),
+    Rule("zoll", r"[A-Za-z]{1,2}(\d{1,2})([1-9|A-L|a-l])", 0, 1, 2, year_as="short", month_as="letter"),
+    Rule("hill rom", r"(?s)^(?=(\d{2})?).*?(\d{4})$", 0, 2, 1, earliest=1990),
+    Rule("hill rom", r"(?iu)^([a-z01])", 2000, 1, year_as="letter"),
+    Rule("hillrom", r"(?s)^(?=(\d{2})?).*?(\d{4})$", 0, 2, 1, earliest=1990),
+    Rule("hillrom", r"(?iu)^([a-z01])", 2000, 1, year_as="letter"),
+    Rule("philips", r"^DE\D*(\d)", 2010, 1),
+    Rule("philips", r"^(\d)", 2010, 1),
+    Rule("ge healthcare", r"(?s)^.{3}(\d{2})(\d{2})", 2000, 1, 2, month_as="week"),
+    Rule("american diagnostic", r"^(\d{2})(\d{2})", 2000, 1, 2, month_as="week"),
+    Rule("american diagnostic", r"(?s)^.(\d{2})(\d{2})", 2000, 1, 2, month_as="week"),
+    Rule("welch allyn", r"^(\d{4})", 0, 1, model="spot"),
+    Rule("welch allyn", r"^0?7", 2007, model="suretemp"),
+    Rule("welch allyn", r"^23", 2023, model="suretemp"),
+    Rule("welch allyn", r"^24", 2024, model="suretemp"),
+    Rule("welch allyn", r"^\p{L}(\d{2})", 2000, 1, model="suretemp"),
+    Rule("welch allyn", r"^(\d{2})", 2000, 1, model="suretemp"),
+    Rule("welch allyn", r"^\p{L}(\d{2})", 2000, 1),
+    Rule("welch allyn", r"^(\d{2})", 2000, 1),
+    Rule("arjo", r"^21", 2021),
+    Rule("baxter", r"^37", 2017),
+    Rule("baxter", r"^38", 2018),
+    Rule("biosonic", r"^(\d{2})(\d{2})", 2000, 1, 2),
+    Rule("cogentix", r"(?s)^.{2}(\d{2})(\d{2})", 2000, 1, 2, month_as="week"),
+    Rule("covidien", r"(?s)^.{4}(\d{2})", 2000, 1),
+    Rule("exergen", r"(?s)^.(\d{2})(\d{2})", 2000, 1, 2, month_as="week"),
+    Rule("hospira", r"^17", 2017),
+    Rule("masimo", r"^M19", 2019),
+    Rule("olympus", r"^75", 2015),
+    Rule("stryker", r"(?s)^(20[12].?)", 0, 1),
+    Rule("stryker", r"^10", 2010),
+    Rule("thermo scientific", r"^18", 2018),
+]
 
-def _r_hillrom(sn, model, horizon):
-    y4 = _num(F.regexp_extract(sn, r"(\d{4})$", 1))
-    month = F.when(sn.rlike(r"^\d{2}"), _num(_sl(sn, 0, 2))).otherwise(F.lit(1))
-    fc = F.upper(sn.substr(1, 1))
-    fc = F.when(fc == "1", F.lit("I")).when(fc == "0", F.lit("O")).otherwise(fc)
-    return F.when(y4.between(1990, horizon), _ymd(y4, month)).when(
-        fc.rlike("^[A-Z]$"), _ymd(2000 + F.ascii(fc) - 64)
-    )
 
+def _constant(rules: list[Rule]) -> Column:
+    """The rules as one constant: an array of (keyword, model, variants)."""
+    sets = [(k, list(v)) for k, v in groupby(rules, key=lambda r: (r.keyword, r.model))]
+    return constant([{"keyword": k, "model": m, "variants": [{n: v for n, v in r._asdict().items() if n not in ("keyword", "model")} for r in of]} for (k, m), of in sets])
 
-def _r_philips(sn, model, horizon):
-    after_de = F.regexp_extract(sn, r"^DE\D*(\d)", 1)
-    return F.when(sn.startswith("DE"), F.when(after_de != "", _ymd(2010 + _num(after_de)))).when(
-        sn.rlike(r"^\d"), _ymd(2010 + _num(sn.substr(1, 1)))
-    )
 
+def chosen_rules(mfg_l: Column, model_l: Column, rules: list[Rule] = DECODE_RULES) -> Column:
+    """(keyword, model, variants) of the first keyword contained in the
+    manufacturer, or null."""
+    if not rules:
+        return F.get(F.filter(_constant(DECODE_RULES), lambda r: F.lit(False)), F.lit(0))
+    return F.get(F.filter(_constant(rules), lambda r: mfg_l.contains(r["keyword"]) & ((r["model"] == "") | model_l.contains(r["model"]))), F.lit(0))
 
-def _r_ge(sn, model, horizon):
-    ok = (F.length(sn) >= 7) & _digits(_sl(sn, 3, 5)) & _digits(_sl(sn, 5, 7))
-    return F.when(ok, _ymd(2000 + _num(_sl(sn, 3, 5)), week_to_month(_num(_sl(sn, 5, 7)))))
 
+def _group(sn: Column, rule: Column, which: str) -> Column:
+    return F.call_function("regexp_extract", sn, rule["pattern"], rule[which])
 
-def _r_adc(sn, model, horizon):
-    lead = sn.rlike(r"^\d{4}")
-    alt = (F.length(sn) >= 5) & _digits(_sl(sn, 1, 3)) & _digits(_sl(sn, 3, 5))
-    return F.when(lead, _ymd(2000 + _num(_sl(sn, 0, 2)), week_to_month(_num(_sl(sn, 2, 4))))).when(
-        alt, _ymd(2000 + _num(_sl(sn, 1, 3)), week_to_month(_num(_sl(sn, 3, 5))))
-    )
 
-
-def _r_welch_allyn(sn, model, horizon):
-    generic = F.when(
-        sn.rlike(r"^\p{L}") & (F.length(sn) >= 3) & _digits(_sl(sn, 1, 3)), _ymd(2000 + _num(_sl(sn, 1, 3)))
-    ).when(sn.rlike(r"^\d{2}"), _ymd(2000 + _num(_sl(sn, 0, 2))))
-    spot = F.when(sn.rlike(r"^\d{4}"), _ymd(_num(_sl(sn, 0, 4))))
-    sure = (
-        F.when(sn.startswith("7") | sn.startswith("07"), _ymd(F.lit(2007)))
-        .when(sn.startswith("23"), _ymd(F.lit(2023)))
-        .when(sn.startswith("24"), _ymd(F.lit(2024)))
-        .otherwise(generic)
-    )
+def _year(sn: Column, rule: Column) -> Column:
+    text = _group(sn, rule, "year")
+    number = text.try_cast("int")
+    letter = F.upper(text)
+    letter = F.when(letter == "1", F.lit("I")).when(letter == "0", F.lit("O")).otherwise(letter)
     return (
-        F.when(sn == "", F.lit(None))
-        .when(model.contains("spot"), spot)
-        .when(model.contains("suretemp"), sure)
-        .otherwise(generic)
+        F.when(rule["year"] == 0, rule["base"])
+        .when(rule["year_as"] == "letter", F.when(letter.rlike("^[A-Z]$"), rule["base"] + F.ascii(letter) - 64))
+        .when(rule["year_as"] == "short", number + F.when(number < 10, 2010).otherwise(2000))
+        .otherwise(rule["base"] + number)
     )
 
 
-def _prefix_years(*pairs: tuple[str, int]) -> Rule:
-    def rule(sn, model, horizon):
-        out = None
-        for p, y in pairs:
-            out = F.when(sn.startswith(p), _ymd(F.lit(y))) if out is None else out.when(sn.startswith(p), _ymd(F.lit(y)))
-        return out
-
-    return rule
-
-
-def _r_biosonic(sn, model, horizon):
-    return F.when(sn.rlike(r"^\d{4}"), _ymd(2000 + _num(_sl(sn, 0, 2)), _num(_sl(sn, 2, 4))))
-
-
-def _r_cogentix(sn, model, horizon):
-    ok = (F.length(sn) >= 6) & _digits(_sl(sn, 2, 4)) & _digits(_sl(sn, 4, 6))
-    return F.when(ok, _ymd(2000 + _num(_sl(sn, 2, 4)), week_to_month(_num(_sl(sn, 4, 6)))))
-
-
-def _r_covidien(sn, model, horizon):
-    return F.when((F.length(sn) >= 6) & _digits(_sl(sn, 4, 6)), _ymd(2000 + _num(_sl(sn, 4, 6))))
-
-
-def _r_exergen(sn, model, horizon):
-    ok = (F.length(sn) >= 5) & _digits(_sl(sn, 1, 3)) & _digits(_sl(sn, 3, 5))
-    return F.when(ok, _ymd(2000 + _num(_sl(sn, 1, 3)), week_to_month(_num(_sl(sn, 3, 5)))))
-
-
-def _r_stryker(sn, model, horizon):
-    return F.when(sn.startswith("201") | sn.startswith("202"), _ymd(_num(_sl(sn, 0, 4)))).when(
-        sn.startswith("10"), _ymd(F.lit(2010))
+def _month(sn: Column, rule: Column) -> Column:
+    code = F.upper(_group(sn, rule, "month"))
+    number, place = code.try_cast("int"), F.ascii(code) - 64
+    abc = F.when(code.isin("A", "B", "C"), place + 9).otherwise(number)
+    return (
+        F.when(rule["month"] == 0, 1)
+        .when(rule["month_as"] == "week", week_to_month(number))
+        .when(rule["month_as"] == "abc", abc)
+        .when(rule["month_as"] == "abc_or_one", F.coalesce(abc, F.lit(1)))
+        .when(rule["month_as"] == "letter", F.coalesce(number, place))
+        .otherwise(F.coalesce(number, F.lit(1)))  # a group that need not take part
     )
 
 
-# Decode registry, keyword -> rule, in match order. The first
-# keyword contained in the lower-cased manufacturer selects the rule.
-DECODE_RULES: list[tuple[str, Rule]] = [
-    ("linet", _r_linet),
-    ("unico", _r_ymd8),
-    ("lab corp", _r_lab_corp),
-    ("dacheng", _r_ymd8),
-    ("jiangmen", _r_ymd8),
-    ("edan", _r_edan),
-    ("mindray", _r_mindray),
-    ("zoll", _r_zoll),
-    ("hill rom", _r_hillrom),
-    ("hillrom", _r_hillrom),
-    ("philips", _r_philips),
-    ("ge healthcare", _r_ge),
-    ("american diagnostic", _r_adc),
-    ("welch allyn", _r_welch_allyn),
-    ("arjo", _prefix_years(("21", 2021))),
-    ("baxter", _prefix_years(("37", 2017), ("38", 2018))),
-    ("biosonic", _r_biosonic),
-    ("cogentix", _r_cogentix),
-    ("covidien", _r_covidien),
-    ("exergen", _r_exergen),
-    ("hospira", _prefix_years(("17", 2017))),
-    ("masimo", _prefix_years(("M19", 2019))),
-    ("olympus", _prefix_years(("75", 2015))),
-    ("stryker", _r_stryker),
-    ("thermo scientific", _prefix_years(("18", 2018))),
-]
+def matching_rule(chosen: Column, sn: Column, horizon: int = HORIZON_YEAR) -> Column:
+    """The first variant whose pattern the serial matches, or null."""
 
+    def fits(v: Column) -> Column:
+        return F.call_function("rlike", sn, v["pattern"]) & ((v["earliest"] == 0) | _year(sn, v).between(v["earliest"], F.lit(horizon)))
 
-def rule_keyword(mfg_l: Column, rules: list[tuple[str, Rule]] = DECODE_RULES) -> Column:
-    """First registry keyword contained in the manufacturer (or null)."""
-    out = F.lit(None).cast("string") if not rules else None
-    for kw, _ in rules:
-        out = F.when(mfg_l.contains(kw), F.lit(kw)) if out is None else out.when(mfg_l.contains(kw), F.lit(kw))
-    return out
+    return F.get(F.filter(chosen["variants"], fits), F.lit(0))
 
 
-def raw_decode(rule: Column, sn: Column, model_l: Column, horizon: int = HORIZON_YEAR, rules: list[tuple[str, Rule]] = DECODE_RULES) -> Column:
-    """struct(y, m, d) from the selected rule, before year checks (null = no parse)."""
-    out = F.lit(None).cast("struct<y:int,m:int,d:int>") if not rules else None
-    for kw, fn in rules:
-        out = F.when(rule == kw, fn(sn, model_l, horizon)) if out is None else out.when(rule == kw, fn(sn, model_l, horizon))
-    return out
+def read_rule(rule: Column, sn: Column) -> Column:
+    """struct(y, m, d) by a matching rule, before year checks (null = no parse)."""
+    month = _month(sn, rule)
+    day = F.when(rule["day"] == 0, 1).otherwise(_group(sn, rule, "day").try_cast("int"))
+    found = F.struct(_year(sn, rule).cast("int").alias("y"), month.cast("int").alias("m"), day.cast("int").alias("d"))
+    return F.when(rule.isNotNull() & month.isNotNull(), found)
 
 
 def decode_serials(
@@ -231,7 +161,7 @@ def decode_serials(
     horizon: int = HORIZON_YEAR,
     out: str = "decoded_date",
     keep_detail: bool = False,
-    rules: list[tuple[str, Rule]] = DECODE_RULES,
+    rules: list[Rule] = DECODE_RULES,
 ) -> DataFrame:
     """Add ``out`` (``YYYY-MM-DD`` or null) decoded from the serial.
 
@@ -245,14 +175,9 @@ def decode_serials(
             "_dc_sn": strip_paren_tag(strip(col(sn))),
         }
     )
-    w = w.withColumn("rule_id", rule_keyword(F.col("_dc_mfg"), rules))
-    w = w.withColumn(
-        "_dc",
-        F.when(
-            col(sn).isNotNull() & (col(sn) != ""),
-            raw_decode(F.col("rule_id"), F.col("_dc_sn"), F.col("_dc_model"), horizon, rules),
-        ),
-    )
+    w = w.withColumn("_dc_set", chosen_rules(F.col("_dc_mfg"), F.col("_dc_model"), rules)).withColumn("rule_id", F.col("_dc_set.keyword"))
+    w = w.withColumn("_dc_rule", F.when(col(sn).isNotNull() & (col(sn) != ""), matching_rule(F.col("_dc_set"), F.col("_dc_sn"), horizon)))
+    w = w.withColumn("_dc", read_rule(F.col("_dc_rule"), F.col("_dc_sn")))
     w = lookup_metadata(w, "_dc_mfg", "_dc_model", prefix="_dcm_")
     y = F.col("_dc.y")
     chk = year_check(y, F.col("_dcm_founded_year"), F.col("_dcm_start_year"), horizon)

@@ -1,9 +1,8 @@
-"""Manufacturer inference (section 2.9, E3) as one ordered Column expression.
+"""Manufacturer inference (section 2.9, E3) by ordered rules.
 
 Model-name rules are tried first (substring of the normalised model), then
 serial rules on the upper-cased serial; the first match wins. The rule lists
-are data; they compile to a single ``CASE`` per row, so no join or UDF is
-involved. The per-key cache lookup (J3) only touches the rows
+are data, held as constants of the plan, so no join or UDF is involved. The per-key cache lookup (J3) only touches the rows
 whose manufacturer is blank; the others never enter that join.
 """
 
@@ -12,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetclean.functions.constants import constant, constant_map
 from assetclean.functions.text import col, model_norm, pipe_key, strip
 
 UNKNOWN_MANUFACTURER = "Unknown Manufacturer"
@@ -82,34 +82,35 @@ SERIAL_RULES: list[tuple[list[tuple[str, str]], str]] = [
 ]
 
 
-def _test(c: Column, kind: str, pat: str) -> Column:
-    if kind == "prefix":
-        return c.startswith(pat)
-    if kind == "suffix":
-        return c.endswith(pat)
-    return c.contains(pat)
+def _serial_tables() -> tuple[dict[int, dict[str, dict]], list[dict]]:
+    """The serial rules as look-ups: length -> prefix -> (order, name), and the
+    few tests that are no prefix, in order."""
+    prefixes: dict[int, dict[str, dict]] = {}
+    others = []
+    for order, (alts, name) in enumerate(SERIAL_RULES):
+        for kind, pat in alts:
+            if kind == "prefix":
+                prefixes.setdefault(len(pat), {}).setdefault(pat, {"order": order, "name": name})
+            else:
+                others.append({"ends": int(kind == "suffix"), "pat": pat, "hit": {"order": order, "name": name}})
+    return prefixes, others
 
 
 def guess_manufacturer(model: str | Column, sn: str | Column) -> Column:
-    """Rule-based manufacturer guess from model and serial; null when no rule fires."""
+    """Rule-based manufacturer guess from model and serial; null when no rule
+    fires. A serial is looked up by its first characters, once for each length
+    of prefix, and of all rules that fit the first one wins."""
     mn = model_norm(model)
     su = F.upper(strip(F.coalesce(col(sn), F.lit(""))))
-    out = None
-    for pats, name in MODEL_RULES:
-        cond = mn != ""
-        hit = None
-        for p in pats:
-            hit = mn.contains(p) if hit is None else (hit | mn.contains(p))
-        cond = cond & hit
-        out = F.when(cond, F.lit(name)) if out is None else out.when(cond, F.lit(name))
-    for alts, name in SERIAL_RULES:
-        hit = None
-        for kind, p in alts:
-            t = _test(su, kind, p)
-            hit = t if hit is None else (hit | t)
-        cond = (su != "") & hit
-        out = out.when(cond, F.lit(name))
-    return out
+    names = constant([{"subs": list(pats), "name": name} for pats, name in MODEL_RULES])
+    by_model = F.get(F.filter(names, lambda r: F.exists(r["subs"], mn.contains)), F.lit(0))["name"]
+    prefixes, others = _serial_tables()
+    hits = [F.try_element_at(constant_map(table), F.substring(su, 1, length)) for length, table in sorted(prefixes.items())]
+    if others:
+        fits = F.filter(constant(others), lambda r: ((r["ends"] == 1) & su.endswith(r["pat"])) | ((r["ends"] == 0) & su.contains(r["pat"])))
+        hits.append(F.get(fits, F.lit(0))["hit"])
+    by_serial = F.array_min(F.array(*hits))["name"]
+    return F.coalesce(F.when(mn != "", by_model), F.when(su != "", by_serial))
 
 
 def infer_manufacturers(

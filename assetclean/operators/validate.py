@@ -1,9 +1,8 @@
 """Canonical manufacturer, product metadata lookup, year bounds.
 
 The metadata table is fixed (53 rows), so the contains-style first-match
-lookup is compiled into one ordered ``CASE`` over that table and evaluated
-per row: no join, no shuffle, and nothing that grows with the data is ever
-broadcast.
+lookup goes through constants of the plan, row by row: no join, no shuffle,
+and nothing that grows with the data is ever broadcast.
 """
 
 from __future__ import annotations
@@ -11,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetclean.functions.constants import constant, constant_map
 from assetclean.functions.dates import HORIZON_YEAR
 from assetclean.functions.text import clean_key, col, model_norm
-from assetclean.sources.metadata import manufacturer_keys, metadata_rows, product_metadata
+from assetclean.sources.metadata import manufacturer_keys, metadata_rows
 
 # Ordered substring rules that name the canonical manufacturer
 # key. The first rule whose substring occurs in the lower-cased name wins;
@@ -50,27 +50,18 @@ MIN_GLOBAL_YEAR = 1850
 def canonical_manufacturer(c: str | Column) -> Column:
     """Ordered contains-rules, then any metadata key, else null."""
     k = clean_key(c)
-    expr = None
-    rules = [(subs, key) for subs, key in CANONICAL_RULES]
-    rules += [((key,), key) for key in manufacturer_keys()]
-    for subs, key in rules:
-        cond = None
-        for s in subs:
-            cond = k.contains(s) if cond is None else (cond | k.contains(s))
-        expr = F.when(cond, F.lit(key)) if expr is None else expr.when(cond, F.lit(key))
-    return F.when(col(c).isNull() | (col(c) == ""), F.lit(None).cast("string")).otherwise(expr)
+    rules = [{"subs": list(subs), "key": key} for subs, key in CANONICAL_RULES] + [{"subs": [key], "key": key} for key in manufacturer_keys()]
+    first = F.get(F.filter(constant(rules), lambda r: F.exists(r["subs"], k.contains)), F.lit(0))
+    return F.when(col(c).isNull() | (col(c) == ""), F.lit(None).cast("string")).otherwise(first["key"])
 
 
 def _models() -> Column:
     """The metadata table as a constant map: manufacturer key -> its models in
     table order. The table is fixed (53 rows)."""
-    by: dict[str, list[Column]] = {}
+    by: dict[str, list[dict]] = {}
     for _, key, founded, _, model, start, sources in metadata_rows():
-        entry = F.struct(
-            F.lit(key).alias("mfg_key"), F.lit(founded).alias("founded_year"), F.lit(model).alias("model"), F.lit(start).alias("start_year"), F.array(*[F.lit(x) for x in sources]).alias("sources")
-        )
-        by.setdefault(key, []).append(entry)
-    return F.create_map(*[x for key, models in by.items() for x in (F.lit(key), F.array(*models))])
+        by.setdefault(key, []).append({"mfg_key": key, "founded_year": founded, "model": model, "start_year": start, "sources": sources})
+    return constant_map(by)
 
 
 def lookup_metadata(df: DataFrame, mfg: str = "mfg", model: str = "model", prefix: str = "meta_") -> DataFrame:

@@ -119,8 +119,8 @@ def test_every_canonical_arm_and_metadata_row(spark):
 
 
 def test_decode_rules_are_a_parameter(spark):
-    own = [("acme", lambda sn, model, horizon: F.struct(F.lit(2001).alias("y"), F.lit(2).alias("m"), F.lit(3).alias("d"))), *decode.DECODE_RULES]
-    df = spark.createDataFrame([("ACME Corp", "X", "1"), ("Masimo", "RAD8", "M192824")], "mfg string, model string, sn string")
+    own = [decode.Rule("acme", r"^(\d{2})-(\d)'(\d)", 2000, 1, 2, 3), *decode.DECODE_RULES]
+    df = spark.createDataFrame([("ACME Corp", "X", "01-2'3"), ("Masimo", "RAD8", "M192824")], "mfg string, model string, sn string")
     assert [r.decoded_date for r in decode.decode_serials(df, rules=own).orderBy("mfg").collect()] == ["2001-02-03", "2019-01-01"]
     assert decode.decode_serials(df, rules=[]).where("decoded_date is not null").count() == 0
 
