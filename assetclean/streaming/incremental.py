@@ -3,29 +3,28 @@ caches of the previous runs (the source's between-run cache reuse).
 
 A file stream feeds ``foreachBatch``; every micro-batch is enriched against
 the caches that the batches before it left, and writes under its own batch id:
-its output, the cache entries it added (a delta) and, last of all, a marker.
-A batch reads only deltas of lower ids that have a marker, so a batch that is
-run again after a failure sees what it saw before and overwrites only its own
-folders. Every COMPACT batches the delta is the whole cache, and earlier ones
-are no longer read.
+its output, the cache buckets that its entries fall into and, last of all, a
+marker that names for every bucket the batch which wrote it last. A batch reads
+the marker before its own, so a batch that is run again after a failure sees
+what it saw before and overwrites only its own folders.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from assetclean.plans.enrich import csv_writer, enrich
 from assetclean.sources import caches
 
-COMPACT = 16
 CACHES = {
-    "types": ("type_key", ["type_key", "device_type", "probable_typo", "confidence"]),
-    "dates": ("date_key", ["date_key", "date", "confidence"]),
-    "manufacturers": ("mfr_key", ["mfr_key", "manufacturer"]),
+    "types": ("type_key", caches.TYPE_CACHE_SCHEMA),
+    "dates": ("date_key", caches.DATE_CACHE_SCHEMA),
+    "manufacturers": ("mfr_key", caches.MFR_CACHE_SCHEMA),
 }
 
 
@@ -43,37 +42,50 @@ def finished(spark: SparkSession, state_dir: str, before: int) -> list[int]:
     return sorted(int(n) for n in names if n.isdigit() and int(n) < before)
 
 
-def cache_before(spark: SparkSession, state_dir: str, name: str, batch_id: int) -> DataFrame | None:
-    """The cache as batch ``batch_id`` must see it: of each key the entry of
-    the latest batch, from the last whole version on."""
+def bucket_versions(spark: SparkSession, state_dir: str, batch_id: int) -> dict[str, dict[int, int]]:
+    """Of each cache, which batch wrote each bucket last, as batch
+    ``batch_id`` must see it."""
     ids = finished(spark, state_dir, batch_id)
-    whole = max((i for i in ids if i % COMPACT == 0), default=None)
-    ids = [i for i in ids if whole is None or i >= whole]
     if not ids:
-        return None
-    key, columns = CACHES[name]
-    paths = [os.path.join(state_dir, name, f"batch={i}") for i in ids]
-    rows = spark.read.option("basePath", os.path.join(state_dir, name)).parquet(*paths)
-    if len(ids) == 1:
-        return rows.select(*columns)
-    latest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("batch")))
-    return rows.withColumn("_n", latest).where(F.col("_n") == 1).select(*columns)
+        return {name: {} for name in CACHES}
+    text = spark.read.text(os.path.join(state_dir, "done", str(ids[-1])), wholetext=True).first()[0]  # a few numbers for each bucket
+    return {name: {int(b): v for b, v in of.items()} for name, of in json.loads(text).items()}
+
+
+def cache_before(spark: SparkSession, state_dir: str, name: str, batch_id: int) -> DataFrame | None:
+    """The cache as batch ``batch_id`` must see it."""
+    versions = bucket_versions(spark, state_dir, batch_id)[name]
+    return caches.read_buckets(spark, os.path.join(state_dir, name), versions, CACHES[name][1]) if versions else None
 
 
-def process_batch(df: DataFrame, batch_id: int, out_dir: str, state_dir: str) -> None:
+def process_batch(df: DataFrame, batch_id: int, out_dir: str, state_dir: str, **answers: DataFrame | None) -> None:
+    """One run. ``answers``: the resolvers' answers that ``enrich`` takes."""
     spark = df.sparkSession
     raw = df.withColumn("_ord", F.monotonically_increasing_id())
+    versions = bucket_versions(spark, state_dir, batch_id)
     before = {name: cache_before(spark, state_dir, name, batch_id) for name in CACHES}
-    res = enrich(raw, types=before["types"], dates=before["dates"], mfr_cache=before["manufacturers"])
+    res = enrich(raw, types=before["types"], dates=before["dates"], mfr_cache=before["manufacturers"], **answers)
     csv_writer(res.enriched.drop("_ord")).csv(os.path.join(out_dir, f"batch={batch_id}"))
-    for name, (key, columns) in CACHES.items():
-        after = getattr(res, name).select(*columns)
-        if batch_id % COMPACT and before[name] is not None:  # what is new or changed
-            old = before[name].select(*columns)
-            after = after.join(old, [after[c].eqNullSafe(old[c]) for c in columns], "left_anti")
-        caches.write_cache(after, os.path.join(state_dir, name, f"batch={batch_id}"))
+    for name, (key, schema) in CACHES.items():
+        after = getattr(res, name)
+        if before[name] is not None:  # what is new or changed
+            values = [c for c in before[name].columns if c != "entry_pos"]
+            old = before[name].select(*values)
+            after = after.join(old, [after[c].eqNullSafe(old[c]) for c in values], "left_anti")
+        versions[name] = caches.write_buckets(after, os.path.join(state_dir, name), batch_id, versions[name], key, schema)
+    mark(spark, state_dir, batch_id, versions)
+
+
+def mark(spark: SparkSession, state_dir: str, batch_id: int, versions: dict[str, dict[int, int]]) -> None:
+    """Write the marker aside and move it in place, so that it is whole or not there."""
     fs, marker = _fs(spark, os.path.join(state_dir, "done", str(batch_id)))
-    fs.create(marker, True).close()
+    _, aside = _fs(spark, os.path.join(state_dir, "done", f"_{batch_id}"))
+    out = fs.create(aside, True)
+    out.write(bytearray(json.dumps(versions), "utf-8"))
+    out.close()
+    fs.delete(marker, False)
+    if not fs.rename(aside, marker):
+        raise OSError(f"could not write {marker}")
 
 
 def start(
