@@ -5,6 +5,7 @@ with the input tables. Every callable takes ``(spark, sf_dir)``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from assetclean.operators.resolve import decode_once, resolve_dates, resolve_typ
 from assetclean.operators.validate import validate_years
 from assetclean.plans import reports as R
 from assetclean.plans.enrich import enrich
-from assetclean.session import cut
+from assetclean.session import cut, work_dir
 from assetclean.sources import caches
 from assetclean.sources import testdata as td
 
@@ -260,6 +261,14 @@ def q_sort_page(spark, sf):
     return V.page(_enriched(spark, sf).enriched, n, key, direction)
 
 
+def q_last_page(spark, sf):
+    """The last page by model, descending, from a stored page index."""
+    _, key, direction = SORT_PAGE
+    index = V.index_pages(_enriched(spark, sf).enriched, f"{work_dir(spark)}/pages-{uuid.uuid4().hex}", key, direction)
+    pages = index.page_count().first()["pages"]
+    return index.page(pages).withColumn("pages", F.lit(pages).cast("long"))
+
+
 def q_typo_report(spark, sf):
     res = _enriched(spark, sf)
     return R.numbered(R.typo_report(res.types, res.corrections.models))
@@ -306,6 +315,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "profile_groups": q_profile_groups,
     "search_rows": q_search_rows,
     "sort_page": q_sort_page,
+    "last_page": q_last_page,
     "typo_report": q_typo_report,
     "corrections_report": q_corrections_report,
     "dashboard_stats": q_dashboard_stats,

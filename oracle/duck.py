@@ -523,6 +523,10 @@ ORACLE_SQL.update(
             OR contains(lower(manufactured_date), 'monitor') OR contains(lower(device_type), 'monitor')"""
         ),
         "sort_page": _full("SELECT * FROM enriched ORDER BY lower(coalesce(model, '')) DESC, _ord LIMIT 15 OFFSET 30"),
+        "last_page": _full(
+            """SELECT * FROM (SELECT *, CAST(ceil(count(*) OVER () / 15.0) AS BIGINT) AS pages FROM enriched)
+            QUALIFY row_number() OVER (ORDER BY lower(coalesce(model, '')) DESC, _ord) > (pages - 1) * 15"""
+        ),
         "typo_report": _full(
             f"""SELECT row_number() OVER (ORDER BY s, lp, t) AS line_no, line FROM (
             SELECT 1 AS s, [CAST(0 AS BIGINT)] AS lp, type_key AS t,

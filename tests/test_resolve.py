@@ -120,3 +120,23 @@ def test_search_and_page(spark):
     p = [r._ord for r in V.page(df, 2, "model", "desc").collect()]
     exp = sorted(range(40), key=lambda i: (-(i % 5), i))[15:30]
     assert p == exp
+
+
+def test_page_index(spark, tmp_path):
+    """Every page equals that of the full sort; the last one reads one range."""
+    rows = [(i, "same" if i % 3 else f"Model {chr(65 + i % 7)}" if i % 2 else None) for i in range(203)]
+    df = spark.createDataFrame(rows, "_ord long, model string").repartition(5)
+    for key, direction in (("model", "desc"), ("model", "asc"), (None, "asc")):
+        index = V.index_pages(df, str(tmp_path / f"{key}-{direction}"), key, direction)
+        n = index.page_count().first()["pages"]
+        assert n == V.page_count(df).first()["pages"] == 14
+        want = [tuple(r) for r in V.sort_rows(df, key, direction).collect()]
+        assert [tuple(r) for k in range(1, n + 1) for r in index.page(k).collect()] == want
+        assert index.page(n + 1).count() == 0
+        plan = index.page(n)._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [" in plan and "_range" in plan.split("PartitionFilters: [")[1].split("]")[0]
+        assert len(index.page(n).inputFiles()) > 1 and len({r[0] for r in index.page(n).select(F.input_file_name()).collect()}) == 1
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "model-desc" / "rows")).groupBy("_range").count().collect()]
+    assert max(sizes) < 110  # the common value, two thirds of the rows, is spread
+    empty = V.index_pages(df.limit(0), str(tmp_path / "empty"), "model")
+    assert empty.page_count().first()["pages"] == 0 and empty.page(1).count() == 0
