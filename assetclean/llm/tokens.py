@@ -18,8 +18,8 @@ files, written and committed by Spark, so lost executors leave no half files
 and any store that Spark can write works.
 
 Defined results: null text is empty; an empty text is the end id alone; a null
-key comes first; rows of one key are ordered by text; repeated rows are
-repeated documents; extra columns are ignored; an empty table writes no block.
+key comes first; rows of one key are ordered by a hash of their text, and may
+lie in several shards; repeated rows are repeated documents; extra columns are ignored; an empty table writes no block.
 One text, one block and the cache of words are all that a task holds.
 """
 
@@ -29,6 +29,7 @@ import os
 import re
 import sys
 import types
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -45,7 +46,10 @@ BLOCK = 1 << 15
 END_ID = 1
 #: Words that a Python worker remembers, twice; results don't depend on it.
 CACHE_WORDS = 400_000
-END_MARK = re.compile(r"(?<=[^\W_])([.,])(?=[ \n]|$)")
+#: Latin letters that NFC and lower case leave one letter each, so that no mark
+#: of theirs can join the stop after them; and digits
+PLAIN = "0-9" + "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c) in ("Lu", "Ll") and len(unicodedata.normalize("NFC", c).lower()) == 1)
+END_MARK = re.compile(rf"(?<=[{PLAIN}])([.,])(?=[ \n]|$)")
 
 FORMAT = "shard int, block int, first long, n_ids int, width int, planes array<binary>, docs array<struct<key:long,first:long,n_ids:long>>"
 
@@ -99,21 +103,22 @@ class WordEncoder:
     word: a text is cut there and the ids of each word are remembered. The
     words last met are kept in two generations of CACHE_WORDS."""
 
-    def __init__(self, path: str):
+    def __init__(self, model: str):
+        """``model`` is the text of the tokenizers file, not its path."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the threads
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
+        self.model = Tokenizer.from_str(model)
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
     @staticmethod
-    def of_worker(path: str) -> WordEncoder:
+    def of_worker(model: str) -> WordEncoder:
         """The encoder of this Python worker, which outlives its tasks."""
         kept = sys.modules.setdefault("_assetclean_worker", types.ModuleType("_assetclean_worker")).__dict__
-        if path not in kept:
-            kept[path] = WordEncoder(path)
-        return kept[path]
+        if model not in kept:
+            kept[model] = WordEncoder(model)
+        return kept[model]
 
     def __call__(self, text: str) -> bytes:
         if "<|" not in text and latin(text):
@@ -134,8 +139,8 @@ class WordEncoder:
         return b"".join(map(known.__getitem__, words))
 
 
-def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, block: int, width: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    encode, end = WordEncoder.of_worker(tokenizer), np.array([end_id], "<u4").tobytes()
+def _encode(batches: Iterator[pa.RecordBatch], model: str, block: int, width: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    encode, end = WordEncoder.of_worker(model), np.array([end_id], "<u4").tobytes()
     shard = TaskContext.get().partitionId()
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()), ("width", pa.int32()), ("planes", pa.list_(pa.binary())), ("docs", pa.list_(pa.struct([("key", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64())])))])
     held, number, done, docs = bytearray(), 0, 0, []
@@ -162,9 +167,15 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, block: int, width
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", block: int = BLOCK, width: int = 8, end_id: int = END_ID) -> None:
-    """Encode all texts in ascending key order into blocks under ``path``."""
-    ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
-    ordered.mapInArrow(lambda b: _encode(b, tokenizer, block, width, end_id), FORMAT).write.parquet(path)
+    """Encode all texts in ascending key order into blocks under ``path``. The
+    tokenizers file, a few MB, is read by the driver and sent to the workers.
+    Shards are ranges of (key, hash of the text, place in the input), so many
+    rows of one key, equal ones too, are dealt over several shards."""
+    with open(tokenizer, encoding="utf-8") as f:
+        model = docs.sparkSession.sparkContext.broadcast(f.read())
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
+    ordered = rows.withColumn("at", F.monotonically_increasing_id()).repartitionByRange("key", "h", "at").sortWithinPartitions("key", "h", "text").select("key", "text")
+    ordered.mapInArrow(lambda b: _encode(b, model.value, block, width, end_id), FORMAT).write.parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ def test_token_files(spark, odd, none, width):
     path = shared_dir(spark)
     tokens.write_ids(odd, path, P.path("word_bpe_49k.json"), block=1000, width=width)
     got = sorted(((r["start"], r["key"], r["n_tokens"], r["ids_crc32"]) for r in tokens.read_documents(spark, path).collect()))
-    rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] is not None, r["text"] or "", r["doc_id"]) for r in odd.collect()))
+    rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["text"] or "", r["doc_id"]) for r in odd.select("doc_id", "text", language.F.xxhash64("text").alias("h")).collect()))
     start, want = 0, []
     for *_, text, key in rows:
         ids = model.encode(text, add_special_tokens=False).ids + [1]
@@ -47,11 +47,37 @@ def test_token_files(spark, odd, none, width):
 
 @pytest.mark.parametrize("text", ["It's Ünïcode,  ok.", "a.b,c . , !. don't, 'S. İstanbul ΣΑΣ. 3.5, x²,", "<|endoftext|>, <|ENDOFTEXT|>.", "é.́ á, \xa0b c\x85d", "tabs\tand\nlines,\n.", ""])
 def test_word_cache_equals_the_tokenizer(text):
-    e = tokens.WordEncoder(P.path("word_bpe_49k.json"))
+    e = tokens.WordEncoder(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
     want = np.array(e.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     assert e(text) == want == e(text)
 
 
+def test_every_letter_before_a_stop_equals_the_tokenizer():
+    e = tokens.WordEncoder(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
+    texts = [f"a{c}. b{c}, {c}." for c in map(chr, range(0x110000)) if c.isalnum()]
+    assert len(texts) > 100_000
+    plain = e.model.encode_batch_fast(texts, add_special_tokens=False)
+    assert [t for t, p in zip(texts, plain, strict=True) if e(t) != np.array(p.ids, "<u4").tobytes()] == []
+
+
+def test_one_key_is_dealt_over_all_shards(spark):
+    rows = spark.range(6000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 5, id)) as doc_id", "if(id % 3 = 0, 'the same', concat('t', id)) as text")
+    path = shared_dir(spark)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # no merging of the small partitions
+        tokens.write_ids(rows.repartition(8), path, P.path("word_bpe_49k.json"), block=500)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = sorted(tokens.read_documents(spark, path).collect(), key=lambda r: r["start"])
+    sizes = Counter(r["shard"] for r in got)
+    assert len(got) == 6000 and len(sizes) >= 7 and max(sizes.values()) < 1500
+    keys = [-1 if r["key"] is None else r["key"] for r in got]
+    assert keys == sorted(keys) and [r["start"] for r in got[1:]] == list(np.cumsum([r["n_tokens"] for r in got])[:-1])
+
+
 def brute_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen, dup = set(), 0
