@@ -8,9 +8,10 @@ no row is ever sorted.
 
 Defined results: null source is a source of its own, ordered last; null text
 has size 0; an empty table gives no rows. Source statistics cover all rows.
-The plan (op2) hashes keys, null as the empty text, and rows with equal keys
-are taken or left together, as in its SQL. ``mix`` hashes whole rows, and the
+Rows, not keys, are hashed: the plan (op2) takes key, null as the empty text,
+and text, null as the empty one, ``mix`` all columns, and both hash the
 occurrences of equal rows apart, so null and repeated keys make no difference.
+Equal rows travel as one row and a number. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import WORD, cut, id_hash, packed, table
 
 BITS = 60
 LEVEL_BITS = 12
+#: repeats of a row that one task writes; results don't depend on it
+REPEATS = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -107,9 +110,12 @@ def _refine(rows: DataFrame, open_: DataFrame, depth: int) -> DataFrame:
 
 def plan_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **rules) -> tuple[DataFrame, DataFrame]:
     """(narrow rows: key, source, size, h; one row of decisions per source).
-    Texts are read once, to count their words; the histograms read the narrow
-    rows."""
-    rows = cut(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), id_hash(F.col(key)).alias("h")), "mix")
+    Texts are read once, to count their words and to hash them; the histograms
+    read the narrow rows."""
+    digest = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), id_hash(digest).alias("h"))
+    distinct = cut(rows.groupBy("key", "source", "size", "h").agg(F.count("*").alias("m")), "distinct")
+    rows = cut(occurrences(distinct).drop("row_h"), "mix")
     decisions = cut(hash_thresholds(rows, source_targets(rows, **rules)), "thresholds")
     return rows, decisions
 
@@ -118,11 +124,22 @@ def repeats(h: Column) -> Column:
     return F.col("copies") + F.when(h <= F.col("threshold"), 1).otherwise(0)
 
 
+def times(rows: DataFrame, n: str, name: str) -> DataFrame:
+    """Each row ``n`` times, numbered from 1 in ``name``. What repeats more than
+    REPEATS times is dealt over tasks in pieces of so many. ``rows`` are read
+    twice, so they should be written."""
+    few = rows.filter(F.col(n) <= REPEATS).select("*", F.explode(F.sequence(F.lit(1).cast("long"), n)).alias(name))
+    pieces = rows.filter(F.col(n) > REPEATS).select("*", F.explode(F.sequence(F.lit(1).cast("long"), n, F.lit(REPEATS))).alias("_from"))
+    last = F.least(F.col("_from") + REPEATS - 1, F.col(n))
+    many = pieces.repartition(F.xxhash64("_from"), "_from").select(*rows.columns, F.explode(F.sequence("_from", last)).alias(name))
+    return few.union(many)
+
+
 def occurrences(distinct: DataFrame) -> DataFrame:
-    """(source, size, h, m) -> (source, size, row_h, h): one row for each of
-    the m occurrences of a row; the first has the row's own hash."""
-    j = distinct.select("source", "size", F.col("h").alias("row_h"), F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("j"))
-    return j.select("source", "size", "row_h", F.when(F.col("j") == 1, F.col("row_h")).otherwise(id_hash(F.concat_ws(":", "row_h", "j"))).alias("h"))
+    """Rows with ``h`` and a number m -> one row for each of the m occurrences,
+    with row_h = h and an ``h`` of its own; the first has the row's own hash."""
+    j = times(distinct.withColumnRenamed("h", "row_h"), "m", "j")
+    return j.withColumn("h", F.when(F.col("j") == 1, F.col("row_h")).otherwise(id_hash(F.concat_ws(":", "row_h", "j")))).drop("j", "m")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **rules) -> DataFrame:
@@ -136,8 +153,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     equal = cut(equal, "equal")
     one = rows.join(equal, F.col("h") == F.col("equal_h"), "left_anti").join(d, same).select("row", repeats(F.col("h")).alias("n"))
     many = rows.join(equal.select("equal_h"), F.col("h") == F.col("equal_h"), "left_semi").groupBy("h").agg(F.first("row").alias("row"))
-    many = many.join(equal, F.col("h") == F.col("equal_h")).select("row", F.col("taken").alias("n"))
-    return one.union(many).filter("n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("row.*")
+    many = cut(many.join(equal, F.col("h") == F.col("equal_h")).filter("taken > 0").select("row", F.col("taken").alias("n")), "repeated")
+    one = one.filter("n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("j"))  # by the cap, few times
+    return one.union(times(many, "n", "j").select("row", "j")).select("row.*")
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,10 +166,16 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same rows from sorted running sums instead of histograms.
 ORACLE = r"""
-WITH RECURSIVE d AS (
+WITH RECURSIVE r AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS row_h
   FROM documents),
+j AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, source, size, row_h) AS j FROM r),
+d AS (
+  SELECT doc_id, source, size,
+         CASE WHEN j = 1 THEN row_h ELSE CAST('0x' || substr(md5(CAST(row_h AS VARCHAR) || ':' || CAST(j AS VARCHAR)), 1, 15) AS BIGINT) END AS h
+  FROM j),
 s AS (
   SELECT source, sum(size) AS source_size,
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight

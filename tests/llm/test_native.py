@@ -46,6 +46,21 @@ def test_mix_meets_targets_with_null_and_repeated_keys(spark):
     assert 0 < out.filter("doc_id is null").select("text").distinct().count()
 
 
+def test_op2_meets_targets_with_a_third_of_null_keys(spark, duck, monkeypatch):
+    monkeypatch.setattr(mix, "REPEATS", 100)  # equal rows beyond that are dealt in pieces
+    rows = [(i, f"t{i} " + "w " * (i % 50), "ab"[i % 2]) for i in range(1000)] + [(None, f"n{i} " + "w " * (i % 50), "ab"[i % 2]) for i in range(1000)]
+    rows += [(-2, "the same words " * 10, "b")] * 705 + [(-3, None, "a"), (-3, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    narrow, d = mix.plan_mix(docs)
+    got = narrow.join(d.withColumnRenamed("source", "s"), narrow["source"].eqNullSafe(mix.F.col("s"))).select(mix.F.col("key"), "size", "source_size", "target", (mix.repeats(mix.F.col("h")) * mix.F.col("size")).alias("taken")).collect()
+    assert len(got) == len(rows)
+    for s in "ab":
+        mine = [r for r in got if r["source_size"] == {"a": sum(len((t or "").split()) for _, t, x in rows if x == "a"), "b": sum(len((t or "").split()) for _, t, x in rows if x == "b")}[s]]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 51
+    rounded = lambda rows: sorted(str((*r[:3], round(r[3], 6), r[4])) for r in rows)
+    assert rounded(got) == rounded(duck(mix.ORACLE, documents=duck_docs(docs.selectExpr("*", "'x' as lang", "0 as n_chars"))))
+
+
 def test_mix_keeps_columns_and_empty(odd, none):
     assert mix.mix(odd).columns == odd.columns
     assert mix.mix(none).count() == 0
