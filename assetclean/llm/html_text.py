@@ -15,8 +15,11 @@ branch is removed from every page of the host if its node and all nodes with
 text beneath it are of low importance, and none has a content importance of
 OWN or more; nodes that too few pages have to be judged are not low. Pages with equal main text count once, and a host needs MIN_PAGES
 different pages before it is judged. Marks in a page itself (nav, footer,
-form, class "ad" and so on) remove branches outright; where a page has an
-article or main element, only what is inside can stay.
+form, class "ad" and so on) remove branches outright, but where names alone
+mark all text of a page, the branch with more than half of it stays; where a
+page has an article or main element, only what is inside can stay. A class
+name is judged by the word that says what it is for ("site-footer-inner", not
+"nav-fixed" or "notice-of-motion").
 
 Text rules: character references decoded, white space inside a block becomes
 one space, blocks are trimmed and joined in page order by a newline.
@@ -55,6 +58,8 @@ NOISE_TAGS = frozenset("aside audio button canvas datalist dialog embed fieldset
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 NOISE_WORDS = re.compile(r"^(ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|copyright|disclaimer|disqus|footer|forms?|login|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|notification|pager|pagination|popup|promo\w*|recommend\w*|related|replies|reply|respond|search|share|sharing|sidebar\w*|signup|skip\w*|social|sponsor\w*|subscribe|toolbar|widgets?)$")
 LAYOUT = frozenset(["no", "has", "with", "without"])  # "has-sidebar" names the layout, not the branch
+#: parts of a class name that say what is built, after what it is for: "footer-inner", "ad-slot-1"
+STRUCTURE = re.compile(r"^(area|articles?|bars?|blocks?|body|box|boxes|buttons?|cols?|columns?|container|content|groups?|holder|icons?|inner|items?|left|links?|lists?|main|outer|panels?|posts?|primary|region|right|rows?|secondary|sections?|slots?|stories|tabs|text|title|toggle|top|bottom|units?|wrap|wrapper|zone|\d+|\d+x\d+)$")
 PAGE_ONLY = frozenset(["header"])  # noise outside an article alone
 MAIN = frozenset(["article", "main"])
 #: an open element of the first kind ends where one of the second begins
@@ -68,11 +73,24 @@ def code(*parts: object) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(map(str, parts))) - (1 << 63)
 
 
+def purpose(name: str) -> str:
+    """The word of a class name or id that says what it is for: the last one
+    before those of STRUCTURE; none if the name is about the layout."""
+    words = [w for w in re.split(r"[^a-z0-9]+", name.lower()) if w]
+    while len(words) > 1 and STRUCTURE.match(words[-1]):
+        words.pop()
+    return "" if not words or LAYOUT & set(words) else words[-1]
+
+
 class Node:
-    __slots__ = ("tag", "path", "noise", "main", "children")
+    """``noise``: a tag or an attribute of it or of a node around it says that
+    it is no text; ``marks``: numbers of the nodes, from the outside in, of
+    which a class name or id says so."""
+
+    __slots__ = ("tag", "path", "noise", "marks", "main", "children")
 
-    def __init__(self, tag: str, path: int, noise: bool, main: bool):
-        self.tag, self.path, self.noise, self.main = tag, path, noise, main
+    def __init__(self, tag: str, path: int, noise: bool, marks: tuple[int, ...], main: bool):
+        self.tag, self.path, self.noise, self.marks, self.main = tag, path, noise, marks, main
         self.children: list[str] = []
 
 
@@ -82,9 +100,10 @@ class Page(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack = [Node("", 0, False, False)]
-        self.runs: list[tuple[str, list[int], bool, bool]] = []  # text, path codes from the outside in, noise, in main
-        self.styles: list[tuple[int, int]] = []
+        self.stack = [Node("", 0, False, (), False)]
+        self.runs: list[tuple[str, list[int], Node]] = []  # text, path codes from the outside in, innermost node
+        self.styles: list[tuple[int, int, tuple[int, ...]]] = []  # path, children, marks
+        self.n_marks = 0
         self.text: list[str] = []
         self.text_at: list[Node] = []
 
@@ -93,7 +112,7 @@ class Page(HTMLParser):
             line = " ".join("".join(self.text).split())
             if line:
                 last = self.text_at[-1]
-                self.runs.append((line, [n.path for n in self.text_at], last.noise, last.main))
+                self.runs.append((line, [n.path for n in self.text_at], last))
             self.text = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -111,13 +130,16 @@ class Page(HTMLParser):
         names = f"{a.get('class') or ''} {a.get('id') or ''}"
         top.children.append(f"{tag}.{names}")
         main = top.main or tag in MAIN or a.get("role") == "main" or a.get("itemprop") == "articleBody"
-        words = [w for w in re.split(r"[^a-z0-9]+", names.lower()) if w]
         noise = top.noise or tag in NOISE_TAGS or (a.get("role") or "") in NOISE_ROLES or "hidden" in a or a.get("aria-hidden") == "true"
-        noise = noise or "display:none" in (a.get("style") or "").replace(" ", "").lower()
-        noise = noise or (tag not in MAIN and tag not in ("body", "html") and not LAYOUT & set(words) and any(NOISE_WORDS.match(w) for w in words))
-        noise = noise or (not main and (tag in PAGE_ONLY or any(w in PAGE_ONLY for w in words)))
+        noise = noise or "display:none" in (a.get("style") or "").replace(" ", "").lower() or (not main and tag in PAGE_ONLY)
+        marks = top.marks
+        if tag not in ("body", "html"):
+            words = set(map(purpose, names.split()))
+            if (tag not in MAIN and any(map(NOISE_WORDS.match, words))) or (not main and words & PAGE_ONLY):
+                self.n_marks += 1
+                marks = (*marks, self.n_marks)
         if tag not in VOID:
-            self.stack.append(Node(tag, code(top.path, tag, names), noise, main))
+            self.stack.append(Node(tag, code(top.path, tag, names), noise, marks, main))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -141,12 +163,13 @@ class Page(HTMLParser):
             self.text.append(" ")
         for n in self.stack[k:]:
             if not n.noise:
-                self.styles.append((n.path, code(*n.children)))
+                self.styles.append((n.path, code(*n.children), n.marks))
         del self.stack[k:]
 
     def handle_data(self, data: str) -> None:
         # inline noise (a script, a button) must not enter the block around it
-        if self.stack[-1].noise and not any(n.noise for n in self.block_nodes()):
+        top, block = self.stack[-1], self.block_nodes()[-1]
+        if top.noise > block.noise or len(top.marks) > len(block.marks):
             return
         if not self.text or not data.isspace():
             if not any(not t.isspace() for t in self.text):
@@ -166,6 +189,24 @@ class Page(HTMLParser):
         return self.stack[:1]
 
 
+def believed(runs: list[tuple]) -> set[int]:
+    """Marks by names that must be wrong: while no text is left without a mark,
+    the outermost branch with more than half of the marked text is freed of its
+    own; the marks inside it still count."""
+    undone: set[int] = set()
+    total = sum(len(r[0]) for r in runs)
+    while runs and not any(undone.issuperset(r[2]) for r in runs):
+        sizes: dict[int, int] = {}
+        for text, _, marks, _ in runs:
+            first = next(m for m in marks if m not in undone)
+            sizes[first] = sizes.get(first, 0) + len(text)
+        most = max(sizes, key=lambda m: sizes[m])
+        if 2 * sizes[most] <= total:
+            break
+        undone.add(most)
+    return undone
+
+
 def parse_page(html: str) -> tuple[list[dict], list[dict], list[dict]]:
     """(runs, chains, styles) of a page. Runs hold what the page's own marks
     allow, with the number of their chain of nodes."""
@@ -174,12 +215,14 @@ def parse_page(html: str) -> tuple[list[dict], list[dict], list[dict]]:
     p.close()
     p.pop_to(1)
     p.end_block()
-    runs = [r for r in p.runs if not r[2]]
+    every = [(t, c, n.marks, n.main) for t, c, n in p.runs if not n.noise]
+    undone = believed(every)
+    runs = [r for r in every if undone.issuperset(r[2])]
     if any(r[3] for r in runs):
         runs = [r for r in runs if r[3]]
     # equal (path, style) pairs of a page count once
     chains = {c: i for i, c in enumerate(dict.fromkeys((tuple(c), m) for _, c, _, m in runs))}
-    return [{"text": t, "chain": chains[tuple(c), m]} for t, c, _, m in runs], [{"path": list(c), "main": m} for c, m in chains], [{"path": a, "style": b} for a, b in dict.fromkeys(p.styles)]
+    return [{"text": t, "chain": chains[tuple(c), m]} for t, c, _, m in runs], [{"path": list(c), "main": m} for c, m in chains], [{"path": a, "style": b} for a, b in dict.fromkeys((a, b) for a, b, m in p.styles if undone.issuperset(m))]
 
 
 PARSED = "page_id long, url string, host string, fingerprint long, runs array<struct<text:string,chain:int>>, chains array<struct<path:array<long>,main:boolean>>, styles array<struct<path:long,style:long>>"
