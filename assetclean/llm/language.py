@@ -12,9 +12,11 @@ documents of each language (the first in the order of a hash of their id) and
 ``chars_per_doc`` code points of each, in WINDOWS pieces spread over its whole
 text. That bounds the table that goes to the
 executors: 8 * docs_per_language * chars_per_doc * symbols bytes a language at
-most. Prediction reads whole texts. Letters are lowered and everything between
-them is one space; letters beyond the ``symbols`` most frequent of the sample
-share one symbol.
+most, whatever the alphabet, as the sample ends at so many symbols. Prediction reads whole texts.
+Letters are lowered and everything between them is one space. The most frequent
+letters of the sample have a symbol each; any other letter, met in the sample or
+not, is spelt by the hexadecimal digits of its code point, which have symbols of
+their own: all letters stay distinct, in alphabets of any size.
 
 Defined results: null text or a text without letters is ``und`` with score 0;
 if nothing is labelled, everything is ``und``; rows without a label or an id
@@ -43,12 +45,15 @@ RUNS_AT_ONCE = 8192
 #: pieces of a sampled document
 WINDOWS = 3
 UNKNOWN = "und"
+#: digits of a spelt letter: all letters of Unicode are below 16 ** 5
+DIGITS, BASE = 5, 16
+SPELT = 255
 ADDED = {c: T.StructField(c, t) for c, t in (("_lang_pred", T.StringType()), ("_score", T.DoubleType()), ("_entropy", T.DoubleType()))}
 
 
 class Model(NamedTuple):
     languages: list[str]
-    #: symbol of every code point: 0 between words, 1 other letters
+    #: symbol of every code point: 0 between words, 1 to BASE the digits, SPELT a letter that is spelt
     symbol: np.ndarray
     #: transitions of all automata, [state * width + symbol] -> next state * width; negative where a phrase ends
     step: np.ndarray
@@ -89,23 +94,36 @@ def automaton(text: list[int]) -> list[dict[int, int]]:
 def symbols_of(text: str, symbol: np.ndarray) -> np.ndarray:
     """Symbols of a text with one space at both ends and between words; empty
     if it has no letter."""
-    s = symbol[np.frombuffer(f" {text} ".encode("utf-32-le"), "<u4")]
-    kept = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))]
-    return kept if kept.any() else kept[:0]
-
-
-def fit(sample: dict[str, list[str]], symbols: int = 64) -> Model:
+    points = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    s = symbol[points]
+    keep = np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))
+    kept = s[keep]
+    if not kept.any():
+        return kept[:0]
+    if (spelt := kept == SPELT).any():
+        kept = np.repeat(kept, np.where(spelt, DIGITS, 1))
+        letters, place = np.unique(points[keep][spelt], return_inverse=True)
+        lowered = np.array([ord(chr(p).lower()[:1]) for p in letters])
+        digits = lowered[:, None] // BASE ** np.arange(DIGITS - 1, -1, -1) % BASE + 1
+        kept[kept == SPELT] = digits[place].reshape(-1)
+    return kept
+
+
+def fit(sample: dict[str, list[str]], symbols: int = 64, limit: int | None = None) -> Model:
+    """Automata of the texts of each language, of its first ``limit`` symbols."""
+    if symbols <= BASE:
+        raise ValueError(f"symbols={symbols}")
     languages = sorted(sample)
     seen = Counter(c for texts in sample.values() for t in texts for c in t.lower() if c.isalpha())
-    alphabet = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: symbols - 2]]
-    code = {c: i + 2 for i, c in enumerate(alphabet)}
+    alphabet = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: symbols - 1 - BASE]]
+    code = {c: i + 1 + BASE for i, c in enumerate(alphabet)}
     symbol = np.zeros(0x110000, np.uint8)
     for point in range(0x110000):
         if (c := chr(point)).isalpha():
-            symbol[point] = code.get(c if c in code else c.lower()[:1], 1)
+            symbol[point] = code.get(c if c in code else c.lower()[:1], SPELT)
     tables, roots, bits, before = [], [], [], 0
     for name in languages:
-        text = np.concatenate([np.zeros(1, np.uint8), *(symbols_of(t, symbol) for t in sample[name])])
+        text = np.concatenate([np.zeros(1, np.uint8), *(symbols_of(t, symbol) for t in sample[name])])[:limit]
         states = automaton(text.tolist())
         step = np.full((len(states), symbols), -1, np.int64)
         for i, moves in enumerate(states):
@@ -197,7 +215,7 @@ def train_model(docs: DataFrame, label: str = "lang", key: str = "doc_id", text:
     sample: dict[str, list[str]] = {}
     for r in picked.select("label", "text", "n").orderBy("label", "n").collect():
         sample.setdefault(r["label"], []).append(r["text"])
-    return fit(sample, symbols)
+    return fit(sample, symbols, docs_per_language * (chars_per_doc + 2) + 1)
 
 
 def held_out(key: Column) -> Column:

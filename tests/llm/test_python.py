@@ -188,10 +188,25 @@ def test_cross_entropy_learns_every_word(spark, odd, none, monkeypatch, frequent
     assert lm_score.score(df, keys.limit(0)).filter("score <> 0").count() == 0 == lm_score.score(none, keys).count()
 
 
+def test_languages_of_large_alphabets_are_told_apart(spark):
+    rng = random.Random(11)
+    letters = {"x": range(0x4E00, 0x4E00 + 1500), "y": range(0x6000, 0x6000 + 1500), "z": range(0x430, 0x450)}
+    words = {n: ["".join(chr(rng.choice(a)) for _ in range(rng.randint(1, 4))) for _ in range(700)] for n, a in letters.items()}
+    words["en"] = ["".join(rng.choice(["th", "er", "on", "an"]) for _ in range(rng.randint(1, 4))) for _ in range(700)]
+    rows = [(i * 4 + k, n, " ".join(rng.choices(words[n], k=60))) for i in range(120) for k, n in enumerate(sorted(words))]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language.train_model(df, usable=language.F.col("doc_id") < 320)
+    assert len(model.step) <= 4 * 2 * 64 * (200 * 302 + 2)
+    got = language.predict(df.filter("doc_id >= 320"), model).collect()
+    assert len(got) == 160 and sum(r["lang"] == r["_lang_pred"] for r in got) >= 0.95 * 160
+    upper = language.classify([t.upper() for _, n, t in rows if n == "z"][:5], model)
+    assert upper[0] == ["z"] * 5
+
+
 def test_phrases_are_longest_matches():
     rng = random.Random(3)
     train = {"x": ["abba abab"], "y": ["bcbc ccab"]}
-    model = language.fit(train, symbols=8)
+    model = language.fit(train, symbols=18)  # one letter has a symbol, all others are spelt
     texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(1, 60))) for _ in range(50)] + ["abab" * 800]
     for t in texts:
         s = language.symbols_of(t, model.symbol)
@@ -279,6 +294,22 @@ def test_text_after_a_marked_section_stays(mark):
     assert [r["text"].replace("-->", "").split() for r in runs if r["text"] != "-->"] == [["one"], ["two"], ["a", "b"]]
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<div class="page nav-fixed"><p>one</p><p>two</p></div>', ["one", "two"]),
+        ('<div id="content" class="post comments-open"><p>one</p></div><div class="comments"><p>a longer remark than the text</p></div>', ["one"]),
+        ('<div class="wrapper ad-free"><p>one</p><div class="ad-slot-1">buy</div></div>', ["one"]),
+        ('<article><p>one</p><p class="notice-of-motion">two</p><p class="site-notice">three</p></article>', ["one", "two"]),
+        ('<div class="widget"><p>the only text is here</p><div class="footer-inner">foot</div><p>and <span class="ad">x</span>here</p></div><div class="menu">m</div>', ["the only text is here", "and here"]),
+        ('<div class="menu">aa</div><div class="footer">bb</div>', []),
+        ('<div class="sidebar no-margin">aa</div><div class="has-sidebar">bb</div>', ["bb"]),
+    ],
+)
+def test_names_mark_a_branch_by_their_purpose(html, want):
+    assert [r["text"] for r in html_text.parse_page(html)[0]] == want
+
+
 def test_style_tree_on_pages(spark):
     import html
 
