@@ -15,6 +15,7 @@ from assetclean.functions.dates import normalize_date
 from assetclean.operators import consensus as C
 from assetclean.operators import metrics as M
 from assetclean.operators import view as V
+from assetclean.operators.contain import lookup_products
 from assetclean.operators.decode import decode_serials
 from assetclean.operators.dedup import dedup_first, with_working_columns
 from assetclean.operators.infer import guess_manufacturer, infer_manufacturers
@@ -286,6 +287,14 @@ def q_profile_summary(spark, sf):
     return M.profile_summary(_inv(spark, sf), "manufacturer", "model")
 
 
+def q_lookup_products(spark, sf):
+    """Rows of `customer` looked up in a product table that grows with them."""
+    td.register_base_tables(spark, sf, ("customer",))
+    products = spark.sql(td.CUSTOMER_PRODUCTS_SQL).withColumn("sources", F.array(F.lit("table")))
+    found = lookup_products(spark.sql(td.CUSTOMER_AS_INVENTORY_SQL), products, "manufacturer", "model")
+    return found.drop("meta_sources")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dedup_first": q_dedup_first,
     "infer_manufacturer": q_infer_manufacturer,
@@ -322,6 +331,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_summary": q_run_summary,
     "mfr_cache_upsert": q_mfr_cache_upsert,
     "profile_summary": q_profile_summary,
+    "lookup_products": q_lookup_products,
     "part_dedup": q_part_dedup,
     "part_model_corrections": q_part_model_corrections,
     "part_serial_corrections": q_part_serial_corrections,

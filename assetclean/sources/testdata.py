@@ -246,3 +246,15 @@ PART_AS_INVENTORY_SQL = """
 SELECT p_partkey AS _ord, p_brand AS manufacturer, p_type AS model, p_name AS serial_number, CAST(p_size AS STRING) AS site
 FROM part
 """
+
+# `customer` seen as an inventory (segment as the group, name as the label), and
+# a caller's product table for it: ends of every third name, of four lengths.
+CUSTOMER_AS_INVENTORY_SQL = """
+SELECT c_custkey AS _ord, c_mktsegment AS manufacturer, c_name AS model
+FROM customer
+"""
+CUSTOMER_PRODUCTS_SQL = """
+SELECT ascii(c_mktsegment) AS mfg_ord, lower(c_mktsegment) AS mfg_key, 1900 + ascii(c_mktsegment) AS founded_year, c_custkey AS model_ord,
+       lower(substr(c_name, CAST(10 + c_custkey % 4 AS INT))) AS model_key, CAST(1950 + c_custkey % 70 AS INT) AS product_start_year
+FROM customer WHERE c_custkey % 3 = 0
+"""

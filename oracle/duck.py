@@ -49,6 +49,12 @@ def guess_sql(model: str, sn: str) -> str:
     return "CASE " + " ".join(arms) + " END"
 
 
+def rules_sql(k: str) -> str:
+    """The fixed rules for a lower-cased manufacturer name, null if none fits."""
+    arms = " ".join(f"WHEN {' OR '.join(f"contains({k}, '{x}')" for x in subs)} THEN '{key}'" for subs, key in CANONICAL_RULES)
+    return f"CASE {arms} END"
+
+
 def canon_sql(mfg: str) -> str:
     k = f"lower({trimx(mfg)})"
     rules = list(CANONICAL_RULES) + [((key,), key) for key in manufacturer_keys()]
@@ -596,6 +602,16 @@ ORACLE_SQL.update(
             UNION ALL SELECT 'typo_items_flagged', CAST((SELECT count(*) FROM types_after WHERE probable_typo) + (SELECT count(*) FROM mc) AS BIGINT)
             UNION ALL SELECT 'manufacturers_resolved', CAST(count_if(mfg_source IN ('cache', 'rules', 'external')) AS BIGINT) FROM fin"""
         ),
+        "lookup_products": f"""WITH inv AS ({td.CUSTOMER_AS_INVENTORY_SQL}), p AS ({td.CUSTOMER_PRODUCTS_SQL}),
+            makers AS (SELECT DISTINCT mfg_ord, mfg_key FROM p),
+            names AS (SELECT DISTINCT manufacturer, model, lower({trimx('manufacturer')}) AS k, regexp_replace(lower({trimx('model')}), '\\s+', ' ', 'g') AS n FROM inv),
+            canon AS (SELECT manufacturer, coalesce(min({rules_sql('k')}), arg_min(mfg_key, mfg_ord)) AS canon
+                      FROM (SELECT DISTINCT manufacturer, k FROM names) d LEFT JOIN makers ON contains(k, mfg_key) GROUP BY manufacturer),
+            best AS (SELECT names.manufacturer, names.model, p.* FROM names JOIN canon USING (manufacturer)
+                     JOIN p ON canon = mfg_key AND (n = model_key OR contains(n, model_key) OR contains(model_key, n))
+                     QUALIFY row_number() OVER (PARTITION BY names.manufacturer, names.model ORDER BY n = model_key DESC, mfg_ord, model_ord) = 1)
+            SELECT _ord, inv.manufacturer, inv.model, mfg_key AS meta_mfg_key, founded_year AS meta_founded_year, product_start_year AS meta_start_year
+            FROM inv LEFT JOIN best USING (manufacturer, model)""",
         "part_dedup": _part("SELECT _ord, manufacturer, model, serial_number FROM dedup"),
         "part_model_corrections": _part("SELECT g_mfg, g_model, original, corrected, manufacturer, kind, distance, reason FROM mc"),
         "part_serial_corrections": _part("SELECT sn, corrected, manufacturer, model, kind, reason FROM sc"),
