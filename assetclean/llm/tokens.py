@@ -49,7 +49,7 @@ CACHE_WORDS = 400_000
 #: Latin letters that NFC and lower case leave one letter each, so that no mark
 #: of theirs can join the stop after them; and digits
 PLAIN = "0-9" + "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c) in ("Lu", "Ll") and len(unicodedata.normalize("NFC", c).lower()) == 1)
-END_MARK = re.compile(rf"(?<=[{PLAIN}])([.,])(?=[ \n]|$)")
+END_MARK = re.compile(rf"[.,](?<=[{PLAIN}].)(?=[ \n]|$)")
 
 FORMAT = "shard int, block int, first long, n_ids int, width int, planes array<binary>, docs array<struct<key:long,first:long,n_ids:long>>"
 
@@ -123,7 +123,7 @@ class WordEncoder:
     def __call__(self, text: str) -> bytes:
         if "<|" not in text and latin(text):
             text = text.lower()  # as the model's own normalizer does
-        words = END_MARK.sub(r" \1", text).replace("\n", " ").replace("\t", " ").split(" ")
+        words = END_MARK.sub(r" \g<0>", text).replace("\n", " ").replace("\t", " ").split(" ")
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {"": b""}, self.known
         known, older = self.known, self.older
