@@ -9,26 +9,29 @@ the document is like the target.
 
 Tokens are lower-case runs of letters and digits, single other characters, and
 single characters of scripts that are written without spaces. Every token of
-the corpus is in the vocabulary. Pairs of neighbours (the first token follows a
-begin mark) are counted a chunk of text at a time and summed by pair; the sums,
-and the model made from them, are Parquet tables that grow with the input.
+the corpus is in the vocabulary; the first token of a text follows a begin mark.
 p(w | h) = (count(h w) + PRIOR * p(w)) / (count(h) + PRIOR), and p(w) =
 (count(w) + PRIOR / size of the vocabulary) / (count of tokens + PRIOR).
 
-The most frequent pairs, FREQUENT at most, are looked up in each task; all
-others are joined by pair. One of these occurs less than 2 * tokens / FREQUENT
-times, so no pair makes a hot task. Joins of pairs with words are salted. Tokens
-and pairs are 64-bit hashes; sums are exact up to collisions of these.
+The models are never joined with the documents. Texts are read once and written
+as chunks of CHUNK tokens. Each chunk asks for the counts of its different
+words, histories and pairs: sorted 64-bit keys with the chunk's own counts, cut
+into buckets by key range. The task of a bucket adds the counts of equal keys
+and answers each chunk in the order it asked, so an answer needs no keys and
+takes about a byte a gram. A chunk then scores its documents from its answers.
+What a bucket holds grows with the input, as do all counts. However frequent a
+word or pair is, a chunk names it once, so no key is hot. A bucket holds some
+BUCKET grams. A question row holds about CHUNK / buckets grams: beyond 10^11
+tokens raise ``chunk`` with the memory of a task (60 bytes a token).
 
-With ``symbols``, the models are of characters: a table of symbols ** order
-numbers over the ``symbols`` - 2 most frequent ones, white space and "other".
-op6 does not use it.
+Tokens and grams are 64-bit hashes; counts are exact up to collisions of these.
 
 Defined results: null text or text of white space alone has 0 tokens and null
 losses; a key that is null or not among the target's is background alone; a
 target without text makes both models uniform, and all scores 0; repeated rows
-count as often as they occur and get equal scores; extra columns are ignored;
-empty tables give no rows.
+count as often as they occur and get equal scores; a text of many chunks is
+scored in pieces that are summed; extra columns are ignored; empty tables give
+no rows.
 """
 
 from __future__ import annotations
@@ -39,286 +42,221 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import salted_join
 from .common import cut, table
 
-ORDER = 4
 PRIOR = 20.0
+#: tokens of a chunk; a text is read in pieces of as many characters
 CHUNK = 1 << 20
-#: pairs that each task holds, 24 bytes each
-FREQUENT = 1 << 19
-#: (word, counts) rows that may be broadcast, some 60 bytes each
-BROADCAST_WORDS = 1_000_000
-SALTS = 16
+#: grams of a bucket, before equal ones are added
+BUCKET = 1 << 21
+LEAST_BUCKETS = 64
 #: scripts without spaces: Thai to Myanmar, Khmer, CJK and kana
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 TOKEN = re.compile(rf"[^\W_{UNSPACED}]+|\S")
 SPACE = re.compile(r"\s")
 #: target keys are broadcast up to so many (16 MB), and joined beyond
 BROADCAST_KEYS = 1_000_000
-
-
-def points(text: str) -> np.ndarray:
-    """Code points of the lowered text, white space as single spaces."""
-    return np.frombuffer(" ".join(text.lower().split()).encode("utf-32-le"), "<u4")
-
-
-def groups(texts: list[str | None]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """(places, code points) of some texts with some CHUNK of characters."""
-    places, held, size = [], [], 0
-    for i, t in enumerate(texts):
-        p = points(t) if t else ()
-        if len(p):
-            places.append(i)
-            held.append(p)
-            size += len(p)
-            if size >= CHUNK:
-                yield places, held
-                places, held, size = [], [], 0
-    if places:
-        yield places, held
-
-
-def codes(held: list[np.ndarray], symbol: np.ndarray, symbols: int, order: int) -> list[np.ndarray]:
-    """For each text the code of the n-gram that ends at each of its tokens."""
-    out = []
-    for p in held:
-        s = np.concatenate((np.zeros(order - 1, np.int64), symbol[p]))
-        code = s[order - 1 :].copy()
-        for k in range(1, order):
-            code += s[order - 1 - k : len(s) - k] * symbols**k
-        out.append(code)
-    return out
-
-
-def _characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(0x110000, np.int64)
-    for b in batches:
-        for _, held in groups(b.column(0).to_pylist()):
-            counts += np.bincount(np.concatenate(held), minlength=len(counts))
-    counts[32] = 0
-    seen = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["point", "n"])
-
-
-def _ngrams(batches: Iterator[pa.RecordBatch], symbol: np.ndarray, symbols: int, order: int) -> Iterator[pa.RecordBatch]:
-    """(text, target) -> (code, n of the target, n of all), once a task."""
-    total = np.zeros((2, symbols**order), np.int64)
-    for b in batches:
-        target = b.column(1).to_pylist()
-        for places, held in groups(b.column(0).to_pylist()):
-            found = codes(held, symbol, symbols, order)
-            total[1] += np.bincount(np.concatenate(found), minlength=total.shape[1])
-            if mine := [c for i, c in zip(places, found, strict=True) if target[i]]:
-                total[0] += np.bincount(np.concatenate(mine), minlength=total.shape[1])
-    seen = np.flatnonzero(total[1])
-    for at in range(0, len(seen), CHUNK):
-        part = seen[at : at + CHUNK]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[0, part]), pa.array(total[1, part])], ["code", "target", "every"])
-
-
-def losses(counts: np.ndarray, symbols: int, order: int, prior: float = PRIOR) -> np.ndarray:
-    """Bits of each n-gram's last token given the ones before, from counts
-    (indexed by code)."""
-    c = counts.reshape((symbols,) * order).astype(np.float64)
-    p = np.full(symbols, 1.0 / symbols)
-    for n in range(1, order + 1):
-        lower = c.sum(axis=tuple(range(order - n)))
-        p = (lower + prior * p) / (lower.sum(axis=-1, keepdims=True) + prior)
-    return (-np.log2(p)).astype(np.float32).reshape(-1)
-
-
-def fit(rows: DataFrame, symbols: int, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """rows (text, target boolean) -> (symbol of each code point, losses of
-    the target model, losses of the background model)."""
-    context = rows.sparkSession.sparkContext
-    chars = rows.select("text").mapInArrow(_characters, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    top = [r["point"] for r in chars.orderBy(F.desc("n"), "point").limit(symbols - 2).collect()]
-    symbol = np.ones(0x110000, np.int64)
-    symbol[32] = 0
-    symbol[top] = np.arange(2, 2 + len(top))
-    shared = context.broadcast(symbol)
-    grams = rows.select("text", "target").mapInArrow(lambda b: _ngrams(b, shared.value, symbols, order), "code long, target long, every long")
-    sums = grams.groupBy("code").agg(F.sum("target").alias("target"), F.sum("every").alias("every")).toPandas()  # symbols ** order rows at most
-    target, every = np.zeros(symbols**order), np.zeros(symbols**order)
-    code = sums["code"].to_numpy(np.int64)
-    target[code], every[code] = sums["target"], sums["every"]
-    if every.sum():
-        every *= target.sum() / every.sum()
-    return symbol, losses(target, symbols, order), losses(every, symbols, order)
+ENCODED = "chunk long, ids array<long>, keys array<long>, target array<boolean>, sizes array<long>, vocabulary binary, codes binary, tokens long, mine long"
+ASKED = "chunk long, bucket long, grams binary, target binary, every binary"
+ANSWERED = "chunk long, bucket long, target binary, every binary, words long"
+SCORED = "id long, key long, n_tokens long, target_sum double, background_sum double"
 
 
 class Hashes(dict):
-    """64-bit hashes of tokens, remembered."""
+    """64-bit hashes of tokens, remembered; 0 is the begin mark."""
 
     def __missing__(self, token: str) -> int:
-        h = self[token] = xxhash.xxh3_64_intdigest(token.encode()) or 1
+        h = self[token] = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) or 1
         return h
 
 
-def token_hashes(text: str, known: Hashes) -> np.ndarray:
-    """Hashes of a text's tokens (0 is the begin mark). Long texts go in parts
-    that end at white space."""
-    parts, at = [], 0
+def pieces(text: str, known: Hashes, chunk: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's tokens, some ``chunk`` characters up to white space
+    at a time; one empty piece for a text without tokens."""
+    at, any_yet = 0, False
     while at < len(text):
-        space = SPACE.search(text, at + CHUNK)
+        space = SPACE.search(text, at + chunk)
         end = space.end() if space else len(text)
         found = TOKEN.findall(text[at:end].lower())
         if len(known) > 1_000_000:
             known.clear()
-        parts.append(np.fromiter(map(known.__getitem__, found), np.uint64, len(found)))
+        if found:
+            any_yet = True
+            yield np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
         at = end
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    if not any_yet:
+        yield np.zeros(0, np.uint64)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """An integer array as byte planes, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return zstandard.compress(planes.tobytes(), 1)
 
 
-def texts_of(column: pa.Array, known: Hashes) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
-    """(places, token counts, tokens before, tokens) of some texts with some
-    CHUNK of tokens."""
-    places, held, size = [], [], 0
+def unpack(blob: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, len(raw) // width).T).view(kind).reshape(-1)
 
-    def out() -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-        w = np.concatenate(held)
-        n = np.array([len(x) for x in held])
-        h = np.concatenate((np.zeros(1, np.uint64), w[:-1]))
-        h[np.cumsum(n)[:-1]] = 0
-        return places, n, h, w
 
-    for i, t in enumerate(column):
-        w = token_hashes(t.as_py() or "", known)
-        if len(w):
-            places.append(i)
-            held.append(w)
-            size += len(w)
-            if size >= CHUNK:
-                yield out()
-                places, held, size = [], [], 0
-    if places:
-        yield out()
+def pack_sorted(values: np.ndarray) -> bytes:
+    return pack(np.diff(values, prepend=np.uint64(0)))
 
 
-def pair_of(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return h ^ ((w << np.uint64(17)) | (w >> np.uint64(47)))
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64)
 
 
-def _pair_of(h: Column, w: Column) -> Column:
-    """:func:`pair_of` for columns."""
-    return h.bitwiseXOR(F.shiftleft(w, 17).bitwiseOR(F.shiftrightunsigned(w, 47)))
+def _row(at: int, held: list[tuple]) -> pa.RecordBatch:
+    """The row of a chunk: held (id, key, target, token before, tokens)."""
+    ids, keys, target, before, tokens = zip(*held, strict=True)
+    sizes = [len(w) for w in tokens]
+    vocabulary, codes = np.unique(np.concatenate((np.array(before, np.uint64), *tokens)), return_inverse=True)
+    mine = sum(n for n, t in zip(sizes, target, strict=True) if t)
+    columns = [[at], [ids], [keys], [target], [sizes], [pack_sorted(vocabulary)], [pack(codes.astype(np.uint32))], [sum(sizes)], [mine]]
+    lists = {1: pa.list_(pa.int64()), 2: pa.list_(pa.int64()), 3: pa.list_(pa.bool_()), 4: pa.list_(pa.int64()), 5: pa.binary(), 6: pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, lists.get(i, pa.int64())) for i, c in enumerate(columns)], [c.split()[0] for c in ENCODED.split(", ")])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, target) -> (h, w, n of the target, n of all)."""
-    known = Hashes()
+def _encode(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    """(key, target, text) -> the chunks of a task."""
+    known, held, size = Hashes(), [], 0
+    at = doc = TaskContext.get().partitionId() << 33
     for b in batches:
-        target = b.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
-        for places, n, h, w in texts_of(b.column(0), known):
-            _, first, of = np.unique(pair_of(h, w), return_index=True, return_inverse=True)
-            mine = np.bincount(of, np.repeat(target[places], n)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(mine), pa.array(np.bincount(of))], ["h", "w", "target", "every"])
-
-
-def with_counts(pairs: DataFrame, words: DataFrame, side: str, other: str, broadcast: bool) -> DataFrame:
-    """``pairs`` with the counts of the words at ``side``, by a broadcast or a
-    salted join."""
-    if broadcast:
-        return pairs.join(F.broadcast(words), F.col(side) == F.col("token")).drop("token")
-    salted = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return pairs.join(salted, (F.col(side) == F.col("token")) & (F.pmod(F.col(other), F.lit(SALTS)) == F.col("salt"))).drop("token", "salt")
-
-
-def fit_pairs(rows: DataFrame) -> DataFrame:
-    """rows (text, target boolean) -> (pair, every, target_loss,
-    background_loss) for every pair of the corpus."""
-    pairs = rows.select("text", "target").mapInArrow(_pairs, "h long, w long, target long, every long")
-    pairs = cut(pairs.groupBy("h", "w").agg(F.sum("target").alias("target"), F.sum("every").alias("every")), "pairs")
-    none = F.lit(0).cast("long")
-    words = pairs.select(F.col("w").alias("token"), F.col("target").alias("wt"), F.col("every").alias("we"), none.alias("ht"), none.alias("he"))
-    words = words.union(pairs.select("h", none, none, "target", "every")).groupBy("token").agg(*[F.sum(c).alias(c) for c in ("wt", "we", "ht", "he")])
-    words = cut(words, "words")
-    t = words.agg(F.sum("wt").alias("target"), F.sum("we").alias("every"), F.count_if(F.col("we") > 0).alias("size"), F.count("*").alias("rows")).first()
-    few, mine, scale = t["rows"] <= BROADCAST_WORDS, float(t["target"] or 0), (t["target"] or 0) / (t["every"] or 1)
-    both = with_counts(pairs, words.select("token", "wt", "we"), "w", "h", few)
-    both = with_counts(both, words.select("token", "ht", "he"), "h", "w", few)
-
-    def loss(pair: Column, word: Column, before: Column) -> Column:
-        p = (word + PRIOR / max(t["size"], 1)) / (mine + PRIOR)
-        return -F.log2((pair + PRIOR * p) / (before + PRIOR))
-
-    by_target = loss(F.col("target"), F.col("wt"), F.col("ht"))
-    by_background = loss(F.col("every") * scale, F.col("we") * scale, F.col("he") * scale)
-    return cut(both.select(_pair_of(F.col("h"), F.col("w")).alias("pair"), "every", by_target.alias("target_loss"), by_background.alias("background_loss")), "model")
-
-
-def _lookups(batches: Iterator[pa.RecordBatch], pairs: np.ndarray, by_pair: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(key, text) -> (id, key, n_tokens, sums of the losses of frequent pairs,
-    the other pairs)."""
-    known, at = Hashes(), TaskContext.get().partitionId() << 33
+        for key, target, text in zip(b.column(0), b.column(1), b.column(2), strict=True):
+            key, target, before = key.as_py(), target.as_py(), 0
+            for w in pieces(text.as_py() or "", known, chunk):
+                held.append((doc, key, target, before, w))
+                size += len(w) + 16
+                if size >= chunk:
+                    yield _row(at, held)
+                    at, held, size = at + 1, [], 0
+                if len(w):
+                    before = w[-1]
+            doc += 1
+    if held:
+        yield _row(at, held)
+
+
+class Grams:
+    """The different words, histories and pairs of a chunk, as sorted keys: odd
+    ones for words, even ones for histories and pairs."""
+
+    def __init__(self, row: dict) -> None:
+        self.sizes = np.array(row["sizes"], np.int64)
+        docs = len(self.sizes)
+        vocabulary = unpack_sorted(row["vocabulary"])
+        codes = unpack(row["codes"], np.uint32).astype(np.int64)
+        before, self.w = codes[:docs], codes[docs:]
+        self.h = np.concatenate((codes[:1], self.w[:-1])) if len(self.w) else self.w
+        some = self.sizes > 0
+        self.h[(np.cumsum(self.sizes) - self.sizes)[some]] = before[some]
+        self.n = n = len(vocabulary)
+        pairs, self.of = np.unique(self.h * n + self.w, return_inverse=True)
+        self.first, self.second = pairs // n, pairs % n
+        turned = (vocabulary << np.uint64(17)) | (vocabulary >> np.uint64(47))
+        even = ~np.uint64(1)
+        history = vocabulary * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
+        keys = np.concatenate((vocabulary | np.uint64(1), history & even, (vocabulary[self.first] ^ turned[self.second]) & even))
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+
+    def counts(self, weights: np.ndarray | None = None) -> np.ndarray:
+        """How often each key occurs in the chunk, in order of the keys."""
+        each = (np.bincount(self.w, weights, self.n), np.bincount(self.h, weights, self.n), np.bincount(self.of, weights, len(self.first)))
+        return np.concatenate(each).astype(np.uint64)[self.order]
+
+    def parts(self, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Totals in order of the keys, for words, histories and pairs."""
+        back = np.empty(len(totals))
+        back[self.order] = totals
+        return back[: self.n], back[self.n : 2 * self.n], back[2 * self.n :]
+
+
+def _ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Chunks -> a row for each bucket that some keys of a chunk lie in."""
+    bounds = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
     for b in batches:
-        size = b.num_rows
-        n, total, others, counts = np.zeros(size, np.int64), np.zeros((2, size)), [], np.zeros(size, np.int64)
-        for places, lengths, h, w in texts_of(b.column(1), known):
-            of, p = np.repeat(places, lengths), pair_of(h, w)
-            n[places] = lengths
-            k = np.minimum(np.searchsorted(pairs, p), len(pairs) - 1) if len(pairs) else np.zeros(len(p), np.int64)
-            hit = pairs[k] == p if len(pairs) else np.zeros(len(p), bool)
-            for i in range(2):
-                total[i] += np.bincount(of[hit], by_pair[i][k[hit]], minlength=size)
-            others.append(p[~hit])
-            counts += np.bincount(of[~hit], minlength=size)
-        values = np.concatenate(others).view(np.int64) if others else np.zeros(0, np.int64)
-        lists = pa.LargeListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))), values).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + size)), b.column(0), pa.array(n), pa.array(total[0]), pa.array(total[1]), lists], ["id", "key", "n_tokens", "target_sum", "background_sum", "others"])
-        at += size
-
-
-def score_pairs(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """rows (key, text) scored by the table of :func:`fit_pairs`."""
-    level = F.floor(F.log2("every")).cast("int")
-    held, least = 0, 64
-    for r in model.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # 64 rows at most
-        held += r["count"]
-        if held > FREQUENT:
-            break
-        least = r["level"]
-    top = model.filter(level >= least).toPandas().sort_values("pair", key=lambda c: c.to_numpy(np.int64).view(np.uint64))
-    shared = rows.sparkSession.sparkContext.broadcast((top["pair"].to_numpy(np.int64).view(np.uint64), top[["target_loss", "background_loss"]].to_numpy(np.float64).T.copy()))
-    found = cut(rows.mapInArrow(lambda b: _lookups(b, *shared.value), "id long, key long, n_tokens long, target_sum double, background_sum double, others array<long>"), "lookups")
-    rest = found.select("id", F.explode("others").alias("pair")).join(model.filter(level < least), "pair")
-    every = found.drop("others").union(rest.select("id", F.lit(None).cast("long"), F.lit(0).cast("long"), "target_loss", "background_loss"))
-    sums = every.groupBy("id").agg(F.max("key").alias("key"), *[F.sum(c).alias(c) for c in ("n_tokens", "target_sum", "background_sum")])
+        for row in b.to_pylist():
+            g = Grams(row)
+            if not len(g.w):
+                continue
+            mine, every = g.counts(np.repeat(np.array(row["target"], np.float64), g.sizes)), g.counts()
+            bucket = np.searchsorted(bounds, g.keys, side="right")
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
+            out = [[], [], [], [], []]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                for column, v in zip(out, (row["chunk"], int(bucket[lo]), pack_sorted(g.keys[lo:hi]), pack(mine[lo:hi]), pack(every[lo:hi])), strict=True):
+                    column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, c in enumerate(out)], [c.split()[0] for c in ASKED.split(", ")])
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """The rows of a bucket -> the totals of each row's keys, in its order, and
+    (once) the number of different words."""
+    keys = [unpack_sorted(k) for k in asked["grams"].to_pylist()]
+    different, of = np.unique(np.concatenate(keys), return_inverse=True)
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    totals = [np.bincount(of, np.concatenate([unpack(x, np.uint64) for x in asked[c].to_pylist()]), len(different)).astype(np.uint64) for c in ("target", "every")]
+    words = int(np.count_nonzero((different & np.uint64(1) == 1) & (totals[1] > 0)))
+    packed = [pa.array([pack(x) for x in np.split(t[of], ends)], pa.binary()) for t in totals]
+    return pa.table([asked["chunk"], asked["bucket"], *packed, pa.array([words] + [0] * (len(keys) - 1), pa.int64())], ["chunk", "bucket", "target", "every", "words"])
+
+
+def _score(chunk: pa.Table, answers: pa.Table, tokens: int, mine: int, words: int) -> pa.Table:
+    """A chunk and its answers -> the sums of losses of its documents."""
+    if not chunk.num_rows:
+        return pa.table({c.split()[0]: pa.array([], pa.int64() if c.endswith("long") else pa.float64()) for c in SCORED.split(", ")})
+    row, answers = chunk.to_pylist()[0], answers.sort_by("bucket")
+    g, sums = Grams(row), []
+    of = np.repeat(np.arange(len(g.sizes)), g.sizes)
+    for side, scale in (("target", 1.0), ("every", mine / max(tokens, 1))):
+        if not len(g.w):
+            sums.append(np.zeros(len(g.sizes)))
+            continue
+        word, before, pair = g.parts(np.concatenate([unpack(x, np.uint64) for x in answers[side].to_pylist()]) * scale)
+        p = (word + PRIOR / max(words, 1)) / (mine + PRIOR)
+        loss = -np.log2((pair + PRIOR * p[g.second]) / (before[g.first] + PRIOR))
+        sums.append(np.bincount(of, loss[g.of], len(g.sizes)))
+    return pa.table([pa.array(row["ids"], pa.int64()), pa.array(row["keys"], pa.int64()), pa.array(g.sizes), *map(pa.array, sums)], [c.split()[0] for c in SCORED.split(", ")])
+
+
+def score_rows(rows: DataFrame, chunk: int = 0, bucket: int = 0) -> DataFrame:
+    """rows (key, target boolean, text) -> key, n_tokens, target_loss,
+    background_loss, score."""
+    chunk, bucket = chunk or CHUNK, bucket or BUCKET
+    encoded = cut(rows.select("key", "target", "text").mapInArrow(lambda b: _encode(b, chunk), ENCODED), "chunks")
+    total = encoded.agg(F.sum("tokens").alias("tokens"), F.sum("mine").alias("mine")).first()
+    tokens, mine = total["tokens"] or 0, total["mine"] or 0
+    buckets = max(LEAST_BUCKETS, -(-tokens // bucket))
+    asked = encoded.mapInArrow(lambda b: _ask(b, buckets), ASKED)
+    answers = cut(asked.groupBy("bucket").applyInArrow(_answer, ANSWERED), "answers")
+    words = answers.agg(F.sum("words")).first()[0] or 0
+    both = encoded.groupBy("chunk").cogroup(answers.drop("words").groupBy("chunk"))
+    done = both.applyInArrow(lambda left, right: _score(left, right, tokens, mine, words), SCORED)
+    sums = done.groupBy("id").agg(F.max("key").alias("key"), *[F.sum(c).alias(c) for c in ("n_tokens", "target_sum", "background_sum")])
     some = F.when(F.col("n_tokens") > 0, F.col("n_tokens"))
     means = sums.select("key", "n_tokens", (F.col("target_sum") / some).alias("target_loss"), (F.col("background_sum") / some).alias("background_loss"))
     return means.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
-def score(docs: DataFrame, target_keys: DataFrame, key: str = "doc_id", text: str = "text", symbols: int | None = None, order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, target_keys: DataFrame, key: str = "doc_id", text: str = "text", chunk: int = 0) -> DataFrame:
     """key, n_tokens, target_loss, background_loss, score for every document;
     ``target_keys`` holds the target's keys in its first column."""
-    wanted = target_keys.select(F.col(target_keys.columns[0]).alias("target_key")).filter("target_key is not null").distinct().withColumn("target", F.lit(True))
-    if wanted.count() <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
+    wanted = target_keys.select(F.col(target_keys.columns[0]).cast("long").alias("key")).filter("key is not null").distinct().withColumn("_target", F.lit(True))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    marked = rows.join(wanted, F.col("key") == F.col("target_key"), "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    if symbols is None:
-        return score_pairs(rows, fit_pairs(marked))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(marked, symbols, order))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol, by_target, by_background = shared.value
-        for b in batches:
-            n = np.zeros(b.num_rows, np.int64)
-            total = np.zeros((2, b.num_rows))
-            for places, held in groups(b.column(1).to_pylist()):
-                for i, c in zip(places, codes(held, symbol, symbols, order), strict=True):
-                    n[i] = len(c)
-                    total[:, i] = by_target[c].sum(dtype=np.float64), by_background[c].sum(dtype=np.float64)
-            mean = np.divide(total, n, where=n > 0, out=np.zeros_like(total))
-            none = n == 0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *(pa.array(x, mask=none) for x in (mean[0], mean[1], mean[0] - mean[1]))], ["key", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return rows.mapInArrow(run, "key long, n_tokens long, target_loss double, background_loss double, score double")
+    if wanted.count() <= BROADCAST_KEYS:
+        marked = rows.join(F.broadcast(wanted), "key", "left")
+    else:
+        marked = salted_join(rows, wanted, ["key"], "left")
+    return score_rows(marked.select("key", F.coalesce("_target", F.lit(False)).alias("target"), "text"), chunk)
 
 
 def op6_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:

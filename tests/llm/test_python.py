@@ -112,54 +112,11 @@ def test_compression_counts_and_verdicts(spark, odd, none, small):
     assert compression.compression_rules(none).count() == 0
 
 
-def test_cross_entropy_matches_plain_counts(spark, odd, none):
-    symbols, order = 9, 3
-    docs = [(r["doc_id"], r["text"]) for r in odd.filter("doc_id is null or doc_id not in (7, 8)").collect()]
-    df = odd.filter("doc_id is null or doc_id not in (7, 8)")
-    keys = spark.createDataFrame([(1,), (9,), (9,), (None,), (77,)], "doc_id long")
-    got = lm_score.score(df, keys, symbols=symbols, order=order).collect()
-    norm = [(k, " ".join((t or "").lower().split())) for k, t in docs]
-    chars = Counter(c for _, t in norm for c in t if c != " ")
-    top = [c for c, _ in sorted(chars.items(), key=lambda x: (-x[1], ord(x[0])))[: symbols - 2]]
-    seq = [(k, [0 if c == " " else top.index(c) + 2 if c in top else 1 for c in t]) for k, t in norm]
-
-    def grams(s):
-        s = [0] * (order - 1) + s
-        return [tuple(s[i : i + order]) for i in range(len(s) - order + 1)]
-
-    target = Counter(g for k, s in seq if k in (1, 9) for g in grams(s))
-    every = Counter(g for _, s in seq for g in grams(s))
-    scale = sum(target.values()) / sum(every.values())
-    every = {g: n * scale for g, n in every.items()}
-
-    def bits(counts, g):
-        p = 1 / symbols
-        for n in range(1, order + 1):
-            tail = g[order - n :]
-            num = sum(v for x, v in counts.items() if x[order - n :] == tail)
-            den = sum(v for x, v in counts.items() if x[order - n : order - 1] == tail[:-1])
-            p = (num + lm_score.PRIOR * p) / (den + lm_score.PRIOR)
-        return -math.log2(p)
-
-    want = Counter()
-    for k, s in seq:
-        g = grams(s)
-        t, b = (round(sum(bits(c, x) for x in g) / len(g), 3) if s else None for c in (target, every))
-        want[k, len(s), t, b] += 1
-    have = Counter((r["key"], r["n_tokens"], None if r["target_loss"] is None else round(r["target_loss"], 3), None if r["background_loss"] is None else round(r["background_loss"], 3)) for r in got)
-    assert {x[:2] for x in have} == {x[:2] for x in want} and sum(have.values()) == sum(want.values())
-    for (k, n, t, b), (k2, n2, t2, b2) in zip(sorted(have.elements(), key=str), sorted(want.elements(), key=str), strict=True):
-        assert (k, n) == (k2, n2) and (t is t2 or abs(t - t2) < 0.003) and (b is b2 or abs(b - b2) < 0.003)
-    assert lm_score.score(none, keys).count() == 0
-    zero = lm_score.score(df, keys.limit(0)).filter("score <> 0").count()
-    assert zero == 0
-
-
-@pytest.mark.parametrize("frequent, broadcast", [(1 << 19, 1_000_000), (20, 0), (0, 1_000_000)])
-def test_cross_entropy_learns_every_word(spark, odd, none, monkeypatch, frequent, broadcast):
-    monkeypatch.setattr(lm_score, "FREQUENT", frequent)
-    monkeypatch.setattr(lm_score, "BROADCAST_WORDS", broadcast)
-    monkeypatch.setattr(lm_score, "CHUNK", 1000)
+@pytest.mark.parametrize("chunk, bucket, keys_held", [(1 << 20, 1 << 21, 1_000_000), (1000, 50, 0), (700, 1 << 21, 1_000_000)])
+def test_cross_entropy_learns_every_word(spark, odd, none, monkeypatch, chunk, bucket, keys_held):
+    monkeypatch.setattr(lm_score, "CHUNK", chunk)
+    monkeypatch.setattr(lm_score, "BUCKET", bucket)
+    monkeypatch.setattr(lm_score, "BROADCAST_KEYS", keys_held)
     rare = [(50, "да нет это кот и дом, кот и дом"), (51, "кот и дом"), (52, "сто рыб без мор"), (53, "猫と家"), (54, "犬と山"), (50, "7 [x] 7")]
     df = odd.select("doc_id", "text").union(spark.createDataFrame(rare, "doc_id long, text string")).repartition(3)
     keys = spark.createDataFrame([(1,), (9,), (50,), (50,), (53,), (None,), (77,)], "doc_id long")
