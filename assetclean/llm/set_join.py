@@ -45,12 +45,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.skew import salted_join
-from .common import WORD, cut, packed, table
+from .common import WORD, cut, cut_at, packed, remove, table
 
 WORDS = 5
 PERCENT = 80
@@ -151,6 +152,17 @@ def digest(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def pack_set(s: np.ndarray) -> bytes:
+    """A sorted set as byte planes of its differences, compressed: the high
+    planes are nearly empty."""
+    return zstandard.compress(np.diff(s, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpack_set(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
 def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
@@ -385,7 +397,7 @@ def _sets(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.
             slot = bitmap_slot(node)
             if (int(bitmap[slot >> 6]) >> (slot & 63)) & 1 and _new(node, seen):
                 nodes.append(node)
-                sets.append(s.tobytes())
+                sets.append(pack_set(s))
                 held += len(s)
                 if held >= OUT_ROWS:
                     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
@@ -403,7 +415,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            p, q = unpack_set(x.as_py()), unpack_set(y.as_py())
             both = len(np.intersect1d(p, q, assume_unique=True))
             keep.append(100 * both >= PERCENT * (len(p) + len(q) - both))
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -421,11 +433,13 @@ def verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     bitmap[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
     shared = spark.sparkContext.broadcast(bitmap)
     # an equal set may come from several tasks: any of them will do
-    sets = cut(docs.select("text").mapInArrow(lambda b: _sets(b, shared.value), "node long, set binary"), f"{name}-sets")
-    sets = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
+    built, path = cut_at(docs.select("text").mapInArrow(lambda b: _sets(b, shared.value), "node long, set binary"), f"{name}-sets")
+    sets = built.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
     one = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     both = one.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-    return cut(both.mapInArrow(_overlaps, "a long, b long"), f"{name}-links")
+    links = cut(both.mapInArrow(_overlaps, "a long, b long"), f"{name}-links")
+    remove(spark, path)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -434,7 +448,7 @@ def components(links: DataFrame) -> DataFrame:
     neighbours of a node to the least of them; sums of few numbers tell when
     nothing changes."""
     edges = links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, state = cut(edges, "edges"), None
+    (edges, path), state = cut_at(edges, "edges"), None
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
@@ -445,7 +459,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("x"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v")).distinct()
-        edges = cut(small, "edges")
+        (edges, path), last = cut_at(small, "edges"), path
+        remove(edges.sparkSession, last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("part")).union(edges.select(F.col("v"), F.col("v"))).distinct()
