@@ -6,6 +6,8 @@ inside whole-stage codegen; nothing here is a Python UDF.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,13 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row. The optimiser copies
+    a named column's expression to each place (and into each turn of a lambda)
+    that it moves a filter or a projection to; a lambda's variable it leaves."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: str | Column) -> Column:
     """Python-``strip()`` equivalent: remove leading/trailing whitespace."""
     return F.btrim(col(c), F.lit(PY_WHITESPACE))

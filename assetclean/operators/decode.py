@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from assetclean.functions.constants import constant
 from assetclean.functions.dates import HORIZON_YEAR, format_ymd, week_to_month
-from assetclean.functions.text import clean_key, col, strip, strip_paren_tag
-from assetclean.operators.validate import lookup_metadata, year_check
+from assetclean.functions.text import bind, clean_key, col, strip, strip_paren_tag
+from assetclean.operators.validate import metadata_entry, year_check
 
 MIN_DECODE_YEAR = 1950
 
@@ -110,30 +110,33 @@ def _group(sn: Column, rule: Column, which: str) -> Column:
 
 
 def _year(sn: Column, rule: Column) -> Column:
-    text = _group(sn, rule, "year")
-    number = text.try_cast("int")
-    letter = F.upper(text)
-    letter = F.when(letter == "1", F.lit("I")).when(letter == "0", F.lit("O")).otherwise(letter)
-    return (
-        F.when(rule["year"] == 0, rule["base"])
-        .when(rule["year_as"] == "letter", F.when(letter.rlike("^[A-Z]$"), rule["base"] + F.ascii(letter) - 64))
-        .when(rule["year_as"] == "short", number + F.when(number < 10, 2010).otherwise(2000))
-        .otherwise(rule["base"] + number)
-    )
+    def read(text: Column) -> Column:
+        return (
+            F.when(rule["year_as"] == "letter", bind(F.upper(text), by_letter))
+            .when(rule["year_as"] == "short", bind(text.try_cast("int"), lambda number: number + F.when(number < 10, 2010).otherwise(2000)))
+            .otherwise(rule["base"] + text.try_cast("int"))
+        )
+
+    def by_letter(letter: Column) -> Column:
+        letter = F.when(letter == "1", F.lit("I")).when(letter == "0", F.lit("O")).otherwise(letter)
+        return F.when(letter.rlike("^[A-Z]$"), rule["base"] + F.ascii(letter) - 64)
+
+    return F.when(rule["year"] == 0, rule["base"]).otherwise(bind(_group(sn, rule, "year"), read))
 
 
 def _month(sn: Column, rule: Column) -> Column:
-    code = F.upper(_group(sn, rule, "month"))
-    number, place = code.try_cast("int"), F.ascii(code) - 64
-    abc = F.when(code.isin("A", "B", "C"), place + 9).otherwise(number)
-    return (
-        F.when(rule["month"] == 0, 1)
-        .when(rule["month_as"] == "week", week_to_month(number))
-        .when(rule["month_as"] == "abc", abc)
-        .when(rule["month_as"] == "abc_or_one", F.coalesce(abc, F.lit(1)))
-        .when(rule["month_as"] == "letter", F.coalesce(number, place))
-        .otherwise(F.coalesce(number, F.lit(1)))  # a group that need not take part
-    )
+    def read(code: Column) -> Column:
+        number, place = code.try_cast("int"), F.ascii(code) - 64
+        abc = F.when(code.isin("A", "B", "C"), place + 9).otherwise(number)
+        return (
+            F.when(rule["month_as"] == "week", week_to_month(number))
+            .when(rule["month_as"] == "abc", abc)
+            .when(rule["month_as"] == "abc_or_one", F.coalesce(abc, F.lit(1)))
+            .when(rule["month_as"] == "letter", F.coalesce(number, place))
+            .otherwise(F.coalesce(number, F.lit(1)))  # a group that need not take part
+        )
+
+    return F.when(rule["month"] == 0, 1).otherwise(bind(F.upper(_group(sn, rule, "month")), read))
 
 
 def matching_rule(chosen: Column, sn: Column, horizon: int = HORIZON_YEAR) -> Column:
@@ -147,10 +150,34 @@ def matching_rule(chosen: Column, sn: Column, horizon: int = HORIZON_YEAR) -> Co
 
 def read_rule(rule: Column, sn: Column) -> Column:
     """struct(y, m, d) by a matching rule, before year checks (null = no parse)."""
-    month = _month(sn, rule)
     day = F.when(rule["day"] == 0, 1).otherwise(_group(sn, rule, "day").try_cast("int"))
-    found = F.struct(_year(sn, rule).cast("int").alias("y"), month.cast("int").alias("m"), day.cast("int").alias("d"))
-    return F.when(rule.isNotNull() & month.isNotNull(), found)
+
+    def found(month: Column) -> Column:
+        parts = F.struct(_year(sn, rule).cast("int").alias("y"), month.cast("int").alias("m"), day.cast("int").alias("d"))
+        return F.when(rule.isNotNull() & month.isNotNull(), parts)
+
+    return bind(_month(sn, rule), found)
+
+
+def raw_decode(mfg: str | Column, model: str | Column, sn: str | Column, horizon: int = HORIZON_YEAR, rules: list[Rule] = DECODE_RULES) -> Column:
+    """struct(rule_id, found, founded_year, start_year): the keyword chosen, what
+    the serial says (see :func:`read_rule`) and the metadata's year bounds. One
+    expression, in which each step is computed once, wherever it is moved to."""
+    names = F.struct(clean_key(mfg).alias("mfg"), clean_key(model).alias("model"), strip_paren_tag(strip(col(sn))).alias("sn"))
+
+    def read(w: Column) -> Column:
+        rule = lambda chosen: F.when(col(sn).isNotNull() & (col(sn) != ""), matching_rule(chosen, w["sn"], horizon))
+        return bind(
+            F.struct(chosen_rules(w["mfg"], w["model"], rules).alias("set"), metadata_entry(w["mfg"], w["model"]).alias("meta")),
+            lambda c: F.struct(
+                c["set"]["keyword"].alias("rule_id"),
+                bind(rule(c["set"]), lambda r: read_rule(r, w["sn"])).alias("found"),
+                c["meta"]["founded_year"].alias("founded_year"),
+                c["meta"]["start_year"].alias("start_year"),
+            ),
+        )
+
+    return bind(names, read)
 
 
 def decode_serials(
@@ -168,19 +195,9 @@ def decode_serials(
     With ``keep_detail`` also ``rule_id, dec_year, dec_month, dec_day,
     is_valid, reason`` (validation details of the raw decode).
     """
-    w = df.withColumns(
-        {
-            "_dc_mfg": clean_key(mfg),
-            "_dc_model": clean_key(model),
-            "_dc_sn": strip_paren_tag(strip(col(sn))),
-        }
-    )
-    w = w.withColumn("_dc_set", chosen_rules(F.col("_dc_mfg"), F.col("_dc_model"), rules)).withColumn("rule_id", F.col("_dc_set.keyword"))
-    w = w.withColumn("_dc_rule", F.when(col(sn).isNotNull() & (col(sn) != ""), matching_rule(F.col("_dc_set"), F.col("_dc_sn"), horizon)))
-    w = w.withColumn("_dc", read_rule(F.col("_dc_rule"), F.col("_dc_sn")))
-    w = lookup_metadata(w, "_dc_mfg", "_dc_model", prefix="_dcm_")
+    w = df.withColumn("_dc_raw", raw_decode(mfg, model, sn, horizon, rules)).withColumn("_dc", F.col("_dc_raw.found"))
     y = F.col("_dc.y")
-    chk = year_check(y, F.col("_dcm_founded_year"), F.col("_dcm_start_year"), horizon)
+    chk = year_check(y, F.col("_dc_raw.founded_year"), F.col("_dc_raw.start_year"), horizon)
     ok = y.between(MIN_DECODE_YEAR, horizon) & chk["is_valid"]
     m = F.greatest(F.lit(1), F.least(F.lit(12), F.col("_dc.m")))
     d = F.greatest(F.lit(1), F.least(F.lit(28), F.col("_dc.d")))
@@ -188,6 +205,7 @@ def decode_serials(
     if keep_detail:
         w = w.withColumns(
             {
+                "rule_id": F.col("_dc_raw.rule_id"),
                 "dec_year": y,
                 "dec_month": F.col("_dc.m"),
                 "dec_day": F.col("_dc.d"),
@@ -195,7 +213,5 @@ def decode_serials(
                 "reason": F.when(y.isNotNull(), chk["reason"]),
             }
         )
-    else:
-        w = w.drop("rule_id")
     drop = [c for c in w.columns if c.startswith("_dc")]
     return w.drop(*drop)

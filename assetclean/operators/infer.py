@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetclean.functions.constants import constant, constant_map
-from assetclean.functions.text import col, model_norm, pipe_key, strip
+from assetclean.functions.text import bind, col, model_norm, pipe_key, strip
 
 UNKNOWN_MANUFACTURER = "Unknown Manufacturer"
 
@@ -100,10 +100,12 @@ def guess_manufacturer(model: str | Column, sn: str | Column) -> Column:
     """Rule-based manufacturer guess from model and serial; null when no rule
     fires. A serial is looked up by its first characters, once for each length
     of prefix, and of all rules that fit the first one wins."""
-    mn = model_norm(model)
-    su = F.upper(strip(F.coalesce(col(sn), F.lit(""))))
-    names = constant([{"subs": list(pats), "name": name} for pats, name in MODEL_RULES])
-    by_model = F.get(F.filter(names, lambda r: F.exists(r["subs"], mn.contains)), F.lit(0))["name"]
+    return bind(F.struct(model_norm(model).alias("mn"), F.upper(strip(F.coalesce(col(sn), F.lit("")))).alias("su")), lambda n: _guess(n["mn"], n["su"]))
+
+
+def _guess(mn: Column, su: Column) -> Column:
+    names = constant([{"sub": pat, "name": name} for pats, name in MODEL_RULES for pat in pats])
+    by_model = F.get(F.filter(names, lambda r: mn.contains(r["sub"])), F.lit(0))["name"]
     prefixes, others = _serial_tables()
     hits = [F.try_element_at(constant_map(table), F.substring(su, 1, length)) for length, table in sorted(prefixes.items())]
     if others:

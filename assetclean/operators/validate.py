@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from assetclean.functions.constants import constant, constant_map
 from assetclean.functions.dates import HORIZON_YEAR
-from assetclean.functions.text import clean_key, col, model_norm
+from assetclean.functions.text import bind, clean_key, col, model_norm
 from assetclean.sources.metadata import manufacturer_keys, metadata_rows
 
 # Ordered substring rules that name the canonical manufacturer
@@ -49,9 +49,8 @@ MIN_GLOBAL_YEAR = 1850
 
 def canonical_manufacturer(c: str | Column) -> Column:
     """Ordered contains-rules, then any metadata key, else null."""
-    k = clean_key(c)
-    rules = [{"subs": list(subs), "key": key} for subs, key in CANONICAL_RULES] + [{"subs": [key], "key": key} for key in manufacturer_keys()]
-    first = F.get(F.filter(constant(rules), lambda r: F.exists(r["subs"], k.contains)), F.lit(0))
+    rules = [{"sub": sub, "key": key} for subs, key in CANONICAL_RULES for sub in subs] + [{"sub": key, "key": key} for key in manufacturer_keys()]
+    first = bind(clean_key(c), lambda k: F.get(F.filter(constant(rules), lambda r: k.contains(r["sub"])), F.lit(0)))
     return F.when(col(c).isNull() | (col(c) == ""), F.lit(None).cast("string")).otherwise(first["key"])
 
 
@@ -64,6 +63,18 @@ def _models() -> Column:
     return constant_map(by)
 
 
+def metadata_entry(mfg: str | Column, model: str | Column) -> Column:
+    """J8 + J9 as one value: the metadata row that applies, or null."""
+
+    def entry(of: Column) -> Column:
+        direct = F.filter(of["models"], lambda m: m["model"] == of["name"])
+        either = F.filter(of["models"], lambda m: of["name"].contains(m["model"]) | m["model"].contains(of["name"]))
+        return F.coalesce(F.get(direct, F.lit(0)), F.get(either, F.lit(0)))
+
+    models = F.try_element_at(_models(), canonical_manufacturer(mfg))
+    return bind(F.struct(models.alias("models"), model_norm(model).alias("name")), entry)
+
+
 def lookup_metadata(df: DataFrame, mfg: str = "mfg", model: str = "model", prefix: str = "meta_") -> DataFrame:
     """J8 + J9: add ``{prefix}mfg_key, {prefix}founded_year, {prefix}start_year,
     {prefix}sources`` to every row (nulls when no metadata entry applies).
@@ -73,14 +84,9 @@ def lookup_metadata(df: DataFrame, mfg: str = "mfg", model: str = "model", prefi
     only at its manufacturer's few models, in an array of a constant map: no
     join, no shuffle and little generated code.
     """
-    c, n, ms, e = (f"{prefix}{x}" for x in ("canon", "mnorm", "models", "entry"))
-    out = df.withColumns({c: canonical_manufacturer(mfg), n: model_norm(model)})
-    out = out.withColumn(ms, F.try_element_at(_models(), F.col(c)))
-    name = F.col(n)
-    direct = F.filter(ms, lambda m: m["model"] == name)
-    either = F.filter(ms, lambda m: name.contains(m["model"]) | m["model"].contains(name))
-    out = out.withColumn(e, F.coalesce(F.get(direct, F.lit(0)), F.get(either, F.lit(0))))
-    return out.withColumns({f"{prefix}{f}": F.col(e)[f] for f in ("mfg_key", "founded_year", "start_year", "sources")}).drop(c, n, ms, e)
+    e = f"{prefix}entry"
+    out = df.withColumn(e, metadata_entry(mfg, model))
+    return out.withColumns({f"{prefix}{f}": F.col(e)[f] for f in ("mfg_key", "founded_year", "start_year", "sources")}).drop(e)
 
 
 def year_check(year: Column, founded: Column, start: Column, horizon: int = HORIZON_YEAR) -> Column:

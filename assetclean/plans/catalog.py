@@ -137,8 +137,10 @@ def _flagship(rows: DataFrame) -> DataFrame:
 
 
 def q_validate_years(spark, sf):
-    d = decode_serials(_deduped(spark, sf), "w_mfg", "w_model", "w_sn", keep_detail=True).where(F.col("dec_year").isNotNull())
-    v = validate_years(d.select("_ord", "w_mfg", "w_model", "dec_year"), "w_mfg", "w_model", "dec_year")
+    d = decode_serials(_deduped(spark, sf), "w_mfg", "w_model", "w_sn", keep_detail=True)
+    # rows with a year; a filter on it would be moved below the decode and decode once more
+    d = d.select("_ord", "w_mfg", "w_model", F.explode(F.array_compact(F.array("dec_year"))).alias("dec_year"))
+    v = validate_years(d, "w_mfg", "w_model", "dec_year")
     return v.select("_ord", "dec_year", "meta_mfg_key", "meta_founded_year", "meta_start_year", "is_valid", "reason")
 
 

@@ -33,3 +33,40 @@ def test_dedup_partial_limit(spark):
     plan = _plan(E.queries()["dedup_first"](spark, SMOKE))
     # WindowGroupLimit appears on both sides of the exchange (partial + final)
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def _steps(df) -> int:
+    """Patterns that the optimised plan of ``df`` applies, copies counted."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return len(re.findall(r"regexp_extract\(|regexp_replace\(|rlike", plan, re.IGNORECASE))
+
+
+def test_decode_steps_are_not_copied(spark):
+    from pyspark.sql import functions as F
+
+    from assetclean.operators.decode import decode_serials
+    from assetclean.operators.infer import infer_manufacturers
+    from assetclean.operators.validate import validate_years
+
+    rows = spark.range(3).select(F.concat(F.lit("x"), "id").alias("m"), F.concat(F.lit("y"), "id").alias("o"), F.concat(F.lit("z"), "id").alias("s"), "id")
+    decoded = decode_serials(rows, "m", "o", "s", keep_detail=True)
+    once = _steps(decoded)
+    assert once <= 20, once
+    # a filter moved below the decode repeats it once, not at each use of a step
+    assert _steps(decoded.where("dec_year is not null")) <= 2 * once
+    assert _steps(validate_years(decoded.where("dec_year is not null"), "m", "o", "dec_year")) <= 2 * once + 2
+    guessed = infer_manufacturers(rows, "m", "o", "s").where("m <> ''")
+    assert _steps(guessed) <= 4
+
+
+def test_names_are_cleaned_once_a_row(spark):
+    """Not once for each rule that the cleaned name is compared with."""
+    from pyspark.sql import functions as F
+
+    from assetclean.operators.infer import guess_manufacturer
+    from assetclean.operators.validate import canonical_manufacturer
+
+    rows = spark.range(1).select(F.col("id").cast("string").alias("a"), F.col("id").cast("string").alias("b"))
+    for c in (canonical_manufacturer("a"), guess_manufacturer("a", "b")):
+        plan = rows.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"contains\((lower|upper|regexp_replace|btrim|trim)\(", plan, re.IGNORECASE), plan
