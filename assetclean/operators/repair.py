@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetclean.functions.text import clean_key, paren_tag, strip_paren_tag
+from assetclean.session import cut
 
 PREFIX_SHARE = 0.6
 LENGTH_SHARE = 0.70
@@ -55,10 +56,11 @@ def model_groups(df: DataFrame, mfg: str = "w_mfg", model: str = "w_model", orde
         F.count(F.lit(1)).alias("n"), F.min(order_col).alias("first")
     )
     groups = spelled.groupBy("g_mfg", "g_model").agg(
-        F.sum("n").alias("n_rows"), F.min("first").alias("first_ord"), F.min_by("model", "first").alias("orig_model")
+        F.sum("n").alias("n_rows"), F.min("first").alias("first_ord"), F.min_by("model", "first").alias("orig_model"), F.min_by("mfg", "first").alias("_mfg")
     )
-    mfgs = spelled.groupBy("g_mfg").agg(F.min("first").alias("mfg_ord"), F.min_by("mfg", "first").alias("orig_mfg"))
-    return groups.join(mfgs, "g_mfg")
+    groups = cut(groups, "groups")  # one row a group, read by each step that follows: the rows are scanned once
+    mfgs = groups.groupBy("g_mfg").agg(F.min("first_ord").alias("mfg_ord"), F.min_by("_mfg", "first_ord").alias("orig_mfg"))
+    return groups.drop("_mfg").join(mfgs, "g_mfg")
 
 
 def segments(key: Column, edits: int = MAX_TYPO_DISTANCE) -> Column:
@@ -203,20 +205,17 @@ def serial_corrections(df: DataFrame, groups: DataFrame, sn: str = "w_sn", order
         )
     )
     gkey = ["g_mfg", "g_model"]
-    gstats = r.groupBy(*gkey).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_paren").cast("int")).alias("pc"))
-    pstats = (
-        r.where(F.col("_prefix") != "")
-        .groupBy(*gkey, "_prefix")
-        .agg(F.count(F.lit(1)).alias("c"), F.min("_o").alias("o"))
-        .groupBy(*gkey)
-        .agg(F.max_by("_prefix", F.struct(F.col("c"), -F.col("o"))).alias("dom_prefix"), F.max("c").alias("dom_cnt"))
-    )
-    lstats = (
-        r.groupBy(*gkey, "_len")
-        .agg(F.count(F.lit(1)).alias("c"), F.min("_o").alias("o"))
-        .groupBy(*gkey)
-        .agg(F.max_by("_len", F.struct(F.col("c"), -F.col("o"))).alias("dom_len"), F.max("c").alias("dom_len_cnt"))
-    )
+    # the rows are counted once, by prefix and length; all statistics come from these counts
+    counts = r.groupBy(*gkey, "_prefix", "_len").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("_paren").cast("int")).alias("pc"), F.min("_o").alias("o"))
+    counts = cut(counts, "counts")
+
+    def mode(of: DataFrame, value: str, name: str) -> DataFrame:
+        by = of.groupBy(*gkey, value).agg(F.sum("c").alias("c"), F.min("o").alias("o"))
+        return by.groupBy(*gkey).agg(F.max_by(value, F.struct(F.col("c"), -F.col("o"))).alias(f"dom_{name}"), F.max("c").alias(f"dom_{name}_cnt"))
+
+    gstats = counts.groupBy(*gkey).agg(F.sum("c").alias("n"), F.sum("pc").alias("pc"))
+    pstats = mode(counts.where(F.col("_prefix") != ""), "_prefix", "prefix").withColumnRenamed("dom_prefix_cnt", "dom_cnt")
+    lstats = mode(counts, "_len", "len")
     stats = (
         gstats.where(F.col("n") >= MIN_SERIALS)
         .join(pstats, gkey, "left")
@@ -238,8 +237,9 @@ def serial_corrections(df: DataFrame, groups: DataFrame, sn: str = "w_sn", order
             ok.alias("ok"),
             F.lit(rank).alias("rank"),
             F.lit(kind).alias("kind"),
-            corrected.alias("corrected"),
-            reason.alias("reason"),
+            # texts are only made for what is found
+            F.when(ok, corrected).alias("corrected"),
+            F.when(ok, reason).alias("reason"),
         )
 
     entries = F.array(

@@ -218,9 +218,9 @@ def q_check_external(spark, sf):
 
 
 def _enriched(spark, sf):
-    td.register_views(spark, sf)
+    td.register_views(spark, sf, written=True)
     return enrich(
-        _inv(spark, sf),
+        spark.table("inventory"),
         types=spark.table("type_cache"),
         dates=spark.table("date_cache"),
         mfr_cache=spark.table("mfr_cache"),

@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assetclean.session import cut
+
 # The equipment families of the synthetic inventory
 # (manufacturer, model, device type, serial layout as SQL over the digit
 # fields yy/mm/dd/ww/seq/d1/mc/zc of the serial key).
@@ -205,10 +207,13 @@ def inventory_cte() -> str:
     return "WITH " + ",\n".join(parts)
 
 
-def register_views(spark: SparkSession, sf_dir: str) -> None:
-    """Register ``inventory``, ``inv_family`` and the side tables as temp views."""
+def register_views(spark: SparkSession, sf_dir: str, written: bool = False) -> None:
+    """Register ``inventory``, ``inv_family`` and the side tables as temp views.
+    ``written``: the derived rows are written once to the shared work folder,
+    for jobs that read many of the side tables."""
     register_base_tables(spark, sf_dir)
-    spark.sql(INVENTORY_ALL_SQL).createOrReplaceTempView("inv_all")
+    inv_all = spark.sql(INVENTORY_ALL_SQL)
+    (cut(inv_all, "inv_all") if written else inv_all).createOrReplaceTempView("inv_all")
     spark.sql(INVENTORY_SQL).createOrReplaceTempView("inventory")
     spark.sql(INVENTORY_FAMILY_SQL).createOrReplaceTempView("inv_family")
     for name, sql in SIDE_TABLES.items():

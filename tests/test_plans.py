@@ -70,3 +70,38 @@ def test_names_are_cleaned_once_a_row(spark):
     for c in (canonical_manufacturer("a"), guess_manufacturer("a", "b")):
         plan = rows.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
         assert not re.search(r"contains\((lower|upper|regexp_replace|btrim|trim)\(", plan, re.IGNORECASE), plan
+
+
+def test_rows_are_counted_once(spark):
+    """Each statistic of the corrections comes from one count of the rows, with
+    the modes by rows, then first seen, and the first-seen spellings."""
+    from pyspark.sql import functions as F
+
+    from assetclean.operators.repair import model_corrections, model_groups, serial_corrections
+
+    rows = [("Acme", "M-1", f"AB{i:04d}") for i in range(6)] + [("acme", "m-1", "0042"), ("ACME", "M 1", "CD77"), ("acme", "M-1", "(21) AB0099"), ("acme", "M-1", "")]
+    src = spark.range(len(rows), numPartitions=3).select("id", F.element_at(F.expr("array(" + ",".join("struct('%s' as m,'%s' as o,'%s' as s)" % r for r in rows) + ")"), (F.col("id") + 1).cast("int")).alias("v"))
+    df = src.select(F.col("id").alias("_ord"), F.col("v.m").alias("w_mfg"), F.col("v.o").alias("w_model"), F.col("v.s").alias("w_sn"))
+
+    def scans(frame):
+        return frame._jdf.queryExecution().optimizedPlan().toString().count("Range (")
+
+    groups = model_groups(df)
+    models, serials = model_corrections(groups), serial_corrections(df, groups)
+    assert scans(models) == 0 and scans(serials) == 1
+    assert [(r.g_model, r.n_rows, r.first_ord, r.orig_model, r.mfg_ord, r.orig_mfg) for r in groups.orderBy("first_ord").collect()] == [("m-1", 9, 0, "M-1", 0, "Acme"), ("m 1", 1, 7, "M 1", 0, "Acme")]
+    assert [(r.original, r.corrected) for r in models.collect()] == [("M 1", "M-1")]
+    assert {(r.sn, r.corrected, r.kind) for r in serials.collect()} == {("0042", "AB0042", "prefix"), ("(21) AB0099", "AB0099", "paren")}
+
+
+def test_inventory_can_be_written_once(spark, tmp_path):
+    from assetclean.sources import testdata as td
+
+    orders = "id as o_orderkey, 'F' as o_orderstatus, '1-URGENT' as o_orderpriority, timestamp'1996-01-02' as o_orderdate"
+    spark.range(120).selectExpr(*orders.split(", ")).write.parquet(f"{tmp_path}/orders.parquet")
+    td.register_views(spark, str(tmp_path))
+    names = ["inventory", "inv_family", *td.SIDE_TABLES]
+    lazy = {n: sorted(map(str, spark.table(n).collect())) for n in names}
+    td.register_views(spark, str(tmp_path), written=True)
+    assert {n: sorted(map(str, spark.table(n).collect())) for n in names} == lazy
+    assert "orderdate" not in spark.table("date_answers")._jdf.queryExecution().optimizedPlan().toString()
