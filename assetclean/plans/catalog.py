@@ -188,7 +188,8 @@ def q_rules_table(spark, sf):
 def _unresolved_date_rows(spark, sf) -> DataFrame:
     fixed = _fixed(spark, sf)
     dec = decode_once(fixed)
-    return unresolved_dates(dec, spark.table("date_cache"))
+    # read for the serials and for the names: written, so that the decode runs once
+    return cut(unresolved_dates(dec, spark.table("date_cache")), "unresolved")
 
 
 def q_resolver_batches(spark, sf):

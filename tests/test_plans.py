@@ -105,3 +105,12 @@ def test_inventory_can_be_written_once(spark, tmp_path):
     td.register_views(spark, str(tmp_path), written=True)
     assert {n: sorted(map(str, spark.table(n).collect())) for n in names} == lazy
     assert "orderdate" not in spark.table("date_answers")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_request_batches_read_decoded_rows(spark, tmp_path):
+    """The batches read the unresolved rows; they do not decode again."""
+    orders = "id as o_orderkey, 'F' as o_orderstatus, '1-URGENT' as o_orderpriority, timestamp'1996-01-02' as o_orderdate"
+    spark.range(240).selectExpr(*orders.split(", ")).write.parquet(f"{tmp_path}/orders.parquet")
+    batches = E.queries()["resolver_batches"](spark, str(tmp_path))
+    assert batches.count() > 0
+    assert "welch allyn,suretemp" not in batches._jdf.queryExecution().optimizedPlan().toString()  # the decode rules
