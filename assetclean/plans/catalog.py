@@ -177,7 +177,8 @@ def q_cache_upsert(spark, sf):
         .agg(F.min_by(F.struct(F.col("manufactured_date").alias("date"), F.col("date_confidence").alias("confidence")), "_ord").alias("v"))
         .select("date_key", "v.*")
     )
-    return caches.upsert(spark.table("date_cache"), new, "date_key")
+    # read by both sides of the upsert: written, so that dates are resolved once
+    return caches.upsert(spark.table("date_cache"), cut(new, "new_dates"), "date_key")
 
 
 def q_rules_table(spark, sf):

@@ -107,10 +107,11 @@ def test_inventory_can_be_written_once(spark, tmp_path):
     assert "orderdate" not in spark.table("date_answers")._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_request_batches_read_decoded_rows(spark, tmp_path):
-    """The batches read the unresolved rows; they do not decode again."""
+@pytest.mark.parametrize("name", ["resolver_batches", "cache_upsert"])
+def test_decoded_rows_are_read_not_decoded_again(spark, tmp_path, name):
+    """The batches and both sides of the upsert read what one decode wrote."""
     orders = "id as o_orderkey, 'F' as o_orderstatus, '1-URGENT' as o_orderpriority, timestamp'1996-01-02' as o_orderdate"
     spark.range(240).selectExpr(*orders.split(", ")).write.parquet(f"{tmp_path}/orders.parquet")
-    batches = E.queries()["resolver_batches"](spark, str(tmp_path))
-    assert batches.count() > 0
-    assert "welch allyn,suretemp" not in batches._jdf.queryExecution().optimizedPlan().toString()  # the decode rules
+    out = E.queries()[name](spark, str(tmp_path))
+    assert out.count() > 0
+    assert "welch allyn,suretemp" not in out._jdf.queryExecution().optimizedPlan().toString()  # the decode rules
