@@ -46,23 +46,35 @@ def with_group_keys(df: DataFrame, mfg: str = "w_mfg", model: str = "w_model") -
     return df.withColumns({"g_mfg": clean_key(mfg), "g_model": clean_key(model)})
 
 
-def model_groups(df: DataFrame, mfg: str = "w_mfg", model: str = "w_model", order_col: str = "_ord") -> DataFrame:
-    """A2: one row per case-insensitive (manufacturer, model) with its row
-    count, first position and first-seen spellings of both names."""
+def _label_groups(df: DataFrame, mfg: str, model: str, order_col: str) -> DataFrame:
     g = with_group_keys(df, mfg, model)
     # spellings first: sums and minima of numbers aggregate by hash, and what
     # needs an ordered pick of a string is left with one row per spelling
     spelled = g.groupBy("g_mfg", "g_model", F.col(mfg).alias("mfg"), F.col(model).alias("model")).agg(
         F.count(F.lit(1)).alias("n"), F.min(order_col).alias("first")
     )
-    groups = spelled.groupBy("g_mfg", "g_model").agg(
+    return spelled.groupBy("g_mfg", "g_model").agg(
         F.sum("n").alias("n_rows"), F.min("first").alias("first_ord"), F.min_by("model", "first").alias("orig_model"), F.min_by("mfg", "first").alias("_mfg")
     )
-    groups = cut(groups, "groups")  # one row a group, read by each step that follows: the rows are scanned once
+
+
+def _named(groups: DataFrame) -> DataFrame:
     mfgs = groups.groupBy("g_mfg").agg(F.min("first_ord").alias("mfg_ord"), F.min_by("_mfg", "first_ord").alias("orig_mfg"))
     return groups.drop("_mfg").join(mfgs, "g_mfg")
 
 
+def model_groups(df: DataFrame, mfg: str = "w_mfg", model: str = "w_model", order_col: str = "_ord") -> DataFrame:
+    """A2: one row per case-insensitive (manufacturer, model) with its row
+    count, first position and first-seen spellings of both names."""
+    return _named(_label_groups(df, mfg, model, order_col))
+
+
+def written_groups(df: DataFrame, mfg: str = "w_mfg", model: str = "w_model", order_col: str = "_ord") -> DataFrame:
+    """:func:`model_groups` over groups that are written once, for the many
+    steps that read them: the rows are scanned once."""
+    return _named(cut(_label_groups(df, mfg, model, order_col), "groups"))
+
+
 def segments(key: Column, edits: int = MAX_TYPO_DISTANCE) -> Column:
     """``(len, i, seg)``: the key cut into ``edits + 1`` even segments."""
     n, k = F.length(key), edits + 1
@@ -307,7 +319,7 @@ def serial_corrections(df: DataFrame, groups: DataFrame, sn: str = "w_sn", order
 
 def find_corrections(df: DataFrame, order_col: str = "_ord") -> Corrections:
     """Analyse a de-duplicated table (working columns ``w_*``)."""
-    groups = model_groups(df, order_col=order_col)
+    groups = written_groups(df, order_col=order_col)
     return Corrections(models=model_corrections(groups), serials=serial_corrections(df, groups, order_col=order_col))
 
 

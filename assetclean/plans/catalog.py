@@ -19,7 +19,7 @@ from assetclean.operators.contain import lookup_products
 from assetclean.operators.decode import decode_serials
 from assetclean.operators.dedup import dedup_first, with_working_columns
 from assetclean.operators.infer import guess_manufacturer, infer_manufacturers
-from assetclean.operators.repair import apply_corrections, find_corrections, model_corrections, model_groups, serial_corrections
+from assetclean.operators.repair import apply_corrections, find_corrections, model_corrections, serial_corrections, written_groups
 from assetclean.operators.resolve import decode_once, resolve_dates, resolve_types, unresolved_dates, unresolved_types, with_keys
 from assetclean.operators.validate import validate_years
 from assetclean.plans import reports as R
@@ -69,13 +69,13 @@ def q_part_dedup(spark, sf):
 
 
 def q_part_model_corrections(spark, sf):
-    mc = model_corrections(model_groups(_part_rows(spark, sf)))
+    mc = model_corrections(written_groups(_part_rows(spark, sf)))
     return mc.select("g_mfg", "g_model", "original", "corrected", "manufacturer", "kind", "distance", "reason")
 
 
 def q_part_serial_corrections(spark, sf):
     rows = _part_rows(spark, sf)
-    return serial_corrections(rows, model_groups(rows)).select("sn", "corrected", "manufacturer", "model", "kind", "reason")
+    return serial_corrections(rows, written_groups(rows)).select("sn", "corrected", "manufacturer", "model", "kind", "reason")
 
 
 def q_dashboard_stats(spark, sf):
@@ -105,13 +105,13 @@ def q_resolve_manufacturer(spark, sf):
 
 
 def q_model_corrections(spark, sf):
-    mc = model_corrections(model_groups(_inferred(spark, sf)))
+    mc = model_corrections(written_groups(_inferred(spark, sf)))
     return mc.select("g_mfg", "g_model", "original", "corrected", "manufacturer", "kind", "distance", "reason")
 
 
 def q_serial_corrections(spark, sf):
     rows = _inferred(spark, sf)
-    sc = serial_corrections(rows, model_groups(rows))
+    sc = serial_corrections(rows, written_groups(rows))
     return sc.select("sn", "corrected", "manufacturer", "model", "kind", "reason")
 
 

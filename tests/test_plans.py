@@ -77,7 +77,7 @@ def test_rows_are_counted_once(spark):
     the modes by rows, then first seen, and the first-seen spellings."""
     from pyspark.sql import functions as F
 
-    from assetclean.operators.repair import model_corrections, model_groups, serial_corrections
+    from assetclean.operators.repair import model_corrections, serial_corrections, written_groups
 
     rows = [("Acme", "M-1", f"AB{i:04d}") for i in range(6)] + [("acme", "m-1", "0042"), ("ACME", "M 1", "CD77"), ("acme", "M-1", "(21) AB0099"), ("acme", "M-1", "")]
     src = spark.range(len(rows), numPartitions=3).select("id", F.element_at(F.expr("array(" + ",".join("struct('%s' as m,'%s' as o,'%s' as s)" % r for r in rows) + ")"), (F.col("id") + 1).cast("int")).alias("v"))
@@ -86,7 +86,7 @@ def test_rows_are_counted_once(spark):
     def scans(frame):
         return frame._jdf.queryExecution().optimizedPlan().toString().count("Range (")
 
-    groups = model_groups(df)
+    groups = written_groups(df)
     models, serials = model_corrections(groups), serial_corrections(df, groups)
     assert scans(models) == 0 and scans(serials) == 1
     assert [(r.g_model, r.n_rows, r.first_ord, r.orig_model, r.mfg_ord, r.orig_mfg) for r in groups.orderBy("first_ord").collect()] == [("m-1", 9, 0, "M-1", 0, "Acme"), ("m 1", 1, 7, "M 1", 0, "Acme")]
