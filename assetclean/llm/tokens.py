@@ -49,7 +49,10 @@ CACHE_WORDS = 400_000
 #: Latin letters that NFC and lower case leave one letter each, so that no mark
 #: of theirs can join the stop after them; and digits
 PLAIN = "0-9" + "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c) in ("Lu", "Ll") and len(unicodedata.normalize("NFC", c).lower()) == 1)
-END_MARK = re.compile(rf"[.,](?<=[{PLAIN}].)(?=[ \n]|$)")
+#: ASCII marks but the apostrophe, with which the model's own cuts may begin
+MARKS = r"!-&(-/:-@\[-`{-~"
+END_MARK = re.compile(rf"[{MARKS}](?<=[{PLAIN}].)[{MARKS}]*(?=[ \n]|$)")
+LETTERS = re.compile(f"[{PLAIN[3:]}]+")
 
 FORMAT = "shard int, block int, first long, n_ids int, width int, planes array<binary>, docs array<struct<key:long,first:long,n_ids:long>>"
 
@@ -99,9 +102,9 @@ def latin(text: str) -> bool:
 
 class WordEncoder:
     """Encodes with a tokenizers file that lowers case and never joins text
-    across white space, or a letter with a full stop or comma at the end of a
-    word: a text is cut there and the ids of each word are remembered. The
-    words last met are kept in two generations of CACHE_WORDS."""
+    across white space, or a letter with the marks at the end of a word: a
+    text is cut there and the ids of each word are remembered. The words last
+    met are kept in two generations of CACHE_WORDS."""
 
     def __init__(self, model: str):
         """``model`` is the text of the tokenizers file, not its path."""
@@ -111,6 +114,11 @@ class WordEncoder:
         self.model = Tokenizer.from_str(model)
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        suffix = getattr(self.model.model, "end_of_word_suffix", None)
+        vocab = self.model.get_vocab() if suffix else {}
+        #: whether an id ends a piece of text that the model encodes on its own
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
 
     @staticmethod
     def of_worker(model: str) -> WordEncoder:
@@ -121,9 +129,11 @@ class WordEncoder:
         return kept[model]
 
     def __call__(self, text: str) -> bytes:
-        if "<|" not in text and latin(text):
-            text = text.lower()  # as the model's own normalizer does
-        words = END_MARK.sub(r" \g<0>", text).replace("\n", " ").replace("\t", " ").split(" ")
+        if "<|" not in text:  # such text may hold special tokens, which are not cut
+            if latin(text):
+                text = text.lower()  # as the model's own normalizer does
+            text = END_MARK.sub(r" \g<0>", text)
+        words = text.replace("\n", " ").replace("\t", " ").split(" ")
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {"": b""}, self.known
         known, older = self.known, self.older
@@ -134,10 +144,26 @@ class WordEncoder:
             else:
                 new.append(w)
         if new:
-            for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            letters = [w for w in new if LETTERS.fullmatch(w)]
+            known.update(zip(letters, self.encode_letters(letters), strict=True))
+            others = [w for w in new if w not in known]
+            known.update(zip(others, self.encode_each(others), strict=True))
         return b"".join(map(known.__getitem__, words))
 
+    def encode_each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode_letters(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters, encoded as one text. A word has at
+        least one id that ends a piece, so if there are as many of these as
+        words, they show where each word's ids end; otherwise one by one."""
+        ids = np.array(self.model.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1) if len(ids) and ids.max() < len(self.ends) else ids[:0]
+        if len(ends) != len(words) or not words or ends[-1] != 4 * len(ids):
+            return self.encode_each(words)
+        raw, ends = ids.tobytes(), ends.tolist()
+        return [raw[s:e] for s, e in zip([0, *ends], ends)]
+
 
 def _encode(batches: Iterator[pa.RecordBatch], model: str, block: int, width: int, end_id: int) -> Iterator[pa.RecordBatch]:
     encode, end = WordEncoder.of_worker(model), np.array([end_id], "<u4").tobytes()

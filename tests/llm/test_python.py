@@ -60,6 +60,31 @@ def test_every_letter_before_a_stop_equals_the_tokenizer():
     assert [t for t, p in zip(texts, plain, strict=True) if e(t) != np.array(p.ids, "<u4").tobytes()] == []
 
 
+def test_new_words_of_letters_are_encoded_as_one_text(monkeypatch):
+    e = tokens.WordEncoder(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
+    noise = random.Random(3)
+    words = ["".join(noise.choices("abcdeéñß", k=noise.randint(1, 12))) + noise.choice(["", "", ".", "!!", ",$$$", "=<"]) for _ in range(500)]
+    text = " ".join(words)
+    want = np.array(e.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    alone = []
+    each = e.encode_each
+    monkeypatch.setattr(e, "encode_each", lambda w: alone.extend(w) or each(w))
+    assert e(text) == want
+    assert not any(w[0].isalpha() for w in alone)  # marks alone: words of letters are not sent one by one
+    monkeypatch.setattr(e, "ends", np.zeros_like(e.ends))  # a model that does not show the ends of words
+    e.known, e.older = {"": b""}, {}
+    assert e(text) == want and len(alone) > 300
+
+
+def test_marks_after_words_equal_the_tokenizer():
+    e = tokens.WordEncoder(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
+    parts = ["a", "B", "é", "İ", "ß", "e\u0301", "\u0338", " ", "\n", "\t", "\xa0", ".", "!", "=", "<", "|", "_", "`", "[", "'s", "'", "1", "²", "<|endoftext|>", "漢", "Σ"]
+    noise = random.Random(4)
+    for _ in range(20_000):
+        text = "".join(noise.choices(parts, k=noise.randint(1, 16)))
+        assert e(text) == np.array(e.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_one_key_is_dealt_over_all_shards(spark):
     rows = spark.range(6000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 5, id)) as doc_id", "if(id % 3 = 0, 'the same', concat('t', id)) as text")
     path = shared_dir(spark)
