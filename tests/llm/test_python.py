@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import duck_docs
 
@@ -405,8 +406,6 @@ def test_jaccard_matches_sql(spark, small, duck):
 
 @pytest.mark.parametrize("step", [1, 7, 1000])
 def test_pair_blocks_cover_every_link_across_batches(step):
-    import pyarrow as pa
-
     rng = np.random.default_rng(5)
     base = np.unique(rng.integers(0, 2**63, 60, dtype="u8"))
     sets = {}
@@ -427,6 +426,27 @@ def test_pair_blocks_cover_every_link_across_batches(step):
     assert links <= got <= may
 
 
+@pytest.mark.parametrize("step", [7, 10_000])
+def test_short_lists_are_paired_many_at_once(monkeypatch, step):
+    calls = []
+    near = set_join.near
+    monkeypatch.setattr(set_join, "near", lambda *a: calls.append(len(a[0])) or near(*a))
+    noise, rows = random.Random(6), []
+    for token in range(1500):
+        for _ in range(noise.choice([2, 2, 3, 5]) if token % 500 else 80):  # a few lists that go by blocks
+            rows.append((token, len(rows), noise.randint(8, 12), noise.randint(0, 1), noise.randint(0, 3), set_join.parity(np.zeros(1, np.uint64))))
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    batches = (pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + step], strict=True), types, strict=True)], ["token", "node", "size", "pos", "part", "parity"]) for i in range(0, len(rows), step))
+    got = Counter((a, b) for x in set_join._open_pairs(batches) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True))
+    lists = {}
+    for r in rows:
+        lists.setdefault(r[0], []).append(r)
+    some = np.int64
+    want = {(a[1], b[1]) for of in lists.values() for i, a in enumerate(of) for b in of[i + 1 :] if a[4] != b[4] and set_join.may_link(some(a[2]), a[3], some(b[2]), b[3])}
+    assert set(got) == want and max(got.values()) == 1 and len(want) > 1000
+    assert len(calls) < 400 + 2 * len(rows) / step  # one call for each row before
+
+
 def test_word_hashes_over_parts(monkeypatch):
     text = " ".join(f"wört{i % 50}" for i in range(400)) + " " + "x" * 5000 + " end"
     whole = set_join.shingle_set(text)
