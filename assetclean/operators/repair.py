@@ -294,7 +294,7 @@ def serial_corrections(df: DataFrame, groups: DataFrame, sn: str = "w_sn", order
             ),
         ),
     )
-    e = j.select(
+    e = j.where(m3_ok | m4_ok | m5_ok).select(  # entries are only built for rows that have one
         "sn", "orig_mfg", "orig_model", "mfg_ord", "first_ord", "_o", F.explode(F.filter(entries, lambda x: x["ok"])).alias("e")
     )
     fix = F.col("e.rank") < 3

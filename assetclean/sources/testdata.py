@@ -16,7 +16,9 @@ exact duplicates of an earlier row of the same family).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from assetclean.functions.text import bind
 from assetclean.session import cut
 
 # The equipment families of the synthetic inventory
@@ -212,7 +214,7 @@ def register_views(spark: SparkSession, sf_dir: str, written: bool = False) -> N
     ``written``: the derived rows are written once to the shared work folder,
     for jobs that read many of the side tables."""
     register_base_tables(spark, sf_dir)
-    inv_all = spark.sql(INVENTORY_ALL_SQL)
+    inv_all = inventory_rows(spark)
     (cut(inv_all, "inv_all") if written else inv_all).createOrReplaceTempView("inv_all")
     spark.sql(INVENTORY_SQL).createOrReplaceTempView("inventory")
     spark.sql(INVENTORY_FAMILY_SQL).createOrReplaceTempView("inv_family")
@@ -220,6 +222,17 @@ def register_views(spark: SparkSession, sf_dir: str, written: bool = False) -> N
         spark.sql(sql).createOrReplaceTempView(name)
 
 
+def inventory_rows(spark: SparkSession) -> DataFrame:
+    """The rows of :data:`INVENTORY_ALL_SQL` over the view ``orders``. The long
+    CASEs of a clean row are bound (see :func:`bind`): in one generated method
+    with all that follows they exceed what the JVM compiles (8,000 bytes of
+    code) and would be interpreted, at some eight times the cost."""
+    names = {f"{name}0": bind(F.expr(_case(field)), lambda value: value) for field, name in enumerate(("mfg", "model", "dtype", "sn"))}
+    clean = spark.sql(_DIGITS).withColumns(names)
+    clean.select("k", "fam", "o_orderstatus", "o_orderpriority", "o_orderdate", *names).createOrReplaceTempView("inv_clean")
+    return spark.sql(INVENTORY_ALL_SQL.replace(f"({_CLEAN})", "inv_clean"))
+
+
 def register_base_tables(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("orders",)) -> None:
     for n in names:
         spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)

@@ -115,3 +115,18 @@ def test_decoded_rows_are_read_not_decoded_again(spark, tmp_path, name):
     out = E.queries()[name](spark, str(tmp_path))
     assert out.count() > 0
     assert "welch allyn,suretemp" not in out._jdf.queryExecution().optimizedPlan().toString()  # the decode rules
+
+
+def test_inventory_derivation_is_compiled_and_equals_its_sql(spark, capsys, tmp_path):
+    """The JVM interprets methods of more than 8,000 bytes of code."""
+    from assetclean.sources import testdata as td
+
+    orders = spark.range(-30, 5000).selectExpr("if(id % 50 = 7, null, id) as o_orderkey", "if(id % 2 = 0, 'F', 'O') as o_orderstatus", "'1-URGENT' as o_orderpriority", "date_add(date'1995-01-01', cast(id as int)) as o_orderdate")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    td.register_views(spark, str(tmp_path))
+    rows = spark.table("inventory")
+    rows.explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+    derived, sql = spark.table("inv_all"), spark.sql(td.INVENTORY_ALL_SQL)
+    assert derived.schema == sql.schema and sorted(map(repr, derived.collect())) == sorted(map(repr, sql.collect()))
