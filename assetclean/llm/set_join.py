@@ -446,23 +446,55 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The linked pairs (a, b) among candidates (a, b). The sets of the
-    documents concerned are built again from their texts; a bitmap of fixed
-    size (2 MB) keeps the others from being shuffled."""
+    """The linked pairs (a, b) among candidates (a, b)."""
+    sets, path = sets_of(docs, pairs, name)
+    links = linked(pairs, sets, name)
+    remove(docs.sparkSession, path)
+    return links
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def sets_of(docs: DataFrame, pairs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The sets of the nodes of candidates, and some others, as written under
+    the path: built again from the texts; a bitmap of fixed size (2 MB) keeps
+    most others out."""
     spark = docs.sparkSession
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    nodes = ends_of(pairs)
     slot = F.shiftright("node", 20).bitwiseAND((1 << BITMAP_BITS) - 1)
     words = nodes.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("bits")).toPandas()
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
     bitmap[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
     shared = spark.sparkContext.broadcast(bitmap)
+    return cut_at(docs.select("text").mapInArrow(lambda b: _sets(b, shared.value), "node long, set binary"), f"{name}-sets")
+
+
+def linked(pairs: DataFrame, built: DataFrame, name: str) -> DataFrame:
+    """Those of the pairs that link, by exact overlap of the sets built."""
     # an equal set may come from several tasks: any of them will do
-    built, path = cut_at(docs.select("text").mapInArrow(lambda b: _sets(b, shared.value), "node long, set binary"), f"{name}-sets")
-    sets = built.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
+    sets = built.join(ends_of(pairs), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
     one = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     both = one.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-    links = cut(both.mapInArrow(_overlaps, "a long, b long"), f"{name}-links")
-    remove(spark, path)
+    return cut(both.mapInArrow(_overlaps, "a long, b long"), f"{name}-links")
+
+
+def spanning_links(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """Links among candidates (a, b), a < b, with the components that all links
+    among them have: first each node with the least that it is paired with,
+    then the pairs whose ends these links leave apart. So of a group of near
+    copies some sets travel, not one for each pair."""
+    sets, path = sets_of(docs, pairs, name)
+    one = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), f"{name}-one")
+    links = linked(one, sets, f"{name}-one")
+    parts = components(links)
+    of_a = parts.select(F.col("node").alias("n_a"), F.col("part").alias("part_a"))
+    of_b = parts.select(F.col("node").alias("n_b"), F.col("part").alias("part_b"))
+    rest = pairs.join(one, ["a", "b"], "left_anti").join(of_a, F.col("a") == F.col("n_a"), "left").join(of_b, F.col("b") == F.col("n_b"), "left")
+    rest = rest.filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
+    links = links.union(linked(cut(rest, f"{name}-rest"), sets, f"{name}-rest"))
+    remove(docs.sparkSession, path)
     return links
 
 
@@ -533,7 +565,7 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     a = sketch.select(F.col("node").alias("a"), F.col("parity").alias("parity_a"), F.col("n").alias("na"))
     b = sketch.select(F.col("node").alias("b"), F.col("parity").alias("parity_b"), F.col("n").alias("nb"))
     led = led.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "parity_a", "parity_b")
-    links = verified(rows, cut(led.mapInArrow(_near_pairs, "a long, b long"), "led"), "led")
+    links = spanning_links(rows, cut(led.mapInArrow(_near_pairs, "a long, b long"), "led"), "led")
     parts = components(links).select(F.col("node").alias("p_node"), "part")
     of = Window.partitionBy("token")
     mixed = lists.join(parts, F.col("node") == F.col("p_node"), "left").select("token", "node", "size", "pos", F.coalesce("part", "node").alias("part"))
