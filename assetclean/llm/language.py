@@ -10,9 +10,10 @@ language with the least wins.
 The automata are fitted on a bounded sample: ``docs_per_language`` labelled
 documents of each language (the first in the order of a hash of their id) and
 ``chars_per_doc`` code points of each, in WINDOWS pieces spread over its whole
-text. That bounds the table that goes to the
-executors: 8 * docs_per_language * chars_per_doc * symbols bytes a language at
-most, whatever the alphabet, as the sample ends at so many symbols. Prediction reads whole texts.
+text. That bounds the table that a Python
+worker holds: 8 * docs_per_language * chars_per_doc * symbols bytes a language at
+most, whatever the alphabet, as the sample ends at so many symbols. It goes to the
+executors compressed. Prediction reads whole texts.
 Letters are lowered and everything between them is one space. The most frequent
 letters of the sample have a symbol each; any other letter, met in the sample or
 not, is spelt by the hexadecimal digits of its code point, which have symbols of
@@ -34,6 +35,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,6 +141,20 @@ def fit(sample: dict[str, list[str]], symbols: int = 64, limit: int | None = Non
     return Model(languages, symbol, np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(roots, np.int32), np.array(bits))
 
 
+def packed_model(model: Model) -> dict:
+    """The model as it travels: most transitions are those that begin a phrase,
+    the same in each state, so the table shrinks some fifty times."""
+    return model._asdict() | {"step": zstandard.compress(model.step.tobytes(), 1)}
+
+
+def unpacked_model(held: dict) -> Model:
+    """The model of :func:`packed_model`, whose table is unpacked in its place,
+    so only once for each Python worker."""
+    if isinstance(held["step"], bytes):
+        held["step"] = np.frombuffer(zstandard.decompress(held["step"]), np.int32)
+    return Model(**held)
+
+
 def phrases(runs: list[np.ndarray], model: Model) -> np.ndarray:
     """Phrases of each run in each language, [run, language]: all runs and
     languages take one symbol at a time together."""
@@ -225,12 +241,12 @@ def held_out(key: Column) -> Column:
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``_lang_pred``, ``_score`` and ``_entropy`` (bits per
     symbol), in the place of any such columns; all others are kept. Predictions read the text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(packed_model(model))  # bounded by the sample
     docs = docs.drop(*ADDED)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = Model(*shared.value)
+        fitted = unpacked_model(shared.value)
         for b in batches:
             names, scores, entropies = classify(b.column(at).to_pylist(), fitted)
             more = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(entropies, pa.float64())]

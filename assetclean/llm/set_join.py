@@ -481,8 +481,8 @@ def linked(pairs: DataFrame, built: DataFrame, name: str) -> DataFrame:
 
 
 def spanning_links(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """Links among candidates (a, b), a < b, with the components that all links
-    among them have: first each node with the least that it is paired with,
+    """Pairs with the components that all links among candidates (a, b), a < b,
+    have: first each node with the least that it is paired with is verified,
     then the pairs whose ends these links leave apart. So of a group of near
     copies some sets travel, not one for each pair."""
     sets, path = sets_of(docs, pairs, name)
@@ -493,18 +493,25 @@ def spanning_links(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     of_b = parts.select(F.col("node").alias("n_b"), F.col("part").alias("part_b"))
     rest = pairs.join(one, ["a", "b"], "left_anti").join(of_a, F.col("a") == F.col("n_a"), "left").join(of_b, F.col("b") == F.col("n_b"), "left")
     rest = rest.filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
-    links = links.union(linked(cut(rest, f"{name}-rest"), sets, f"{name}-rest"))
+    links = stars(parts).union(linked(cut(rest, f"{name}-rest"), sets, f"{name}-rest"))
     remove(docs.sparkSession, path)
     return links
 
 
+def stars(parts: DataFrame) -> DataFrame:
+    """The components (node, part) as pairs, in the place of the links that
+    they come from: with new links, fewer rounds are left to go."""
+    return parts.filter(F.col("node") != F.col("part")).select(F.col("part").alias("a"), F.col("node").alias("b"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, part) for every node with a link; part is the least node of its
     component. Alternating large and small stars: every round hooks the
     neighbours of a node to the least of them; sums of few numbers tell when
     nothing changes."""
     edges = links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    (edges, path), state = cut_at(edges, "edges"), None
+    edges, path = cut_at(edges, "edges")
+    state = _state(edges)
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
@@ -517,12 +524,16 @@ def components(links: DataFrame) -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v")).distinct()
         (edges, path), last = cut_at(small, "edges"), path
         remove(edges.sparkSession, last)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = _state(edges)
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("part")).union(edges.select(F.col("v"), F.col("v"))).distinct()
         state = now
 
 
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def index_lists(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """rows (key, text), (key, node, n) for each document, (node, parity, n)
     for each node, and the index lists that hold several sets."""
@@ -566,13 +577,13 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     b = sketch.select(F.col("node").alias("b"), F.col("parity").alias("parity_b"), F.col("n").alias("nb"))
     led = led.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "parity_a", "parity_b")
     links = spanning_links(rows, cut(led.mapInArrow(_near_pairs, "a long, b long"), "led"), "led")
-    parts = components(links).select(F.col("node").alias("p_node"), "part")
+    parts = components(links)
     of = Window.partitionBy("token")
-    mixed = lists.join(parts, F.col("node") == F.col("p_node"), "left").select("token", "node", "size", "pos", F.coalesce("part", "node").alias("part"))
+    mixed = lists.join(parts.withColumnRenamed("node", "p_node"), F.col("node") == F.col("p_node"), "left").select("token", "node", "size", "pos", F.coalesce("part", "node").alias("part"))
     mixed = mixed.withColumns({"least": F.min("part").over(of), "most": F.max("part").over(of)}).filter("least < most")
     mixed = mixed.join(sketch.select("node", "parity"), "node").select("token", "node", "size", "pos", "part", "parity")
     left = mixed.repartition("token").sortWithinPartitions("token").mapInArrow(_open_pairs, "a long, b long").distinct()
-    links = links.union(verified(rows, cut(left, "open"), "open"))
+    links = stars(parts).union(verified(rows, cut(left, "open"), "open"))
     return nodes, cut(components(links), "parts")
 
 

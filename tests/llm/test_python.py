@@ -1,6 +1,7 @@
 """Token blocks, compression bands, language models, language ID, HTML, Jaccard join."""
 
 import math
+import pickle
 import random
 import re
 import zlib
@@ -186,6 +187,23 @@ def test_languages_of_large_alphabets_are_told_apart(spark):
     assert upper[0] == ["z"] * 5
 
 
+def test_a_model_travels_small(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = {n: [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 7))) for _ in range(60)) for _ in range(40)] for n in "xy"}
+    model = language.fit(texts)
+    sizes = []
+    kind = type(spark.sparkContext)
+    send = kind.broadcast
+    monkeypatch.setattr(kind, "broadcast", lambda sc, value: sizes.append(len(pickle.dumps(value))) or send(sc, value))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts["x"])], "doc_id long, text string").repartition(3)
+    assert {r["_lang_pred"] for r in language.predict(df, model).collect()} == {"x"}
+    assert len(sizes) == 1 and sizes[0] < len(model.symbol) + model.step.nbytes / 20
+    held = language.packed_model(model)
+    for _ in range(2):
+        assert all(np.array_equal(a, b) for a, b in zip(language.unpacked_model(held), model, strict=True))
+    assert language.unpacked_model(held).step is held["step"]  # unpacked once
+
+
 def test_phrases_are_longest_matches():
     rng = random.Random(3)
     train = {"x": ["abba abab"], "y": ["bcbc ccab"]}
@@ -389,6 +407,18 @@ def components_of(df):
     return sorted((str(k), n, str(k if n == 0 else least.get(p))) for k, n, p in rows)
 
 
+def test_components_already_found_take_one_round(spark, monkeypatch):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (100, 102)], "a long, b long")
+    parts = set_join.components(links).cache()
+    want = {(i, 0) for i in range(41)} | {(i, 100) for i in (100, 101, 102)}
+    assert {tuple(r) for r in parts.collect()} == want
+    names = []
+    cut_at = set_join.cut_at
+    monkeypatch.setattr(set_join, "cut_at", lambda df, name: names.append(name) or cut_at(df, name))
+    again = set_join.components(parts.select(parts.part.alias("a"), parts.node.alias("b")))
+    assert {tuple(r) for r in again.collect()} == want and names == ["edges"] * 2
+
+
 def test_jaccard_odd_rows_and_one_of_each(spark, odd, none, duck):
     docs = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert components_of(odd) == brute_components(docs)
