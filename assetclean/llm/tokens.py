@@ -137,8 +137,10 @@ class WordEncoder:
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {"": b""}, self.known
         known, older = self.known, self.older
+        ids = list(map(known.get, words))
+        gaps = [k for k, i in enumerate(ids) if i is None]
         new = []
-        for w in set(words).difference(known):
+        for w in {words[k] for k in gaps}:
             if w in older:
                 known[w] = older[w]
             else:
@@ -148,7 +150,9 @@ class WordEncoder:
             known.update(zip(letters, self.encode_letters(letters), strict=True))
             others = [w for w in new if w not in known]
             known.update(zip(others, self.encode_each(others), strict=True))
-        return b"".join(map(known.__getitem__, words))
+        for k in gaps:
+            ids[k] = known[words[k]]
+        return b"".join(ids)
 
     def encode_each(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
@@ -157,7 +161,8 @@ class WordEncoder:
         """The ids of words of letters, encoded as one text. A word has at
         least one id that ends a piece, so if there are as many of these as
         words, they show where each word's ids end; otherwise one by one."""
-        ids = np.array(self.model.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        encoded = self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)  # fast: without offsets
+        ids = np.array(encoded[0].ids, "<u4")
         ends = 4 * (np.flatnonzero(self.ends[ids]) + 1) if len(ids) and ids.max() < len(self.ends) else ids[:0]
         if len(ends) != len(words) or not words or ends[-1] != 4 * len(ids):
             return self.encode_each(words)

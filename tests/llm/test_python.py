@@ -78,6 +78,32 @@ def test_new_words_of_letters_are_encoded_as_one_text(monkeypatch):
     assert e(text) == want and len(alone) > 300
 
 
+def test_words_are_encoded_without_offsets_and_looked_up_once():
+    class Fast:
+        def __init__(self, model):
+            self.encode_batch_fast = model.encode_batch_fast
+
+    class Known(dict):
+        asked = 0
+
+        def get(self, word):
+            Known.asked += 1
+            return dict.get(self, word)
+
+        def __getitem__(self, word):
+            Known.asked += 1
+            return dict.__getitem__(self, word)
+
+    e = tokens.WordEncoder(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
+    text = "one two two, three. " * 100 + "four"
+    want = np.array(e.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    e.model = Fast(e.model)
+    assert e(text) == want
+    e.known = Known(e.known)
+    assert e(text + " five") == want + np.array(e.model.encode_batch_fast(["five"], add_special_tokens=False)[0].ids, "<u4").tobytes()
+    assert Known.asked == 602 + 1  # each word and mark once, the new one twice
+
+
 def test_marks_after_words_equal_the_tokenizer():
     e = tokens.WordEncoder(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
     parts = ["a", "B", "é", "İ", "ß", "e\u0301", "\u0338", " ", "\n", "\t", "\xa0", ".", "!", "=", "<", "|", "_", "`", "[", "'s", "'", "1", "²", "<|endoftext|>", "漢", "Σ"]
