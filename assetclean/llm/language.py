@@ -10,9 +10,11 @@ language with the least wins.
 The automata are fitted on a bounded sample: ``docs_per_language`` labelled
 documents of each language (the first in the order of a hash of their id) and
 ``chars_per_doc`` code points of each, in WINDOWS pieces spread over its whole
-text. That bounds the table that a Python
-worker holds: 8 * docs_per_language * chars_per_doc * symbols bytes a language at
-most, whatever the alphabet, as the sample ends at so many symbols. It goes to the
+text. That bounds the tables that a Python
+worker holds: 16 * docs_per_language * chars_per_doc * symbols bytes a language at
+most, whatever the alphabet, as the sample ends at so many symbols. A state's
+transitions take the places from its least symbol to its greatest alone, and most
+states have a single one, so the tables are far smaller in fact. They go to the
 executors compressed. Prediction reads whole texts.
 Letters are lowered and everything between them is one space. The most frequent
 letters of the sample have a symbol each; any other letter, met in the sample or
@@ -57,8 +59,11 @@ class Model(NamedTuple):
     languages: list[str]
     #: symbol of every code point: 0 between words, 1 to BASE the digits, SPELT a letter that is spelt
     symbol: np.ndarray
-    #: transitions of all automata, [state * width + symbol] -> next state * width; negative where a phrase ends
+    #: transitions of all automata, [state + symbol] -> next state, where ``owner`` there is the state
     step: np.ndarray
+    owner: np.ndarray
+    #: where a phrase ends, the state that the symbol begins the next one with, [language, symbol]
+    again: np.ndarray
     roots: np.ndarray
     bits: np.ndarray
 
@@ -123,35 +128,57 @@ def fit(sample: dict[str, list[str]], symbols: int = 64, limit: int | None = Non
     for point in range(0x110000):
         if (c := chr(point)).isalpha():
             symbol[point] = code.get(c if c in code else c.lower()[:1], SPELT)
-    tables, roots, bits, before = [], [], [], 0
+    steps, owners, again, roots, bits, at = [], [], [], [], [], 0
     for name in languages:
         text = np.concatenate([np.zeros(1, np.uint8), *(symbols_of(t, symbol) for t in sample[name])])[:limit]
         states = automaton(text.tolist())
-        step = np.full((len(states), symbols), -1, np.int64)
-        for i, moves in enumerate(states):
+        place, size = places(states, at, symbols)
+        step, owner = np.zeros(size, np.int32), np.full(size, -1, np.int32)
+        for moves, state in zip(states, place, strict=True):
             for c, to in moves.items():
-                step[i, c] = (before + to) * symbols
-        # a phrase ends: the symbol begins the next one, at the root if unseen
-        again = np.where(step[0] >= 0, step[0], before * symbols)
-        step = np.where(step >= 0, step, again[None, :] - (1 << 31))
-        tables.append(step.astype(np.int32).reshape(-1))
-        roots.append(before * symbols)
+                step[state + c - at], owner[state + c - at] = place[to], state
+        steps.append(step)
+        owners.append(owner)
+        # the symbol begins the next phrase, at the root if unseen
+        again.append([place[states[0][c]] if c in states[0] else place[0] for c in range(symbols)])
+        roots.append(place[0])
         bits.append(np.log2(max(len(text), 2)))
-        before += len(states)
-    return Model(languages, symbol, np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(roots, np.int32), np.array(bits))
+        at += size
+    none = [np.zeros(0, np.int32)]
+    return Model(languages, symbol, np.concatenate(steps or none), np.concatenate(owners or none), np.array(again, np.int32).reshape(-1, symbols), np.array(roots, np.int32), np.array(bits))
+
+
+def places(states: list[dict[int, int]], at: int, symbols: int) -> tuple[list[int], int]:
+    """A different number for each state, from ``at`` on, so that the places
+    number + symbol of no two states' transitions meet, and how many places
+    that takes."""
+    taken: set[int] = set()
+    place, free = [], at + symbols
+    for moves in states:
+        least = min(moves, default=0)
+        while free - least in taken:
+            free += 1
+        place.append(free - least)
+        taken.add(free - least)
+        free += max(moves, default=least) - least + 1
+    return place, free + symbols - at
+
+
+#: fields that travel compressed
+PACKED = {"symbol": np.uint8, "step": np.int32, "owner": np.int32}
 
 
 def packed_model(model: Model) -> dict:
-    """The model as it travels: most transitions are those that begin a phrase,
-    the same in each state, so the table shrinks some fifty times."""
-    return model._asdict() | {"step": zstandard.compress(model.step.tobytes(), 1)}
+    """The model as it travels."""
+    return model._asdict() | {k: zstandard.compress(getattr(model, k).tobytes(), 1) for k in PACKED}
 
 
 def unpacked_model(held: dict) -> Model:
-    """The model of :func:`packed_model`, whose table is unpacked in its place,
-    so only once for each Python worker."""
-    if isinstance(held["step"], bytes):
-        held["step"] = np.frombuffer(zstandard.decompress(held["step"]), np.int32)
+    """The model of :func:`packed_model`, whose tables are unpacked in their
+    place, so only once for each Python worker."""
+    for k, kind in PACKED.items():
+        if isinstance(held[k], bytes):
+            held[k] = np.frombuffer(zstandard.decompress(held[k]), kind)
     return Model(**held)
 
 
@@ -168,9 +195,11 @@ def phrases(runs: list[np.ndarray], model: Model) -> np.ndarray:
     state = np.repeat(model.roots[:, None], len(runs), axis=1)
     active = np.searchsorted(-sorted_lengths, -np.arange(sorted_lengths[0]), side="left")
     for j, m in enumerate(active):
-        v = model.step.take(state[:, :m] + grid[j, :m])
-        counts[:, :m] += v < 0
-        state[:, :m] = v & 0x7FFFFFFF
+        now, symbol = state[:, :m], grid[j, :m]
+        at = now + symbol
+        goes_on = model.owner.take(at) == now
+        counts[:, :m] += ~goes_on
+        state[:, :m] = np.where(goes_on, model.step.take(at), model.again.take(symbol, axis=1))
     out = np.empty((len(runs), len(model.languages)), np.int32)
     out[order] = counts.T
     return out

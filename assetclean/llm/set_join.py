@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.skew import salted_join
-from .common import WORD, cut, cut_at, packed, remove, table
+from .common import WORD, cut, cut_at, packed, remove, short_batches, table
 
 WORDS = 5
 PERCENT = 80
@@ -188,7 +188,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << COUNTER_BITS, np.int64)
     names = ["key", "node", "n", "parity", "slot", "count"]
     for b in batches:
-        nodes, sizes, slots, parities = [], [], [], []
+        nodes, sizes, slots, parities, held = [], [], [], [], 0
         for text in b.column(1):
             s = shingle_set(text.as_py())
             nodes.append(digest(s) if len(s) else None)
@@ -197,6 +197,10 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(s) and _new(nodes[-1], seen):
                 parities[-1] = parity(s)
                 slots.append((s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64))
+                held += len(s)
+            if held >= OUT_ROWS:
+                counts += np.bincount(np.concatenate(slots), minlength=len(counts))
+                slots, held = [], 0
         if slots:
             counts += np.bincount(np.concatenate(slots), minlength=len(counts))
         none = pa.nulls(len(nodes), pa.int64())
@@ -365,7 +369,7 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     z = y[part : part + PAIRS_AT_ONCE]
                     z = z[z > x]
                     keep(c, np.full(len(z), x), z)
-            yield from out(OUT_ROWS)
+                    yield from out(OUT_ROWS)
 
     def work(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate(([True], c[0][1:] != c[0][:-1])))
@@ -468,7 +472,8 @@ def sets_of(docs: DataFrame, pairs: DataFrame, name: str) -> tuple[DataFrame, st
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
     bitmap[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
     shared = spark.sparkContext.broadcast(bitmap)
-    return cut_at(docs.select("text").mapInArrow(lambda b: _sets(b, shared.value), "node long, set binary"), f"{name}-sets")
+    with short_batches(spark):
+        return cut_at(docs.select("text").mapInArrow(lambda b: _sets(b, shared.value), "node long, set binary"), f"{name}-sets")
 
 
 def linked(pairs: DataFrame, built: DataFrame, name: str) -> DataFrame:
@@ -477,7 +482,8 @@ def linked(pairs: DataFrame, built: DataFrame, name: str) -> DataFrame:
     sets = built.join(ends_of(pairs), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
     one = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     both = one.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-    return cut(both.mapInArrow(_overlaps, "a long, b long"), f"{name}-links")
+    with short_batches(pairs.sparkSession):
+        return cut(both.mapInArrow(_overlaps, "a long, b long"), f"{name}-links")
 
 
 def spanning_links(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
@@ -539,7 +545,8 @@ def index_lists(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tup
     for each node, and the index lists that hold several sets."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    first = cut(rows.mapInArrow(_nodes, "key long, node long, n long, parity binary, slot long, count long"), "nodes")
+    with short_batches(spark):
+        first = cut(rows.mapInArrow(_nodes, "key long, node long, n long, parity binary, slot long, count long"), "nodes")
     nodes = first.filter(F.col("slot").isNull()).select("key", "node", "n")
     sketch = first.filter(F.col("parity").isNotNull()).groupBy("node").agg(F.first("parity").alias("parity"), F.first("n").alias("n"))
     counters = first.filter(F.col("slot").isNotNull()).groupBy("slot").agg(F.sum("count").alias("count")).toPandas()  # 2^18 at most
@@ -614,7 +621,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     equal = narrow.mapInArrow(_with_node, schema).groupBy("node", "key", "digest").agg(F.count("*").alias("m"))
     least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "digest", "m")).alias("w")
     chosen = equal.join(parts, F.col("node") == F.col("p_node"), "left").groupBy(F.coalesce("part", "node").alias("part")).agg(least)
-    chosen = cut(chosen.select(F.coalesce(F.col("w.key").cast("string"), F.lit("")).alias("k"), F.col("w.none").alias("none"), F.col("w.digest").alias("digest"), F.col("w.m").alias("m")), "chosen")
+    with short_batches(docs.sparkSession):
+        chosen = cut(chosen.select(F.coalesce(F.col("w.key").cast("string"), F.lit("")).alias("k"), F.col("w.none").alias("none"), F.col("w.digest").alias("digest"), F.col("w.m").alias("m")), "chosen")
     rows = some.select(packed(docs), *[c.alias(n) for c, n in zip(named, ("k", "none", "digest"), strict=True)])
     kept = salted_join(rows, chosen, ["k", "none", "digest"])
     repeated = kept.filter("m > 1").groupBy("k", "none", "digest").agg(F.first("row").alias("row"))

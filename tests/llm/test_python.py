@@ -4,6 +4,7 @@ import math
 import pickle
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ import pytest
 from conftest_llm import duck_docs
 
 from assetclean.llm import compression, html_text, language, lm_score, set_join, tokens
-from assetclean.llm.common import shared_dir
+from assetclean.llm.common import cut, shared_dir, short_batches
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -230,6 +231,14 @@ def test_a_model_travels_small(spark, monkeypatch):
     assert language.unpacked_model(held).step is held["step"]  # unpacked once
 
 
+def test_a_model_is_small_in_a_worker():
+    rng = random.Random(13)
+    texts = {n: [" ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(1, 7))) for _ in range(60)) for _ in range(40)] for n in "xy"}
+    model = language.unpacked_model(pickle.loads(pickle.dumps(language.packed_model(language.fit(texts)))))
+    tables = sum(x.nbytes for k, x in model._asdict().items() if k not in ("languages", "symbol"))
+    assert tables < 80 * sum(len(t) for x in texts.values() for t in x)
+
+
 def test_phrases_are_longest_matches():
     rng = random.Random(3)
     train = {"x": ["abba abab"], "y": ["bcbc ccab"]}
@@ -482,6 +491,45 @@ def test_pair_blocks_cover_every_link_across_batches(step):
     assert links <= got <= may
 
 
+def peak_mb(run) -> float:
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_worker_holds_few_shingles_and_pairs():
+    rng = random.Random(14)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(504)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["key", "text"])
+    got = []
+    assert peak_mb(lambda: got.extend(set_join._nodes(iter([batch])))) < 20  # 12 MB of slots, and 12 more in one array
+    assert sum(got[-1].column(5).to_pylist()) == 3000 * 500
+    n = 1500  # a list of one block, every pair of which may link
+    bits = set_join.parity(np.zeros(1, np.uint64))
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([1] * n, range(n), [9] * n, [0] * n, range(n), [bits] * n), types, strict=True)], ["token", "node", "size", "pos", "part", "parity"])
+    sizes = []
+    assert peak_mb(lambda: sizes.extend(b.num_rows for b in set_join._open_pairs(iter([batch])))) < 60
+    assert sum(sizes) == n * (n - 1) // 2
+
+
+def test_rows_with_sets_go_in_short_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(5000).selectExpr("id", "concat('a b c d e ', id) AS text").coalesce(1)
+
+    def count(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    with short_batches(spark):
+        assert {r["n"] for r in cut(docs.mapInArrow(count, "n long"), "batches").collect()} == {1000}
+    assert spark.conf.get(name) == before
+
+
 @pytest.mark.parametrize("step", [7, 10_000])
 def test_short_lists_are_paired_many_at_once(monkeypatch, step):
     calls = []
